@@ -1,8 +1,10 @@
 """Queries and SQL of this subpackage."""
 
-from . import decontaminate
+from . import decontaminate, jaccard_join, mixing
 
 QUERIES = {
+    "op3_mix": mixing.op3_mix,
+    "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 SQL = {
