@@ -1,8 +1,9 @@
 """Queries and SQL of this subpackage."""
 
-from . import decontaminate, jaccard_join, mixing
+from . import decontaminate, jaccard_join, mixing, ngram_lm
 
 QUERIES = {
+    "op1_ngram_lm": ngram_lm.op1_ngram_lm,
     "op3_mix": mixing.op3_mix,
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op10_decontaminate": decontaminate.op10_decontaminate,
