@@ -187,7 +187,7 @@ def kept(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
-def _filesystem(uri: str):
+def filesystem(uri: str):
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(uri)
@@ -195,7 +195,7 @@ def _filesystem(uri: str):
 
 def store(uri: str, parts: list[np.ndarray]) -> None:
     """Write arrays as one file: a header line of dtypes and lengths, then raw values; a retry replaces it whole."""
-    fs_, path = _filesystem(uri)
+    fs_, path = filesystem(uri)
     fs_.create_dir(os.path.dirname(path), recursive=True)
     head = (";".join(f"{p.dtype.str},{len(p)}" for p in parts)).encode()
     head = head.ljust(-(-(len(head) + 1) // 64) * 64 - 1) + b"\n"
@@ -215,7 +215,7 @@ def mapped(uri: str) -> list[np.ndarray]:
     if uri not in _mapped:
         from pyarrow import fs
 
-        fs_, path = _filesystem(uri)
+        fs_, path = filesystem(uri)
         if fs_.get_file_info(path).type == fs.FileType.NotFound:
             return []
         if isinstance(fs_, fs.LocalFileSystem):

@@ -1,10 +1,11 @@
 """Queries and SQL of this subpackage."""
 
-from . import decontaminate, jaccard_join, mixing, ngram_lm
+from . import decontaminate, jaccard_join, mixing, ngram_lm, token_files
 
 QUERIES = {
     "op1_ngram_lm": ngram_lm.op1_ngram_lm,
     "op3_mix": mixing.op3_mix,
+    "op6_token_files": token_files.op6_token_files,
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
