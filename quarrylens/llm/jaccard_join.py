@@ -27,12 +27,11 @@ from collections.abc import Iterator
 from math import comb
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import PLAIN, kept, mix, shared_folder, slices, table, tokenise, tuned, windows
+from .common import PLAIN, kept, mix, shared_folder, slices, table, tokenise, tuned, whole_groups, windows
 from .components import components
 
 SHINGLE = 5
@@ -110,89 +109,102 @@ def keep_least(threshold: float = THRESHOLD, tolerance: float = TOLERANCE, n: in
 _STEPS = keep_least()
 
 
-def surviving(left: np.ndarray, right: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of signature rows that no step drops."""
-    i, j = np.triu_indices(len(left), 1) if same else (x.ravel() for x in np.indices((len(left), len(right))))
+def surviving(sign: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (i, j) of signature rows that no step drops."""
     match = np.zeros(len(i), np.int32)
     done = 0
     for upto, least in _STEPS:
-        match += (left[i, done:upto] == right[j, done:upto]).sum(axis=1, dtype=np.int32)
+        match += (sign[i, done:upto] == sign[j, done:upto]).sum(axis=1, dtype=np.int32)
         go = match >= least
         i, j, match, done = i[go], j[go], match[go], upto
     return i, j
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Edges that join the same nodes as all of (a, b)."""
-    parent: dict[int, int] = {}
-
-    def top(x: int) -> int:
-        while (y := parent.setdefault(x, x)) != x:
-            parent[x] = parent[y]
-            x = y
-        return x
-
-    out = []
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        p, q = top(x), top(y)
-        if p != q:
-            parent[max(p, q)] = min(p, q)
-            out.append((x, y))
-    return out
-
-
-def _two_sides(pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, bool]:
-    """The two blocks of a group; the same twice for a block with itself."""
-    if pdf.lo.iat[0] == pdf.hi.iat[0]:
-        return pdf, pdf, True
-    return pdf[pdf.blk == pdf.lo.iat[0]], pdf[pdf.blk == pdf.hi.iat[0]], False
-
-
-def _in_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
-    left, right, same = _two_sides(pdf)
-    if not len(left) or not len(right):
-        return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-    sides = [np.frombuffer(b"".join(x.sign), np.uint16).reshape(len(x), -1) for x in (left, right)]
-    i, j = surviving(*sides, same)
-    edges = _forest(left.cls.to_numpy()[i], right.cls.to_numpy()[j])
-    return pd.DataFrame(edges, columns=["a", "b"]).astype("int64")
-
-
-def _in_component(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Exact similarity of all pairs of the two blocks: a row a member with links, and rows of a spanning forest."""
-    left, right, same = _two_sides(pdf)
-    out: dict[int, int] = {}
-    edges: list[tuple[int, int]] = []
-    if len(left) and len(right):
-        sets = [[np.frombuffer(x, np.uint64) for x in side.shingles] for side in ((left,) if same else (left, right))]
-        sets += sets[:1] if same else []
-        pool = np.unique(np.concatenate(sets[0]))
-        size = [np.array([len(x) for x in s]) for s in sets]
-        common = np.zeros((len(sets[0]), len(sets[1])), np.float32)
-        for at in range(0, len(pool), 4096):  # dense blocks of the shingle-by-text matrix
-            part = pool[at : at + 4096]
-            dense = []
-            for s in sets[: 1 if same else 2]:
-                m = np.zeros((len(s), len(part)), np.float32)
-                for k, x in enumerate(s):
-                    p = np.searchsorted(part, x)
-                    ok = (p < len(part)) & (part[np.minimum(p, len(part) - 1)] == x)
-                    m[k, p[ok]] = 1
-                dense.append(m)
-            common += dense[0] @ dense[-1].T
-        union = size[0][:, None] + size[1][None, :] - common
-        link = common >= THRESHOLD * union - 1e-4
-        if same:
-            link = np.triu(link, 1)
-        i, j = np.nonzero(link)
-        ca, cb = left.cls.to_numpy(), right.cls.to_numpy()
-        na, nb = left.members.to_numpy(), right.members.to_numpy()
-        add_a, add_b = np.bincount(i, nb[j], len(ca)), np.bincount(j, na[i], len(cb))
-        for c, n in [*zip(ca[add_a > 0].tolist(), add_a[add_a > 0].tolist(), strict=True), *zip(cb[add_b > 0].tolist(), add_b[add_b > 0].tolist(), strict=True)]:
-            out[c] = out.get(c, 0) + int(n)
-        edges = _forest(ca[i], cb[j])
-    rows = [(c, c, n) for c, n in out.items()] + [(a, b, 0) for a, b in edges]
-    return pd.DataFrame(rows, columns=["a", "b", "links"]).astype("int64")
+def _pairs(group: np.ndarray, block: np.ndarray, across: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row pairs of the same group, a distance at a time; in a group of two blocks only those across."""
+    for k in range(1, len(group)):
+        i = np.flatnonzero(group[:-k] == group[k:])
+        if not len(i):
+            return
+        yield (x := i[~across[i] | (block[i] != block[i + k])]), x + k
+
+
+def _least(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of n rows the least row that the pairs connect it with."""
+    label = np.arange(n)
+    while len(i):
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        np.minimum.at(new, label[i], low)
+        np.minimum.at(new, label[j], low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    return label
+
+
+def _edges(cls: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A star for each component: as connected as all its pairs, in as many rows as it has members."""
+    at = np.flatnonzero(label != np.arange(len(label)))
+    return cls[label[at]], cls[at]
+
+
+def _in_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for t, group in whole_groups(batches, ("band", "lo", "hi")):
+        cls, block = np.asarray(t.column("cls")), np.asarray(t.column("blk"))
+        across = np.asarray(t.column("lo")) != np.asarray(t.column("hi"))
+        sign = np.frombuffer(b"".join(t.column("sign").to_pylist()), np.uint16).reshape(len(cls), -1)
+        label = np.arange(len(cls))
+        for i, j in _pairs(group, block, across):
+            i, j = surviving(sign, i, j)
+            if len(i):
+                label = _least(len(cls), np.concatenate((np.arange(len(cls)), i)), np.concatenate((label, j)))
+        a, b = _edges(cls, label)
+        yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """How many values each two sets share, by blocks of the dense value-by-set matrix."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    pool, code = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(code, kind="stable")
+    code, owner = code[order], owner[order]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, len(pool), 4096):
+        a, b = np.searchsorted(code, (at, at + 4096))
+        m = np.zeros((len(sets), min(4096, len(pool) - at)), np.float32)
+        m[owner[a:b], code[a:b] - at] = 1
+        common += m @ m.T
+    return common
+
+
+def _in_components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Exact similarity of all pairs: a row a member with its links, and the rows of a spanning forest (no links)."""
+    for t, group in whole_groups(batches, ("component", "lo", "hi")):
+        cls, block, members = (np.asarray(t.column(c)) for c in ("cls", "blk", "members"))
+        across = np.asarray(t.column("lo")) != np.asarray(t.column("hi"))
+        shingles = t.column("shingles")
+        links = np.zeros(len(cls), np.int64)
+        label = np.arange(len(cls))
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(group)) + 1, [len(group)]))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if b - a < 2:
+                continue
+            sets = [np.frombuffer(shingles[k].as_py(), np.uint64) for k in range(a, b)]
+            common, size = overlaps(sets), np.array([len(x) for x in sets])
+            link = np.triu(common >= THRESHOLD * (size[:, None] + size[None, :] - common) - 1e-4, 1)
+            if across[a]:
+                link &= block[a:b, None] != block[None, a:b]
+            i, j = np.nonzero(link)
+            np.add.at(links, a + i, members[a + j])
+            np.add.at(links, a + j, members[a + i])
+            label[a:b] = a + _least(b - a, i, j)
+        x, y = _edges(cls, label)
+        at = np.flatnonzero(links)
+        yield pa.RecordBatch.from_pydict({"a": pa.array(np.concatenate((cls[at], x))), "b": pa.array(np.concatenate((cls[at], y))), "links": pa.array(np.concatenate((links[at], np.zeros(len(x), np.int64))))})
 
 
 def _blocked(rows: DataFrame, sizes: DataFrame, key: str) -> DataFrame:
@@ -222,7 +234,8 @@ def similarity_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
     sizes = rows.select("band", "n").distinct()
     rows = rows.drop("n").join(classes.select("cls", "sign"), "cls")
     rows = _blocked(rows, sizes, "band")
-    near = rows.groupBy("band", "lo", "hi").applyInPandas(_in_bucket, "a long, b long").distinct()
+    keys = ("band", "lo", "hi")
+    near = rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_in_buckets, "a long, b long").distinct()
     member = kept(components(near, folder, "candidates"), folder, "members")
 
     # Shingle sets of the classes that have candidates, once each, meet by component.
@@ -231,7 +244,8 @@ def similarity_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
     found = d.join(wanted.withColumnRenamed("doc_id", "w_doc").withColumnRenamed("text_hash", "w_hash"), F.col("doc_id").eqNullSafe(F.col("w_doc")) & (F.col("text_hash") == F.col("w_hash"))).select("cls", "component", "members", "text")
     found = found.mapInArrow(_with_shingles, "cls long, component long, members long, shingles binary")
     found = kept(found.dropDuplicates(["cls"]), folder, "shingles")
-    exact = _blocked(found, sizes, "component").groupBy("component", "lo", "hi").applyInPandas(_in_component, "a long, b long, links long")
+    keys = ("component", "lo", "hi")
+    exact = _blocked(found, sizes, "component").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_in_components, "a long, b long, links long")
     exact = kept(exact, folder, "exact")
     links = exact.filter("links > 0").groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"))
     group = components(exact.filter("links = 0").select("a", "b"), folder, "groups")
