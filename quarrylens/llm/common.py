@@ -80,6 +80,14 @@ class Tokens(NamedTuple):
     end: np.ndarray
     data: np.ndarray
     offsets: np.ndarray
+    total: np.ndarray
+
+    def prefix(self, chars: int) -> np.ndarray:
+        """Hashes of the words' first code points (of the whole word where it has no more)."""
+        begins = np.flatnonzero((self.data & 0xC0) != 0x80)
+        nth = np.searchsorted(begins, self.start) + chars
+        end = np.minimum(self.end, np.where(nth < len(begins), begins[np.minimum(nth, len(begins) - 1)], len(self.data))) if len(begins) else self.end
+        return mix((self.total[end] - self.total[self.start]) * _power("down", _INVERSE, len(self.data))[self.start]) if len(self.start) else self.hash
 
     def counts(self) -> np.ndarray:
         return np.bincount(self.row, minlength=len(self.offsets) - 1)
@@ -116,7 +124,7 @@ def tokenise(texts: pa.Array, member: np.ndarray = PLAIN, lower: bool = True) ->
     np.cumsum(value, out=total[1:])
     h = (total[end] - total[start]) * _power("down", _INVERSE, n)[start] if n else np.zeros(0, np.uint64)
     row = np.searchsorted(off, start, side="right") - 1
-    return Tokens(mix(h), row, start, end, data, off)
+    return Tokens(mix(h), row, start, end, data, off, total)
 
 
 def hash_word(word: bytes) -> np.uint64:

@@ -1,11 +1,12 @@
 """Queries and SQL of this subpackage."""
 
-from . import decontaminate, jaccard_join, mixing, ngram_lm, quality_rules, token_files
+from . import decontaminate, jaccard_join, mixing, ngram_lm, quality_rules, token_files, toxicity
 
 QUERIES = {
     "op1_ngram_lm": ngram_lm.op1_ngram_lm,
     "op3_mix": mixing.op3_mix,
     "op6_token_files": token_files.op6_token_files,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_decontaminate": decontaminate.op10_decontaminate,
