@@ -37,7 +37,7 @@ STEM = 4
 PRIOR = 4.0
 LEAST_Z = 3.0
 LEXICON = 50_000
-DENSITY = 0.1
+DENSITY = 0.02
 E_VALUE = 1.0
 BIN = 0.25
 
