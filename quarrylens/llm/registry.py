@@ -1,10 +1,12 @@
 """Queries and SQL of this subpackage."""
 
-from . import decontaminate, jaccard_join, mixing, ngram_lm, quality_rules, token_files, toxicity
+from . import chat_format, decontaminate, jaccard_join, line_dedup, mixing, ngram_lm, quality_rules, token_files, toxicity
 
 QUERIES = {
     "op1_ngram_lm": ngram_lm.op1_ngram_lm,
     "op3_mix": mixing.op3_mix,
+    "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op5_chat_format": chat_format.op5_chat_format,
     "op6_token_files": token_files.op6_token_files,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
@@ -12,5 +14,7 @@ QUERIES = {
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 SQL = {
+    "op4_line_dedup": line_dedup.SQL,
+    "op5_chat_format": chat_format.SQL,
     "op10_decontaminate": decontaminate.SQL,
 }
