@@ -1,9 +1,10 @@
 """Queries and SQL of this subpackage."""
 
-from . import chat_format, decontaminate, jaccard_join, line_dedup, mixing, ngram_lm, quality_rules, token_files, toxicity
+from . import chat_format, decontaminate, jaccard_join, line_dedup, mixing, ngram_lm, quality_classifier, quality_rules, token_files, toxicity
 
 QUERIES = {
     "op1_ngram_lm": ngram_lm.op1_ngram_lm,
+    "op2_quality": quality_classifier.op2_quality,
     "op3_mix": mixing.op3_mix,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_chat_format": chat_format.op5_chat_format,
