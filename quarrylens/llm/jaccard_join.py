@@ -252,10 +252,24 @@ def similarity_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
 
     named = classes.select("cls", "digest", F.col("doc_id").alias("class_id"), "members")
     least = group.join(named.select(F.col("cls").alias("node"), "class_id"), "node").groupBy("component").agg(F.min("class_id").alias("group_id"))
-    group = group.join(least, "component").select(F.col("node").alias("cls"), "group_id")
+    group = group.join(least, "component").select(F.col("node").alias("cls"), "group_id", F.col("component").alias("group"))
     named = named.join(links, "cls", "left").join(group, "cls", "left")
-    named = named.select("digest", "class_id", F.coalesce("group_id", "class_id").alias("group_id"), (F.coalesce("links", F.lit(0)) + F.col("members") - 1).alias("n_links"))
-    return f.select("doc_id", "text_hash", "digest").join(named, "digest", "left").select("doc_id", "text_hash", "class_id", "group_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    named = named.select("digest", "class_id", F.coalesce("group_id", "class_id").alias("group_id"), F.coalesce("group", "cls").alias("group"), (F.coalesce("links", F.lit(0)) + F.col("members") - 1).alias("n_links"))
+    return f.select("doc_id", "text_hash", "digest").join(named, "digest", "left").select("doc_id", "text_hash", "class_id", "group_id", "group", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near copies: of each group the document of least id (then least text hash), once.
+    Texts without words are no copies of each other and stay, but for equal rows."""
+    rows = kept(similarity_classes(docs, key=key, text=text), shared_folder(docs.sparkSession, "one"), "rows")
+    first = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "text_hash")
+    one = rows.filter("group is not null").groupBy("group").agg(F.min(first).alias("r")).select("r.doc_id", "r.text_hash")
+    one = one.unionByName(rows.filter("group is null").select("doc_id", "text_hash").distinct()).toDF("w_id", "w_hash")
+    hashed = docs.withColumn("w_text_hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    out = hashed.join(one, F.col(key).eqNullSafe(F.col("w_id")) & (F.col("w_text_hash") == F.col("w_hash")), "left_semi")
+    if not rows.groupBy("doc_id", "text_hash").count().filter("count > 1").isEmpty():
+        out = out.dropDuplicates([key, "w_text_hash"])
+    return out.drop("w_text_hash")
 
 
 def _with_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -32,7 +32,7 @@ from .common import shared_folder, table
 
 SHARE = 1.5
 MAX_EPOCHS = 2
-ROWS_PER_RANGE = 20_000
+ROWS_PER_RANGE = 4_000
 TIME_RANGES = 512
 SEED = 17
 #: Weights of the sources in order of their names, repeating.
@@ -130,5 +130,16 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, *, source: str = "sou
     return got.withColumnsRenamed({f"c{i}": c for i, c in enumerate(carry)})
 
 
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, whole and as often as it takes them. Equal rows share their copies."""
+    hashed = docs.withColumn("m_hash", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    took = mix(hashed, split=False, carry=("m_hash",), **options).filter("copies > 0").groupBy(F.col("doc_id").alias("m_id"), F.col("m_hash").alias("m_text")).agg(F.sum("copies").cast("int").alias("copies"), F.count("*").alias("m_rows"))
+    took = written(took, shared_folder(docs.sparkSession, "mix"), "copies")
+    if not took.filter("m_rows > 1").isEmpty():
+        hashed = hashed.dropDuplicates(["doc_id", "m_hash"])
+    out = hashed.join(took, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("m_hash") == F.col("m_text")))
+    return out.withColumn("m_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+
+
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
