@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept, shared_folder, slices, table, tuned
+from .common import bounded_sample, kept, shared_folder, slices, table, tuned
 from .quality_rules import text_counts
 
 SAMPLE_ROWS = 20_000
@@ -131,7 +131,7 @@ def classify(docs: DataFrame, labels: DataFrame, *, host: str | Column = "source
     kind = dict(d.dtypes)["key"]
     measured = kept(d.select("key", "text", "host", "path").mapInArrow(measure, f"key {kind}, host string, path string, x array<double>"), folder, "features")
     marks = labels.filter("quality is not null").select(F.col("doc_id").alias("key"), "quality")
-    rows = measured.join(marks, "key").select("x", "quality", F.xxhash64("key").alias("draw")).orderBy("draw", "quality", "x").limit(sample_rows).toPandas()
+    rows = bounded_sample(measured.join(marks, "key").select("x", "quality", F.xxhash64("key").alias("draw")), "draw", sample_rows, "quality", "x")
     model = fit(np.stack(rows.x.to_list()) if len(rows) else np.zeros((0, len(FEATURES))), rows.quality.to_numpy() > 0)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

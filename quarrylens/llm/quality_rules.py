@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import PLAIN, kept, mix, shared_folder, slices, table, tokenise, tuned, windows
+from .common import PLAIN, bounded_sample, kept, mix, shared_folder, slices, table, tokenise, tuned, windows
 
 SAMPLE_ROWS = 20_000
 MAX_RULES, MAX_CONDITIONS, CUTS = 24, 4, 48
@@ -180,7 +180,7 @@ def learn_rules(stats: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPL
     """Rules from at most ``sample_rows`` rows of ``stats`` that ``labels`` (doc_id, quality) marks."""
     named = features()
     labelled = stats.join(labels.filter("quality is not null").select("doc_id", "quality"), "doc_id").select(*(c.alias(n) for n, c in named.items()), F.col("quality"), F.xxhash64("doc_id").alias("draw"))
-    rows = labelled.orderBy("draw", "quality", "words").limit(sample_rows).toPandas()
+    rows = bounded_sample(labelled, "draw", sample_rows, "quality", "words")
     if not len(rows) or rows.quality.nunique() < 2:
         return []
     x = {n: rows[n].to_numpy(float) for n in named}
