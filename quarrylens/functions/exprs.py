@@ -98,7 +98,7 @@ def clamp(x: Column, low: float, high: float) -> Column:
 
 def days_between(later: Column, earlier: Column) -> Column:
     """Whole and part days."""
-    return (F.unix_micros(later) - F.unix_micros(earlier)) / 86_400_000_000
+    return (F.unix_micros(later.cast("timestamp")) - F.unix_micros(earlier.cast("timestamp"))) / 86_400_000_000
 
 
 def parse_time(raw: Column) -> Column:

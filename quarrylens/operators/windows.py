@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def micros(ts: str | Column) -> Column:
+    """Microseconds since the epoch, of a time with or without zone."""
+    return F.unix_micros((F.col(ts) if isinstance(ts, str) else ts).cast("timestamp"))
+
+
 def average_rank(df: DataFrame, value: str, name: str) -> DataFrame:
     """1-based rank with ties averaged, from counts of distinct values: a running sum over values, not over rows."""
     c = df.groupBy(value).agg(F.count("*").alias("__n"))
@@ -51,12 +56,12 @@ def anchored_bursts(df: DataFrame, by: str, ts: str, window_days: float, least:
     is folded is the entity's array of times (8 bytes an event), inside a native aggregate().
     """
     span = int(window_days * 86_400_000_000)
-    times = df.groupBy(by).agg(F.array_sort(F.collect_list(F.unix_micros(ts))).alias("times"))
+    times = df.groupBy(by).agg(F.array_sort(F.collect_list(micros(ts))).alias("times"))
     zero = F.struct(F.array().cast("array<struct<first:bigint,last:bigint,n:bigint>>").alias("done"), F.lit(None).cast("bigint").alias("first"), F.lit(None).cast("bigint").alias("last"), F.lit(0).cast("bigint").alias("n"))
     close = lambda s: F.when(s["n"] >= least, F.concat(s["done"], F.array(F.struct(s["first"].alias("first"), s["last"].alias("last"), s["n"].alias("n"))))).otherwise(s["done"])
     step = lambda s, x: F.when(s["first"].isNotNull() & (x - s["first"] <= span), F.struct(s["done"].alias("done"), s["first"].alias("first"), x.alias("last"), (s["n"] + 1).alias("n"))).otherwise(F.struct(close(s).alias("done"), x.alias("first"), x.alias("last"), F.lit(1).cast("bigint").alias("n")))
     bursts = times.select(by, F.explode(F.aggregate("times", zero, step, close)).alias("b"))
-    return bursts.select(by, F.timestamp_micros("b.first").alias("first"), F.timestamp_micros("b.last").alias("last"), F.col("b.n").alias("n"))
+    return bursts.select(by, F.timestamp_micros("b.first").cast("timestamp_ntz").alias("first"), F.timestamp_micros("b.last").cast("timestamp_ntz").alias("last"), F.col("b.n").alias("n"))
 
 
 def latest(df: DataFrame, keys: list[str], order: list) -> DataFrame:
