@@ -31,36 +31,33 @@ from .common import PLAIN, kept, mapped, mix, remainder, shared_folder, slices,
 ORDER = 2
 HELD_OUT = (7, 2)
 BUCKET_TEXT_BYTES = 16 << 20
+FLUSH_TOKENS = 3_000_000
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def grams(h: np.ndarray, row: np.ndarray, order: int) -> np.ndarray:
-    """Hashes of the n-grams that end at each token; column k-1 has those of length k. Rows are texts' tokens with ends."""
-    out = np.empty((len(h), order), np.uint64)
-    out[:, 0] = h
+def _combined(context: np.ndarray, suffix: np.ndarray, k: int) -> np.ndarray:
+    """The hash of a k-gram from those of its first and of its last k-1 words."""
     with np.errstate(over="ignore"):
-        for k in range(1, order):
-            back = np.full(len(h), START, np.uint64)
-            same = np.zeros(len(h), bool)
-            same[k:] = row[k:] == row[:-k]
-            back[same] = h[:-k][same[k:]]
-            out[:, k] = mix(back * _STEP + out[:, k - 1] + np.uint64(k))
+        return mix(context * _STEP + suffix + np.uint64(k))
+
+
+def shifted(h: np.ndarray, row: np.ndarray, k: int) -> np.ndarray:
+    """The token k places before each token of its text, or the start mark."""
+    if k == 0:
+        return h
+    out = np.full(len(h), START, np.uint64)
+    if k < len(h):
+        same = row[k:] == row[:-k]
+        out[k:][same] = h[:-k][same]
     return out
 
 
-def contexts(g: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """The n-gram one shorter that ends one token earlier: the context of the longest n-gram at each token."""
-    k = g.shape[1] - 1
-    out = np.empty(len(g), np.uint64)
-    out[1:] = g[:-1, k - 1]
-    first = np.ones(len(g), bool)
-    first[1:] = row[1:] != row[:-1]
-    start = START
-    with np.errstate(over="ignore"):
-        for j in range(1, k):
-            start = mix(np.array([START * _STEP + start + np.uint64(j)], np.uint64))[0]
-    out[first] = start
+def grams(words: list[np.ndarray]) -> list[list[np.ndarray]]:
+    """``words``: hashes of the words of n-grams, a column a place. [k-1][i]: hash of the k words from place i."""
+    out = [words]
+    for k in range(2, len(words) + 1):
+        out.append([_combined(out[-1][i], out[-1][i + 1], k) for i in range(len(words) - k + 1)])
     return out
 
 
@@ -76,38 +73,39 @@ def with_ends(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h, np.repeat(np.arange(len(counts)), counts), counts
 
 
-def _packed(columns: list[np.ndarray]) -> bytes:
-    """First column sorted, as differences; small integers as narrow as they go; a byte plane each, compressed."""
+def _packed(hashes: list[np.ndarray], numbers: list[np.ndarray]) -> bytes:
+    """Columns of hashes as a sorted dictionary and codes (the first column is sorted, so its codes become steps),
+    then columns of small numbers; all as byte planes, those that are worth it compressed."""
     import zlib
 
-    parts = []
-    for k, c in enumerate(columns):
-        c = np.diff(c, prepend=c.dtype.type(0)) if k == 0 and len(c) else c
-        width = 8 if k == 1 and c.dtype == np.uint64 else max(1, (int(c.max(initial=0)).bit_length() + 7) // 8)
-        planes = np.ascontiguousarray(c.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
-        raw = planes.tobytes()
-        own = raw if k < 2 and c.dtype == np.uint64 else zlib.compress(raw, 1)
-        parts.append((width, len(own), own))
-    head = np.array([len(columns[0]), *(x for w, n, _ in parts for x in (w, n))], "<i8").tobytes()
-    return np.int64(len(columns)).tobytes() + head + b"".join(p for _, _, p in parts)
+    columns: list[tuple[np.ndarray, bool]] = []
+    for k, c in enumerate(hashes):
+        own, code = np.unique(c, return_inverse=True)
+        columns += [(np.diff(own, prepend=np.uint64(0)), False), (np.diff(code, prepend=0) if k == 0 else code, True)]
+    columns += [(n, True) for n in numbers]
+    head, body = [len(hashes), len(numbers)], []
+    for c, small in columns:
+        width = max(1, (int(c.max(initial=0)).bit_length() + 7) // 8)
+        raw = np.ascontiguousarray(c.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+        body.append(zlib.compress(raw, 1) if small else raw)
+        head += [len(c), width, len(body[-1]), int(small)]
+    return np.array(head, "<i8").tobytes() + b"".join(body)
 
 
 def _unpacked(raw: bytes) -> list[np.ndarray]:
     import zlib
 
-    m = int(np.frombuffer(raw, "<i8", 1)[0])
-    head = np.frombuffer(raw, "<i8", 1 + 2 * m, 8)
-    n, at, out = int(head[0]), 8 * (2 + 2 * m), []
-    for k in range(m):
-        width, size = int(head[1 + 2 * k]), int(head[2 + 2 * k])
+    m, w = np.frombuffer(raw, "<i8", 2).tolist()
+    specs = np.frombuffer(raw, "<i8", 4 * (2 * m + w), 16).reshape(-1, 4).tolist()
+    at, columns = 16 + 32 * len(specs), []
+    for n, width, size, small in specs:
         own = raw[at : at + size]
         at += size
-        own = own if size == width * n else zlib.decompress(own)
         full = np.zeros((n, 8), np.uint8)
-        full[:, :width] = np.frombuffer(own, np.uint8).reshape(width, n).T
-        c = full.reshape(-1).view("<u8") if n else np.zeros(0, np.uint64)
-        out.append(np.cumsum(c, dtype=np.uint64) if k == 0 else c)
-    return out
+        full[:, :width] = np.frombuffer(zlib.decompress(own) if small else own, np.uint8).reshape(width, n).T
+        columns.append(full.reshape(-1).view("<u8") if n else np.zeros(0, np.uint64))
+    out = [np.cumsum(columns[2 * k], dtype=np.uint64)[(np.cumsum(columns[2 * k + 1]) if k == 0 else columns[2 * k + 1]).astype(np.int64)] for k in range(m)]
+    return out + columns[2 * m :]
 
 
 def _grouped(keys: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
@@ -118,28 +116,28 @@ def _grouped(keys: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
     return [keys[at], *(np.add.reduceat(v[order], at).astype(np.uint64) if len(keys) else np.zeros(0, np.uint64) for v in values)]
 
 
-def _merged(parts: list[np.ndarray]) -> list[np.ndarray]:
-    """Distinct keys (first column), the sums of the last column, and the columns between, which a key determines."""
-    key, n = parts[0], parts[-1]
+def _merged(key: np.ndarray, n: np.ndarray, carried: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Distinct keys, sorted, with sums of n and with the columns that a key determines."""
     order = np.argsort(key, kind="stable")
     key = key[order]
     at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-    total = np.add.reduceat(n[order], at) if len(key) else n
-    return [key[at], total, *(c[order[at]] for c in parts[1:-1])]
+    return key[at], np.add.reduceat(n[order], at) if len(key) else n, [c[order[at]] for c in carried]
 
 
-def _dealt(kind: int, columns: list[np.ndarray], buckets: int) -> Iterator[tuple[int, int, bytes]]:
-    """Rows (kind, bucket, block) of arrays whose first column is a sorted hash; the high bits choose the bucket."""
-    cuts = _cuts(columns[0], buckets)
+def _dealt(kind: int, key: np.ndarray, hashes: list[np.ndarray], numbers: list[np.ndarray], buckets: int) -> Iterator[tuple[int, int, bytes]]:
+    """Rows (kind, bucket, block); the high bits of the key choose the bucket, in which rows are sorted by the first hash."""
+    bucket = ((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    order = np.lexsort((hashes[0], bucket))
+    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
     for b in range(buckets):
-        if cuts[b] < cuts[b + 1]:
-            yield kind, b, _packed([c[cuts[b] : cuts[b + 1]] for c in columns])
+        own = order[cuts[b] : cuts[b + 1]]
+        if len(own):
+            yield kind, b, _packed([c[own] for c in hashes], [c[own] for c in numbers])
 
 
 def _cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Where each bucket's share of sorted hashes begins; the last value is their number."""
-    inner = np.array([(b << 64) // buckets for b in range(1, buckets)], dtype=np.uint64)
-    return np.concatenate(([0], np.searchsorted(keys, inner), [len(keys)]))
+    return np.searchsorted(((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32), np.arange(buckets + 1))
 
 
 _BLOCKS = "kind int, bucket int, block binary"
@@ -183,7 +181,7 @@ class Model:
 
     def probabilities(self, h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Interpolated probability of each token, and its training count."""
-        g = grams(h, row, self.order)
+        places = grams([shifted(h, row, k) for k in range(self.order - 1, -1, -1)])
         count, continued = self.lookup("1", h, 2)
         uniform = 1.0 / (self.vocabulary + 1)
         p = np.full(len(h), uniform)
@@ -193,8 +191,8 @@ class Model:
                 c, total = continued, np.full(len(h), float(self.continuations))
                 ones, twos, more = (np.full(len(h), x) for x in self.level_one)
             else:
-                c = self.lookup(str(k), g[:, k - 1], 1)[0]
-                total, ones, twos, more = self.lookup(f"c{k}", contexts(g[:, :k], row), 4)
+                c = self.lookup(str(k), places[k - 1][-1], 1)[0]
+                total, ones, twos, more = self.lookup(f"c{k}", places[k - 2][-2], 4)
             cut = d[np.minimum(c, 3).astype(np.int64)]
             free = d[1] * ones + d[2] * twos + d[3] * more
             seen = total > 0
@@ -219,30 +217,25 @@ def train(docs: DataFrame, *, text: str = "text", order: int = ORDER) -> Model:
     top = order
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """kind 0: (suffix-and-context n-gram, context, suffix, count) of the top order; kind 1: (word, count)."""
-        held: list[np.ndarray] = []
-        words: list[np.ndarray] = []
+        """kind 0: the words of distinct n-grams of the top order, with counts; kind 1: distinct words, with counts."""
+        held: list[list[np.ndarray]] = []
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             if size:
-                full = np.concatenate(held)
-                _, at, n = np.unique(full[:, 0], return_index=True, return_counts=True)
-                full = full[at]
-                yield _batch([*_dealt(0, [full[:, 0], *(full[:, k] for k in range(1, full.shape[1])), n.astype(np.uint64)], buckets), *_dealt(1, list(np.unique(np.concatenate(words), return_counts=True)), buckets)])
+                words = [np.concatenate(c) for c in zip(*held, strict=True)]
+                own, times = np.unique(words[-1], return_counts=True)
+                key, n, words = _merged(grams(words)[-1][0], np.ones(len(words[0]), np.int64), words)
+                yield _batch([*_dealt(0, key, words, [n], buckets), *_dealt(1, own, [own], [times], buckets)])
 
         for batch in batches:
             for piece in slices(batch):
                 h, row, _ = with_ends(piece.column("text"))
-                g = grams(h, row, top)
-                # The n-gram, then its context and suffix, and those of every shorter suffix.
-                chain = [x for j in range(top, 1, -1) for x in (contexts(g[:, :j], row), g[:, j - 2])]
-                held.append(np.stack([g[:, top - 1], *chain], axis=1))
-                words.append(h)
+                held.append([shifted(h, row, k) for k in range(top - 1, -1, -1)])
                 size += len(h)
-                if size > 3_000_000:
+                if size > FLUSH_TOKENS:
                     yield from flush()
-                    held, words, size = [], [], 0
+                    held, size = [], 0
         yield from flush()
 
     rows = docs.select(F.col(text).alias("text")).mapInArrow(count, _BLOCKS)
@@ -261,7 +254,7 @@ def train(docs: DataFrame, *, text: str = "text", order: int = ORDER) -> Model:
 def _level(rows: DataFrame, model: Model, k: int, folder: str) -> tuple[DataFrame, np.ndarray]:
     """Merge the buckets of one order, write its arrays, and pass on blocks for the order below.
 
-    Kinds in: 0 n-grams (with context, suffix if k > 1), 1 word counts, 2 statistics of the contexts of order k+1.
+    Kinds in: 0 n-grams (their words, counts), 1 word counts, 2 statistics of the contexts of order k+1.
     Returned numbers: n1..n4, sum, ones, twos, threes and more, tokens, vocabulary.
     """
     buckets, order = model.buckets, model.order
@@ -277,22 +270,22 @@ def _level(rows: DataFrame, model: Model, k: int, folder: str) -> tuple[DataFram
             c = _grouped(*_joined(by[2]))
             store(f"{folder}/c{k + 1}/{b:05d}", [c[0], *map(_narrow, c[1:])])
         if by[0]:
-            parts = _joined(by[0])
+            *words, n = _joined(by[0])
+            places = grams(words)
+            key, n, carried = _merged(places[-1][0], n, [*words, *(places[k - 2] if k > 1 else ())])
+            words, (context, suffix) = carried[:k], carried[k:] if k > 1 else (None, None)
+            one, two, more = (n == 1), (n == 2), (n > 2)
+            stats[:8] = [*((n == x).sum() for x in (1, 2, 3, 4)), n.sum(), one.sum(), two.sum(), more.sum()]
             if k > 1:
-                key, n, context, suffix, *deeper = _merged(parts)
                 store(f"{folder}/{k}/{b:05d}", [key, _narrow(n)])
-                one, two, more = (n == 1), (n == 2), (n > 2)
-                out += _dealt(2, _grouped(context, n, one, two, more), buckets)
-                below, times, *deeper = _merged([suffix, *deeper, np.ones(len(suffix), np.uint64)])
-                out += _dealt(0, [below, *deeper, times], buckets)
-            else:
-                key, n = _grouped(*parts[:1], parts[-1])
-                one, two, more = (n == 1), (n == 2), (n > 2)
-            stats[:8] = [*((n == x).sum() for x in (1, 2, 3, 4)), n.sum(), one.sum(), two.sum(), more.sum()]
+                own, *sums = _grouped(context, n, one, two, more)
+                out += _dealt(2, own, [own], sums, buckets)
+                below, times, words = _merged(suffix, np.ones(len(suffix), np.int64), words[1:])
+                out += _dealt(0, below, words, [times], buckets)
         if by[1]:
             word, count = _grouped(*_joined(by[1]))
             if k > 1:
-                out += _dealt(1, [word, count], buckets)
+                out += _dealt(1, word, [word], [count], buckets)
             else:
                 continued = np.zeros(len(word), np.uint64)
                 if by[0]:
