@@ -28,7 +28,7 @@ from .fm_index import FMIndex
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 
 
 class Phrases:
@@ -116,61 +116,54 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, keep: tuple[str, ...
     """``keep`` columns, n_words, n_hit, item_ids (sorted), spans (first and past-the-end word of each removal) and
     clean_text (the text without the spans; null texts come back empty)."""
     spark = docs.sparkSession
-    out = docs.select(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keep)), F.col(text).alias("text"), F.lit(None).cast("binary").alias("hit"), F.array().cast("array<string>").alias("item_ids"), F.lit(0).cast("long").alias("n_words"), F.col(text).alias("clean_text"))
-    schema = out.schema
+    out = docs.select(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keep)), F.col(text).alias("text"), F.lit(None).cast("binary").alias("hit"), F.array().cast("array<string>").alias("item_ids"))
     blocks = _blocks(benchmark, item, item_text)
-    for rows in [next(blocks, [])]:
-        out = _pass(out, schema, spark.sparkContext.broadcast(Phrases(rows, window)))
-    for rows in blocks:
-        out = _pass(out, schema, spark.sparkContext.broadcast(Phrases(rows, window)))
-    final = "array<struct<first:int,past:int>>"
-    fields = [f for f in schema if f.name not in ("text", "hit")]
-    from pyspark.sql.types import LongType, StructField, StructType, _parse_datatype_string
-
-    done = StructType([*fields, StructField("n_hit", LongType()), StructField("spans", _parse_datatype_string(final))])
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in slices(batch):
-                t = tokenise(piece.column("text"), ALNUM)
-                base = np.concatenate(([0], np.cumsum(t.counts())))
-                cleaned, spans, n_hit = [], [], []
-                for row, raw in enumerate(piece.column("hit").to_pylist()):
-                    hit = np.frombuffer(raw or b"", np.int64)
-                    own = _spans(hit)
-                    whole = t.data[t.offsets[row] : t.offsets[row + 1]].tobytes()
-                    if own:
-                        parts, at = [], 0
-                        for a, b in own:
-                            parts.append(whole[at : t.start[base[row] + a] - t.offsets[row]])
-                            at = t.end[base[row] + b - 1] - t.offsets[row]
-                        whole = b"".join([*parts, whole[at:]])
-                    cleaned.append(whole)
-                    spans.append([{"first": a, "past": b} for a, b in own])
-                    n_hit.append(len(hit))
-                columns = {f.name: piece.column(f.name) for f in fields} | {"clean_text": pa.array(cleaned, pa.binary()).cast(pa.string())}
-                columns |= {"n_hit": pa.array(n_hit, pa.int64()), "spans": pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("past", pa.int32())])))}
-                yield pa.RecordBatch.from_pydict(columns)
-
-    out = out.mapInArrow(finish, done)
+    rows = next(blocks, [])
+    for more in blocks:
+        out = _pass(out, spark.sparkContext.broadcast(Phrases(rows, window)), last=False)
+        rows = more
+    out = _pass(out, spark.sparkContext.broadcast(Phrases(rows, window)), last=True)
     return out.select(*(F.col(f"k{i}").alias(k) for i, k in enumerate(keep)), "n_words", "n_hit", "item_ids", "spans", "clean_text")
 
 
-def _pass(docs: DataFrame, schema, phrases) -> DataFrame:
+def _pass(docs: DataFrame, phrases, last: bool) -> DataFrame:
+    """Add the hits of one block of phrases to those of the blocks before; the last pass also cuts the texts."""
+    span = pa.list_(pa.struct([("first", pa.int32()), ("past", pa.int32())]))
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, limit=SHARD_BYTES):
-                counts, hits, items, _, _ = phrases.value.find(piece.column("text"))
+                counts, hits, items, base, t = phrases.value.find(piece.column("text"))
                 before = zip(piece.column("hit").to_pylist(), piece.column("item_ids").to_pylist(), strict=True)
-                hit, found = [], []
+                every, found = [], []
                 for (raw, had), now, new in zip(before, hits, items, strict=True):
-                    hit.append(np.union1d(np.frombuffer(raw or b"", np.int64), now).tobytes() if len(now) else raw)
+                    every.append(np.union1d(np.frombuffer(raw, np.int64), now) if raw else now)
                     found.append(sorted({*(had or ()), *new}))
-                columns = {n: piece.column(n) for n in piece.schema.names}
-                columns |= {"hit": pa.array(hit, pa.binary()), "item_ids": pa.array(found, pa.list_(pa.string())), "n_words": pa.array(counts, pa.int64())}
+                columns = {n: piece.column(n) for n in piece.schema.names if n not in ("text", "hit")} | {"item_ids": pa.array(found, pa.list_(pa.string()))}
+                if last:
+                    spans = [_spans(h) for h in every]
+                    columns |= {
+                        "n_words": pa.array(counts, pa.int64()), "n_hit": pa.array([len(h) for h in every], pa.int64()), "spans": pa.array([[{"first": a, "past": b} for a, b in x] for x in spans], span),
+                        "clean_text": pa.array([_without(t, row, int(base[row]), x) for row, x in enumerate(spans)], pa.binary()).cast(pa.string()),
+                    }
+                else:
+                    columns |= {"text": piece.column("text"), "hit": pa.array([h.tobytes() if len(h) else None for h in every], pa.binary())}
                 yield pa.RecordBatch.from_pydict(columns)
 
-    return docs.mapInArrow(search, schema)
+    kinds = dict(docs.dtypes)
+    carried = ", ".join(f"{c} {kinds[c]}" for c in docs.columns if c not in ("text", "hit"))
+    extra = "n_words long, n_hit long, spans array<struct<first:int,past:int>>, clean_text string" if last else "text string, hit binary"
+    return docs.mapInArrow(search, f"{carried}, {extra}")
+
+
+def _without(t, row: int, base: int, spans: list[tuple[int, int]]) -> bytes:
+    """The text of a row without the words of the spans and what stands between them."""
+    start, stop = int(t.offsets[row]), int(t.offsets[row + 1])
+    parts = []
+    for a, b in spans:
+        parts.append(t.data[start : t.start[base + a]].tobytes())
+        start = int(t.end[base + b - 1])
+    return b"".join([*parts, t.data[start:stop].tobytes()])
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
