@@ -38,7 +38,7 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 GROUP_TOKENS = 1 << 20
 FILE_TEXT_BYTES = 32 << 20
-CACHE_PIECES = 400_000
+CACHE_PIECES = 3_000_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -58,39 +58,57 @@ def _tokenizer(path: str):
 
 
 class Encoder:
-    """Ids of texts through the ids of their pieces; pieces already seen by this worker are remembered up to a bound."""
+    """Ids of texts through the ids of their pieces. Pieces that this worker has seen are kept in sorted arrays, about 20 bytes each, up to a bound."""
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
-        self.ids: dict[bytes, np.ndarray] = {}
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.begin, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.flat = np.zeros(0, self.kind)
+
+    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
+        size, ids = [], []
+        for at in range(0, len(pieces), 4096):
+            for e in self.tokenizer.encode_batch_fast(pieces[at : at + 4096], add_special_tokens=False):
+                own = e.ids
+                size.append(len(own))
+                ids += own
+        size = np.array(size, np.int32)
+        begin = len(self.flat) + np.cumsum(size, dtype=np.int32) - size
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.begin, self.size = np.insert(self.keys, at, keys), np.insert(self.begin, at, begin), np.insert(self.size, at, size)
+        self.flat = np.concatenate((self.flat, np.array(ids, self.kind)))
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """All ids end to end, and the number of ids of each text."""
+        """All ids end to end, each text's followed by the end id, and the number of ids of each text."""
         t = tokenise(texts, PLAIN, lower=False)
         counts = t.counts()
-        _, first, code = np.unique(t.hash, return_index=True, return_inverse=True)
-        whole = t.data.tobytes()
-        pieces = [whole[a:b] for a, b in zip(t.start[first].tolist(), t.end[first].tolist(), strict=True)]
-        new = [p for p in pieces if p not in self.ids]
-        if len(self.ids) + len(new) > CACHE_PIECES:
-            self.ids, new = {}, pieces
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast([p.decode() for p in part], add_special_tokens=False), strict=True):
-                self.ids[p] = np.array(e.ids, self.kind)
-        own = [self.ids[p] for p in pieces]
-        size = np.array([len(x) for x in own], np.int64)
-        flat = np.concatenate(own) if own else np.zeros(0, self.kind)
-        begin = np.cumsum(size) - size
-        lengths = size[code]
-        # Where each piece's ids go: after those before it, and one end id for each text that ended.
-        stop = np.cumsum(lengths) - lengths + t.row
-        total = np.bincount(t.row, lengths, len(counts)).astype(np.int64) + 1
-        out = np.full(int(total.sum()), end_id, self.kind)
-        inside = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        out[np.repeat(stop, lengths) + inside] = flat[np.repeat(begin[code], lengths) + inside]
-        return out, total
+        keys, first, code = np.unique(t.hash, return_index=True, return_inverse=True)
+        if len(self.keys) > CACHE_PIECES:
+            self._forget()
+        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+        new = np.flatnonzero(self.keys[at] != keys) if len(self.keys) else np.arange(len(keys))
+        if len(new):
+            whole = t.data.tobytes()
+            self._learn(keys[new], [whole[a:b].decode() for a, b in zip(t.start[first[new]].tolist(), t.end[first[new]].tolist(), strict=True)])
+            at = np.searchsorted(self.keys, keys)
+        # The end of a text is one more piece, which lies before all others.
+        flat = np.concatenate((np.array([end_id], self.kind), self.flat))
+        begin, size = np.concatenate(([0], self.begin[at] + 1)).astype(np.int32), np.concatenate(([1], self.size[at])).astype(np.int32)
+        row = np.zeros(len(code) + len(counts), np.int32)
+        ends = np.cumsum(counts + 1) - 1
+        inside = np.ones(len(row), bool)
+        inside[ends] = False
+        row[inside] = code + 1
+        lengths = size[row]
+        upto = np.cumsum(lengths, dtype=np.int64)
+        index = np.arange(upto[-1] if len(upto) else 0, dtype=np.int32)
+        index += np.repeat(begin[row] - (upto - lengths).astype(np.int32), lengths)
+        total = np.diff(upto[ends], prepend=0) if len(ends) else np.zeros(0, np.int64)
+        return flat[index], total
 
 
 @functools.cache
