@@ -46,13 +46,13 @@ def _unrole(role: Column) -> Column:
 
 def best_paths(messages: DataFrame, folder: str, top_k: int = 1) -> DataFrame:
     """``messages``: tree, node, parent (null: root), score. Rows: tree, leaf, node, depth (root: 1), in chosen paths only."""
-    nodes = messages.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))
+    nodes = kept(messages.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("score")), folder, "nodes")
     there = nodes.select("tree", F.col("node").alias("parent")).distinct()
     linked = nodes.join(there.withColumn("known", F.lit(True)), ["tree", "parent"], "left").withColumn("parent", F.when(F.col("known"), F.col("parent")))
     # far: the message 2**k up (null once past the root); depth and sum: of the stretch below it.
     state = kept(linked.select("tree", "node", F.col("parent").alias("far"), F.lit(1).alias("depth"), F.col("score").alias("sum")), folder, "hop-0")
     first, hops = state, []
-    most = messages.groupBy("tree").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    most = nodes.groupBy("tree").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     while 1 << len(hops) <= 2 * most and not state.filter("far is not null").isEmpty():
         hops.append(state.filter("far is not null").select("tree", "node", "far"))
         up = state.select("tree", F.col("node").alias("far"), F.col("far").alias("next"), F.col("depth").alias("d"), F.col("sum").alias("s"))
@@ -65,9 +65,11 @@ def best_paths(messages: DataFrame, folder: str, top_k: int = 1) -> DataFrame:
     order = [(F.col("sum") / F.col("depth")).desc(), F.col("depth").desc(), F.col("node")]
     for keys in (["tree", F.pmod(F.xxhash64("node"), F.lit(_SALTS))], ["tree"]):
         leaves = leaves.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("place") <= top_k)
-    on = leaves.select("tree", F.col("node").alias("leaf"), "node")
-    for hop in reversed(hops):
-        on = on.unionByName(on.join(hop, ["tree", "node"]).select("tree", "leaf", F.col("far").alias("node"))).distinct()
+    # Each round adds the messages one hop above those so far; hops halve from round to round.
+    on = kept(leaves.select("tree", F.col("node").alias("leaf"), "node"), folder, "paths-0")
+    for k, hop in enumerate(reversed(hops), 1):
+        up = on.join(hop, ["tree", "node"]).select("tree", "leaf", F.col("far").alias("node"))
+        on = kept(on.unionByName(up).distinct(), folder, f"paths-{k}")
     return on.join(rooted.select("tree", "node", "depth"), ["tree", "node"])
 
 
