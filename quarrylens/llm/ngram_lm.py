@@ -32,6 +32,8 @@ ORDER = 2
 HELD_OUT = (7, 2)
 BUCKET_TEXT_BYTES = 16 << 20
 FLUSH_TOKENS = 3_000_000
+#: Discounts where the counts of counts of a small corpus give none within their range.
+FALLBACK = (0.5, 1.0, 1.5)
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -244,8 +246,8 @@ def train(docs: DataFrame, *, text: str = "text", order: int = ORDER) -> Model:
         rows, fits[k] = _level(rows, model, k, folder)
     for k, n in fits.items():
         y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.0
-        d = [0.0, *((j + 1 - (j + 2) * y * n[j + 1] / n[j]) if n[j] else 0.0 for j in range(3))]
-        model.discounts[k] = np.clip(np.array(d), 0, [0, 1, 2, 3])
+        d = [((j + 1 - (j + 2) * y * n[j + 1] / n[j]) if n[j] else 0.0) for j in range(3)]
+        model.discounts[k] = np.array([0.0, *(x if 0 < x < j + 1 else f for j, (x, f) in enumerate(zip(d, FALLBACK, strict=True)))])
     model.tokens, model.vocabulary = int(fits[1][8]), int(fits[1][9])
     model.continuations, model.level_one = float(fits[1][4]), fits[1][5:8]
     return model
