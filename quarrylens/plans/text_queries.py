@@ -156,7 +156,7 @@ def v04(t: Tables) -> DataFrame:
     """Candidates of the query vectors by random hyperplanes, ranked exactly."""
     e = t.embeddings
     dim = 64
-    b = R.hyperplane_buckets(e, "vec_id", "embedding", dim, bits=6, tables=10)
+    b = R.hyperplane_buckets(e, "vec_id", "embedding", dim, bits=3, tables=16)
     q = b.filter("id % 20 = 0").select(F.col("id").alias("query"), "table", "bucket")
     c = b.join(q, ["table", "bucket"]).filter("id <> query").select("query", "id").distinct()
     j = c.join(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("x")), "id").join(e.select(F.col("vec_id").alias("query"), F.col("embedding").alias("y")), "query")
