@@ -216,7 +216,7 @@ def _blocked(rows: DataFrame, sizes: DataFrame, key: str) -> DataFrame:
 
 
 def similarity_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row a document: doc_id, text_hash, class_id (least id of its class; null without words), group_id (least class
+    """One row a document: doc_id, text_hash, class_id (least id of its class; its own without words), group_id (least class
     of those that links join), n_links (other documents with a similarity of at least the threshold)."""
     spark = tuned(docs.sparkSession)
     folder = shared_folder(spark, "jaccard")
@@ -255,7 +255,7 @@ def similarity_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
     group = group.join(least, "component").select(F.col("node").alias("cls"), "group_id", F.col("component").alias("group"))
     named = named.join(links, "cls", "left").join(group, "cls", "left")
     named = named.select("digest", "class_id", F.coalesce("group_id", "class_id").alias("group_id"), F.coalesce("group", "cls").alias("group"), (F.coalesce("links", F.lit(0)) + F.col("members") - 1).alias("n_links"))
-    return f.select("doc_id", "text_hash", "digest").join(named, "digest", "left").select("doc_id", "text_hash", "class_id", "group_id", "group", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return f.select("doc_id", "text_hash", "digest").join(named, "digest", "left").select("doc_id", "text_hash", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("group_id", "doc_id").alias("group_id"), "group", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
