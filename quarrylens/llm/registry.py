@@ -17,5 +17,6 @@ QUERIES = {
 SQL = {
     "op4_line_dedup": line_dedup.SQL,
     "op5_chat_format": chat_format.SQL,
+    "op8_jaccard_join": jaccard_join.SQL,
     "op10_decontaminate": decontaminate.SQL,
 }
