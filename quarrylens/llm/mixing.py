@@ -76,7 +76,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, *, source: str = "sou
     # Where the range a row falls in must not depend on the run, the shuffle is a hash of the row's own values.
     d = docs.select(
         F.col(key).alias("doc_id"), F.col(source).cast("string").alias("source"), (words("text") if size is None else size).alias("size"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(carry)),
-        (F.xxhash64(F.col(key), F.lit(SEED)).bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)).alias("draw"),
+        (F.conv(F.substring(F.sha2(F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))), 256), 1, 13), 16, 10).cast("long") / float(1 << 52)).alias("draw"),
     )
     # Texts are read and measured once; from here on rows are a few numbers.
     d = written(d, shared_folder(docs.sparkSession, "mix"), "sizes")
@@ -143,3 +143,22 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
 
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+_WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
+SQL = f"""
+WITH d AS (SELECT doc_id, source, CAST({_WORDS} AS BIGINT) AS size, CAST('0x' || substr(sha256('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS draw FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT source, source_size, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight, CAST(2.0 * source_size AS DOUBLE) AS cap FROM s),
+f AS (SELECT *, cap / weight AS fills, least(CAST(sum(source_size) OVER () AS DOUBLE) * 1.5, sum(cap) OVER ()) AS budget FROM w),
+v AS (SELECT *, (budget - coalesce(sum(cap) OVER o, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER o, 0)) AS level FROM f WINDOW o AS (ORDER BY fills, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+z AS (SELECT level FROM v WHERE level <= fills ORDER BY fills, level LIMIT 1),
+t AS (SELECT source, source_size, least(cap, coalesce((SELECT level FROM z), fills) * weight) AS target FROM v),
+u AS (SELECT doc_id, d.source, size, draw, source_size, target, CAST(sum(size) OVER (PARTITION BY d.source ORDER BY draw, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS upto FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT *, greatest(0, least(size, CAST(round(target) AS BIGINT) - (upto + e * source_size) + size)) AS words FROM u, (VALUES (0), (1)) x(e)),
+k AS (SELECT *, (upto + e * source_size - size + words) / target AS finish FROM c WHERE words > 0),
+p AS (SELECT *, CAST(sum(words) OVER (ORDER BY finish, draw, doc_id, e, source ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS position FROM k),
+g AS (SELECT doc_id, source, upto, sum(greatest(0, least(words, (SELECT CAST(round(sum(target)) AS BIGINT) FROM t) - position + words))) AS taken FROM p GROUP BY 1, 2, 3)
+SELECT u.doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken
+FROM u LEFT JOIN g ON g.doc_id = u.doc_id AND g.source IS NOT DISTINCT FROM u.source AND g.upto = u.upto AND u.size > 0
+"""

@@ -15,6 +15,7 @@ QUERIES = {
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 SQL = {
+    "op3_mix": mixing.SQL,
     "op4_line_dedup": line_dedup.SQL,
     "op5_chat_format": chat_format.SQL,
     "op8_jaccard_join": jaccard_join.SQL,
