@@ -19,12 +19,14 @@ def average_rank(df: DataFrame, value: str, name: str) -> DataFrame:
     return df.join(c, F.col(value).eqNullSafe(F.col("__v"))).drop("__v")
 
 
-def z_score(df: DataFrame, value: str, name: str, limit: float = 5.0, by: tuple[str, ...] = ()) -> DataFrame:
-    """Against mean and sample deviation of the group; 0 where that is below .001. The statistics come from an aggregate."""
-    s = df.groupBy(*by).agg(F.avg(value).alias("__m"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("__s"))
+def z_scores(df: DataFrame, values: list[str], limit: float = 5.0, by: tuple[str, ...] = ()) -> DataFrame:
+    """Adds z_<value> for each value, against mean and sample deviation of the group; 0 where that is below .001. One aggregate gives all statistics."""
+    s = df.groupBy(*by).agg(*(f for v in values for f in (F.avg(v).alias(f"__m_{v}"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias(f"__s_{v}"))))
     j = df.join(s, list(by)) if by else df.crossJoin(F.broadcast(s))  # one row
-    z = F.when(F.col("__s") < 0.001, 0.0).otherwise((F.col(value) - F.col("__m")) / F.col("__s"))
-    return j.withColumn(name, F.greatest(F.lit(-limit), F.least(F.lit(limit), z))).drop("__m", "__s")
+    for v in values:
+        z = F.when(F.col(f"__s_{v}") < 0.001, 0.0).otherwise((F.col(v) - F.col(f"__m_{v}")) / F.col(f"__s_{v}"))
+        j = j.withColumn(f"z_{v}", F.greatest(F.lit(-limit), F.least(F.lit(limit), z)))
+    return j.drop(*(f"__{k}_{v}" for v in values for k in "ms"))
 
 
 def trend(df: DataFrame, scope: list[str], order: str, score: str, noise: float = 0.005, last: int = 5) -> DataFrame:

@@ -23,8 +23,7 @@ _Z = "greatest(-5.0, least(5.0, CASE WHEN coalesce(stddev_samp({0}) OVER (), 0)
 @query("w01_volatility", f"WITH {_COUNTS}, z AS (SELECT file, {_Z.format('churn')} AS zc, {_Z.format('authors')} AS za, {_Z.format('fixes')} AS zf FROM h) SELECT file, round(greatest(0.0, least(1.0, (zc + za + zf) / 3 / 3)), 6) AS score FROM z WHERE greatest(zc, za, zf) >= 1.5 AND greatest(0.0, least(1.0, (zc + za + zf) / 3 / 3)) >= 0.2")
 def w01(t: Tables) -> DataFrame:
     h = t.changes().join(t.commits(), "commit").groupBy("file").agg(F.count("*").cast("double").alias("churn"), F.countDistinct("author").cast("double").alias("authors"), F.sum(F.col("is_fix").cast("double")).alias("fixes"))
-    for c in ("churn", "authors", "fixes"):
-        h = W.z_score(h, c, f"z_{c}")
+    h = W.z_scores(h, ["churn", "authors", "fixes"])
     score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("z_churn") + F.col("z_authors") + F.col("z_fixes")) / 3 / 3))
     return h.filter(F.greatest("z_churn", "z_authors", "z_fixes") >= 1.5).withColumn("score", score).filter("score >= 0.2").select("file", r6("score").alias("score"))
 
