@@ -32,7 +32,7 @@ from .common import shared_folder, table
 
 SHARE = 1.5
 MAX_EPOCHS = 2
-ROWS_PER_RANGE = 4_000
+ROWS_PER_RANGE = 1_000
 TIME_RANGES = 512
 SEED = 17
 #: Weights of the sources in order of their names, repeating.
