@@ -102,16 +102,17 @@ def multiset_jaccard(left: DataFrame, right: DataFrame, keys: list[str], item: s
     return j.groupBy(*keys).agg((F.sum(F.least("__a", "__b")) / F.sum(F.greatest("__a", "__b"))).alias("jaccard"))
 
 
-def blocked_pairs(df: DataFrame, key: str, size: str, features: str, *, width: int = 10, least_ratio: float = 0.5, least_similarity: float = 0.8, most_per_feature: int = 50) -> DataFrame:
-    """Pairs of similar sets among rows of like size.
+def blocked_pairs(df: DataFrame, key: str, size: str, features: str, *, width: int = 10, least_ratio: float = 0.5, least_similarity: float = 0.8) -> DataFrame:
+    """Pairs of similar sets among rows of like size (same or next bucket of ``width``).
 
-    Candidates share a feature that few rows have and lie in the same or the next size bucket, so the join
-    is on (feature, bucket) instead of on the bucket alone. With a similarity of s a pair shares at least
-    s of the smaller set; features that more than ``most_per_feature`` rows have are no keys, and pairs that share none but those are not proposed.
+    Candidates come from prefixes: with features in order of rarity, two sets of similarity t share one of
+    the first n - ceil(t n) + 1 of each. So only rare features are join keys, and no pair is lost.
     """
-    f = df.select(key, size, F.explode(F.array_distinct(features)).alias("__f"))
-    rare = f.groupBy("__f").agg(F.count("*").alias("__n")).filter(F.col("__n").between(2, most_per_feature))
-    f = f.join(rare.select("__f"), "__f").withColumn("__b", F.floor(F.col(size) / width))
+    f = df.select(key, size, F.explode(F.array_distinct(features)).alias("__f"), F.size(F.array_distinct(features)).alias("__n"))
+    f = f.join(f.groupBy("__f").agg(F.count("*").alias("__df")), "__f")
+    rank = F.row_number().over(Window.partitionBy(key).orderBy("__df", "__f"))
+    f = f.withColumn("__r", rank).filter(F.col("__r") <= F.col("__n") - F.ceil(F.lit(least_similarity) * F.col("__n") - 1e-9) + 1)
+    f = f.withColumn("__b", F.floor(F.col(size) / width))
     left = f.select(F.col(key).alias("a"), "__f", F.col(size).alias("__sa"), F.explode(F.array("__b", F.col("__b") + 1)).alias("__b"))
     right = f.select(F.col(key).alias("b"), "__f", F.col(size).alias("__sb"), F.col("__b"))
     c = left.join(right, ["__f", "__b"]).filter(F.least("__sa", "__sb") >= least_ratio * F.greatest("__sa", "__sb")).filter(F.col("a") != F.col("b"))

@@ -9,9 +9,9 @@ from ..operators import graph as G
 from .catalog import Tables, query, r6
 
 _N = "e AS (SELECT c_nationkey AS a, s_nationkey AS b, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2)"
-_SPARSE = f"{_N}, g AS (SELECT a AS src, b AS dst FROM e WHERE (a * 7 + b * 3) % 11 = 1 AND a <> b)"
-_DAG = f"{_N}, g AS (SELECT a AS src, b AS dst FROM e WHERE (a * 5 + b * 3) % 7 = 0 AND a < b)"
-_CS = "g AS (SELECT DISTINCT c_nationkey + 1000 AS src, l_suppkey AS dst FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE l_orderkey % 13 = 0)"
+_SPARSE = f"{_N}, g AS (SELECT a AS src, b AS dst FROM e WHERE n >= 1.5 * (SELECT avg(n) FROM e) AND a <> b)"
+_DAG = f"{_N}, g AS (SELECT a AS src, b AS dst FROM e WHERE n >= 1.2 * (SELECT avg(n) FROM e) AND a < b)"
+_CS = "g AS (SELECT DISTINCT o_custkey + 10000000 AS src, l_suppkey AS dst FROM orders JOIN lineitem ON l_orderkey = o_orderkey)"
 _DEG = "d AS (SELECT node, CAST(sum(o) AS BIGINT) AS ce, CAST(sum(i) AS BIGINT) AS ca FROM (SELECT src AS node, 1 AS o, 0 AS i FROM g UNION ALL SELECT dst, 0, 1 FROM g) GROUP BY node)"
 
 
@@ -21,17 +21,24 @@ def nation_edges(t: Tables) -> DataFrame:
     return j.groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
+def heavy(t: Tables, least: float) -> DataFrame:
+    """Edges of at least so many times the mean weight."""
+    e = nation_edges(t)
+    mean = e.agg(F.avg("n").alias("mean"))  # one number
+    return e.crossJoin(F.broadcast(mean)).filter(F.col("n") >= least * F.col("mean")).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+
+
 def sparse(t: Tables) -> DataFrame:
-    return nation_edges(t).filter("(a * 7 + b * 3) % 11 = 1 and a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    return heavy(t, 1.5).filter("src <> dst")
 
 
 def dag(t: Tables) -> DataFrame:
-    return nation_edges(t).filter("(a * 5 + b * 3) % 7 = 0 and a < b").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    return heavy(t, 1.2).filter("src < dst")
 
 
 def customer_supplier(t: Tables) -> DataFrame:
-    o = t.orders.select("o_orderkey", F.col("o_custkey").alias("c_custkey")).join(t.customer.select("c_custkey", "c_nationkey"), "c_custkey").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("c_nationkey") + 1000).alias("src"))
-    return t.lineitem.filter("l_orderkey % 13 = 0").join(o, "l_orderkey").select("src", F.col("l_suppkey").alias("dst")).distinct()
+    o = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_custkey") + 10_000_000).alias("src"))
+    return t.lineitem.join(o, "l_orderkey").select("src", F.col("l_suppkey").alias("dst")).distinct()
 
 
 @query("r01_dependency_edges", f"WITH {_N} SELECT a, b, n, a = b AS is_self FROM e")
@@ -65,24 +72,24 @@ def g28(t: Tables) -> DataFrame:
     return G.hubs(customer_supplier(t)).select("node", "ca")
 
 
-@query("g26_instability", f"WITH {_N}, g AS (SELECT a AS src, b AS dst FROM e WHERE (a * 7 + b * 3) % 5 = 1 AND a <> b), {_DEG} SELECT node, ce, ca, round(ce / (ca + ce), 6) AS instability, round(abs(0.2 + ce / (ca + ce) - 1), 6) AS distance FROM d")
+@query("g26_instability", f"WITH {_N}, g AS (SELECT a AS src, b AS dst FROM e WHERE n >= (SELECT avg(n) FROM e) AND a <> b), {_DEG} SELECT node, ce, ca, round(ce / (ca + ce), 6) AS instability, round(abs(0.2 + ce / (ca + ce) - 1), 6) AS distance FROM d")
 def g26(t: Tables) -> DataFrame:
-    e = nation_edges(t).filter("(a * 7 + b * 3) % 5 = 1 and a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    e = heavy(t, 1.0).filter("src <> dst")
     i = F.col("ce") / (F.col("ca") + F.col("ce"))
     return G.degrees(e).select("node", "ce", "ca", r6(i).alias("instability"), r6(F.abs(0.2 + i - 1)).alias("distance"))
 
 
-@query("g27_god_modules", f"WITH {_N}, g AS (SELECT a AS src, b AS dst FROM e WHERE (a * a + b * 3) % 5 = 1 AND a <> b), {_DEG} SELECT node, ca + ce AS degree FROM d WHERE ca >= 2 AND ce >= 2 AND ca + ce >= greatest(6, CAST(floor(1.2 * (SELECT avg(ca + ce) FROM d)) AS BIGINT))")
+@query("g27_god_modules", f"WITH {_N}, g AS (SELECT a AS src, b AS dst FROM e WHERE n >= (SELECT avg(n) FROM e) AND a <> b), {_DEG} SELECT node, ca + ce AS degree FROM d WHERE ca >= 2 AND ce >= 2 AND ca + ce >= greatest(6, CAST(floor(1.2 * (SELECT avg(ca + ce) FROM d)) AS BIGINT))")
 def g27(t: Tables) -> DataFrame:
-    e = nation_edges(t).filter("(a * a + b * 3) % 5 = 1 and a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    e = heavy(t, 1.0).filter("src <> dst")
     d = G.degrees(e)
     mean = d.agg(F.floor(1.2 * F.avg(F.col("ca") + F.col("ce"))).alias("m"))
     return d.crossJoin(F.broadcast(mean)).filter("ca >= 2 and ce >= 2 and ca + ce >= greatest(6, m)").select("node", (F.col("ca") + F.col("ce")).alias("degree"))
 
 
-@query("j35_unstable_dependencies", f"WITH {_N}, g AS (SELECT a AS src, b AS dst FROM e WHERE (a * 7 + b * 3) % 5 = 1 AND a <> b), {_DEG}, i AS (SELECT node, ce / (ca + ce) AS v FROM d) SELECT src, dst, round(y.v - x.v, 6) AS gap FROM g JOIN i x ON x.node = src JOIN i y ON y.node = dst WHERE y.v > x.v + 0.01")
+@query("j35_unstable_dependencies", f"WITH {_N}, g AS (SELECT a AS src, b AS dst FROM e WHERE n >= (SELECT avg(n) FROM e) AND a <> b), {_DEG}, i AS (SELECT node, ce / (ca + ce) AS v FROM d) SELECT src, dst, round(y.v - x.v, 6) AS gap FROM g JOIN i x ON x.node = src JOIN i y ON y.node = dst WHERE y.v > x.v + 0.01")
 def j35(t: Tables) -> DataFrame:
-    e = nation_edges(t).filter("(a * 7 + b * 3) % 5 = 1 and a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    e = heavy(t, 1.0).filter("src <> dst")
     i = G.degrees(e).select("node", (F.col("ce") / (F.col("ca") + F.col("ce"))).alias("v"))
     return e.join(i.toDF("src", "x"), "src").join(i.toDF("dst", "y"), "dst").filter("y > x + 0.01").select("src", "dst", r6(F.col("y") - F.col("x")).alias("gap"))
 
@@ -106,9 +113,9 @@ def r10(t: Tables) -> DataFrame:
     return G.levels(dag(t)).agg(F.max("level").alias("length"), F.max_by("node", F.struct("level", -F.col("node"))).alias("last_node"))
 
 
-@query("j37_pointer_chase", "WITH RECURSIVE p AS (SELECT p_partkey AS old, p_partkey // 3 AS new FROM part WHERE p_partkey % 3 = 0 AND p_partkey > 0), c AS (SELECT old, new FROM p UNION ALL SELECT c.old, p.new FROM c JOIN p ON c.new = p.old) SELECT old, min(new) AS new FROM c GROUP BY old")
+@query("j37_pointer_chase", "WITH RECURSIVE p AS (SELECT p_partkey AS old, p_partkey // 3 AS new FROM part WHERE p_partkey > 0), c AS (SELECT old, new FROM p UNION ALL SELECT c.old, p.new FROM c JOIN p ON c.new = p.old) SELECT old, min(new) AS new FROM c GROUP BY old")
 def j37(t: Tables) -> DataFrame:
-    return G.chase(t.part.filter("p_partkey % 3 = 0 and p_partkey > 0").select(F.col("p_partkey").alias("old"), F.floor(F.col("p_partkey") / 3).alias("new")))
+    return G.chase(t.part.filter("p_partkey > 0").select(F.col("p_partkey").alias("old"), F.floor(F.col("p_partkey") / 3).alias("new")))
 
 
 @query("g12_fan_out", "WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS dep FROM pages), n AS (SELECT page_id, count(DISTINCT lower(dep)) AS n_deps FROM h GROUP BY page_id) SELECT page_id, n_deps, round(least(1.0, 0.3 + 0.035 * (n_deps - 5)), 6) AS score FROM n WHERE n_deps > 5")

@@ -32,11 +32,11 @@ def j05(t: Tables) -> DataFrame:
     return p.join(links, ["a", "b"], "left_anti").orderBy(F.round("score", 9).desc(), "a", "b").limit(10).select("a", "b", r6("w").alias("w"), r6("score").alias("score"))
 
 
-_SUPP = "supp AS (SELECT 'src/m' || CAST(user_id % 12 AS VARCHAR) || '/f' || CAST(user_id AS VARCHAR) || '.py' AS file_path, event_id % 397 + 1 AS line, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_type END AS only_signal, CAST(ts AS DATE) AS until FROM events WHERE event_id % 40 = 0)"
+_SUPP = "supp AS (SELECT 'src/m' || CAST(user_id % 12 AS VARCHAR) || '/f' || CAST(user_id AS VARCHAR) || '.py' AS file_path, event_id % 397 + 1 AS line, CASE WHEN value > 250 THEN NULL ELSE 'click' END AS only_signal, CAST(ts AS DATE) AS until FROM events WHERE event_type = 'signup' AND value > 100)"
 
 
 def _suppressions(t: Tables) -> DataFrame:
-    return t.events.filter("event_id % 40 = 0").select(F.format_string("src/m%d/f%d.py", F.col("user_id") % 12, "user_id").alias("file_path"), (F.col("event_id") % 397 + 1).alias("line"), F.when(F.col("event_id") % 3 != 0, F.col("event_type")).alias("only_signal"), F.to_date("ts").alias("until"))
+    return t.events.filter("event_type = 'signup' and value > 100").select(F.format_string("src/m%d/f%d.py", F.col("user_id") % 12, "user_id").alias("file_path"), (F.col("event_id") % 397 + 1).alias("line"), F.when(F.col("value") <= 250, "click").alias("only_signal"), F.to_date("ts").alias("until"))
 
 
 @query("j07_suppressed_findings", f"WITH {FINDINGS}, {_SUPP} SELECT f.finding_id, count(*) AS n_suppressions FROM findings f JOIN supp s ON f.file_path = s.file_path AND s.line BETWEEN f.start_line AND f.end_line AND s.until >= DATE '2024-01-10' AND (s.only_signal IS NULL OR s.only_signal = f.signal) GROUP BY f.finding_id")
@@ -64,13 +64,13 @@ def j08(t: Tables) -> DataFrame:
     return j.groupBy("finding_id").agg(F.array_join(F.array_sort(F.collect_set(F.coalesce("only_signal", F.lit("any")))), ",").alias("tags"), r6(F.max("score") * 0.5).alias("score"))
 
 
-_SCOPES = "scopes AS (SELECT 'src/m' || CAST(user_id % 12 AS VARCHAR) || '/f' || CAST(user_id AS VARCHAR) || '.py' AS file_path, event_id AS scope_id, event_id % 380 AS s, event_id % 380 + 10 + event_id % 90 AS e FROM events WHERE event_id % 11 = 0)"
+_SCOPES = "scopes AS (SELECT 'src/m' || CAST(user_id % 12 AS VARCHAR) || '/f' || CAST(user_id AS VARCHAR) || '.py' AS file_path, event_id AS scope_id, event_id % 380 AS s, event_id % 380 + 10 + event_id % 90 AS e FROM events WHERE event_type = 'purchase')"
 
 
 @query("j09_innermost_scope", f"WITH {FINDINGS}, {_SCOPES}, r AS (SELECT finding_id, scope_id, row_number() OVER (PARTITION BY finding_id ORDER BY e - s, s DESC, scope_id DESC) AS rn, e - s AS span FROM findings f JOIN scopes p ON f.file_path = p.file_path AND f.start_line BETWEEN s AND e) SELECT finding_id, span FROM r WHERE rn = 1")
 def j09(t: Tables) -> DataFrame:
     s = F.col("event_id") % 380
-    scopes = t.events.filter("event_id % 11 = 0").select(F.format_string("src/m%d/f%d.py", F.col("user_id") % 12, "user_id").alias("file_path"), F.col("event_id").alias("scope_id"), s.alias("s"), (s + 10 + F.col("event_id") % 90).alias("e"))
+    scopes = t.events.filter("event_type = 'purchase'").select(F.format_string("src/m%d/f%d.py", F.col("user_id") % 12, "user_id").alias("file_path"), F.col("event_id").alias("scope_id"), s.alias("s"), (s + 10 + F.col("event_id") % 90).alias("e"))
     got = J.innermost(t.findings().select("finding_id", "file_path", "start_line"), scopes, ["file_path"], "start_line", "s", "e", "finding_id")
     return got.select("finding_id", (F.col("e") - F.col("s")).alias("span"))
 
@@ -95,22 +95,22 @@ def j13(t: Tables) -> DataFrame:
     return g.select("p_brand", "n_dead", r6(F.least(F.lit(1.0), 0.8 * F.col("n_dead") / F.col("n") + 0.02 * F.col("n_dead"))).alias("score"))
 
 
-@query("j14_phantom_references", "WITH u AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS w FROM documents WHERE lang = 'en'), k AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS w FROM benchmark), m AS (SELECT doc_id, count(DISTINCT w) AS n FROM u WHERE length(w) > 12 AND w NOT IN (SELECT w FROM k) GROUP BY doc_id) SELECT doc_id, n, round(least(1.0, 0.3 + 0.15 * n), 6) AS score FROM m")
+@query("j14_phantom_references", "WITH u AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS w FROM documents), k AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS w FROM benchmark), m AS (SELECT doc_id, count(DISTINCT w) AS n FROM u WHERE length(w) > 12 AND w NOT IN (SELECT w FROM k) GROUP BY doc_id) SELECT doc_id, n, round(least(1.0, 0.3 + 0.15 * n), 6) AS score FROM m")
 def j14(t: Tables) -> DataFrame:
-    u = t.documents.filter("lang = 'en'").select("doc_id", F.explode(F.array_distinct(X.words(F.col("text")))).alias("w")).filter("length(w) > 12")
+    u = t.documents.select("doc_id", F.explode(F.array_distinct(X.words(F.col("text")))).alias("w")).filter("length(w) > 12")
     k = t.benchmark.select(F.explode(X.words(F.col("text"))).alias("w")).distinct()
     return u.join(k, "w", "left_anti").groupBy("doc_id").agg(F.count("*").alias("n")).select("doc_id", "n", r6(F.least(F.lit(1.0), 0.3 + 0.15 * F.col("n"))).alias("score"))
 
 
-@query("j15_novel_dependencies", f"WITH {COMMITS}, x AS (SELECT o_orderpriority AS module, file, ts FROM changes JOIN commits USING (commit) JOIN orders ON o_orderkey = commit WHERE commit % 4 = 0), o AS (SELECT DISTINCT module, file FROM x WHERE ts < TIMESTAMP '1996-06-01 00:00:00'), n AS (SELECT DISTINCT module, file FROM x WHERE ts >= TIMESTAMP '1996-06-01 00:00:00') SELECT module, count(*) AS n_new FROM (SELECT * FROM n EXCEPT SELECT * FROM o) GROUP BY module")
+@query("j15_novel_dependencies", f"WITH {COMMITS}, x AS (SELECT o_orderpriority AS module, file, ts FROM changes JOIN commits USING (commit) JOIN orders ON o_orderkey = commit), o AS (SELECT DISTINCT module, file FROM x WHERE ts < TIMESTAMP '1995-02-01 00:00:00'), n AS (SELECT DISTINCT module, file FROM x WHERE ts >= TIMESTAMP '1995-02-01 00:00:00') SELECT module, count(*) AS n_new FROM (SELECT * FROM n EXCEPT SELECT * FROM o) GROUP BY module")
 def j15(t: Tables) -> DataFrame:
-    x = t.changes().filter("commit % 4 = 0").join(t.orders.select(F.col("o_orderkey").alias("commit"), F.col("o_orderpriority").alias("module"), F.col("o_orderdate").alias("ts")), "commit")
-    return J.novelty(x, "module", "file", "ts", F.to_timestamp(F.lit("1996-06-01 00:00:00"))).groupBy("module").agg(F.count("*").alias("n_new"))
+    x = t.changes().join(t.orders.select(F.col("o_orderkey").alias("commit"), F.col("o_orderpriority").alias("module"), F.col("o_orderdate").alias("ts")), "commit")
+    return J.novelty(x, "module", "file", "ts", F.to_timestamp(F.lit("1995-02-01 00:00:00"))).groupBy("module").agg(F.count("*").alias("n_new"))
 
 
-@query("j16_near_duplicate_pairs", "WITH s AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS w FROM documents WHERE lang = 'es'), e AS (SELECT doc_id, len(w) AS n, unnest(w) AS w FROM s), c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k, max(x.n) AS na, max(y.n) AS nb FROM e x JOIN e y ON x.w = y.w AND x.doc_id < y.doc_id GROUP BY 1, 2) SELECT a, b, round(k / (na + nb - k), 6) AS similarity FROM c WHERE k >= 0.8 * (na + nb - k) AND abs(na // 10 - nb // 10) <= 1")
+@query("j16_near_duplicate_pairs", "WITH s AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS w FROM documents), e AS (SELECT doc_id, len(w) AS n, unnest(w) AS w FROM s), c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k, max(x.n) AS na, max(y.n) AS nb FROM e x JOIN e y ON x.w = y.w AND x.doc_id < y.doc_id AND abs(x.n // 10 - y.n // 10) <= 1 GROUP BY 1, 2) SELECT a, b, round(k / (na + nb - k), 6) AS similarity FROM c WHERE k >= 0.8 * (na + nb - k) AND abs(na // 10 - nb // 10) <= 1")
 def j16(t: Tables) -> DataFrame:
-    d = t.documents.filter("lang = 'es'").select("doc_id", F.array_distinct(X.words(F.col("text"))).alias("w")).withColumn("n", F.size("w"))
+    d = t.documents.select("doc_id", F.array_distinct(X.words(F.col("text"))).alias("w")).withColumn("n", F.size("w"))
     return J.blocked_pairs(d, "doc_id", "n", "w").select("a", "b", r6("similarity").alias("similarity"))
 
 
@@ -143,11 +143,11 @@ def j20(t: Tables) -> DataFrame:
     return out.groupBy("signal").agg(F.sum(F.col("is_known").cast("long")).alias("known"), F.sum((~F.col("is_known")).cast("long")).alias("new"))
 
 
-_HALVES = "b AS (SELECT file_path || signal AS k, CAST(floor(max(score) * 5) AS BIGINT) AS v FROM findings WHERE ts < TIMESTAMP '2024-01-15 00:00:00' AND finding_id % 7 = 0 GROUP BY 1), a AS (SELECT file_path || signal AS k, CAST(floor(max(score) * 5) AS BIGINT) AS v FROM findings WHERE ts >= TIMESTAMP '2024-01-15 00:00:00' AND finding_id % 7 = 0 GROUP BY 1)"
+_HALVES = "b AS (SELECT file_path || signal || CAST(start_line AS VARCHAR) AS k, CAST(floor(max(score) * 5) AS BIGINT) AS v FROM findings WHERE ts < TIMESTAMP '2024-01-15 00:00:00' GROUP BY 1), a AS (SELECT file_path || signal || CAST(start_line AS VARCHAR) AS k, CAST(floor(max(score) * 5) AS BIGINT) AS v FROM findings WHERE ts >= TIMESTAMP '2024-01-15 00:00:00' GROUP BY 1)"
 
 
 def _halves(t: Tables) -> tuple[DataFrame, DataFrame]:
-    f = t.findings().filter("finding_id % 7 = 0").withColumn("k", F.concat("file_path", "signal"))
+    f = t.findings().withColumn("k", F.concat("file_path", "signal", F.col("start_line").cast("string")))
     side = lambda c: f.filter(c).groupBy("k").agg(F.floor(F.max("score") * 5).alias("v"))
     return side("ts < timestamp '2024-01-15 00:00:00'"), side("ts >= timestamp '2024-01-15 00:00:00'")
 

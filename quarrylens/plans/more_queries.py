@@ -50,13 +50,13 @@ def p17(t: Tables) -> DataFrame:
     return t.commits().groupBy("is_fix", "is_tool").agg(F.count("*").alias("n"), r6(F.avg(c)).alias("confidence"))
 
 
-@query("j01_resolved_references", """WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE l_orderkey % 50 = 0), c AS (
+@query("j01_resolved_references", """WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem), c AS (
 SELECT l_orderkey, l_linenumber, 1 AS pri, p_partkey AS target FROM r JOIN part ON p_partkey = l_partkey AND p_size <= 10 UNION ALL
 SELECT l_orderkey, l_linenumber, 2, s_suppkey FROM r JOIN supplier ON s_suppkey = l_suppkey AND s_acctbal > 4000),
 b AS (SELECT l_orderkey, l_linenumber, min(pri) AS pri FROM c GROUP BY 1, 2) SELECT CASE coalesce(pri, 3) WHEN 1 THEN 'module' WHEN 2 THEN 'path' ELSE 'external' END AS resolved, count(*) AS n FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM r) LEFT JOIN b USING (l_orderkey, l_linenumber) GROUP BY 1""")
 def j01(t: Tables) -> DataFrame:
     """Candidates by priority; the first that exists wins, else the reference is external."""
-    r = t.lineitem.filter("l_orderkey % 50 = 0").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    r = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     a = r.join(t.part.filter("p_size <= 10").select(F.col("p_partkey").alias("l_partkey")), "l_partkey").select("l_orderkey", "l_linenumber", F.lit(1).alias("pri"))
     b = r.join(t.supplier.filter("s_acctbal > 4000").select(F.col("s_suppkey").alias("l_suppkey")), "l_suppkey").select("l_orderkey", "l_linenumber", F.lit(2).alias("pri"))
     all_ = r.select("l_orderkey", "l_linenumber", F.lit(3).alias("pri")).unionByName(a).unionByName(b)
@@ -129,9 +129,9 @@ def g11(t: Tables) -> DataFrame:
     return g.filter("n >= 10 and zero >= 2 and zero / n >= 0.1").select("user_id", r6(F.col("neg") / F.col("n")).alias("negative_ratio"), r6(F.least(F.lit(1.0), 0.8 * F.col("zero") / F.col("n") + 0.02 * F.col("zero"))).alias("score"))
 
 
-@query("g13_cohesion", "WITH p AS (SELECT p_brand AS file, p_partkey AS unit, string_split(p_name, ' ') AS w FROM part WHERE p_size <= 12), j AS (SELECT a.file, a.unit, max(len(list_intersect(a.w, b.w)) / (len(list_distinct(a.w)) + len(list_distinct(b.w)) - len(list_intersect(a.w, b.w)))) AS best FROM p a JOIN p b ON a.file = b.file AND a.unit <> b.unit GROUP BY 1, 2), s AS (SELECT file, count(*) AS n, avg(CASE WHEN best < 0.15 THEN 1.0 ELSE 0.0 END) AS isolation, avg(best) AS mean_best FROM j GROUP BY file) SELECT file, n, round(least(0.79, 0.65 * isolation + 0.35 * (1 - mean_best)), 6) AS score FROM s")
+@query("g13_cohesion", "WITH p AS (SELECT p_brand AS file, p_partkey AS unit, string_split(p_name, ' ') AS w FROM part), j AS (SELECT a.file, a.unit, max(len(list_intersect(a.w, b.w)) / (len(list_distinct(a.w)) + len(list_distinct(b.w)) - len(list_intersect(a.w, b.w)))) AS best FROM p a JOIN p b ON a.file = b.file AND a.unit <> b.unit GROUP BY 1, 2), s AS (SELECT file, count(*) AS n, avg(CASE WHEN best < 0.15 THEN 1.0 ELSE 0.0 END) AS isolation, avg(best) AS mean_best FROM j GROUP BY file) SELECT file, n, round(least(0.79, 0.65 * isolation + 0.35 * (1 - mean_best)), 6) AS score FROM s")
 def g13(t: Tables) -> DataFrame:
-    p = t.part.filter("p_size <= 12").select(F.col("p_brand").alias("file"), F.col("p_partkey").alias("unit"), F.split("p_name", " ").alias("w"))
+    p = t.part.select(F.col("p_brand").alias("file"), F.col("p_partkey").alias("unit"), F.split("p_name", " ").alias("w"))
     j = p.join(p.select("file", F.col("unit").alias("other"), F.col("w").alias("v")), "file").filter("unit <> other").groupBy("file", "unit").agg(F.max(X.jaccard(F.col("w"), F.col("v"))).alias("best"))
     s = j.groupBy("file").agg(F.count("*").alias("n"), F.avg((F.col("best") < 0.15).cast("double")).alias("isolation"), F.avg("best").alias("mean_best"))
     return s.select("file", "n", r6(F.least(F.lit(0.79), 0.65 * F.col("isolation") + 0.35 * (1 - F.col("mean_best")))).alias("score"))
@@ -229,10 +229,10 @@ def a03(t: Tables) -> DataFrame:
     return t.findings().groupBy("signal").agg(r6(F.avg(side) - F.avg(other)).alias("delta"))
 
 
-@query("a07_dismissals", f"WITH {FINDINGS}, d AS (SELECT DISTINCT signal || file_path AS k FROM findings WHERE finding_id % 9 = 0 AND ts + INTERVAL 7 DAY > TIMESTAMP '2024-01-31 00:00:00') SELECT signal, count(*) AS n FROM findings WHERE signal || file_path NOT IN (SELECT k FROM d) GROUP BY signal")
+@query("a07_dismissals", f"WITH {FINDINGS}, d AS (SELECT DISTINCT signal || file_path AS k FROM findings WHERE score >= 0.99 AND ts + INTERVAL 7 DAY > TIMESTAMP '2024-01-31 00:00:00') SELECT signal, count(*) AS n FROM findings WHERE signal || file_path NOT IN (SELECT k FROM d) GROUP BY signal")
 def a07(t: Tables) -> DataFrame:
     f = t.findings().withColumn("k", F.concat("signal", "file_path"))
-    d = f.filter("finding_id % 9 = 0 and ts + interval 7 days > timestamp '2024-01-31 00:00:00'").select("k").distinct()
+    d = f.filter("score >= 0.99 and ts + interval 7 days > timestamp '2024-01-31 00:00:00'").select("k").distinct()
     return f.join(d, "k", "left_anti").groupBy("signal").agg(F.count("*").alias("n"))
 
 

@@ -36,10 +36,9 @@ def g04(t: Tables) -> DataFrame:
     return S.impact(t.findings(), t.weights()).select("finding_id", r6("impact").alias("impact"))
 
 
-@query("g05_recalibrated_weights", f"WITH {FINDINGS}, {WEIGHTS_SQL}, g AS (SELECT signal, weight, count(finding_id) AS n FROM weights LEFT JOIN (SELECT * FROM findings WHERE signal <> 'view' OR finding_id % 3 = 0) USING (signal) GROUP BY signal, weight), s AS (SELECT *, n / sum(n) OVER () AS share FROM g), r AS (SELECT *, weight * CASE WHEN share > 0.2 THEN greatest(0.5, 1 - (share - 0.2)) ELSE 1 END AS raw FROM s) SELECT signal, round(share, 6) AS share, round(raw * sum(weight) OVER () / sum(raw) OVER (), 6) AS new_weight FROM r")
+@query("g05_recalibrated_weights", f"WITH {FINDINGS}, {WEIGHTS_SQL}, g AS (SELECT signal, weight, count(finding_id) AS n FROM weights LEFT JOIN findings USING (signal) GROUP BY signal, weight), s AS (SELECT *, n / sum(n) OVER () AS share FROM g), r AS (SELECT *, weight * CASE WHEN share > 0.2 THEN greatest(0.5, 1 - (share - 0.2)) ELSE 1 END AS raw FROM s) SELECT signal, round(share, 6) AS share, round(raw * sum(weight) OVER () / sum(raw) OVER (), 6) AS new_weight FROM r")
 def g05(t: Tables) -> DataFrame:
-    f = t.findings().filter((F.col("signal") != "view") | (F.col("finding_id") % 3 == 0))
-    return S.recalibrated(f, t.weights(), cap=0.2).select("signal", r6("share").alias("share"), r6("new_weight").alias("new_weight"))
+    return S.recalibrated(t.findings(), t.weights(), cap=0.2).select("signal", r6("share").alias("share"), r6("new_weight").alias("new_weight"))
 
 
 @query("p08_path_overrides", f"""WITH {FINDINGS}, o(pattern, skip, factor) AS (VALUES ('^src/m1[^/]*/.*$', 'click', 0.5), ('^src/m1/.*$', 'error', 0.25), ('^src/m[23]/.*$', '', 2.0)),

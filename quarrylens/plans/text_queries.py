@@ -50,11 +50,11 @@ def f01(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", F.array_join(X.name_tokens(F.concat_ws("_", F.col("p_name"), F.lower("p_type"))), " ").alias("tokens"))
 
 
-@query("f01_name_similarity", "WITH n AS (SELECT p_brand, list_distinct(flatten(list(string_split(lower(p_name), ' ')))) AS w FROM part WHERE p_size <= 3 GROUP BY p_brand) SELECT a.p_brand AS a, b.p_brand AS b, round(len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))), 6) AS jaccard FROM n a JOIN n b ON a.p_brand < b.p_brand")
+@query("f01_name_similarity", "WITH n AS (SELECT p_brand, p_size, list_distinct(flatten(list(string_split(lower(p_name), ' ')))) AS w FROM part GROUP BY p_brand, p_size) SELECT a.p_brand, a.p_size AS a, b.p_size AS b, round(len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))), 6) AS jaccard FROM n a JOIN n b ON a.p_brand = b.p_brand AND a.p_size < b.p_size")
 def f01b(t: Tables) -> DataFrame:
-    n = t.part.filter("p_size <= 3").select("p_brand", F.explode(X.name_tokens(F.col("p_name"))).alias("w")).groupBy("p_brand").agg(F.collect_set("w").alias("w"))
-    j = n.toDF("a", "x").join(n.toDF("b", "y"), F.col("a") < F.col("b"))
-    return j.select("a", "b", r6(X.jaccard(F.col("x"), F.col("y"))).alias("jaccard"))
+    n = t.part.select("p_brand", "p_size", F.explode(X.name_tokens(F.col("p_name"))).alias("w")).groupBy("p_brand", "p_size").agg(F.collect_set("w").alias("w"))
+    j = n.toDF("p_brand", "a", "x").join(n.toDF("p_brand", "b", "y"), "p_brand").filter("a < b")
+    return j.select("p_brand", "a", "b", r6(X.jaccard(F.col("x"), F.col("y"))).alias("jaccard"))
 
 
 @query("f02_multiset_jaccard", f"WITH w AS (SELECT doc_id, source, unnest({_TOK}) AS t FROM documents), a AS (SELECT source, t, count(*) AS n FROM w WHERE doc_id % 2 = 0 GROUP BY 1, 2), b AS (SELECT source, t, count(*) AS n FROM w WHERE doc_id % 2 = 1 GROUP BY 1, 2) SELECT source, round(sum(least(coalesce(a.n, 0), coalesce(b.n, 0))) / sum(greatest(coalesce(a.n, 0), coalesce(b.n, 0))), 6) AS jaccard FROM a FULL JOIN b USING (source, t) GROUP BY source")
