@@ -102,22 +102,23 @@ def multiset_jaccard(left: DataFrame, right: DataFrame, keys: list[str], item: s
     return j.groupBy(*keys).agg((F.sum(F.least("__a", "__b")) / F.sum(F.greatest("__a", "__b"))).alias("jaccard"))
 
 
-def blocked_pairs(df: DataFrame, key: str, size: str, features: str, *, width: int = 10, least_ratio: float = 0.5, least_similarity: float = 0.8) -> DataFrame:
+def blocked_pairs(df: DataFrame, key: str, size: str, features: Column, *, width: int = 10, least_ratio: float = 0.5, least_similarity: float = 0.8) -> DataFrame:
     """Pairs of similar sets among rows of like size (same or next bucket of ``width``).
 
     Candidates come from prefixes: with features in order of rarity, two sets of similarity t share one of
     the first n - ceil(t n) + 1 of each. So only rare features are join keys, and no pair is lost.
     """
-    f = df.select(key, size, F.explode(F.array_distinct(features)).alias("__f"), F.size(F.array_distinct(features)).alias("__n"))
+    sets = df.select(F.col(key), F.col(size), F.array_distinct(F.transform(features, lambda x: F.xxhash64(x))).alias("__s"))  # 64-bit hashes compare faster than words
+    f = sets.select(key, size, F.explode("__s").alias("__f"), F.size("__s").alias("__n"))
     f = f.join(f.groupBy("__f").agg(F.count("*").alias("__df")), "__f")
     rank = F.row_number().over(Window.partitionBy(key).orderBy("__df", "__f"))
     f = f.withColumn("__r", rank).filter(F.col("__r") <= F.col("__n") - F.ceil(F.lit(least_similarity) * F.col("__n") - 1e-9) + 1)
-    f = f.withColumn("__b", F.floor(F.col(size) / width))
-    left = f.select(F.col(key).alias("a"), "__f", F.col(size).alias("__sa"), F.explode(F.array("__b", F.col("__b") + 1)).alias("__b"))
-    right = f.select(F.col(key).alias("b"), "__f", F.col(size).alias("__sb"), F.col("__b"))
-    c = left.join(right, ["__f", "__b"]).filter(F.least("__sa", "__sb") >= least_ratio * F.greatest("__sa", "__sb")).filter(F.col("a") != F.col("b"))
-    c = c.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    sets = df.select(F.col(key), F.array_distinct(features).alias("__s"))
-    j = c.join(sets.toDF("a", "__x"), "a").join(sets.toDF("b", "__y"), "b")
-    both = F.size(F.array_intersect("__x", "__y"))
-    return j.withColumn("similarity", both / (F.size("__x") + F.size("__y") - both)).filter(F.col("similarity") >= least_similarity).drop("__x", "__y")
+    f = f.filter("__df > 1").withColumn("__b", F.floor(F.col(size) / width))
+    left = f.select(F.col(key).alias("a"), "__f", F.col(size).alias("__sa"), F.col("__n").alias("__na"), F.explode(F.array("__b", F.col("__b") + 1)).alias("__b"))
+    right = f.select(F.col(key).alias("b"), "__f", F.col(size).alias("__sb"), F.col("__n").alias("__nb"), F.col("__b"))
+    near = (F.least("__sa", "__sb") >= least_ratio * F.greatest("__sa", "__sb")) & (F.least("__na", "__nb") >= least_similarity * F.greatest("__na", "__nb") - 1e-9) & (F.col("a") != F.col("b"))
+    c = left.join(right, ["__f", "__b"]).filter(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    x = sets.select(F.col(key).alias("a"), F.col("__s").alias("__x"))
+    y = sets.select(F.col(key).alias("b"), F.col("__s").alias("__y"))
+    j = c.join(x, "a").join(y, "b").withColumn("__k", F.size(F.array_intersect("__x", "__y")))
+    return j.withColumn("similarity", F.col("__k") / (F.size("__x") + F.size("__y") - F.col("__k"))).filter(F.col("similarity") >= least_similarity).drop("__x", "__y", "__k")

@@ -111,7 +111,7 @@ def j15(t: Tables) -> DataFrame:
 @query("j16_near_duplicate_pairs", "WITH s AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS w FROM documents), e AS (SELECT doc_id, len(w) AS n, unnest(w) AS w FROM s), c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k, max(x.n) AS na, max(y.n) AS nb FROM e x JOIN e y ON x.w = y.w AND x.doc_id < y.doc_id AND abs(x.n // 10 - y.n // 10) <= 1 GROUP BY 1, 2) SELECT a, b, round(k / (na + nb - k), 6) AS similarity FROM c WHERE k >= 0.8 * (na + nb - k) AND abs(na // 10 - nb // 10) <= 1")
 def j16(t: Tables) -> DataFrame:
     d = t.documents.select("doc_id", F.array_distinct(X.words(F.col("text"))).alias("w")).withColumn("n", F.size("w"))
-    return J.blocked_pairs(d, "doc_id", "n", "w").select("a", "b", r6("similarity").alias("similarity"))
+    return J.blocked_pairs(d, "doc_id", "n", F.col("w")).select("a", "b", r6("similarity").alias("similarity"))
 
 
 @query("j17_exact_duplicates", "SELECT sha256(regexp_replace(trim(lower(text)), '\\s+', ' ', 'g')) AS body, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")

@@ -42,7 +42,7 @@ def duplicates(t: dict[str, DataFrame]) -> DataFrame:
     f = t["functions"].filter(F.col("end_line") - F.col("line") >= 4).withColumn("key", F.concat_ws(":", "path", "name", "line"))
     same = f.groupBy("body_hash").agg(F.count("*").alias("n"), F.min(F.struct("path", "name", "line")).alias("x")).filter("n > 1").select("n", "x.*")
     rep = f.groupBy("body_hash").agg(F.min_by(F.struct("key", "path", "name", "line", "ngrams", "end_line"), "key").alias("x")).select("x.*")
-    near = J.blocked_pairs(rep.withColumn("loc", F.col("end_line") - F.col("line")), "key", "loc", "ngrams").join(rep.select(F.col("key").alias("a"), "path", "name", "line"), "a")
+    near = J.blocked_pairs(rep.withColumn("loc", F.col("end_line") - F.col("line")), "key", "loc", F.col("ngrams")).join(rep.select(F.col("key").alias("a"), "path", "name", "line"), "a")
     return _found(same, "mutant_duplicate", F.lit(0.9), symbol="name", line="line", detail=F.concat(F.lit("equal to "), F.col("n") - 1)).unionByName(_found(near, "mutant_duplicate", "similarity", symbol="name", line="line", detail=F.concat(F.lit("like "), F.col("b"))))
 
 
