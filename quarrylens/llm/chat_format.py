@@ -56,8 +56,9 @@ def best_paths(messages: DataFrame, folder: str, top_k: int = 1) -> DataFrame:
     while 1 << len(hops) <= 2 * most and not state.filter("far is not null").isEmpty():
         hops.append(state.filter("far is not null").select("tree", "node", "far"))
         up = state.select("tree", F.col("node").alias("far"), F.col("far").alias("next"), F.col("depth").alias("d"), F.col("sum").alias("s"))
-        joined = state.join(up, ["tree", "far"], "left")
-        state = kept(joined.select("tree", "node", F.col("next").alias("far"), (F.col("depth") + F.coalesce("d", F.lit(0))).alias("depth"), (F.col("sum") + F.coalesce("s", F.lit(0.0))).alias("sum")), folder, f"hop-{len(hops)}")
+        # Only messages that haven't reached their root are joined again; the others are carried over.
+        joined = state.filter("far is not null").join(up, ["tree", "far"]).select("tree", "node", F.col("next").alias("far"), (F.col("depth") + F.col("d")).alias("depth"), (F.col("sum") + F.col("s")).alias("sum"))
+        state = kept(joined.unionByName(state.filter("far is null")), folder, f"hop-{len(hops)}")
     rooted = state.filter("far is null")
     leaves = rooted.join(first.select("tree", F.col("far").alias("node")).filter("node is not null").distinct(), ["tree", "node"], "left_anti")
 
