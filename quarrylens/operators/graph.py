@@ -47,11 +47,64 @@ def closure(edges: DataFrame) -> DataFrame:
         total = cut(total.unionByName(new))
 
 
+def spread(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """node, label: the least label among a node's own and those of all nodes with a path to it."""
+    now = cut(labels)
+    front = now
+    while True:
+        come = edges.join(front.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("new"))
+        moved = cut(now.join(come, "node").filter("new < label").select("node", F.col("new").alias("label")))
+        if moved.isEmpty():
+            return now
+        now = cut(now.join(moved.withColumnRenamed("label", "new"), "node", "left").select("node", F.coalesce("new", "label").alias("label")))
+        front = moved
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
-    """node, component (its least node), for nodes on a cycle with others: mutual reachability in the closure."""
-    c = closure(edges)
-    mutual = c.join(c.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"])
-    return mutual.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("component"), F.count("*").alias("size")).filter("size > 1")
+    """node, component (its least node), size, for nodes on a cycle with others.
+
+    Coloured, not from the closure, which grows with the square of the nodes. Each round trims nodes without
+    an edge in or out, colours the rest by their least ancestor, and takes as components the nodes that
+    reach the ancestor of their own colour within that colour.
+    """
+    e = cut(edges.filter("src <> dst").select("src", "dst").distinct())
+    found = None
+    while True:
+        both = e.select(F.col("src").alias("node")).intersect(e.select(F.col("dst").alias("node")))
+        kept = cut(e.join(both.withColumnRenamed("node", "src"), "src", "left_semi").join(both.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst"))
+        if kept.count() < e.count():
+            e = kept
+            continue
+        if e.isEmpty():
+            break
+        colour = spread(e.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node")), e)
+        same = e.join(colour.toDF("src", "c"), "src").join(colour.toDF("dst", "d"), "dst").filter("c = d")
+        back = cut(same.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "c"))
+        roots = colour.filter("node = label")
+        done = front = cut(roots.toDF("node", "component"))
+        while True:
+            front = cut(back.join(front.toDF("src", "component"), "src").filter("c = component").select(F.col("dst").alias("node"), "component").distinct().join(done, ["node", "component"], "left_anti"))
+            if front.isEmpty():
+                break
+            done = cut(done.unionByName(front))
+        found = done if found is None else cut(found.unionByName(done))
+        gone = done.select("node")
+        e = cut(e.join(gone.toDF("src"), "src", "left_anti").join(gone.toDF("dst"), "dst", "left_anti").select("src", "dst"))
+    if found is None:
+        found = e.select(F.col("src").alias("node"), F.col("src").alias("component"))
+    sizes = found.groupBy("component").agg(F.count("*").alias("size")).filter("size > 1")
+    return found.join(sizes, "component").select("node", "component", "size")
+
+
+def dependents(edges: DataFrame) -> DataFrame:
+    """node, n_dependents: how many other nodes have a path to it (none: no row). The closure is only of strong components."""
+    e = cut(edges.filter("src <> dst").select("src", "dst").distinct())
+    nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
+    part = cut(nodes.join(strong_components(e), "node", "left").select("node", F.coalesce("component", "node").alias("part"), F.coalesce("size", F.lit(1)).alias("size")))
+    sizes = part.select("part", "size").distinct()
+    between = e.join(part.select(F.col("node").alias("src"), F.col("part").alias("a")), "src").join(part.select(F.col("node").alias("dst"), F.col("part").alias("b")), "dst").filter("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    above = closure(between).join(sizes.toDF("src", "n"), "src").groupBy(F.col("dst").alias("part")).agg(F.sum("n").alias("above"))
+    return part.join(above, "part", "left").select("node", (F.coalesce("above", F.lit(0)) + F.col("size") - 1).alias("n_dependents")).filter("n_dependents > 0")
 
 
 def simple_cycles(edges: DataFrame, longest: int) -> DataFrame:
