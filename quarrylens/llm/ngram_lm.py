@@ -11,7 +11,7 @@ Scoring: tasks map the arrays into memory and look up the distinct n-grams of a
 so pages are read once, in sequence, and shared by the workers of a machine. Documents aren't shuffled.
 
 Buckets grow in number with the input, so a bucket's task and its search depth stay the same. The
-production order is 2: see README.md for the disk figures of order 3.
+production order is 3: see README.md for its disk figures.
 
 Defined cases: null and empty texts have the end mark only. Repeated rows count each time. Without
 training texts every token has the probability 1/(V+1) = 1. Further columns are ignored.
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import PLAIN, kept, mapped, mix, remainder, shared_folder, slices, store, table, tokenise, tuned
 
-ORDER = 2
+ORDER = 3
 HELD_OUT = (7, 2)
 BUCKET_TEXT_BYTES = 16 << 20
 FLUSH_TOKENS = 3_000_000
