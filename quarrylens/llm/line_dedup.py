@@ -6,25 +6,32 @@ return to their documents, where the lines they cover are merged and removed. Co
 combining and the way back is a join that Spark can split, so a window that stands in a third of all
 documents is no task's burden.
 
-Defined cases: null and empty texts and texts of fewer than three lines have no window. Rows with equal
+With ``whole``, a line also ends after each sentence (``.``, ``!`` or ``?`` before spaces), and a text of fewer than three
+such lines has one window of all of them, so copies of short texts and passages within long lines go too.
+
+Defined cases: null and empty texts and, without ``whole``, texts of fewer than three lines have no window. Rows with equal
 id and text are one document to this operator: all are treated alike. A null id comes first. Empty
 lines are never removed. Further columns are ignored unless listed in ``keep``.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import PLAIN, kept, mix, shared_folder, slices, table, tokenise, tuned, windows
+from .common import _BASE, PLAIN, kept, mix, shared_folder, slices, table, tokenise, tuned, windows
 
 LINES = 3
 _LINE = np.ones(256, bool)
 _LINE[0x0A] = False
+#: What ends a line, and with ``whole`` also a sentence.
+_ENDS = {False: re.compile(rb"(\n)"), True: re.compile(rb"(\n|(?<=[.!?])[ \t]+)")}
 
 
 def line_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -41,7 +48,18 @@ def line_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return h, lines.row[full]
 
 
-def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), size: int = LINES) -> DataFrame:
+def short_windows(h: np.ndarray, row: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first position of the lines of each text that has fewer than ``size``."""
+    at = np.flatnonzero(np.diff(row, prepend=-1))
+    n = np.diff(at, append=len(row))
+    at, n = at[n < size], n[n < size]
+    acc = n.astype(np.uint64)  # texts of other lengths have other hashes
+    for k in range(size - 1):
+        acc = np.where(k < n, mix(acc * np.uint64(_BASE) + h[np.minimum(at + k, len(h) - 1)]), acc)
+    return acc, at
+
+
+def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), size: int = LINES, whole: bool = False) -> DataFrame:
     """``key``, ``keep`` columns, n_lines, n_removed, spans (first and past-the-end line of each removal) and clean_text."""
     spark = tuned(docs.sparkSession)
     folder = shared_folder(spark, "lines")
@@ -51,8 +69,11 @@ def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", kee
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch):
-                h, row = line_hashes(piece.column("text"))
+                texts = piece.column("text")
+                h, row = line_hashes(pc.replace_substring_regex(texts, r"([.!?])[ \t]+", "\\1\n") if whole else texts)
                 w, at = windows(h, row, size)
+                if whole and len(h):
+                    w, at = (np.concatenate(x) for x in zip((w, at), short_windows(h, row, size), strict=True))
                 base = np.searchsorted(row, row[at])
                 own = pa.array(row[at])
                 yield pa.RecordBatch.from_pydict({"doc_id": piece.column("doc_id").take(own), "text_hash": piece.column("text_hash").take(own), "line": pa.array(at - base, pa.int32()), "h": pa.array(w.view(np.int64))})
@@ -66,8 +87,9 @@ def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", kee
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, n_lines, removed, spans = [], [], [], []
-            for whole, lines in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("lines").to_pylist(), strict=True):
-                parts = whole.split(b"\n")
+            for raw, lines in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("lines").to_pylist(), strict=True):
+                pieces = _ENDS[whole].split(raw)
+                parts, ends = pieces[::2], [b"", *pieces[1::2]]
                 full = [i for i, p in enumerate(parts) if p.split()]
                 out = np.zeros(len(full), bool)
                 for a in lines or ():
@@ -75,7 +97,8 @@ def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", kee
                 edge = np.flatnonzero(np.diff(np.concatenate(([0], out.astype(np.int8), [0]))))
                 spans.append([{"first": int(a), "past": int(b)} for a, b in edge.reshape(-1, 2)])
                 drop = {full[k] for k in np.flatnonzero(out)}
-                texts.append(b"\n".join(p for i, p in enumerate(parts) if i not in drop) if drop else whole)
+                left = [i for i in range(len(parts)) if i not in drop]
+                texts.append(b"".join((ends[i] if k else b"") + parts[i] for k, i in enumerate(left)) if drop else raw)
                 n_lines.append(len(full))
                 removed.append(len(drop))
             columns = {n: batch.column(n) for n in batch.schema.names if n not in ("text", "lines")}
@@ -88,7 +111,15 @@ def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", kee
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(table(spark, sf_dir, "documents"))
+    return _summary(dedup_lines(table(spark, sf_dir, "documents")))
+
+
+def op4_line_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With sentences as lines and a window for short texts, which the SQL below doesn't have."""
+    return _summary(dedup_lines(table(spark, sf_dir, "documents"), whole=True))
+
+
+def _summary(out: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("clean_text", 256).alias("clean_sha256"))
 
 

@@ -7,6 +7,7 @@ QUERIES = {
     "op2_quality": quality_classifier.op2_quality,
     "op3_mix": mixing.op3_mix,
     "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op4_line_dedup_whole": line_dedup.op4_line_dedup_whole,
     "op5_chat_format": chat_format.op5_chat_format,
     "op6_token_files": token_files.op6_token_files,
     "op7_toxicity": toxicity.op7_toxicity,

@@ -1,6 +1,9 @@
 """Where an operator once did less than the whole job."""
 
-from quarrylens.llm import ngram_lm
+import random
+import re
+
+from quarrylens.llm import line_dedup, ngram_lm
 from quarrylens.llm.common import remainder, table
 
 SF = "/root/testdata/sf0.001"
@@ -13,3 +16,28 @@ def test_language_model_query_is_of_order_three(spark):
     want = {r.doc_id: r.score for r in ngram_lm.score(docs, model).collect()}
     got = {r.doc_id: r.score for r in ngram_lm.op1_ngram_lm(spark, SF).collect()}
     assert got.keys() == want.keys() and all(abs(got[i] - x) < 1e-8 for i, x in want.items())
+
+
+def test_line_dedup_of_short_texts_and_long_lines(spark):
+    r = random.Random(3)
+    sentence = lambda: " ".join(r.choice("abcdefgh") * r.randint(1, 4) for _ in range(r.randint(1, 9))) + r.choice(". ! ? .5 ".split(" "))
+    pool = [sentence() for _ in range(12)]
+    texts = ["one", "one", "two\nlines", "two\nlines", "\n one \n", "two lines", "A b.  C d!\n\nE f? ", "x A b. C d! E f?", "0. A b.\tC d! E f? 9", None, ""]
+    texts += [r.choice(["", " "]) + "".join(r.choice(pool) + r.choice([" ", "  ", "\n", " \n\n"]) for _ in range(r.randint(1, 12))) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {x.doc_id: x for x in line_dedup.dedup_lines(df, whole=True).collect()}
+    seen = set()
+    for i, t in enumerate(texts):
+        pieces = re.split(r"(\n|(?<=[.!?])[ \t]+)", t or "")
+        parts, ends = pieces[::2], ["", *pieces[1::2]]
+        full = [k for k, p in enumerate(parts) if p.strip()]
+        lines, gone = [parts[k].strip() for k in full], set()
+        for k in range(max(len(lines) - 2, 1) if lines else 0):
+            w = tuple(lines[k : k + 3])
+            if w in seen:
+                gone |= set(range(k, min(k + 3, len(lines))))
+            seen.add(w)
+        left = [k for k in range(len(parts)) if k not in {full[g] for g in gone}]
+        want = "".join((ends[k] if n else "") + parts[k] for n, k in enumerate(left))
+        assert (got[i].n_lines, got[i].n_removed, got[i].clean_text) == (len(lines), len(gone), want), (i, t)
+    assert sum(got[i].n_removed > 0 for i in (1, 3, 4)) == 3 and got[7].n_removed == 0 and got[8].n_removed > 0
