@@ -4,7 +4,8 @@ Lexicon. Over the labelled training rows, Spark counts in how many toxic and cle
 each four-letter stem, occurs. A word's toxic share has a Dirichlet prior (two categories) centred on
 its stem's share, and a stem's on the global share. Words and stems whose log-odds against the global
 share are positive by ``LEAST_Z`` standard errors enter the lexicon, with words that override such a
-stem. It holds the ``LEXICON`` most significant entries at most, which bounds what is sent to tasks.
+stem. Tasks write it, whole, as sorted arrays by range of the hash into the shared folder, and scoring tasks map these into
+memory, so nothing of it passes through the driver.
 
 Segments. In a text a word scores its own log-odds, else its stem's, else a small negative constant (the
 odds of an ordinary word in a passage with a share ``DENSITY`` of lexicon words). A linear scan
@@ -30,13 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, kept, mix, remainder, shared_folder, slices, table, tokenise, tuned
+from .common import ALNUM, kept, mapped, mix, remainder, shared_folder, slices, store, table, tokenise, tuned
 
 HELD_OUT = (5, 0)
 STEM = 4
 PRIOR = 4.0
 LEAST_Z = 3.0
-LEXICON = 50_000
+#: Entries of a file of the lexicon, about.
+BUCKET_ENTRIES = 500_000
 DENSITY = 0.02
 E_VALUE = 1.0
 BIN = 0.25
@@ -69,10 +71,10 @@ def maximal_segments(at: list[int], score: list[float], drift: float) -> list[tu
 
 @dataclass
 class Lexicon:
-    words: np.ndarray
-    word_scores: np.ndarray
-    stems: np.ndarray
-    stem_scores: np.ndarray
+    """Where the arrays of keys and scores are: words in ``1``, stems in ``0``, a file a bucket. No folder: empty."""
+
+    folder: str | None = None
+    buckets: int = 1
     rate: float = 1.0
 
     @property
@@ -81,13 +83,67 @@ class Lexicon:
 
     def scores(self, word: np.ndarray, stem: np.ndarray) -> np.ndarray:
         out = np.full(len(word), np.nan)
-        for keys, values, own in ((self.stems, self.stem_scores, stem), (self.words, self.word_scores, word)):
-            if len(keys) and len(own):
-                k = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-                out = np.where(keys[k] == own, values[k], out)
+        if self.folder is None or not len(word):
+            return out
+        for kind, own in ((0, stem), (1, word)):
+            distinct, back = np.unique(own, return_inverse=True)
+            found = np.full(len(distinct), np.nan)
+            cuts = np.searchsorted(_bucket(distinct, self.buckets), np.arange(self.buckets + 1))
+            for b in np.flatnonzero(np.diff(cuts)):
+                arrays = mapped(f"{self.folder}/{kind}/{b:05d}")
+                if arrays and len(arrays[0]):
+                    keys, values = arrays
+                    part = distinct[cuts[b] : cuts[b + 1]]
+                    at = np.minimum(np.searchsorted(keys, part), len(keys) - 1)
+                    found[cuts[b] : cuts[b + 1]] = np.where(keys[at] == part, values[at], np.nan)
+            out = np.where(np.isnan(found[back]), out, found[back])
         return out
 
 
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """The high bits of a hash choose its file."""
+    return ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+
+
+def stored(wanted: DataFrame, folder: str) -> Lexicon:
+    """Write all entries (kind, key, s) as sorted arrays. Tasks do it, a bucket each."""
+    buckets = max(1, -(-wanted.count() // BUCKET_ENTRIES))
+
+    def write(entries: pa.Table) -> pa.Table:
+        keys, kind = np.asarray(entries.column("key")).view(np.uint64), np.asarray(entries.column("kind"))
+        s, b = np.asarray(entries.column("s")), entries.column("bucket")[0].as_py()
+        for k in (0, 1):
+            own = np.flatnonzero(kind == k)
+            own = own[np.argsort(keys[own])]
+            store(f"{folder}/lexicon/{k}/{b:05d}", [keys[own], s[own]])
+        return pa.table({"bucket": pa.array([b], pa.int64())})
+
+    bucket = F.shiftright(F.shiftrightunsigned("key", 32) * buckets, 32)
+    wanted.select(bucket.alias("bucket"), "kind", "key", "s").groupBy("bucket").applyInArrow(write, "bucket long").count()
+    return Lexicon(f"{folder}/lexicon", buckets)
+
+
+def karlin_altschul(background: DataFrame, drift: float) -> float:
+    """The rate at which the sum of p exp(rate s) is 1, the remaining share scoring ``drift``. Each pass cuts the range into 256."""
+    low, high = 1e-3, 20.0
+    for _ in range(5):
+        ends = np.linspace(low, high, 257)
+        rates = ends[1:-1]
+
+        def sums(batches: Iterator[pa.RecordBatch], rates: np.ndarray = rates) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(len(rates) + 1)
+            for batch in batches:
+                p, s = np.asarray(batch.column("p")), np.asarray(batch.column("s"))
+                total += np.append(p @ np.exp(np.minimum(np.outer(s, rates), 700)), p.sum())
+            yield pa.RecordBatch.from_pydict({"total": pa.array([total.tolist()], pa.list_(pa.float64()))})
+
+        *each, share = np.sum([r.total for r in background.mapInArrow(sums, "total array<double>").collect()] or [np.zeros(256)], axis=0)  # a row a partition
+        above = np.array(each) + (1 - share) * np.exp(rates * drift) > 1
+        k = int(np.argmax(above)) if above.any() else len(rates)
+        low, high = float(ends[k]), float(ends[k + 1])
+    return low
+
+
 def count_tokens(labelled: DataFrame) -> DataFrame:
     """``labelled``: text, toxic. Rows: stem (null for the stem itself), key, toxic and clean texts with it; key 0 counts texts."""
 
@@ -114,9 +170,8 @@ def learn_lexicon(labelled: DataFrame, folder: str) -> tuple[Lexicon, float]:
     """The lexicon, and the share of toxic texts."""
     sizes = labelled.agg(F.coalesce(F.sum((F.col("toxic") > 0).cast("long")), F.lit(0)), F.count("*")).first()
     share = sizes[0] / sizes[1] if sizes[1] else 0.0
-    empty = Lexicon(*(np.zeros(0, k) for k in (np.uint64, float, np.uint64, float)))
     if not 0 < share < 1:
-        return empty, share
+        return Lexicon(), share
     counts = kept(count_tokens(labelled), folder, "counts")
     logit = lambda p: F.log(p / (1 - p))
 
@@ -128,30 +183,12 @@ def learn_lexicon(labelled: DataFrame, folder: str) -> tuple[Lexicon, float]:
     stems = judged(counts.filter("stem is null"), F.lit(share))
     # A word that is its own stem is judged as a word only.
     words = judged(counts.filter("stem is not null").join(stems.select(F.col("key").alias("stem"), F.col("theta").alias("prior"), (F.col("z") >= LEAST_Z).alias("marked")), "stem"), F.col("prior"))
-    wanted = stems.filter(F.col("z") >= LEAST_Z).select(F.lit(0).alias("kind"), "key", "s", "z", "pos", "neg").unionByName(words.filter((F.col("z") >= LEAST_Z) | (F.col("marked") & (F.col("pos") + F.col("neg") >= 3))).select(F.lit(1).alias("kind"), "key", "s", F.abs("z").alias("z"), "pos", "neg"))
-    n = wanted.count()
-    if n > 2 * LEXICON:  # else every task would send its LEXICON best
-        wanted = wanted.filter(F.col("z") >= wanted.approxQuantile("z", [1 - 1.3 * LEXICON / n], 0.05 * LEXICON / n)[0])
-    top = wanted.orderBy(F.col("z").desc(), "kind", "key").limit(LEXICON).toPandas()
-    parts = []
-    for kind in (1, 0):
-        own = top[top.kind == kind]
-        keys = own.key.to_numpy(np.int64).view(np.uint64)
-        order = np.argsort(keys)
-        parts += [keys[order], own.s.to_numpy(float)[order]]
-    lexicon = Lexicon(*parts)
+    wanted = stems.filter(F.col("z") >= LEAST_Z).select(F.lit(0).alias("kind"), "key", "s", "neg").unionByName(words.filter((F.col("z") >= LEAST_Z) | (F.col("marked") & (F.col("pos") + F.col("neg") >= 3))).select(F.lit(1).alias("kind"), "key", "s", "neg"))
+    wanted = kept(wanted, folder, "entries")
+    lexicon = stored(wanted, folder)
     # Karlin and Altschul: sum of p exp(rate s) = 1 over the background, where an entry's p is its share of clean texts' words.
     words_total = counts.filter("stem is not null").agg(F.sum("neg")).first()[0] or 1
-    own = top[(top.kind == 1) & (top.s > 0)]
-    p, s = (own.neg.to_numpy(float) + 0.5) / words_total, own.s.to_numpy(float)
-    low, high = 1e-3, 20.0
-    for _ in range(60):
-        mid = (low + high) / 2
-        if (p * np.exp(np.minimum(mid * s, 700))).sum() + (1 - p.sum()) * np.exp(mid * lexicon.drift) > 1:
-            high = mid
-        else:
-            low = mid
-    lexicon.rate = low
+    lexicon.rate = karlin_altschul(wanted.filter("kind = 1 and s > 0").select(((F.col("neg") + 0.5) / words_total).alias("p"), "s"), lexicon.drift)
     return lexicon, share
 
 

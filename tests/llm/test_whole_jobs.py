@@ -2,9 +2,12 @@
 
 import random
 import re
+from itertools import islice, product
 
-from quarrylens.llm import line_dedup, ngram_lm
-from quarrylens.llm.common import remainder, table
+import pyarrow as pa
+
+from quarrylens.llm import line_dedup, ngram_lm, toxicity
+from quarrylens.llm.common import ALNUM, remainder, shared_folder, table, tokenise
 
 SF = "/root/testdata/sf0.001"
 
@@ -41,3 +44,13 @@ def test_line_dedup_of_short_texts_and_long_lines(spark):
         want = "".join((ends[k] if n else "") + parts[k] for n, k in enumerate(left))
         assert (got[i].n_lines, got[i].n_removed, got[i].clean_text) == (len(lines), len(gone), want), (i, t)
     assert sum(got[i].n_removed > 0 for i in (1, 3, 4)) == 3 and got[7].n_removed == 0 and got[8].n_removed > 0
+
+
+def test_toxicity_keeps_every_significant_word(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "BUCKET_ENTRIES", 20_000)
+    marked = ["".join(w) + "xy" for w in islice(product("abcdefghijklmnop", repeat=4), 60_000)]
+    rows = [(" ".join(marked), 1)] * 3 + [("quiet words", 0)] * 57
+    lexicon, share = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int"), shared_folder(spark, "test"))
+    t = tokenise(pa.array([" ".join(marked), "quiet words"]), ALNUM)
+    s = lexicon.scores(t.hash, t.prefix(toxicity.STEM))
+    assert share == 0.05 and (s[:60_000] > 0).all() and not (s[60_000:] > 0).any()
