@@ -120,7 +120,7 @@ def j17(t: Tables) -> DataFrame:
     return t.documents.groupBy(body.alias("body")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).filter("n > 1")
 
 
-@query("j19_version_drift", "WITH a AS (SELECT l_suppkey AS m, l_partkey % 50 AS f, count(DISTINCT l_returnflag) AS k FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-01-01 00:00:00' GROUP BY 1, 2), b AS (SELECT l_suppkey AS m, l_partkey % 50 AS f, count(DISTINCT l_returnflag) AS k FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01 00:00:00' GROUP BY 1, 2) SELECT m, count(*) AS compared, count(*) FILTER (WHERE a.k <> b.k) AS diverged, round(least(1.0, 2.0 * count(*) FILTER (WHERE a.k <> b.k) / count(*)), 6) AS score FROM a JOIN b USING (m, f) GROUP BY m")
+@query("j19_version_divergence", "WITH a AS (SELECT l_suppkey AS m, l_partkey % 50 AS f, count(DISTINCT l_returnflag) AS k FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-01-01 00:00:00' GROUP BY 1, 2), b AS (SELECT l_suppkey AS m, l_partkey % 50 AS f, count(DISTINCT l_returnflag) AS k FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01 00:00:00' GROUP BY 1, 2) SELECT m, count(*) AS compared, count(*) FILTER (WHERE a.k <> b.k) AS diverged, round(least(1.0, 2.0 * count(*) FILTER (WHERE a.k <> b.k) / count(*)), 6) AS score FROM a JOIN b USING (m, f) GROUP BY m")
 def j19(t: Tables) -> DataFrame:
     side = lambda c, n: t.lineitem.filter(c).groupBy(F.col("l_suppkey").alias("m"), (F.col("l_partkey") % 50).alias("f")).agg(F.countDistinct("l_returnflag").alias(n))
     j = side("l_shipdate < timestamp '1998-01-01 00:00:00'", "k").join(side("l_shipdate >= timestamp '1998-01-01 00:00:00'", "q"), ["m", "f"])

@@ -115,13 +115,13 @@ def secrets(t: dict[str, DataFrame]) -> DataFrame:
     return _found(j.filter(X.secret_like(F.col("name"), F.col("value"), F.col("entropy"))), "hardcoded_secret", F.least(F.lit(1.0), 0.5 + F.col("entropy") / 10), symbol="name", line="line")
 
 
-@signal("doc_impl_drift", "files")
-def doc_drift(t: dict[str, DataFrame]) -> DataFrame:
+@signal("stale_docs", "files")
+def stale_docs(t: dict[str, DataFrame]) -> DataFrame:
     """Folders that a Markdown file names in code spans and that hold no file."""
     refs = t["files"].filter("language = 'markdown'").select("path", F.explode(F.regexp_extract_all("content", F.lit(r"`([A-Za-z0-9_./-]+)/`"), F.lit(1))).alias("dir")).distinct()
     up = t["files"].select(F.split("path", "/").alias("p")).filter(F.size("p") > 1)
     dirs = up.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("p") - 1), lambda i: F.array_join(F.slice("p", 1, i), "/"))).alias("dir")).distinct()
-    return _found(refs.join(dirs, "dir", "left_anti"), "doc_impl_drift", F.lit(0.3), detail="dir")
+    return _found(refs.join(dirs, "dir", "left_anti"), "stale_docs", F.lit(0.3), detail="dir")
 
 
 def tables(source: DataFrame) -> dict[str, DataFrame]:
