@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_language_model_query_is_of_order_three(spark):
     docs = table(spark, SF, "documents")
-    # Order 3 itself is compared with brute force in test_operators.py.
+    # Order 3 itself is compared with brute force in test_llm_operators.py.
     model = ngram_lm.train(docs.filter(remainder("doc_id", ngram_lm.HELD_OUT[0]) != ngram_lm.HELD_OUT[1]), order=3)
     want = {r.doc_id: r.score for r in ngram_lm.score(docs, model).collect()}
     got = {r.doc_id: r.score for r in ngram_lm.op1_ngram_lm(spark, SF).collect()}
