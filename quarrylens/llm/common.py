@@ -10,7 +10,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
+from hashlib import blake2b
 from typing import NamedTuple
 
 import numpy as np
@@ -50,25 +52,35 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-_BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_MULT)) | np.uint64(1)
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(name: str, base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    have = _powers.get(name)
-    if have is None or len(have) < n:
-        size = max(n, SLICE_BYTES + 1)
-        have = np.ones(size, np.uint64)
-        have[1:] = np.uint64(base)
-        have = np.multiply.accumulate(have)
-        if size <= 8 * SLICE_BYTES:
-            _powers[name] = have
-    return have[:n]
-
-
 _BASE = 0xB5297A4D3F84D5B5
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Bytes of a word that the table below covers; longer words take a cryptographic hash.
+_PLACES = 64
+#: A random value for each byte at each place of a word. A word's hash is their sum, so two words collide with
+#: probability 2**-64 whatever they look like (a polynomial modulo 2**64 has words that collide for any base).
+_TABLE = {False: mix(np.arange(1, _PLACES * 256 + 1, dtype=np.uint64) * np.uint64(_MULT)).reshape(_PLACES, 256)}
+_TABLE[True] = _TABLE[False][:, LOWER]
+
+
+def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool) -> np.ndarray:
+    """64-bit hashes of ascending, disjoint, non-empty spans of bytes."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    n = len(data)
+    index = np.zeros(n, np.int32 if n < 1 << 31 else np.int64)
+    index[start] = start
+    np.maximum.accumulate(index, out=index)
+    np.subtract(np.arange(n, dtype=index.dtype), index, out=index)
+    np.minimum(index, _PLACES - 1, out=index)
+    index <<= 8
+    index |= data
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(_TABLE[lower].ravel()[index], out=total[1:])
+    h = mix(total[end] - total[start])
+    long = np.flatnonzero(end - start > _PLACES)
+    if len(long):
+        whole = (LOWER[data] if lower else data).tobytes()
+        h[long] = np.frombuffer(b"".join(blake2b(whole[a:b], digest_size=8).digest() for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True)), np.uint64)
+    return h
 
 
 class Tokens(NamedTuple):
@@ -80,14 +92,14 @@ class Tokens(NamedTuple):
     end: np.ndarray
     data: np.ndarray
     offsets: np.ndarray
-    total: np.ndarray
+    lower: bool
 
     def prefix(self, chars: int) -> np.ndarray:
         """Hashes of the words' first code points (of the whole word where it has no more)."""
         begins = np.flatnonzero((self.data & 0xC0) != 0x80)
         nth = np.searchsorted(begins, self.start) + chars
         end = np.minimum(self.end, np.where(nth < len(begins), begins[np.minimum(nth, len(begins) - 1)], len(self.data))) if len(begins) else self.end
-        return mix((self.total[end] - self.total[self.start]) * _power("down", _INVERSE, len(self.data))[self.start]) if len(self.start) else self.hash
+        return hash_spans(self.data, self.start, end, self.lower)
 
     def counts(self) -> np.ndarray:
         return np.bincount(self.row, minlength=len(self.offsets) - 1)
@@ -119,17 +131,8 @@ def tokenise(texts: pa.Array, member: np.ndarray = PLAIN, lower: bool = True) ->
     last[:-1] &= ~inside[1:] | edge[1:n]
     start = np.flatnonzero(first)
     end = np.flatnonzero(last) + 1
-    value = (_BYTE_VALUE[LOWER] if lower else _BYTE_VALUE)[data] * _power("up", _BASE, n)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(value, out=total[1:])
-    h = (total[end] - total[start]) * _power("down", _INVERSE, n)[start] if n else np.zeros(0, np.uint64)
     row = np.searchsorted(off, start, side="right") - 1
-    return Tokens(mix(h), row, start, end, data, off, total)
-
-
-def hash_word(word: bytes) -> np.uint64:
-    """The hash ``tokenise`` gives to one word."""
-    return tokenise(pa.array([word.decode()]), np.ones(256, bool)).hash[0]
+    return Tokens(hash_spans(data, start, end, lower), row, start, end, data, off, lower)
 
 
 def windows(h: np.ndarray, row: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -214,9 +217,11 @@ def bounded_sample(df: DataFrame, draw: str, limit: int, *ties: str):
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder under spark.checkpoint.dir, which all executors see; a local one only where that is unset."""
+    """A new folder under spark.checkpoint.dir, which all executors see. Where that is unset, a local one in local mode; an error elsewhere."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", top)
     if "://" not in top and top.startswith("/"):
@@ -250,31 +255,37 @@ def store(uri: str, parts: list[np.ndarray]) -> None:
     fs_.move(own, path)
 
 
-_mapped: dict[str, list[np.ndarray]] = {}
+#: Files that a worker keeps open at once, and bytes that it keeps of files it can't map.
+MAPPED_FILES, FETCHED_BYTES = 4096, 128 << 20
+_mapped: OrderedDict[str, tuple[list[np.ndarray], int]] = OrderedDict()
 
 
 def mapped(uri: str) -> list[np.ndarray]:
-    """The arrays of ``store``, memory-mapped. A folder that isn't mounted is fetched to an unlinked local file first."""
-    if uri not in _mapped:
-        from pyarrow import fs
-
-        fs_, path = filesystem(uri)
-        if fs_.get_file_info(path).type == fs.FileType.NotFound:
-            return []
-        if isinstance(fs_, fs.LocalFileSystem):
-            raw = np.memmap(path, np.uint8, "r")
-        else:
-            with tempfile.TemporaryFile() as copy, fs_.open_input_stream(path) as source:
-                while piece := source.read(1 << 20):
-                    copy.write(piece)
-                copy.flush()
-                raw = np.memmap(copy, np.uint8, "r")
-        stop = int(np.flatnonzero(raw[:4096] == 10)[0])
-        at, parts = stop + 1, []
-        for spec in bytes(raw[:stop]).decode().strip().split(";"):
-            kind, n = spec.split(",")
-            size = int(n) * np.dtype(kind).itemsize
-            parts.append(raw[at : at + size].view(kind))
-            at += -(-size // 64) * 64
-        _mapped[uri] = parts
-    return _mapped[uri]
+    """The arrays of ``store``, memory-mapped (read into memory where the folder isn't mounted). A missing file is an error:
+    callers know from a manifest what was written. The least recently used files are let go."""
+    if uri in _mapped:
+        _mapped.move_to_end(uri)
+        return _mapped[uri][0]
+    from pyarrow import fs
+
+    fs_, path = filesystem(uri)
+    if fs_.get_file_info(path).type != fs.FileType.File:
+        raise FileNotFoundError(f"{uri} was written and is gone")
+    fetched = 0
+    if isinstance(fs_, fs.LocalFileSystem):
+        raw = np.memmap(path, np.uint8, "r")
+    else:
+        with fs_.open_input_file(path) as source:
+            raw = np.frombuffer(source.read(), np.uint8)
+        fetched = len(raw)
+    stop = int(np.flatnonzero(raw[:4096] == 10)[0])
+    at, parts = stop + 1, []
+    for spec in bytes(raw[:stop]).decode().strip().split(";"):
+        kind, n = spec.split(",")
+        size = int(n) * np.dtype(kind).itemsize
+        parts.append(raw[at : at + size].view(kind))
+        at += -(-size // 64) * 64
+    _mapped[uri] = parts, fetched
+    while len(_mapped) > MAPPED_FILES or (len(_mapped) > 1 and sum(n for _, n in _mapped.values()) > FETCHED_BYTES):
+        _mapped.popitem(last=False)
+    return parts

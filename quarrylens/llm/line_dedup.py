@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _BASE, PLAIN, kept, mix, shared_folder, slices, table, tokenise, tuned, windows
+from .common import _BASE, PLAIN, hash_spans, kept, mix, shared_folder, slices, table, tokenise, tuned, windows
 
 LINES = 3
 _LINE = np.ones(256, bool)
@@ -42,10 +42,7 @@ def line_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     past = np.searchsorted(words.start, lines.end)
     full = first < past
     a, b = words.start[first[full]], words.end[past[full] - 1]
-    from .common import _INVERSE, _power
-
-    h = mix((lines.total[b] - lines.total[a]) * _power("down", _INVERSE, len(lines.data))[a]) if len(a) else np.zeros(0, np.uint64)
-    return h, lines.row[full]
+    return hash_spans(words.data, a, b, False), lines.row[full]
 
 
 def short_windows(h: np.ndarray, row: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from quarrylens.llm import common as C
 from quarrylens.llm.fm_index import FMIndex, suffix_array
@@ -39,7 +40,27 @@ def test_slices_keep_all_rows():
 def test_stored_arrays_come_back_mapped(tmp_path):
     C.store(f"file://{tmp_path}/a/b", [np.arange(7, dtype=np.uint64), np.zeros(0, np.uint8), np.array([1.5])])
     a, b, c = C.mapped(f"file://{tmp_path}/a/b")
-    assert a.tolist() == list(range(7)) and len(b) == 0 and c[0] == 1.5 and C.mapped(f"file://{tmp_path}/a/none") == []
+    assert a.tolist() == list(range(7)) and len(b) == 0 and c[0] == 1.5
+    with pytest.raises(FileNotFoundError):
+        C.mapped(f"file://{tmp_path}/a/none")
+
+
+def test_words_that_collide_under_polynomials():
+    one = "a"
+    while len(one) < 1024:
+        one += one.translate(str.maketrans("ab", "ba"))
+    two = one.translate(str.maketrans("ab", "ba"))
+    for size in (64, 65, 1024):
+        assert len({int(C.tokenise(pa.array([w[:size]])).hash[0]) for w in (one, two)}) == 2
+    assert C.tokenise(pa.array([("x" * 70).upper()])).hash[0] == C.tokenise(pa.array(["x" * 70])).hash[0] != C.tokenise(pa.array(["X" * 70]), lower=False).hash[0]
+
+
+def test_no_local_folder_on_a_cluster():
+    class Session:
+        conf, sparkContext = {}, type("Context", (), {"master": "spark://x"})
+
+    with pytest.raises(ValueError):
+        C.shared_folder(Session(), "x")
 
 
 def test_fm_index_against_brute_force():
