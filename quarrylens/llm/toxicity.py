@@ -1,24 +1,29 @@
 """Toxic passages by maximum-scoring segments over token log-odds.
 
-Lexicon. Over the labelled training rows, Spark counts in how many toxic and clean texts each word, and
-each four-letter stem, occurs. A word's toxic share has a Dirichlet prior (two categories) centred on
-its stem's share, and a stem's on the global share. Words and stems whose log-odds against the global
-share are positive by ``LEAST_Z`` standard errors enter the lexicon, with words that override such a
-stem. Tasks write it, whole, as sorted arrays by range of the hash into the shared folder, and scoring tasks map these into
-memory, so nothing of it passes through the driver.
-
-Segments. In a text a word scores its own log-odds, else its stem's, else a small negative constant (the
-odds of an ordinary word in a passage with a share ``DENSITY`` of lexicon words). A linear scan
-(Ruzzo and Tompa's) yields all maximal segments, disjoint.
-
-Calibration. Karlin and Altschul's equation over the background's scores gives lambda; a segment of
-score S in a text of n words has the expectation n exp(-lambda S) in clean text, and is significant
-where that is at most ``E_VALUE``. A text's evidence is the sum of lambda S over its significant segments,
-less log n; a logistic curve over it, fitted to histograms of all labelled training rows, gives the probability.
+Lexicon. Over the labelled training texts, each distinct text once, Spark counts in how many toxic and clean texts each word,
+and each four-letter stem, occurs, and how often in clean ones. A word's toxic share has a Dirichlet prior (two
+categories) centred on its stem's share, and a stem's on the global share; its score is the log-odds against the global
+share. Of all words and stems, those enter whose toxic share is significantly high: the binomial tail (Chernoff's
+bound) under Benjamini and Hochberg's procedure over every tested word, at the false discovery rate ``FALSE_SHARE``, so
+that chance words stay out however many words the corpus has. Words that are significantly not as toxic as such a stem override
+it. Tasks write the lexicon, whole, as sorted arrays by range of the hash into the shared folder, and scoring tasks map these
+into memory, so nothing of it passes through the driver.
+
+Segments. In a text a word scores its own log-odds, else its stem's, else the ordinary word's score, log((1-Q)/(1-P)): P is
+the measured share of lexicon tokens among the tokens of clean texts, Q the sum of p exp(s) over the entries, their share where
+each is as much more frequent as its odds say. So the sum of p exp(s) over all tokens is 1: Karlin and Altschul's lambda is 1 and the
+mean score of clean text is below 0, by construction (``background`` asserts it). A linear scan (Ruzzo and Tompa's) yields all maximal
+segments, disjoint.
+
+Calibration. A segment of score S in a text of n words has the expectation E = K n exp(-S) in clean text; K is the maximum
+likelihood of the extreme-value law over the best segments of clean training texts. A segment is significant where E is at most
+``E_VALUE``; a text's evidence is the sum of -log E over its significant segments, 0 without any. A logistic curve over it,
+fitted to histograms of all labelled training rows, gives the probability.
 
 Defined cases: null and empty texts have no segment and the score of no evidence. Without labels of both
-kinds the score is the share of toxic ones (0 without any). Rows of ``labels`` that repeat a document
-count as several. Repeated documents are scored alike. Further columns are ignored.
+kinds the score is the share of toxic ones (0 without any). Rows of ``labels`` that repeat a document count as several
+when the curve is fitted; a text with contrary labels is toxic to the lexicon if at least half say so. Repeated documents are scored alike. Further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,29 +33,32 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, kept, mapped, mix, remainder, shared_folder, slices, store, table, tokenise, tuned
+from .common import ALNUM, kept, mapped, remainder, shared_folder, slices, store, table, tokenise, tuned
 
 HELD_OUT = (5, 0)
 STEM = 4
 PRIOR = 4.0
-LEAST_Z = 3.0
+#: Of the entries, at most this share is expected to be there by chance.
+FALSE_SHARE = 0.01
 #: Entries of a file of the lexicon, about.
 BUCKET_ENTRIES = 500_000
-DENSITY = 0.02
+#: Lexicon tokens are at most this share of a toxic passage.
+MOST_DENSE = 0.5
 E_VALUE = 1.0
-BIN = 0.25
+#: Bins of the histograms of evidence and of -log p.
+BIN, LEVELS = 0.25, 1200
 
 
-def maximal_segments(at: list[int], score: list[float], drift: float) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (first, past the end, score) of a sequence that scores ``drift`` (below 0) but at the given places."""
+def maximal_segments(at: list[int], score: list[float], ordinary: float) -> list[tuple[int, int, float]]:
+    """All maximal scoring segments (first, past the end, score) of a sequence that scores ``ordinary`` (below 0) but at the given places."""
     # Each candidate: first, past, sum before it, sum up to its end. Linear but for the walk left, which removes what it passes.
     found: list[list[float]] = []
     total, last = 0.0, 0
     for p, s in zip(at, score, strict=True):
-        total += drift * (p - last)
+        total += ordinary * (p - last)
         last = p + 1
         if s <= 0:
             total += s
@@ -75,11 +83,10 @@ class Lexicon:
 
     folder: str | None = None
     buckets: int = 1
-    rate: float = 1.0
-
-    @property
-    def drift(self) -> float:
-        return float(np.log1p(-DENSITY))
+    written: frozenset[int] = frozenset()
+    ordinary: float = -0.02
+    shift: float = 0.0
+    k: float = 1.0
 
     def scores(self, word: np.ndarray, stem: np.ndarray) -> np.ndarray:
         out = np.full(len(word), np.nan)
@@ -90,14 +97,15 @@ class Lexicon:
             found = np.full(len(distinct), np.nan)
             cuts = np.searchsorted(_bucket(distinct, self.buckets), np.arange(self.buckets + 1))
             for b in np.flatnonzero(np.diff(cuts)):
-                arrays = mapped(f"{self.folder}/{kind}/{b:05d}")
-                if arrays and len(arrays[0]):
-                    keys, values = arrays
+                if int(b) not in self.written:
+                    continue
+                keys, values = mapped(f"{self.folder}/{kind}/{b:05d}")
+                if len(keys):
                     part = distinct[cuts[b] : cuts[b + 1]]
                     at = np.minimum(np.searchsorted(keys, part), len(keys) - 1)
                     found[cuts[b] : cuts[b + 1]] = np.where(keys[at] == part, values[at], np.nan)
             out = np.where(np.isnan(found[back]), out, found[back])
-        return out
+        return out + self.shift
 
 
 def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -119,33 +127,12 @@ def stored(wanted: DataFrame, folder: str) -> Lexicon:
         return pa.table({"bucket": pa.array([b], pa.int64())})
 
     bucket = F.shiftright(F.shiftrightunsigned("key", 32) * buckets, 32)
-    wanted.select(bucket.alias("bucket"), "kind", "key", "s").groupBy("bucket").applyInArrow(write, "bucket long").count()
-    return Lexicon(f"{folder}/lexicon", buckets)
-
-
-def karlin_altschul(background: DataFrame, drift: float) -> float:
-    """The rate at which the sum of p exp(rate s) is 1, the remaining share scoring ``drift``. Each pass cuts the range into 256."""
-    low, high = 1e-3, 20.0
-    for _ in range(5):
-        ends = np.linspace(low, high, 257)
-        rates = ends[1:-1]
-
-        def sums(batches: Iterator[pa.RecordBatch], rates: np.ndarray = rates) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(len(rates) + 1)
-            for batch in batches:
-                p, s = np.asarray(batch.column("p")), np.asarray(batch.column("s"))
-                total += np.append(p @ np.exp(np.minimum(np.outer(s, rates), 700)), p.sum())
-            yield pa.RecordBatch.from_pydict({"total": pa.array([total.tolist()], pa.list_(pa.float64()))})
-
-        *each, share = np.sum([r.total for r in background.mapInArrow(sums, "total array<double>").collect()] or [np.zeros(256)], axis=0)  # a row a partition
-        above = np.array(each) + (1 - share) * np.exp(rates * drift) > 1
-        k = int(np.argmax(above)) if above.any() else len(rates)
-        low, high = float(ends[k]), float(ends[k + 1])
-    return low
+    done = wanted.select(bucket.alias("bucket"), "kind", "key", "s").groupBy("bucket").applyInArrow(write, "bucket long").collect()  # a number a file
+    return Lexicon(f"{folder}/lexicon", buckets, frozenset(r.bucket for r in done))
 
 
 def count_tokens(labelled: DataFrame) -> DataFrame:
-    """``labelled``: text, toxic. Rows: stem (null for the stem itself), key, toxic and clean texts with it; key 0 counts texts."""
+    """``labelled``: text, toxic. Rows: key, its stem (null for a stem itself), toxic and clean texts with it, tokens in clean texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,20 +141,40 @@ def count_tokens(labelled: DataFrame) -> DataFrame:
                 toxic = np.asarray(piece.column("toxic")) > 0
                 stem = t.prefix(STEM)
                 for key, parent in ((t.hash, stem), (stem, None)):
-                    _, first = np.unique(mix(key ^ mix(t.row.astype(np.uint64) + np.uint64(1))), return_index=True)
-                    own, own_toxic = key[first], toxic[t.row[first]]
-                    keys, at, back = np.unique(own, return_index=True, return_inverse=True)
-                    pos = np.bincount(back, own_toxic, len(keys)).astype(np.int64)
-                    n = np.bincount(back, minlength=len(keys))
-                    up = pa.nulls(len(keys), pa.int64()) if parent is None else pa.array(parent[first][at].view(np.int64))
-                    yield pa.RecordBatch.from_pydict({"stem": up, "key": pa.array(keys.view(np.int64)), "pos": pa.array(pos), "neg": pa.array(n - pos)})
-
-    rows = labelled.select("text", "toxic").mapInArrow(count, "stem long, key long, pos long, neg long")
-    return rows.groupBy("stem", "key").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+                    keys, at, code, tokens = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+                    pair = np.unique(code * np.int64(len(toxic)) + t.row)
+                    own, bad = pair // max(len(toxic), 1), toxic[pair % max(len(toxic), 1)]
+                    pos, n = np.bincount(own, bad, len(keys)).astype(np.int64), np.bincount(own, minlength=len(keys))
+                    clean = tokens - np.bincount(code, toxic[t.row], len(keys)).astype(np.int64)
+                    up = pa.nulls(len(keys), pa.int64()) if parent is None else pa.array(parent[at].view(np.int64))
+                    yield pa.RecordBatch.from_pydict({"stem": up, "key": pa.array(keys.view(np.int64)), "pos": pa.array(pos), "neg": pa.array(n - pos), "clean": pa.array(clean)})
+
+    rows = labelled.select("text", "toxic").mapInArrow(count, "stem long, key long, pos long, neg long, clean long")
+    return rows.groupBy("stem", "key").agg(*(F.sum(c).alias(c) for c in ("pos", "neg", "clean")))
+
+
+def _tail(pos: Column, n: Column, share: Column) -> Column:
+    """-log of Chernoff's bound on the chance of ``pos`` or more of ``n`` at the given share (0 where there are fewer than expected)."""
+    x = pos / n
+    term = lambda a, b: F.when(a > 0, a * F.log(a / b)).otherwise(0.0)
+    return F.when(x > share, n * (term(x, share) + term(1 - x, 1 - share))).otherwise(0.0)
+
+
+def discovered(tested: DataFrame, level: str) -> DataFrame:
+    """Rows of ``tested`` that are significant by Benjamini and Hochberg's procedure: the largest p of rank r with p <= r / m times the rate.
+    Levels (-log p) are compared in steps of 1/8, rounded down, so never more rows than by the exact procedure."""
+    step = F.floor(F.least(F.col(level), F.lit(LEVELS / 8.0)) * 8).cast("int")
+    rows = tested.groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect()  # LEVELS rows at most
+    m, rank, least = sum(r.n for r in rows), 0, None
+    for r in rows:
+        rank += r.n
+        if r.step and -r.step / 8 <= np.log(FALSE_SHARE * rank / m):
+            least = r.step
+    return tested.filter(step >= least) if least is not None else tested.filter("false")
 
 
 def learn_lexicon(labelled: DataFrame, folder: str) -> tuple[Lexicon, float]:
-    """The lexicon, and the share of toxic texts."""
+    """``labelled``: text, toxic. The lexicon (without K), and the share of toxic texts."""
     sizes = labelled.agg(F.coalesce(F.sum((F.col("toxic") > 0).cast("long")), F.lit(0)), F.count("*")).first()
     share = sizes[0] / sizes[1] if sizes[1] else 0.0
     if not 0 < share < 1:
@@ -175,27 +182,48 @@ def learn_lexicon(labelled: DataFrame, folder: str) -> tuple[Lexicon, float]:
     counts = kept(count_tokens(labelled), folder, "counts")
     logit = lambda p: F.log(p / (1 - p))
 
-    def judged(df: DataFrame, prior) -> DataFrame:
+    def judged(df: DataFrame, prior: Column) -> DataFrame:
         theta = (F.col("pos") + PRIOR * prior) / (F.col("pos") + F.col("neg") + PRIOR)
-        spread = F.sqrt(1 / (F.col("pos") + PRIOR * prior) + 1 / (F.col("neg") + PRIOR * (1 - prior)))
-        return df.withColumn("theta", theta).withColumn("s", logit(theta) - float(np.log(share / (1 - share)))).withColumn("z", F.col("s") / spread)
+        return df.withColumn("theta", theta).withColumn("s", logit(theta) - float(np.log(share / (1 - share)))).withColumn("level", _tail(F.col("pos"), F.col("pos") + F.col("neg"), F.lit(share)))
 
     stems = judged(counts.filter("stem is null"), F.lit(share))
-    # A word that is its own stem is judged as a word only.
-    words = judged(counts.filter("stem is not null").join(stems.select(F.col("key").alias("stem"), F.col("theta").alias("prior"), (F.col("z") >= LEAST_Z).alias("marked")), "stem"), F.col("prior"))
-    wanted = stems.filter(F.col("z") >= LEAST_Z).select(F.lit(0).alias("kind"), "key", "s", "neg").unionByName(words.filter((F.col("z") >= LEAST_Z) | (F.col("marked") & (F.col("pos") + F.col("neg") >= 3))).select(F.lit(1).alias("kind"), "key", "s", "neg"))
-    wanted = kept(wanted, folder, "entries")
+    marked = kept(discovered(stems, "level").select("key", "theta", "s", "clean"), folder, "stems")
+    parents = stems.select(F.col("key").alias("stem"), F.col("theta").alias("prior")).join(marked.select(F.col("key").alias("stem"), F.lit(True).alias("marked")), "stem", "left")
+    words = judged(counts.filter("stem is not null").join(parents, "stem"), F.col("prior"))
+    words = kept(words.withColumn("below", F.when(F.col("marked"), _tail(F.col("neg"), F.col("pos") + F.col("neg"), 1 - F.col("prior"))).otherwise(0.0)), folder, "words")
+    # A word of a marked stem that is as toxic as the stem needs no entry of its own, but its own score is the better one.
+    own = discovered(words, "level").unionByName(discovered(words.filter("marked"), "below")).dropDuplicates(["key"])
+    own = kept(own.select("key", "stem", "s", "clean"), folder, "own")
+    # A stem stands for the words of it that have no entry.
+    used = own.groupBy(F.col("stem").alias("key")).agg(F.sum("clean").alias("used"))
+    wanted = marked.join(used, "key", "left").select(F.lit(0).alias("kind"), "key", "s", (F.col("clean") - F.coalesce("used", F.lit(0))).alias("clean"))
+    wanted = kept(wanted.unionByName(own.select(F.lit(1).alias("kind"), "key", "s", "clean")), folder, "entries")
     lexicon = stored(wanted, folder)
-    # Karlin and Altschul: sum of p exp(rate s) = 1 over the background, where an entry's p is its share of clean texts' words.
-    words_total = counts.filter("stem is not null").agg(F.sum("neg")).first()[0] or 1
-    lexicon.rate = karlin_altschul(wanted.filter("kind = 1 and s > 0").select(((F.col("neg") + 0.5) / words_total).alias("p"), "s"), lexicon.drift)
+    total = counts.filter("stem is not null").agg(F.sum("clean")).first()[0] or 0
+    lexicon.ordinary, lexicon.shift = background(wanted, total)
     return lexicon, share
 
 
-def evidence(docs: DataFrame, lexicon: Lexicon, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_words, evidence, and the significant segments (first and past-the-end word, score, expectation)."""
+def background(entries: DataFrame, total: int) -> tuple[float, float]:
+    """The ordinary word's score, and what is added to all entries' scores (0 unless they would fill more than ``MOST_DENSE`` of a passage).
+    ``entries``: s, and clean, the tokens of clean texts (``total``) that score it."""
+    p = (F.col("clean") + 0.5) / F.lit(total + 1.0)
+    n, share, dense, mean = entries.agg(F.count("*"), F.sum(p), F.sum(p * F.exp("s")), F.sum(p * F.col("s"))).first()
+    if not n or share >= 1:
+        return -0.02, 0.0
+    shift = min(0.0, float(np.log(MOST_DENSE / dense)))
+    dense *= float(np.exp(shift))
+    ordinary = float(np.log((1 - dense) / (1 - share)))
+    # By Jensen's inequality: the mean of the scores is below the log of the mean of their exponentials, which is 0.
+    if mean + shift * share + (1 - share) * ordinary > 1e-12 or abs(dense + (1 - share) * np.exp(ordinary) - 1) > 1e-9:
+        raise AssertionError("the background of clean text must score below 0 with lambda 1")
+    return min(ordinary, -1e-9), shift
+
+
+def passages(docs: DataFrame, lexicon: Lexicon, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_words, and the maximal segments (first and past-the-end word, score)."""
     tuned(docs.sparkSession)
-    segment = pa.struct([("first", pa.int32()), ("past", pa.int32()), ("score", pa.float64()), ("expected", pa.float64())])
+    segment = pa.struct([("first", pa.int32()), ("past", pa.int32()), ("score", pa.float64())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,18 +234,29 @@ def evidence(docs: DataFrame, lexicon: Lexicon, *, key: str = "doc_id", text: st
                 s = lexicon.scores(t.hash, t.prefix(STEM))
                 hit = np.flatnonzero(~np.isnan(s))
                 cuts = np.searchsorted(t.row[hit], np.arange(len(counts) + 1))
-                total, found = np.zeros(len(counts)), [[] for _ in counts]
+                found = [[] for _ in counts]
                 for row in np.flatnonzero(np.diff(cuts)):
                     own = hit[cuts[row] : cuts[row + 1]]
-                    for a, b, x in maximal_segments((own - base[row]).tolist(), s[own].tolist(), lexicon.drift):
-                        expected = float(counts[row] * np.exp(-lexicon.rate * x))
-                        if expected <= E_VALUE:
-                            found[row].append({"first": a, "past": b, "score": x, "expected": expected})
-                            total[row] += lexicon.rate * x
-                yield pa.RecordBatch.from_pydict({"doc_id": piece.column("doc_id"), "n_words": pa.array(counts, pa.int64()), "evidence": pa.array(total - np.log(np.maximum(counts, 1))), "segments": pa.array(found, pa.list_(segment))})
+                    found[row] = [{"first": a, "past": b, "score": x} for a, b, x in maximal_segments((own - base[row]).tolist(), s[own].tolist(), lexicon.ordinary)]
+                yield pa.RecordBatch.from_pydict({"doc_id": piece.column("doc_id"), "n_words": pa.array(counts, pa.int64()), "segments": pa.array(found, pa.list_(segment))})
 
     kind = dict(docs.dtypes)[key]
-    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(scan, f"doc_id {kind}, n_words long, evidence double, segments array<struct<first:int,past:int,score:double,expected:double>>")
+    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(scan, f"doc_id {kind}, n_words long, segments array<struct<first:int,past:int,score:double>>")
+
+
+def extreme_value_k(clean: DataFrame) -> float:
+    """K of P(best >= S) = 1 - exp(-K n exp(-S)), by maximum likelihood over the best segments of clean texts (n_words, segments): a
+    text without any has a best score of at most 0, which is all that is known of it. Half a text is added to each side."""
+    best = F.coalesce(F.array_max(F.transform("segments", lambda x: x["score"])), F.lit(0.0))
+    seen, mass = clean.agg(F.sum((best > 0).cast("double")), F.sum(F.col("n_words") * F.exp(-F.greatest(best, F.lit(0.0))))).first()
+    return ((seen or 0.0) + 0.5) / ((mass or 0.0) + 0.5)
+
+
+def significant(found: DataFrame, k: float) -> DataFrame:
+    """Keeps the segments whose expectation in clean text is at most ``E_VALUE``, with it, and adds their evidence."""
+    least = lambda x: F.log(F.lit(k) * F.col("n_words")) - x["score"]
+    out = found.withColumn("segments", F.filter(F.transform("segments", lambda x: F.struct(x["first"].alias("first"), x["past"].alias("past"), x["score"].alias("score"), F.exp(least(x)).alias("expected"))), lambda x: x["expected"] <= E_VALUE))
+    return out.withColumn("evidence", F.aggregate("segments", F.lit(0.0), lambda a, x: a + x["score"] - F.log(F.lit(k) * F.col("n_words"))))
 
 
 def fit_curve(x: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> tuple[float, float]:
@@ -239,14 +278,24 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, held_out: tuple[int, i
     folder = shared_folder(docs.sparkSession, "toxic")
     out = remainder("doc_id", held_out[0]) == held_out[1]
     marks = labels.filter("toxic is not null").select("doc_id", "toxic").filter(~out)
+    # Copies say no more than one text does: of equal texts the lexicon reads one. Only ids and hashes meet here.
+    d = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).filter(~out)
+    told = d.select("doc_id", "text_hash").join(marks.hint("merge"), "doc_id").groupBy("text_hash")
+    told = told.agg(F.min("doc_id").alias("doc_id"), (2 * F.sum((F.col("toxic") > 0).cast("long")) >= F.count("*")).cast("int").alias("toxic"))
     # Labels grow with the documents, so they are never broadcast, however few they are today.
-    lexicon, share = learn_lexicon(docs.select("doc_id", "text").filter(~out).join(marks.hint("merge"), "doc_id"), folder)
-    found = kept(evidence(docs, lexicon), folder, "evidence")
-    bins = found.join(marks, "doc_id").groupBy(F.round(F.greatest(F.lit(-30.0), F.least(F.lit(60.0), "evidence")) / BIN).cast("int").alias("bin"))
-    rows = bins.agg(F.sum((F.col("toxic") > 0).cast("long")).alias("pos"), F.sum((F.col("toxic") <= 0).cast("long")).alias("neg")).orderBy("bin").toPandas()  # 360 bins at most
+    read = d.join(told.hint("merge"), ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
+    lexicon, share = learn_lexicon(read.select("text", "toxic"), folder)
+    found = kept(passages(docs, lexicon), folder, "passages")
+    if lexicon.folder:
+        clean = told.filter("toxic = 0").select("doc_id")
+        lexicon.k = extreme_value_k(found.join(clean.hint("merge"), "doc_id"))
+    found = significant(found, lexicon.k)
+    level = F.least(F.lit(60.0), "evidence")
+    bins = found.select("doc_id", level.alias("level")).join(marks.hint("merge"), "doc_id").groupBy(F.round(F.col("level") / BIN).cast("int").alias("bin"))
+    rows = bins.agg(F.sum((F.col("toxic") > 0).cast("long")).alias("pos"), F.sum((F.col("toxic") <= 0).cast("long")).alias("neg")).orderBy("bin").toPandas()  # 241 bins at most
     if 0 < share < 1:
         a, b = fit_curve(rows.bin.to_numpy(float) * BIN, rows.pos.to_numpy(float), rows.neg.to_numpy(float))
-        score = 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.greatest(F.lit(-30.0), F.least(F.lit(60.0), "evidence")))))
+        score = 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * level)))
     else:
         score = F.lit(float(share))
     scored = found.select("doc_id", out.alias("held_out"), score.cast("double").alias("score"), "segments")
