@@ -160,30 +160,14 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
         yield batch.slice(at)
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Of rows sorted by the keys within a partition: tables of whole groups, with the number of each row's group.
-
-    Many small groups share one table, so work on them is on arrays; the last group of a batch waits for the next batch.
-    """
-    rest: pa.Table | None = None
-
-    def numbered(t: pa.Table) -> np.ndarray:
-        new = np.zeros(t.num_rows, bool)
-        for k in keys:
-            v = np.asarray(t.column(k))
-            new[1:] |= v[1:] != v[:-1]
-        return np.cumsum(new)
-
-    for batch in batches:
-        t = pa.Table.from_batches([batch])
-        t = pa.concat_tables([rest, t]).combine_chunks() if rest is not None else t
-        group = numbered(t)
-        last = int(np.searchsorted(group, group[-1])) if len(group) else 0
-        rest = t.slice(last)
-        if last:
-            yield t.slice(0, last), group[:last]
-    if rest is not None and rest.num_rows:
-        yield rest, numbered(rest)
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names with as many underscores before them as it takes to be none of the table's."""
+    there, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in there:
+            n = f"_{n}"
+        out.append(n)
+    return out
 
 
 def tuned(spark: SparkSession) -> SparkSession:

@@ -3,17 +3,17 @@
 A text is the set of its five-word shingles (ASCII-lowered words; a text of fewer words, but not none,
 has one shingle). Equal sets are one class; from there on classes stand for their documents.
 
-1. 96 MinHash values a class. Bands of four values propose candidates: a pair at the threshold 0.8 is
+1. 96 MinHash values of 16 bits a class. Bands of four values propose candidates: a pair at the threshold 0.8 is
    proposed by at least one of 24 bands with probability 1 - 3e-6, more similar ones more surely.
 2. Within a bucket, pairs are compared on their MinHash values in steps of 16. After each step the
    posterior of the Jaccard similarity (uniform prior; Beta(m+1, n-m+1) after m matches of n) gives the
-   probability that the threshold is reached; a pair whose probability falls below ``TOLERANCE`` is dropped.
-3. What survives joins classes into candidate components (a spanning forest leaves each task, not the pairs).
-   Within a component the shingle sets meet and every pair of classes is verified exactly, so a pair
-   that some band missed is still found when its component holds it.
+   probability that the threshold is reached; a pair whose probability falls below ``TOLERANCE`` is dropped for good.
+3. Classes that are left in some pair have their shingle sets written once, in files of the shared folder
+   (classes that pairs connect lie together). The buckets are then gone through again, and every surviving pair is verified exactly
+   on its two sets, in the first band that both share, so once. Pairs that the pruning dropped are never verified.
 
-Buckets and components of more than ``BLOCK`` members are cut into blocks, and each pair of blocks is
-one task group: memory is bounded, all pairs are compared inside arrays, and what leaves a task is one
+Buckets of more than ``BLOCK`` members are cut into blocks, and each pair of blocks is one row of signatures:
+memory is bounded, pairs exist only inside arrays, shingle sets are mapped from their files and never copied per block, and what leaves a task is one
 row a member (its count of links) and a spanning forest, never the pairs of a group.
 
 Defined cases: null texts and texts without words have no shingles, link to nothing and are a class each
@@ -28,10 +28,11 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import PLAIN, kept, mix, shared_folder, slices, table, tokenise, tuned, whole_groups, windows
+from .common import PLAIN, fresh, kept, mapped, mix, shared_folder, slices, store, table, tokenise, tuned, windows
 from .components import components
 
 SHINGLE = 5
@@ -40,6 +41,8 @@ BANDS, ROWS = 24, 4
 STEP = 16
 TOLERANCE = 1e-6
 BLOCK = 256
+#: Members whose pairs are compared at once, about, and bytes of a file of sets.
+GROUP_ROWS, FILE_BYTES = 20_000, 32 << 20
 _A = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D)) | np.uint64(1)
 
 
@@ -76,22 +79,15 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for piece in slices(batch):
-            digest, sign, bands = [], [], []
+            digest, sign, size = [], [], []
             for s in shingle_sets(piece.column("text")):
                 if not len(s):
-                    digest.append(None), sign.append(None), bands.append(None)
+                    digest.append(None), sign.append(None), size.append(0)
                     continue
-                g = _signature(s)
-                key = np.zeros(BANDS, np.uint64)
-                for k in range(ROWS):
-                    key = key * np.uint64(0x9E3779B97F4A7C15) + g[k::ROWS].astype(np.uint64) + np.uint64(1)
                 digest.append(blake2b(s.tobytes(), digest_size=16).digest())
-                sign.append(g.astype(np.uint16).tobytes())
-                bands.append(mix(key + np.arange(BANDS, dtype=np.uint64)).astype(np.int64))
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": piece.column("doc_id"), "text_hash": piece.column("text_hash"), "digest": pa.array(digest, pa.binary()),
-                "sign": pa.array(sign, pa.binary()), "bands": pa.array(bands, pa.list_(pa.int64())),
-            })
+                sign.append(_signature(s).astype("<u2").tobytes())
+                size.append(len(s))
+            yield pa.RecordBatch.from_pydict({"doc_id": piece.column("doc_id"), "text_hash": piece.column("text_hash"), "digest": pa.array(digest, pa.binary()), "sign": pa.array(sign, pa.binary()), "size": pa.array(size, pa.int64())})
 
 
 def keep_least(threshold: float = THRESHOLD, tolerance: float = TOLERANCE, n: int = BANDS * ROWS, step: int = STEP) -> list[tuple[int, int]]:
@@ -152,18 +148,37 @@ def _edges(cls: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return cls[label[at]], cls[at]
 
 
-def _in_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for t, group in whole_groups(batches, ("band", "lo", "hi")):
-        cls, block = np.asarray(t.column("cls")), np.asarray(t.column("blk"))
-        across = np.asarray(t.column("lo")) != np.asarray(t.column("hi"))
-        sign = np.frombuffer(b"".join(t.column("sign").to_pylist()), np.uint16).reshape(len(cls), -1)
-        label = np.arange(len(cls))
-        for i, j in _pairs(group, block, across):
-            i, j = surviving(sign, i, j)
-            if len(i):
-                label = _least(len(cls), np.concatenate((np.arange(len(cls)), i)), np.concatenate((label, j)))
-        a, b = _edges(cls, label)
-        yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+def _groups(batch: pa.RecordBatch) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]]:
+    """Of rows with one or two blocks of members (lists ``x`` and ``y``): the members' columns, the row and the block of each member and whether the
+    row has two blocks. Many small rows come at once."""
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(batch.column("x")), 0)) + np.asarray(pc.fill_null(pc.list_value_length(batch.column("y")), 0))
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // GROUP_ROWS, prepend=0))
+    for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+        piece = batch.slice(a, b - a)
+        if not piece.num_rows:
+            continue
+        x, y = piece.column("x"), piece.column("y")
+        members = pa.concat_arrays([pc.list_flatten(x), pc.list_flatten(y)])
+        group = np.concatenate((np.asarray(pc.list_parent_indices(x)), np.asarray(pc.list_parent_indices(y)))).astype(np.int64)
+        block = np.repeat([0, 1], [len(group) - len(pc.list_flatten(y)), len(pc.list_flatten(y))])
+        order = np.argsort(group, kind="stable")
+        across = np.asarray(pc.is_valid(y))
+        own = {f.name: members.field(k).take(pa.array(order)) for k, f in enumerate(members.type)}
+        columns = {n: np.frombuffer(b"".join(c.to_pylist()), "<u2").reshape(len(c), -1) if n == "sign" else np.asarray(c) for n, c in own.items()}
+        yield columns, group[order], block[order], across[group[order]]
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A spanning forest of the pairs that pruning leaves."""
+    for batch in batches:
+        for c, group, block, across in _groups(batch):
+            label = np.arange(len(group))
+            for i, j in _pairs(group, block, across):
+                i, j = surviving(c["sign"], i, j)
+                if len(i):
+                    label = _least(len(group), np.concatenate((np.arange(len(group)), i)), np.concatenate((label, j)))
+            a, b = _edges(c["cls"], label)
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -181,38 +196,81 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return common
 
 
-def _in_components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Exact similarity of all pairs: a row a member with its links, and the rows of a spanning forest (no links)."""
-    for t, group in whole_groups(batches, ("component", "lo", "hi")):
-        cls, block, members = (np.asarray(t.column(c)) for c in ("cls", "blk", "members"))
-        across = np.asarray(t.column("lo")) != np.asarray(t.column("hi"))
-        shingles = t.column("shingles")
-        links = np.zeros(len(cls), np.int64)
-        label = np.arange(len(cls))
-        cuts = np.concatenate(([0], np.flatnonzero(np.diff(group)) + 1, [len(group)]))
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            if b - a < 2:
-                continue
-            sets = [np.frombuffer(shingles[k].as_py(), np.uint64) for k in range(a, b)]
-            common, size = overlaps(sets), np.array([len(x) for x in sets])
-            link = np.triu(common >= THRESHOLD * (size[:, None] + size[None, :] - common) - 1e-4, 1)
-            if across[a]:
-                link &= block[a:b, None] != block[None, a:b]
-            i, j = np.nonzero(link)
-            np.add.at(links, a + i, members[a + j])
-            np.add.at(links, a + j, members[a + i])
-            label[a:b] = a + _least(b - a, i, j)
-        x, y = _edges(cls, label)
-        at = np.flatnonzero(links)
-        yield pa.RecordBatch.from_pydict({"a": pa.array(np.concatenate((cls[at], x))), "b": pa.array(np.concatenate((cls[at], y))), "links": pa.array(np.concatenate((links[at], np.zeros(len(x), np.int64))))})
-
-
-def _blocked(rows: DataFrame, sizes: DataFrame, key: str) -> DataFrame:
-    """Rows of groups with their block and, where a group has several, once for each pair of blocks."""
-    rows = rows.join(sizes.select(key, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), key)
-    rows = rows.withColumn("blk", F.when(F.col("blocks") == 1, 0).otherwise(F.pmod(F.xxhash64("cls"), F.col("blocks"))).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.withColumn("lo", F.least("blk", "other")).withColumn("hi", F.greatest("blk", "other")).drop("other", "blocks")
+def _verify(folder: str):
+    """Exact similarity of the pairs that pruning leaves, in the first band that both have: a row a member with its links, and the rows of a spanning
+    forest (no links)."""
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c, group, block, across in _groups(batch):
+                cls, members, n = c["cls"], c["members"], len(group)
+                bands = c["sign"].view("<u8")  # four values of 16 bits
+                own, other = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                for i, j in _pairs(group, block, across):
+                    i, j = surviving(c["sign"], i, j)
+                    first = (bands[i] == bands[j]).argmax(axis=1) == c["band_no"][i] if len(i) else np.zeros(0, bool)
+                    own.append(i[first])
+                    other.append(j[first])
+                i, j = np.concatenate(own), np.concatenate(other)
+                order = np.argsort(i, kind="stable")
+                i, j = i[order], j[order]
+                similar = np.zeros(len(i), bool)
+                # The pairs of a row of ``batch`` are consecutive now.
+                at = np.flatnonzero(np.diff(group[i], prepend=-1)) if len(i) else i
+                for p, q in zip(at.tolist(), [*at[1:].tolist(), len(i)], strict=True):
+                    used, back = np.unique(np.concatenate((i[p:q], j[p:q])), return_inverse=True)
+                    sets = [_stored_set(folder, int(c["file"][k]), int(c["at"][k])) for k in used]
+                    size = np.array([len(x) for x in sets])
+                    x, y = back[: q - p], back[q - p :]
+                    if q - p > 2 * len(used):
+                        common = overlaps(sets)[x, y]
+                    else:
+                        common = np.array([len(np.intersect1d(sets[g], sets[h], assume_unique=True)) for g, h in zip(x.tolist(), y.tolist(), strict=True)])
+                    similar[p:q] = common >= THRESHOLD * (size[x] + size[y] - common) - 1e-4
+                i, j = i[similar], j[similar]
+                links = np.bincount(i, members[j], n).astype(np.int64) + np.bincount(j, members[i], n).astype(np.int64)
+                x, y = _edges(cls, _least(n, i, j))
+                at = np.flatnonzero(links)
+                yield pa.RecordBatch.from_pydict({"a": pa.array(np.concatenate((cls[at], x))), "b": pa.array(np.concatenate((cls[at], y))), "links": pa.array(np.concatenate((links[at], np.zeros(len(x), np.int64))))})
+
+    return verify
+
+
+def _stored_set(folder: str, file: int, at: int) -> np.ndarray:
+    ends, values = mapped(f"{folder}/sets/{file:06d}")
+    return values[int(ends[at]) : int(ends[at + 1])]
+
+
+def _store_sets(folder: str):
+    """Write the sets of a partition, sorted by component and class, as one file: where each begins, and all values. Yields class, file, place."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        file = TaskContext.get().partitionId()
+        cls, sets = [], []
+        for batch in batches:
+            for c, x in zip(batch.column("cls").to_pylist(), batch.column("shingles").to_pylist(), strict=True):
+                if not cls or c != cls[-1]:  # equal rows of a table have equal sets
+                    cls.append(c)
+                    sets.append(np.frombuffer(x, np.uint64))
+        if cls:
+            store(f"{folder}/sets/{file:06d}", [np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int64), np.concatenate(sets)])
+            yield pa.RecordBatch.from_pydict({"cls": pa.array(cls, pa.int64()), "file": pa.array(np.full(len(cls), file, np.int32)), "at": pa.array(np.arange(len(cls), dtype=np.int32))})
+
+    return write
+
+
+def _in_blocks(rows: DataFrame, *columns: str) -> DataFrame:
+    """``rows``: band, n (members of that bucket), cls, and ``columns``. One row a bucket, or, in larger ones, one for each block and each pair of blocks:
+    x, y (lists of members; y null within a block). A list has about ``BLOCK`` members, so no bucket is collected whole."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    rows = rows.select("band", blocks.alias("blocks"), F.pmod(F.xxhash64("cls"), blocks).cast("int").alias("blk"), F.struct("cls", *columns).alias("member"))
+    lists = rows.groupBy("band", "blocks", "blk").agg(F.collect_list("member").alias("x"))
+    inside = lists.select("x", F.lit(None).cast(dict(lists.dtypes)["x"]).alias("y"))
+    some = lists.filter("blocks > 1")
+    low = some.filter("blk < blocks - 1").select("band", "x", F.explode(F.sequence(F.col("blk") + 1, F.col("blocks") - 1)).alias("blk"))
+    return inside.unionByName(low.join(some.select("band", "blk", F.col("x").alias("y")), ["band", "blk"]).select("x", "y"))
 
 
 def similarity_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -221,31 +279,27 @@ def similarity_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
     spark = tuned(docs.sparkSession)
     folder = shared_folder(spark, "jaccard")
     d = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    f = kept(d.mapInArrow(_features, "doc_id long, text_hash long, digest binary, sign binary, bands array<bigint>"), folder, "features")
+    f = kept(d.mapInArrow(_features, "doc_id long, text_hash long, digest binary, sign binary, size long"), folder, "features")
 
-    # A class is known by the least (id, text) of its documents, and numbered by a hash of its digest.
-    classes = f.filter("digest is not null").groupBy("digest").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), "doc_id", "text_hash", "sign", "bands")).alias("r"), F.count("*").alias("members"))
-    classes = kept(classes.select(F.xxhash64("digest").alias("cls"), "digest", "r.doc_id", "r.text_hash", "r.sign", "r.bands", "members"), folder, "classes")
+    # A class is known by the least (id, text) of its documents, and numbered when it is written (hashes of many classes would collide).
+    classes = f.filter("digest is not null").groupBy("digest").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), "doc_id", "text_hash", "sign", "size")).alias("r"), F.count("*").alias("members"))
+    classes = kept(classes.select(F.monotonically_increasing_id().alias("cls"), "digest", "r.doc_id", "r.text_hash", "r.sign", "r.size", "members"), folder, "classes")
 
     # Buckets of at least two classes; only their rows get a signature.
-    banded = classes.select("cls", F.explode("bands").alias("band"))
+    banded = classes.select("cls", F.posexplode(F.array(*(F.xxhash64(F.lit(k), F.substring("sign", 2 * ROWS * k + 1, 2 * ROWS)) for k in range(BANDS)))).alias("band_no", "band"))
     sizes = banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
-    rows = kept(banded.join(sizes, "band"), folder, "buckets")
-    sizes = rows.select("band", "n").distinct()
-    rows = rows.drop("n").join(classes.select("cls", "sign"), "cls")
-    rows = _blocked(rows, sizes, "band")
-    keys = ("band", "lo", "hi")
-    near = rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_in_buckets, "a long, b long").distinct()
+    rows = kept(banded.join(sizes, "band"), folder, "buckets").join(classes.select("cls", "sign", "members", "size", "doc_id", "text_hash"), "cls")
+    near = _in_blocks(rows, "sign").mapInArrow(_candidates, "a long, b long").distinct()
     member = kept(components(near, folder, "candidates"), folder, "members")
 
-    # Shingle sets of the classes that have candidates, once each, meet by component.
-    sizes = member.groupBy("component").agg(F.count("*").alias("n"))
-    wanted = member.select(F.col("node").alias("cls"), "component").join(classes.select("cls", "doc_id", "text_hash", "members"), "cls")
-    found = d.join(wanted.withColumnRenamed("doc_id", "w_doc").withColumnRenamed("text_hash", "w_hash"), F.col("doc_id").eqNullSafe(F.col("w_doc")) & (F.col("text_hash") == F.col("w_hash"))).select("cls", "component", "members", "text")
-    found = found.mapInArrow(_with_shingles, "cls long, component long, members long, shingles binary")
-    found = kept(found.dropDuplicates(["cls"]), folder, "shingles")
-    keys = ("component", "lo", "hi")
-    exact = _blocked(found, sizes, "component").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_in_components, "a long, b long, links long")
+    # Shingle sets of the classes that are left in a pair, once each, those of a component together.
+    wanted = kept(member.select(F.col("node").alias("cls"), "component").join(classes.select("cls", "doc_id", "text_hash", "size"), "cls"), folder, "wanted")
+    files = max(1, -(-8 * (wanted.agg(F.sum("size")).first()[0] or 0) // FILE_BYTES))
+    own = wanted.select("cls", "component", F.col("doc_id").alias("w_doc"), F.col("text_hash").alias("w_hash"))
+    found = d.join(own, F.col("doc_id").eqNullSafe(F.col("w_doc")) & (F.col("text_hash") == F.col("w_hash"))).select("cls", "component", "text")
+    found = found.mapInArrow(_with_shingles, "cls long, component long, shingles binary").repartitionByRange(files, "component", "cls").sortWithinPartitions("component", "cls")
+    places = kept(found.mapInArrow(_store_sets(folder), "cls long, file int, at int"), folder, "places")
+    exact = _in_blocks(rows.join(places, "cls"), "band_no", "sign", "members", "file", "at").mapInArrow(_verify(folder), "a long, b long, links long")
     exact = kept(exact, folder, "exact")
     links = exact.filter("links > 0").groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"))
     group = components(exact.filter("links = 0").select("a", "b"), folder, "groups")
@@ -264,19 +318,22 @@ def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Dat
     rows = kept(similarity_classes(docs, key=key, text=text), shared_folder(docs.sparkSession, "one"), "rows")
     first = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "text_hash")
     one = rows.filter("group is not null").groupBy("group").agg(F.min(first).alias("r")).select("r.doc_id", "r.text_hash")
-    one = one.unionByName(rows.filter("group is null").select("doc_id", "text_hash").distinct()).toDF("w_id", "w_hash")
-    hashed = docs.withColumn("w_text_hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    out = hashed.join(one, F.col(key).eqNullSafe(F.col("w_id")) & (F.col("w_text_hash") == F.col("w_hash")), "left_semi")
+    one = one.unionByName(rows.filter("group is null").select("doc_id", "text_hash").distinct())
+    # The names of added columns must be none of the table's.
+    own_hash, w_id, w_hash = fresh(docs, "text_hash", "one_id", "one_hash")
+    hashed = docs.withColumn(own_hash, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    one = one.toDF(w_id, w_hash)
+    out = hashed.join(one, F.col(key).eqNullSafe(F.col(w_id)) & (F.col(own_hash) == F.col(w_hash)), "left_semi")
     if not rows.groupBy("doc_id", "text_hash").count().filter("count > 1").isEmpty():
-        out = out.dropDuplicates([key, "w_text_hash"])
-    return out.drop("w_text_hash")
+        out = out.dropDuplicates([key, own_hash])
+    return out.drop(own_hash)
 
 
 def _with_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece in slices(batch):
             sets = [s.tobytes() for s in shingle_sets(piece.column("text"))]
-            yield pa.RecordBatch.from_pydict({n: piece.column(n) for n in ("cls", "component", "members")} | {"shingles": pa.array(sets, pa.binary())})
+            yield pa.RecordBatch.from_pydict({n: piece.column(n) for n in ("cls", "component")} | {"shingles": pa.array(sets, pa.binary())})
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
