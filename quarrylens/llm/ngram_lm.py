@@ -1,17 +1,21 @@
 """Interpolated modified Kneser-Ney n-gram model, counted in Spark and stored as sorted hash arrays.
 
 Tokens are ASCII-lowered words and one end mark a text; order-1 start marks stand before each text.
-Counting: every Arrow slice is reduced to distinct n-grams with counts, split into buckets by hash, and
-each bucket's blocks meet in one task, whatever n-gram is frequent. That task writes the bucket's sorted
-array of hashes with counts (a file of the shared folder, replaced as a whole by a retry) and passes on,
-summed within the bucket, what the next lower order needs: statistics of contexts, and continuation
-counts of suffixes. Counts of counts give each order's three discounts.
+Counting: a first pass counts words and so finds the frequent ones. In a second, every Arrow slice is reduced to distinct
+n-grams of the top order with counts, as blocks of bytes. The n-grams of a bucket of next-to-last words meet in one task: all contexts and
+all shorter n-grams down to pairs share that word, so the task finishes all orders but the lowest, and only counts of last words go on.
+N-grams whose next-to-last word is frequent (more than ``HOT_TOKENS`` tokens) are dealt by the hash of the whole n-gram instead and
+merged order by order, partial sums first, so no word, pair or context is a task's burden. Counts of counts give each order's three discounts.
 
-Scoring: tasks map the arrays into memory and look up the distinct n-grams of a slice in sorted order,
-so pages are read once, in sequence, and shared by the workers of a machine. Documents aren't shuffled.
+Arrays are files of the shared folder, replaced as a whole by a retry, and listed in a manifest: one that is gone is an error, not an empty one.
+A table of n-grams keeps the next 32 bits of each hash after those that its place in the array tells, so an n-gram that was never seen is taken
+for another with a chance of about 2e-9, whatever the size of the corpus. Words have whole hashes of 64 bits.
 
-Buckets grow in number with the input, so a bucket's task and its search depth stay the same. The
-production order is 3: see README.md for its disk figures.
+Scoring: tasks map the arrays into memory and look up the distinct n-grams of a slice, bucket by bucket, so pages are shared by the workers
+of a machine. Documents aren't shuffled.
+
+Buckets grow in number with the input, so a bucket's task and its search depth stay the same. A task deals to ``FAN`` parts at
+most; with more buckets than that the parts are dealt again. The production order is 3: see README.md for its disk figures.
 
 Defined cases: null and empty texts have the end mark only. Repeated rows count each time. Without
 training texts every token has the probability 1/(V+1) = 1. Further columns are ignored.
@@ -19,6 +23,7 @@ training texts every token has the probability 1/(V+1) = 1. Further columns are
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +36,12 @@ from .common import PLAIN, kept, mapped, mix, remainder, shared_folder, slices,
 ORDER = 3
 HELD_OUT = (7, 2)
 BUCKET_TEXT_BYTES = 16 << 20
-FLUSH_TOKENS = 3_000_000
+FLUSH_TOKENS = 2_000_000
+#: A word with more tokens is frequent.
+HOT_TOKENS = 2_000_000
+#: Bytes of text a file of words; parts that a task deals to.
+BUCKET_WORD_BYTES, FAN = 64 << 20, 256
+SCORE_BYTES = 2 << 20
 #: Discounts where the counts of counts of a small corpus give none within their range.
 FALLBACK = (0.5, 1.0, 1.5)
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
@@ -75,15 +85,20 @@ def with_ends(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h, np.repeat(np.arange(len(counts)), counts), counts
 
 
+def _sorted(columns: int) -> int:
+    """The column that a block's rows are sorted by: the next-to-last word of an n-gram."""
+    return max(columns - 2, 0)
+
+
 def _packed(hashes: list[np.ndarray], numbers: list[np.ndarray]) -> bytes:
-    """Columns of hashes as a sorted dictionary and codes (the first column is sorted, so its codes become steps),
+    """Columns of hashes as a sorted dictionary and codes (one column is sorted, so its codes become steps),
     then columns of small numbers; all as byte planes, those that are worth it compressed."""
     import zlib
 
     columns: list[tuple[np.ndarray, bool]] = []
     for k, c in enumerate(hashes):
         own, code = np.unique(c, return_inverse=True)
-        columns += [(np.diff(own, prepend=np.uint64(0)), False), (np.diff(code, prepend=0) if k == 0 else code, True)]
+        columns += [(np.diff(own, prepend=np.uint64(0)), False), (np.diff(code, prepend=0) if k == _sorted(len(hashes)) else code, True)]
     columns += [(n, True) for n in numbers]
     head, body = [len(hashes), len(numbers)], []
     for c, small in columns:
@@ -106,7 +121,7 @@ def _unpacked(raw: bytes) -> list[np.ndarray]:
         full = np.zeros((n, 8), np.uint8)
         full[:, :width] = np.frombuffer(zlib.decompress(own) if small else own, np.uint8).reshape(width, n).T
         columns.append(full.reshape(-1).view("<u8") if n else np.zeros(0, np.uint64))
-    out = [np.cumsum(columns[2 * k], dtype=np.uint64)[(np.cumsum(columns[2 * k + 1]) if k == 0 else columns[2 * k + 1]).astype(np.int64)] for k in range(m)]
+    out = [np.cumsum(columns[2 * k], dtype=np.uint64)[(np.cumsum(columns[2 * k + 1]) if k == _sorted(m) else columns[2 * k + 1]).astype(np.int64)] for k in range(m)]
     return out + columns[2 * m :]
 
 
@@ -126,28 +141,32 @@ def _merged(key: np.ndarray, n: np.ndarray, carried: list[np.ndarray]) -> tuple[
     return key[at], np.add.reduceat(n[order], at) if len(key) else n, [c[order[at]] for c in carried]
 
 
-def _dealt(kind: int, key: np.ndarray, hashes: list[np.ndarray], numbers: list[np.ndarray], buckets: int) -> Iterator[tuple[int, int, bytes]]:
-    """Rows (kind, bucket, block); the high bits of the key choose the bucket, in which rows are sorted by the first hash."""
-    bucket = ((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-    order = np.lexsort((hashes[0], bucket))
-    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    for b in range(buckets):
-        own = order[cuts[b] : cuts[b + 1]]
-        if len(own):
-            yield kind, b, _packed([c[own] for c in hashes], [c[own] for c in numbers])
+#: Blocks: n-grams by the hash of the whole, counts of words, statistics of contexts, n-grams by their next-to-last word, counts of last words.
+WHOLE, WORD, CONTEXT, LOCAL, LAST = range(5)
+#: Rows that aren't dealt: words that are frequent, numbers of a bucket.
+FREQUENT, NUMBERS = 8, 9
+_BLOCKS = "kind int, bucket int, part int, block binary"
 
 
-def _cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket's share of sorted hashes begins; the last value is their number."""
-    return np.searchsorted(((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32), np.arange(buckets + 1))
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """The high bits of a hash choose its bucket."""
+    return (((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
 
-_BLOCKS = "kind int, bucket int, block binary"
+def _dealt(kind: int, key: np.ndarray, hashes: list[np.ndarray], numbers: list[np.ndarray], buckets: int, parts: int = FAN) -> Iterator[tuple[int, int, int, bytes]]:
+    """Rows (kind, bucket or -1, part, block) by ``key``; within a block, rows are sorted by the column before the last, whose codes then take least room."""
+    parts = min(parts, buckets)
+    part = _bucket(key, buckets) * parts // buckets
+    order = np.lexsort((hashes[0], hashes[_sorted(len(hashes))], part))
+    cuts = np.searchsorted(part[order], np.arange(parts + 1))
+    for p in np.flatnonzero(np.diff(cuts)).tolist():
+        own = order[cuts[p] : cuts[p + 1]]
+        yield kind, p if parts == buckets else -1, p, _packed([c[own] for c in hashes], [c[own] for c in numbers])
 
 
-def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-    k, b, x = zip(*rows, strict=True) if rows else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(b, pa.int32()), pa.array(x, pa.binary())], ["kind", "bucket", "block"])
+def _batch(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["kind", "bucket", "part", "block"])
 
 
 def _joined(blocks: list[bytes]) -> list[np.ndarray]:
@@ -155,46 +174,122 @@ def _joined(blocks: list[bytes]) -> list[np.ndarray]:
     return [np.concatenate(c) for c in zip(*parts, strict=True)]
 
 
+def _coded(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """A code a row, as narrow as can be, and the columns of the distinct rows."""
+    row = columns[0].astype(np.uint64)
+    for c in columns[1:]:
+        row = mix(row) + c.astype(np.uint64)
+    _, first, code = np.unique(row, return_index=True, return_inverse=True)
+    return [code.astype(np.min_scalar_type(max(len(first) - 1, 0))), *(c[first].astype(np.uint64) for c in columns)]
+
+
+def _table(keys: np.ndarray, columns: list[np.ndarray]) -> list[np.ndarray]:
+    """Arrays to store: where each run of the hashes' first bits begins, the next 32 bits of each, sorted, and the values."""
+    keys = mix(keys)  # the bucket may tell the first bits of the hash itself
+    order = np.argsort(keys)
+    keys = keys[order]
+    bits = max(0, int(len(keys) // 8).bit_length())
+    runs = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)) if bits else np.array([0, len(keys)])
+    return [runs.astype(np.uint32), ((keys << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32), *_coded([c[order] for c in columns])]
+
+
+def _found(table: list[np.ndarray], keys: np.ndarray) -> list[np.ndarray]:
+    """The values of each key in arrays of ``_table`` (0 where there is none)."""
+    runs, low, code, *columns = table
+    bits = (len(runs) - 1).bit_length() - 1
+    keys = mix(keys)
+    run = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+    own = ((keys << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
+    a, b = runs[run].astype(np.int64), runs[run + 1].astype(np.int64)
+    end, last = b.copy(), len(low) - 1
+    for _ in range(int((b - a).max(initial=0)).bit_length()):
+        mid = (a + b) >> 1
+        less = (a < b) & (low[np.minimum(mid, last)] < own)
+        a, b = np.where(less, mid + 1, a), np.where(less, b, np.maximum(mid, a))
+    at = np.minimum(a, last)
+    hit = (a < end) & (low[at] == own)
+    return [np.where(hit, c[code[at]], 0) for c in columns]
+
+
+def _counted(words: list[np.ndarray], n: np.ndarray, k: int):
+    """Merge n-grams of order k. Their hashes and counts, their contexts with sums (all, once, twice, more often), the words but the first
+    of each, and the numbers for the discounts."""
+    places = grams(words)
+    key, n, carried = _merged(places[-1][0], n, [*words[1:], places[k - 2][0]])
+    one, two, more = (n == 1), (n == 2), (n > 2)
+    stats = np.array([*((n == x).sum() for x in (1, 2, 3, 4)), n.sum(), one.sum(), two.sum(), more.sum()], float)
+    return key, n, _grouped(carried[-1], n, one, two, more), carried[:-1], stats
+
+
 class Model:
-    """Where the arrays of a trained model are, and its few numbers."""
+    """Where the arrays of a trained model are, which there are, and its few numbers."""
 
     def __init__(self, folder: str, order: int, buckets: int):
         self.folder, self.order, self.buckets = folder, order, buckets
+        self.word_buckets = self.whole_buckets = 1
+        self.written: dict[str, np.ndarray] = {}
         self.discounts: dict[int, np.ndarray] = {}
         self.tokens = self.vocabulary = self.continuations = 0
 
-    def lookup(self, level: str, keys: np.ndarray, columns: int) -> list[np.ndarray]:
-        """Values of each key (0 where the model lacks it). Keys are made distinct and searched in order, bucket by bucket."""
-        distinct, back = np.unique(keys, return_inverse=True)
-        out = [np.zeros(len(distinct), np.float64) for _ in range(columns)]
-        cuts = _cuts(distinct, self.buckets)
-        for b in range(self.buckets):
-            own = distinct[cuts[b] : cuts[b + 1]]
-            if not len(own):
-                continue
-            arrays = mapped(f"{self.folder}/{level}/{b:05d}")
-            if not arrays or not len(arrays[0]):
-                continue
-            at = np.minimum(np.searchsorted(arrays[0], own), len(arrays[0]) - 1)
-            hit = arrays[0][at] == own
-            for o, a in zip(out, arrays[1:], strict=True):
-                o[cuts[b] : cuts[b + 1]] = np.where(hit, a[at], 0)
-        return [o[back] for o in out]
+    def add(self, level: str, buckets: list[int], of: int) -> None:
+        there = np.zeros(of, bool)
+        there[buckets] = True
+        self.written[level] = there
+
+    def frequent(self, words: np.ndarray) -> np.ndarray:
+        if "frequent" not in self.written:
+            return np.zeros(len(words), bool)
+        (all_,) = mapped(f"{self.folder}/frequent/00000")
+        return all_[np.minimum(np.searchsorted(all_, words), len(all_) - 1)] == words
+
+    def _arrays(self, level: str, bucket: int) -> list[np.ndarray] | None:
+        there = self.written.get(level)
+        return mapped(f"{self.folder}/{level}/{bucket:05d}") if there is not None and there[bucket] else None
+
+    def word_counts(self, words: np.ndarray) -> list[np.ndarray]:
+        """Training count and continuation count of each word."""
+        distinct, back = np.unique(words, return_inverse=True)
+        out = np.zeros((2, len(distinct)))
+        cuts = np.searchsorted(_bucket(distinct, self.word_buckets), np.arange(self.word_buckets + 1))
+        for b in np.flatnonzero(np.diff(cuts)).tolist():
+            arrays, own = self._arrays("1", b), distinct[cuts[b] : cuts[b + 1]]
+            if arrays is not None:
+                at = np.minimum(np.searchsorted(arrays[0], own), len(arrays[0]) - 1)
+                out[:, cuts[b] : cuts[b + 1]] = np.where(arrays[0][at] == own, [arrays[1][at], arrays[2][at]], 0)
+        return list(out[:, back])
+
+    def lookup(self, level: str, keys: np.ndarray, before: np.ndarray, hot: np.ndarray, columns: int) -> list[np.ndarray]:
+        """Values of each key (0 where the model lacks it). ``before``: the next-to-last word of the n-gram, ``hot``: that is frequent.
+        Keys are made distinct; only buckets that some of them fall in are touched."""
+        distinct, first, back = np.unique(keys, return_index=True, return_inverse=True)
+        hot = hot[first]
+        bucket = np.where(hot, self.buckets + _bucket(distinct, self.whole_buckets), _bucket(before[first], self.buckets))
+        order = np.argsort(bucket, kind="stable")
+        bucket = bucket[order]
+        out = np.zeros((columns, len(distinct)))
+        at = np.flatnonzero(np.diff(bucket, prepend=-1))
+        for p, q in zip(at.tolist(), [*at[1:].tolist(), len(bucket)], strict=True):
+            b = int(bucket[p])
+            arrays = self._arrays(level, b) if b < self.buckets else self._arrays(f"{level}w", b - self.buckets)
+            if arrays is not None:
+                out[:, order[p:q]] = _found(arrays, distinct[order[p:q]])
+        return list(out[:, back])
 
     def probabilities(self, h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Interpolated probability of each token, and its training count."""
         places = grams([shifted(h, row, k) for k in range(self.order - 1, -1, -1)])
-        count, continued = self.lookup("1", h, 2)
-        uniform = 1.0 / (self.vocabulary + 1)
-        p = np.full(len(h), uniform)
+        count, continued = self.word_counts(h)
+        p = np.full(len(h), 1.0 / (self.vocabulary + 1))
+        before = places[0][-2]
+        hot = self.frequent(before)
         for k in range(1, self.order + 1):
             d = self.discounts[k]
             if k == 1:
                 c, total = continued, np.full(len(h), float(self.continuations))
                 ones, twos, more = (np.full(len(h), x) for x in self.level_one)
             else:
-                c = self.lookup(str(k), places[k - 1][-1], 1)[0]
-                total, ones, twos, more = self.lookup(f"c{k}", places[k - 2][-2], 4)
+                c = self.lookup(str(k), places[k - 1][-1], before, hot, 1)[0]
+                total, ones, twos, more = self.lookup(f"c{k}", places[k - 2][-2], before, hot, 4)
             cut = d[np.minimum(c, 3).astype(np.int64)]
             free = d[1] * ones + d[2] * twos + d[3] * more
             seen = total > 0
@@ -208,100 +303,188 @@ def _narrow(c: np.ndarray) -> np.ndarray:
     return c.astype(np.min_scalar_type(int(c.max(initial=0))))
 
 
+def _buckets_of(model: Model) -> dict[int, int]:
+    return {WHOLE: model.whole_buckets, CONTEXT: model.whole_buckets, LOCAL: model.buckets, WORD: model.word_buckets, LAST: model.word_buckets}
+
+
+def _settled(rows: DataFrame, model: Model) -> DataFrame:
+    """Blocks that each lie in one bucket. Where a kind has more than ``FAN`` buckets, parts are dealt again, ``FAN`` ways a pass, in tasks that
+    each take a share of a part, so blocks grow in number with the data and not with its square."""
+    buckets = _buckets_of(model)
+    parts = FAN
+    while parts < max(buckets.values()):
+        parts *= FAN
+        done, rest = rows.filter("bucket >= 0"), rows.filter("bucket < 0")
+
+        def again(batches: Iterator[pa.RecordBatch], parts: int = parts) -> Iterator[pa.RecordBatch]:
+            held: dict[int, list[bytes]] = {}
+            size = 0
+
+            def flush() -> Iterator[pa.RecordBatch]:
+                for kind, blocks in held.items():
+                    *columns, n = _joined(blocks) if kind in (WHOLE, LOCAL, WORD, LAST) else (*_joined(blocks), None)
+                    hashes, numbers = (columns, [n]) if n is not None else (columns[:1], columns[1:])
+                    key = grams(hashes)[-1][0] if kind == WHOLE else hashes[-2] if kind == LOCAL else hashes[0]
+                    yield _batch(list(_dealt(kind, key, hashes, numbers, buckets[kind], parts)))
+
+            for batch in batches:
+                for kind, block in zip(batch.column("kind").to_pylist(), batch.column("block"), strict=True):
+                    held.setdefault(kind, []).append(block.as_py())
+                    size += len(held[kind][-1])
+                    if size > 8 * FLUSH_TOKENS:
+                        yield from flush()
+                        held, size = {}, 0
+            yield from flush()
+
+        # Sorted by part, so a task holds few parts at a time and each flush few children of them.
+        rest = rest.repartition("kind", "part", F.pmod(F.xxhash64("block"), F.lit(16))).sortWithinPartitions("kind", "part").mapInArrow(again, _BLOCKS)
+        rows = done.unionByName(rest)
+    return rows
+
+
 def train(docs: DataFrame, *, text: str = "text", order: int = ORDER) -> Model:
-    """Counts ``docs`` and returns the stored model."""
+    """Counts ``docs`` and returns the stored model (order 2 or more)."""
     spark = tuned(docs.sparkSession)
     folder = shared_folder(spark, "ngram")
     # The bytes of text set the number of buckets: it grows with the input, a bucket's task doesn't.
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
-    buckets = max(4, -(-int(size) // BUCKET_TEXT_BYTES))
-    model = Model(folder, order, buckets)
-    top = order
+    model = Model(folder, order, max(4, -(-int(size) // BUCKET_TEXT_BYTES)))
+    model.word_buckets = max(1, -(-int(size) // BUCKET_WORD_BYTES))
+    fits = np.zeros((order + 1, 8))
+
+    def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for batch in batches:
+            for piece in slices(batch):
+                own, times = np.unique(with_ends(piece.column("text"))[0], return_counts=True)
+                word, n = np.concatenate((word, own)), np.concatenate((n, times))
+                if len(word) > FLUSH_TOKENS:
+                    word, n = _grouped(word, n.astype(np.int64))
+                    n = n.astype(np.int64)
+                    if len(word) > FLUSH_TOKENS // 2:
+                        yield _batch(list(_dealt(WORD, word, [word], [n], model.word_buckets)))
+                        word, n = word[:0], n[:0]
+        if len(word):
+            word, n = _grouped(word, n)
+            yield _batch(list(_dealt(WORD, word, [word], [n], model.word_buckets)))
+
+    texts = docs.select(F.col(text).alias("text"))
+    done, _ = _merge(texts.mapInArrow(count_words, _BLOCKS), model, 0, fits)
+    # Of each word with more than HOT_TOKENS tokens eight bytes: as many as there are buckets, at most.
+    frequent = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(bytes(r.block), np.uint64) for r in done.filter(f"kind = {FREQUENT}").select("block").toLocalIterator())])
+    if len(frequent):
+        store(f"{folder}/frequent/00000", [np.unique(np.append(frequent, START)) if END in frequent else np.unique(frequent)])
+        model.add("frequent", [0], 1)
+        model.whole_buckets = model.buckets
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """kind 0: the words of distinct n-grams of the top order, with counts; kind 1: distinct words, with counts."""
-        held: list[list[np.ndarray]] = []
+        """Blocks of the words of distinct n-grams of the top order, with counts."""
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             if size:
-                words = [np.concatenate(c) for c in zip(*held, strict=True)]
-                own, times = np.unique(words[-1], return_counts=True)
-                key, n, words = _merged(grams(words)[-1][0], np.ones(len(words[0]), np.int64), words)
-                yield _batch([*_dealt(0, key, words, [n], buckets), *_dealt(1, own, [own], [times], buckets)])
+                rows = np.cumsum([0, *(row[-1] + 1 for _, row in held[:-1])])
+                h, row = np.concatenate([h for h, _ in held]), np.concatenate([r + a for (_, r), a in zip(held, rows, strict=True)])
+                words = [shifted(h, row, k) for k in range(order - 1, -1, -1)]
+                key, n, words = _merged(grams(words)[-1][0], np.ones(len(h), np.int64), words)
+                hot = model.frequent(words[-2])
+                for kind, own, by in ((WHOLE, np.flatnonzero(hot), key), (LOCAL, np.flatnonzero(~hot), words[-2])):
+                    if len(own):
+                        yield _batch(list(_dealt(kind, by[own], [w[own] for w in words], [n[own]], model.whole_buckets if kind == WHOLE else model.buckets)))
 
         for batch in batches:
             for piece in slices(batch):
                 h, row, _ = with_ends(piece.column("text"))
-                held.append([shifted(h, row, k) for k in range(top - 1, -1, -1)])
+                held.append((h, row))
                 size += len(h)
                 if size > FLUSH_TOKENS:
                     yield from flush()
                     held, size = [], 0
         yield from flush()
 
-    rows = docs.select(F.col(text).alias("text")).mapInArrow(count, _BLOCKS)
-    fits: dict[int, np.ndarray] = {}
+    rows, last = texts.mapInArrow(count, _BLOCKS), []
     for k in range(order, 0, -1):
-        rows, fits[k] = _level(rows, model, k, folder)
-    for k, n in fits.items():
+        if k == 1:
+            rows = functools.reduce(DataFrame.unionByName, last, rows)
+        done, words = _merge(rows, model, k, fits)
+        rows = done.filter(f"kind in ({WHOLE}, {CONTEXT})")
+        last.append(done.filter(f"kind = {LAST}"))
+        if k == 1:
+            model.tokens, model.vocabulary = int(words[0]), int(words[1])
+    for k in range(1, order + 1):
+        n = fits[k]
         y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.0
         d = [((j + 1 - (j + 2) * y * n[j + 1] / n[j]) if n[j] else 0.0) for j in range(3)]
         model.discounts[k] = np.array([0.0, *(x if 0 < x < j + 1 else f for j, (x, f) in enumerate(zip(d, FALLBACK, strict=True)))])
-    model.tokens, model.vocabulary = int(fits[1][8]), int(fits[1][9])
     model.continuations, model.level_one = float(fits[1][4]), fits[1][5:8]
     return model
 
 
-def _level(rows: DataFrame, model: Model, k: int, folder: str) -> tuple[DataFrame, np.ndarray]:
-    """Merge the buckets of one order, write its arrays, and pass on blocks for the order below.
-
-    Kinds in: 0 n-grams (their words, counts), 1 word counts, 2 statistics of the contexts of order k+1.
-    Returned numbers: n1..n4, sum, ones, twos, threes and more, tokens, vocabulary.
-    """
-    buckets, order = model.buckets, model.order
+def _merge(rows: DataFrame, model: Model, k: int, fits: np.ndarray) -> tuple[DataFrame, np.ndarray]:
+    """Merge each bucket's blocks, write its arrays and pass on blocks for the orders below. ``k``: the order of WHOLE blocks; CONTEXT blocks belong to
+    order k+1. Adds to ``fits`` and the manifest; returns the new blocks and (tokens, distinct words)."""
+    folder, order, buckets = model.folder, model.order, _buckets_of(model)
 
     def merge(pairs: pa.Table) -> pa.Table:
-        b = pairs.column("bucket")[0].as_py()
-        by = {x: [] for x in range(3)}
-        for kind, block in zip(pairs.column("kind").to_pylist(), pairs.column("block"), strict=True):
-            by[kind].append(block.as_py())
-        out: list[tuple[int, int, bytes]] = []
-        stats = np.zeros(10)
-        if by[2]:
-            c = _grouped(*_joined(by[2]))
-            store(f"{folder}/c{k + 1}/{b:05d}", [c[0], *map(_narrow, c[1:])])
-        if by[0]:
-            *words, n = _joined(by[0])
-            places = grams(words)
-            key, n, carried = _merged(places[-1][0], n, [*words, *(places[k - 2] if k > 1 else ())])
-            words, (context, suffix) = carried[:k], carried[k:] if k > 1 else (None, None)
-            one, two, more = (n == 1), (n == 2), (n > 2)
-            stats[:8] = [*((n == x).sum() for x in (1, 2, 3, 4)), n.sum(), one.sum(), two.sum(), more.sum()]
-            if k > 1:
-                store(f"{folder}/{k}/{b:05d}", [key, _narrow(n)])
-                own, *sums = _grouped(context, n, one, two, more)
-                out += _dealt(2, own, [own], sums, buckets)
-                below, times, words = _merged(suffix, np.ones(len(suffix), np.int64), words[1:])
-                out += _dealt(0, below, words, [times], buckets)
-        if by[1]:
-            word, count = _grouped(*_joined(by[1]))
-            if k > 1:
-                out += _dealt(1, word, [word], [count], buckets)
+        kind, b = pairs.column("kind")[0].as_py(), pairs.column("bucket")[0].as_py()
+        columns = _joined([x.as_py() for x in pairs.column("block")])
+        out: list[tuple[int, int, int, bytes]] = []
+        stats, words = np.zeros((order + 1, 8)), np.zeros(2)
+
+        def last(word: np.ndarray, n: np.ndarray) -> None:
+            word, n = _grouped(word, n)
+            out.extend(_dealt(LAST, word, [word], [n], buckets[LAST]))
+
+        if kind == WORD:
+            word, n = _grouped(*columns)
+            store(f"{folder}/w/{b:05d}", [word, _narrow(n)])
+            if (n > HOT_TOKENS).any():
+                out.append((FREQUENT, b, 0, word[n > HOT_TOKENS].tobytes()))
+        elif kind == LOCAL:
+            *grams_, n = columns
+            for j in range(order, 1, -1):
+                key, n, context, grams_, stats[j] = _counted(grams_, n, j)
+                store(f"{folder}/{j}/{b:05d}", _table(key, [n]))
+                store(f"{folder}/c{j}/{b:05d}", _table(context[0], context[1:]))
+                n = np.ones(len(key), np.int64)
+            last(grams_[0], n)
+        elif kind == WHOLE:
+            key, n, context, below, stats[k] = _counted(columns[:-1], columns[-1], k)
+            store(f"{folder}/{k}w/{b:05d}", _table(key, [n]))
+            out.extend(_dealt(CONTEXT, context[0], context[:1], context[1:], buckets[CONTEXT]))
+            if k == 2:
+                last(below[0], np.ones(len(key), np.int64))
             else:
-                continued = np.zeros(len(word), np.uint64)
-                if by[0]:
-                    at = np.minimum(np.searchsorted(key, word), len(key) - 1)
-                    continued = np.where(key[at] == word, n[at], 0)
-                store(f"{folder}/1/{b:05d}", [word, _narrow(count), _narrow(continued)])
-                stats[8:] = [count.sum(), len(word)]
-        out.append((9, b, stats.tobytes()))
+                suffix, n, below = _merged(grams(below)[-1][0], np.ones(len(key), np.int64), below)
+                out.extend(_dealt(WHOLE, suffix, below, [n], buckets[WHOLE]))
+        elif kind == CONTEXT:
+            context = _grouped(*columns)
+            store(f"{folder}/c{k + 1}w/{b:05d}", _table(context[0], context[1:]))
+        else:
+            word, n = _grouped(*columns)
+            every, count = mapped(f"{folder}/w/{b:05d}")
+            continued = np.zeros(len(every), np.uint64)
+            continued[np.searchsorted(every, word)] = n
+            store(f"{folder}/1/{b:05d}", [np.asarray(every), np.asarray(count), _narrow(continued)])
+            one, two, more = (n == 1), (n == 2), (n > 2)
+            stats[1] = [*((n == x).sum() for x in (1, 2, 3, 4)), n.sum(), one.sum(), two.sum(), more.sum()]
+            words[:] = count.sum(dtype=np.int64), len(every)
+        out.append((NUMBERS, b, kind, np.concatenate((stats.ravel(), words)).tobytes()))
         return pa.Table.from_batches([_batch(out)])
 
-    done = rows.groupBy("bucket").applyInArrow(merge, _BLOCKS)
-    done = kept(done, folder, f"blocks-{k}")
-    numbers = [np.frombuffer(bytes(r.block), np.float64) for r in done.filter("kind = 9").select("block").toLocalIterator()]
-    return done.filter("kind <> 9"), np.sum(numbers, axis=0) if numbers else np.zeros(10)
+    done = kept(_settled(rows, model).groupBy("kind", "bucket").applyInArrow(merge, _BLOCKS), folder, f"blocks-{k}")
+    words, there = np.zeros(2), {}
+    for r in done.filter(f"kind = {NUMBERS}").select("bucket", "part", "block").toLocalIterator():  # some numbers a bucket
+        own = np.frombuffer(bytes(r.block))
+        fits += own[:-2].reshape(fits.shape)
+        words += own[-2:]
+        there.setdefault(r.part, []).append(r.bucket)
+    names = {LOCAL: [f"{p}{j}" for j in range(order, 1, -1) for p in ("", "c")], WHOLE: [f"{k}w"], CONTEXT: [f"c{k + 1}w"], LAST: ["1"], WORD: []}
+    for kind, own in there.items():
+        for name in names[kind]:
+            model.add(name, own, buckets[kind])
+    return done, words
 
 
 def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -309,7 +492,7 @@ def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "te
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, limit=SCORE_BYTES):
                 h, row, counts = with_ends(piece.column("text"))
                 p, c = model.probabilities(h, row)
                 own = lambda x: np.bincount(row, x, len(counts))

@@ -118,9 +118,11 @@ def _kneser_ney(train, texts, order):
     return out
 
 
-@pytest.mark.parametrize("order", [2, 3])
-def test_language_model_against_brute_force(docs, corpus, order, monkeypatch):
-    monkeypatch.setattr(ngram_lm, "BUCKET_TEXT_BYTES", 3000)
+@pytest.mark.parametrize(("order", "hot", "fan"), [(2, 1 << 60, 256), (2, 20, 256), (3, 1 << 60, 256), (3, 20, 2), (4, 20, 256)])
+def test_language_model_against_brute_force(docs, corpus, order, hot, fan, monkeypatch):
+    """Without and with frequent words, and with more buckets than a task deals to."""
+    for name, value in (("BUCKET_TEXT_BYTES", 3000), ("BUCKET_WORD_BYTES", 10_000), ("HOT_TOKENS", hot), ("FAN", fan), ("FLUSH_TOKENS", 2000)):
+        monkeypatch.setattr(ngram_lm, name, value)
     train = docs.filter(remainder("doc_id", 7) != 2)
     got = {r.doc_id: r for r in ngram_lm.score(docs, ngram_lm.train(train, order=order)).collect()}
     want = _kneser_ney([t for i, t in corpus if zlib.crc32(str(i).encode()) % 7 != 2], [t for _, t in corpus], order)
