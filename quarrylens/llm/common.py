@@ -170,6 +170,41 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def apart(names: tuple[str, ...] | list[str], own: tuple[str, ...]) -> list[str]:
+    """Names for carried columns: one that an operator's own column has gets underscores before it."""
+    there, out = {c.lower() for c in own}, []
+    for n in names:
+        while n.lower() in there:
+            n = f"_{n}"
+        there.add(n.lower())
+        out.append(n)
+    return out
+
+
+def running_before(df: DataFrame, keys: tuple[str, ...], order: str, value: str, name: str, step: int = 1024) -> DataFrame:
+    """Adds ``name``: the sum of ``value`` over the rows of the same keys with a lesser ``order`` (a long, distinct within the keys). In two levels, so
+    that one task sorts ``step`` rows, or one row for each ``step`` of them."""
+    from pyspark.sql import Window
+
+    top, prior, *mine = fresh(df, "top", "prior", *(f"key{i}" for i in range(len(keys))), "its_top")
+    df = df.withColumn(top, F.floor(F.col(order) / step))
+    sums = df.groupBy(*keys, top).agg(F.sum(value).alias(prior))
+    sums = sums.withColumn(prior, F.sum(prior).over(Window.partitionBy(*keys).orderBy(top)) - F.col(prior)).toDF(*mine, prior)
+    within = F.sum(value).over(Window.partitionBy(*keys, top).orderBy(order)) - F.col(value)
+    same = F.lit(True)
+    for a, b in zip((*keys, top), mine, strict=True):
+        same = same & F.col(a).eqNullSafe(F.col(b))
+    return df.withColumn(name, within).join(sums, same).withColumn(name, F.col(name) + F.col(prior)).drop(top, prior, *mine)
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", shares: int = 64) -> DataFrame:
+    """``left`` joined with the one row that ``right`` has for its key. A key may hold any number of rows of ``left``: those are dealt by key and a share of
+    the row's hash, and the right row goes to the shares that there are."""
+    (share,) = fresh(left, "share")
+    left = left.withColumn(share, F.pmod(F.xxhash64(*left.columns), F.lit(shares)))
+    return left.join(left.select(key, share).distinct().join(right, key, how), [key, share], how).drop(share)
+
+
 def tuned(spark: SparkSession) -> SparkSession:
     """Small Arrow batches, so that rows with long texts don't pile up in one batch."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import PLAIN, fresh, kept, mapped, mix, shared_folder, slices, store, table, tokenise, tuned, windows
+from .common import PLAIN, fresh, kept, mapped, mix, shared_folder, slices, spread_join, store, table, tokenise, tuned, windows
 from .components import components
 
 SHINGLE = 5
@@ -216,8 +216,8 @@ def _verify(folder: str):
                 i, j = i[order], j[order]
                 similar = np.zeros(len(i), bool)
                 # The pairs of a row of ``batch`` are consecutive now.
-                at = np.flatnonzero(np.diff(group[i], prepend=-1)) if len(i) else i
-                for p, q in zip(at.tolist(), [*at[1:].tolist(), len(i)], strict=True):
+                cuts = [*np.flatnonzero(np.diff(group[i], prepend=-1)).tolist(), len(i)]
+                for p, q in zip(cuts[:-1], cuts[1:], strict=True):
                     used, back = np.unique(np.concatenate((i[p:q], j[p:q])), return_inverse=True)
                     sets = [_stored_set(folder, int(c["file"][k]), int(c["at"][k])) for k in used]
                     size = np.array([len(x) for x in sets])
@@ -296,7 +296,8 @@ def similarity_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
     wanted = kept(member.select(F.col("node").alias("cls"), "component").join(classes.select("cls", "doc_id", "text_hash", "size"), "cls"), folder, "wanted")
     files = max(1, -(-8 * (wanted.agg(F.sum("size")).first()[0] or 0) // FILE_BYTES))
     own = wanted.select("cls", "component", F.col("doc_id").alias("w_doc"), F.col("text_hash").alias("w_hash"))
-    found = d.join(own, F.col("doc_id").eqNullSafe(F.col("w_doc")) & (F.col("text_hash") == F.col("w_hash"))).select("cls", "component", "text")
+    # Never broadcast, however few they are today: they grow with the documents.
+    found = d.join(own.hint("merge"), F.col("doc_id").eqNullSafe(F.col("w_doc")) & (F.col("text_hash") == F.col("w_hash"))).select("cls", "component", "text")
     found = found.mapInArrow(_with_shingles, "cls long, component long, shingles binary").repartitionByRange(files, "component", "cls").sortWithinPartitions("component", "cls")
     places = kept(found.mapInArrow(_store_sets(folder), "cls long, file int, at int"), folder, "places")
     exact = _in_blocks(rows.join(places, "cls"), "band_no", "sign", "members", "file", "at").mapInArrow(_verify(folder), "a long, b long, links long")
@@ -306,7 +307,7 @@ def similarity_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
 
     named = classes.select("cls", "digest", F.col("doc_id").alias("class_id"), "members")
     least = group.join(named.select(F.col("cls").alias("node"), "class_id"), "node").groupBy("component").agg(F.min("class_id").alias("group_id"))
-    group = group.join(least, "component").select(F.col("node").alias("cls"), "group_id", F.col("component").alias("group"))
+    group = spread_join(group, least, "component").select(F.col("node").alias("cls"), "group_id", F.col("component").alias("group"))
     named = named.join(links, "cls", "left").join(group, "cls", "left")
     named = named.select("digest", "class_id", F.coalesce("group_id", "class_id").alias("group_id"), F.coalesce("group", "cls").alias("group"), (F.coalesce("links", F.lit(0)) + F.col("members") - 1).alias("n_links"))
     return f.select("doc_id", "text_hash", "digest").join(named, "digest", "left").select("doc_id", "text_hash", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("group_id", "doc_id").alias("group_id"), "group", F.coalesce("n_links", F.lit(0)).alias("n_links"))
