@@ -1,15 +1,15 @@
 """Interpolated modified Kneser-Ney n-gram model, counted in Spark and stored as sorted hash arrays.
 
 Tokens are ASCII-lowered words and one end mark a text; order-1 start marks stand before each text.
-Counting: a first pass counts words and so finds the frequent ones. In a second, every Arrow slice is reduced to distinct
-n-grams of the top order with counts, as blocks of bytes. The n-grams of a bucket of next-to-last words meet in one task: all contexts and
+Counting: a first pass counts words, which gives each its number (its place among the sorted hashes) and finds the frequent ones. In a second,
+every Arrow slice is reduced to distinct n-grams of the top order with counts, as blocks of word numbers. The n-grams of a bucket of next-to-last words meet in one task: all contexts and
 all shorter n-grams down to pairs share that word, so the task finishes all orders but the lowest, and only counts of last words go on.
 N-grams whose next-to-last word is frequent (more than ``HOT_TOKENS`` tokens) are dealt by the hash of the whole n-gram instead and
 merged order by order, partial sums first, so no word, pair or context is a task's burden. Counts of counts give each order's three discounts.
 
 Arrays are files of the shared folder, replaced as a whole by a retry, and listed in a manifest: one that is gone is an error, not an empty one.
 A table of n-grams keeps the next 32 bits of each hash after those that its place in the array tells, so an n-gram that was never seen is taken
-for another with a chance of about 2e-9, whatever the size of the corpus. Words have whole hashes of 64 bits.
+for another with a chance of about 4e-9, whatever the size of the corpus; the three most usual values take two bits. Words have whole hashes of 64 bits.
 
 Scoring: tasks map the arrays into memory and look up the distinct n-grams of a slice, bucket by bucket, so pages are shared by the workers
 of a machine. Documents aren't shuffled.
@@ -44,7 +44,9 @@ BUCKET_WORD_BYTES, FAN = 64 << 20, 256
 SCORE_BYTES = 2 << 20
 #: Discounts where the counts of counts of a small corpus give none within their range.
 FALLBACK = (0.5, 1.0, 1.5)
-END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
+END = np.uint64(0x5851F42D4C957F2D)
+#: The number of the start mark; words have 1 and up.
+START = np.uint64(0)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -66,8 +68,8 @@ def shifted(h: np.ndarray, row: np.ndarray, k: int) -> np.ndarray:
 
 
 def grams(words: list[np.ndarray]) -> list[list[np.ndarray]]:
-    """``words``: hashes of the words of n-grams, a column a place. [k-1][i]: hash of the k words from place i."""
-    out = [words]
+    """``words``: numbers of the words of n-grams, a column a place. [k-1][i]: hash of the k words from place i."""
+    out = [[mix(w + np.uint64(1)) for w in words]]
     for k in range(2, len(words) + 1):
         out.append([_combined(out[-1][i], out[-1][i + 1], k) for i in range(len(words) - k + 1)])
     return out
@@ -148,15 +150,20 @@ FREQUENT, NUMBERS = 8, 9
 _BLOCKS = "kind int, bucket int, part int, block binary"
 
 
+def _by_word(words: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of n-grams with these next-to-last words (numbers)."""
+    return _bucket(mix(words + np.uint64(1)), buckets)
+
+
 def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     """The high bits of a hash choose its bucket."""
     return (((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
 
-def _dealt(kind: int, key: np.ndarray, hashes: list[np.ndarray], numbers: list[np.ndarray], buckets: int, parts: int = FAN) -> Iterator[tuple[int, int, int, bytes]]:
-    """Rows (kind, bucket or -1, part, block) by ``key``; within a block, rows are sorted by the column before the last, whose codes then take least room."""
+def _dealt(kind: int, bucket: np.ndarray, hashes: list[np.ndarray], numbers: list[np.ndarray], buckets: int, parts: int = FAN) -> Iterator[tuple[int, int, int, bytes]]:
+    """Rows (kind, bucket or -1, part, block); within a block, rows are sorted by the column before the last, whose codes then take least room."""
     parts = min(parts, buckets)
-    part = _bucket(key, buckets) * parts // buckets
+    part = bucket * parts // buckets
     order = np.lexsort((hashes[0], hashes[_sorted(len(hashes))], part))
     cuts = np.searchsorted(part[order], np.arange(parts + 1))
     for p in np.flatnonzero(np.diff(cuts)).tolist():
@@ -175,12 +182,30 @@ def _joined(blocks: list[bytes]) -> list[np.ndarray]:
 
 
 def _coded(columns: list[np.ndarray]) -> list[np.ndarray]:
-    """A code a row, as narrow as can be, and the columns of the distinct rows."""
+    """The columns of the distinct rows, the most usual first, and a code a row: two bits for the first three, four to a byte, and for the others
+    3, with their places and codes apart."""
     row = columns[0].astype(np.uint64)
     for c in columns[1:]:
         row = mix(row) + c.astype(np.uint64)
-    _, first, code = np.unique(row, return_index=True, return_inverse=True)
-    return [code.astype(np.min_scalar_type(max(len(first) - 1, 0))), *(c[first].astype(np.uint64) for c in columns)]
+    _, first, code, times = np.unique(row, return_index=True, return_inverse=True, return_counts=True)
+    order = np.argsort(-times, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    code, first = place[code], first[order]
+    rare = np.flatnonzero(code > 2)
+    two = np.zeros(-(-len(code) // 4) * 4, np.uint8)
+    two[: len(code)] = np.minimum(code, 3)
+    packed = two[0::4] | (two[1::4] << 2) | (two[2::4] << 4) | (two[3::4] << 6)
+    return [packed, rare.astype(np.uint32), code[rare].astype(np.min_scalar_type(max(len(first) - 1, 0))), *(c[first].astype(np.uint64) for c in columns)]
+
+
+def _decoded(coded: list[np.ndarray], at: np.ndarray) -> list[np.ndarray]:
+    """The rows of ``_coded`` at the given places."""
+    packed, rare, codes, *columns = coded
+    code = ((packed[at >> 2] >> ((at & 3) * 2).astype(np.uint8)) & 3).astype(np.int64)
+    other = np.flatnonzero(code == 3)
+    code[other] = codes[np.searchsorted(rare, at[other].astype(np.uint32))]
+    return [c[code] for c in columns]
 
 
 def _table(keys: np.ndarray, columns: list[np.ndarray]) -> list[np.ndarray]:
@@ -188,14 +213,17 @@ def _table(keys: np.ndarray, columns: list[np.ndarray]) -> list[np.ndarray]:
     keys = mix(keys)  # the bucket may tell the first bits of the hash itself
     order = np.argsort(keys)
     keys = keys[order]
-    bits = max(0, int(len(keys) // 8).bit_length())
+    bits = max(0, int(len(keys) // 16).bit_length())
     runs = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)) if bits else np.array([0, len(keys)])
     return [runs.astype(np.uint32), ((keys << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32), *_coded([c[order] for c in columns])]
 
 
 def _found(table: list[np.ndarray], keys: np.ndarray) -> list[np.ndarray]:
     """The values of each key in arrays of ``_table`` (0 where there is none)."""
-    runs, low, code, *columns = table
+    runs, low, *coded = table
+    out = [np.zeros(len(keys)) for _ in coded[3:]]
+    if not len(low):
+        return out
     bits = (len(runs) - 1).bit_length() - 1
     keys = mix(keys)
     run = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
@@ -208,7 +236,9 @@ def _found(table: list[np.ndarray], keys: np.ndarray) -> list[np.ndarray]:
         a, b = np.where(less, mid + 1, a), np.where(less, b, np.maximum(mid, a))
     at = np.minimum(a, last)
     hit = (a < end) & (low[at] == own)
-    return [np.where(hit, c[code[at]], 0) for c in columns]
+    for o, c in zip(out, _decoded(coded, at[hit]), strict=True):
+        o[hit] = c
+    return out
 
 
 def _counted(words: list[np.ndarray], n: np.ndarray, k: int):
@@ -230,6 +260,23 @@ class Model:
         self.written: dict[str, np.ndarray] = {}
         self.discounts: dict[int, np.ndarray] = {}
         self.tokens = self.vocabulary = self.continuations = 0
+        self.base = np.zeros(2, np.int64)
+
+    def words(self, hashes: np.ndarray, columns: int = 0) -> list[np.ndarray]:
+        """Numbers of words (one beyond all for a word that the model lacks), and with ``columns`` their training and continuation counts."""
+        distinct, back = np.unique(hashes, return_inverse=True)
+        number, out = np.full(len(distinct), self.base[-1] + 1, np.uint64), np.zeros((columns, len(distinct)))
+        cuts = np.searchsorted(_bucket(distinct, self.word_buckets), np.arange(self.word_buckets + 1))
+        for b in np.flatnonzero(np.diff(cuts)).tolist():
+            every, own = self._arrays("w", b), distinct[cuts[b] : cuts[b + 1]]
+            if every is not None:
+                at = np.minimum(np.searchsorted(every[0], own), len(every[0]) - 1)
+                hit = np.flatnonzero(every[0][at] == own)
+                number[cuts[b] + hit] = self.base[b] + at[hit] + 1
+                if columns:
+                    out[0, cuts[b] + hit] = _decoded(every[1:], at[hit])[0]
+                    out[1, cuts[b] + hit] = _decoded(self._arrays("1", b), at[hit])[0]
+        return [number[back], *out[:, back]]
 
     def add(self, level: str, buckets: list[int], of: int) -> None:
         there = np.zeros(of, bool)
@@ -246,29 +293,17 @@ class Model:
         there = self.written.get(level)
         return mapped(f"{self.folder}/{level}/{bucket:05d}") if there is not None and there[bucket] else None
 
-    def word_counts(self, words: np.ndarray) -> list[np.ndarray]:
-        """Training count and continuation count of each word."""
-        distinct, back = np.unique(words, return_inverse=True)
-        out = np.zeros((2, len(distinct)))
-        cuts = np.searchsorted(_bucket(distinct, self.word_buckets), np.arange(self.word_buckets + 1))
-        for b in np.flatnonzero(np.diff(cuts)).tolist():
-            arrays, own = self._arrays("1", b), distinct[cuts[b] : cuts[b + 1]]
-            if arrays is not None:
-                at = np.minimum(np.searchsorted(arrays[0], own), len(arrays[0]) - 1)
-                out[:, cuts[b] : cuts[b + 1]] = np.where(arrays[0][at] == own, [arrays[1][at], arrays[2][at]], 0)
-        return list(out[:, back])
-
     def lookup(self, level: str, keys: np.ndarray, before: np.ndarray, hot: np.ndarray, columns: int) -> list[np.ndarray]:
         """Values of each key (0 where the model lacks it). ``before``: the next-to-last word of the n-gram, ``hot``: that is frequent.
         Keys are made distinct; only buckets that some of them fall in are touched."""
         distinct, first, back = np.unique(keys, return_index=True, return_inverse=True)
         hot = hot[first]
-        bucket = np.where(hot, self.buckets + _bucket(distinct, self.whole_buckets), _bucket(before[first], self.buckets))
+        bucket = np.where(hot, self.buckets + _bucket(distinct, self.whole_buckets), _by_word(before[first], self.buckets))
         order = np.argsort(bucket, kind="stable")
         bucket = bucket[order]
         out = np.zeros((columns, len(distinct)))
-        at = np.flatnonzero(np.diff(bucket, prepend=-1))
-        for p, q in zip(at.tolist(), [*at[1:].tolist(), len(bucket)], strict=True):
+        cuts = [*np.flatnonzero(np.diff(bucket, prepend=-1)).tolist(), len(bucket)]
+        for p, q in zip(cuts[:-1], cuts[1:], strict=True):
             b = int(bucket[p])
             arrays = self._arrays(level, b) if b < self.buckets else self._arrays(f"{level}w", b - self.buckets)
             if arrays is not None:
@@ -277,10 +312,10 @@ class Model:
 
     def probabilities(self, h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Interpolated probability of each token, and its training count."""
-        places = grams([shifted(h, row, k) for k in range(self.order - 1, -1, -1)])
-        count, continued = self.word_counts(h)
+        h, count, continued = self.words(h, 2)
+        words = [shifted(h, row, k) for k in range(self.order - 1, -1, -1)]
+        places, before = grams(words), words[-2]
         p = np.full(len(h), 1.0 / (self.vocabulary + 1))
-        before = places[0][-2]
         hot = self.frequent(before)
         for k in range(1, self.order + 1):
             d = self.discounts[k]
@@ -298,9 +333,15 @@ class Model:
         return p, count
 
 
-def _narrow(c: np.ndarray) -> np.ndarray:
-    """As few bytes as the values need."""
-    return c.astype(np.min_scalar_type(int(c.max(initial=0))))
+def _bucket_of(kind: int, columns: list[np.ndarray], model: Model) -> np.ndarray:
+    """The bucket of each row of a block's columns (CONTEXT and WORD: hashes, else numbers of words)."""
+    if kind == LAST:
+        return np.searchsorted(model.base[1:], columns[0].astype(np.int64) - 1, side="right")
+    if kind == LOCAL:
+        return _by_word(columns[-2], model.buckets)
+    if kind == WHOLE:
+        return _bucket(grams(columns)[-1][0], model.whole_buckets)
+    return _bucket(columns[0], model.whole_buckets if kind == CONTEXT else model.word_buckets)
 
 
 def _buckets_of(model: Model) -> dict[int, int]:
@@ -324,8 +365,7 @@ def _settled(rows: DataFrame, model: Model) -> DataFrame:
                 for kind, blocks in held.items():
                     *columns, n = _joined(blocks) if kind in (WHOLE, LOCAL, WORD, LAST) else (*_joined(blocks), None)
                     hashes, numbers = (columns, [n]) if n is not None else (columns[:1], columns[1:])
-                    key = grams(hashes)[-1][0] if kind == WHOLE else hashes[-2] if kind == LOCAL else hashes[0]
-                    yield _batch(list(_dealt(kind, key, hashes, numbers, buckets[kind], parts)))
+                    yield _batch(list(_dealt(kind, _bucket_of(kind, hashes, model), hashes, numbers, buckets[kind], parts)))
 
             for batch in batches:
                 for kind, block in zip(batch.column("kind").to_pylist(), batch.column("block"), strict=True):
@@ -362,18 +402,19 @@ def train(docs: DataFrame, *, text: str = "text", order: int = ORDER) -> Model:
                     word, n = _grouped(word, n.astype(np.int64))
                     n = n.astype(np.int64)
                     if len(word) > FLUSH_TOKENS // 2:
-                        yield _batch(list(_dealt(WORD, word, [word], [n], model.word_buckets)))
+                        yield _batch(list(_dealt(WORD, _bucket(word, model.word_buckets), [word], [n], model.word_buckets)))
                         word, n = word[:0], n[:0]
         if len(word):
             word, n = _grouped(word, n)
-            yield _batch(list(_dealt(WORD, word, [word], [n], model.word_buckets)))
+            yield _batch(list(_dealt(WORD, _bucket(word, model.word_buckets), [word], [n], model.word_buckets)))
 
     texts = docs.select(F.col(text).alias("text"))
-    done, _ = _merge(texts.mapInArrow(count_words, _BLOCKS), model, 0, fits)
+    done = _merge(texts.mapInArrow(count_words, _BLOCKS), model, 0, fits)
     # Of each word with more than HOT_TOKENS tokens eight bytes: as many as there are buckets, at most.
     frequent = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(bytes(r.block), np.uint64) for r in done.filter(f"kind = {FREQUENT}").select("block").toLocalIterator())])
     if len(frequent):
-        store(f"{folder}/frequent/00000", [np.unique(np.append(frequent, START)) if END in frequent else np.unique(frequent)])
+        numbers = model.words(frequent)[0]
+        store(f"{folder}/frequent/00000", [np.unique(np.append(numbers, START)) if END in frequent else np.unique(numbers)])
         model.add("frequent", [0], 1)
         model.whole_buckets = model.buckets
 
@@ -386,12 +427,14 @@ def train(docs: DataFrame, *, text: str = "text", order: int = ORDER) -> Model:
             if size:
                 rows = np.cumsum([0, *(row[-1] + 1 for _, row in held[:-1])])
                 h, row = np.concatenate([h for h, _ in held]), np.concatenate([r + a for (_, r), a in zip(held, rows, strict=True)])
+                h = model.words(h)[0]
                 words = [shifted(h, row, k) for k in range(order - 1, -1, -1)]
-                key, n, words = _merged(grams(words)[-1][0], np.ones(len(h), np.int64), words)
+                _, n, words = _merged(grams(words)[-1][0], np.ones(len(h), np.int64), words)
                 hot = model.frequent(words[-2])
-                for kind, own, by in ((WHOLE, np.flatnonzero(hot), key), (LOCAL, np.flatnonzero(~hot), words[-2])):
+                for kind, own in ((WHOLE, np.flatnonzero(hot)), (LOCAL, np.flatnonzero(~hot))):
                     if len(own):
-                        yield _batch(list(_dealt(kind, by[own], [w[own] for w in words], [n[own]], model.whole_buckets if kind == WHOLE else model.buckets)))
+                        columns = [w[own] for w in words]
+                        yield _batch(list(_dealt(kind, _bucket_of(kind, columns, model), columns, [n[own]], model.whole_buckets if kind == WHOLE else model.buckets)))
 
         for batch in batches:
             for piece in slices(batch):
@@ -407,11 +450,9 @@ def train(docs: DataFrame, *, text: str = "text", order: int = ORDER) -> Model:
     for k in range(order, 0, -1):
         if k == 1:
             rows = functools.reduce(DataFrame.unionByName, last, rows)
-        done, words = _merge(rows, model, k, fits)
+        done = _merge(rows, model, k, fits)
         rows = done.filter(f"kind in ({WHOLE}, {CONTEXT})")
         last.append(done.filter(f"kind = {LAST}"))
-        if k == 1:
-            model.tokens, model.vocabulary = int(words[0]), int(words[1])
     for k in range(1, order + 1):
         n = fits[k]
         y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.0
@@ -421,9 +462,9 @@ def train(docs: DataFrame, *, text: str = "text", order: int = ORDER) -> Model:
     return model
 
 
-def _merge(rows: DataFrame, model: Model, k: int, fits: np.ndarray) -> tuple[DataFrame, np.ndarray]:
+def _merge(rows: DataFrame, model: Model, k: int, fits: np.ndarray) -> DataFrame:
     """Merge each bucket's blocks, write its arrays and pass on blocks for the orders below. ``k``: the order of WHOLE blocks; CONTEXT blocks belong to
-    order k+1. Adds to ``fits`` and the manifest; returns the new blocks and (tokens, distinct words)."""
+    order k+1. Adds to ``fits`` and the manifest; returns the new blocks. For k = 0, words are counted and numbered."""
     folder, order, buckets = model.folder, model.order, _buckets_of(model)
 
     def merge(pairs: pa.Table) -> pa.Table:
@@ -434,11 +475,12 @@ def _merge(rows: DataFrame, model: Model, k: int, fits: np.ndarray) -> tuple[Dat
 
         def last(word: np.ndarray, n: np.ndarray) -> None:
             word, n = _grouped(word, n)
-            out.extend(_dealt(LAST, word, [word], [n], buckets[LAST]))
+            out.extend(_dealt(LAST, _bucket_of(LAST, [word], model), [word], [n], buckets[LAST]))
 
         if kind == WORD:
             word, n = _grouped(*columns)
-            store(f"{folder}/w/{b:05d}", [word, _narrow(n)])
+            store(f"{folder}/w/{b:05d}", [word, *_coded([n])])
+            words[:] = n.sum(dtype=np.int64), len(word)
             if (n > HOT_TOKENS).any():
                 out.append((FREQUENT, b, 0, word[n > HOT_TOKENS].tobytes()))
         elif kind == LOCAL:
@@ -452,39 +494,41 @@ def _merge(rows: DataFrame, model: Model, k: int, fits: np.ndarray) -> tuple[Dat
         elif kind == WHOLE:
             key, n, context, below, stats[k] = _counted(columns[:-1], columns[-1], k)
             store(f"{folder}/{k}w/{b:05d}", _table(key, [n]))
-            out.extend(_dealt(CONTEXT, context[0], context[:1], context[1:], buckets[CONTEXT]))
+            out.extend(_dealt(CONTEXT, _bucket_of(CONTEXT, context, model), context[:1], context[1:], buckets[CONTEXT]))
             if k == 2:
                 last(below[0], np.ones(len(key), np.int64))
             else:
-                suffix, n, below = _merged(grams(below)[-1][0], np.ones(len(key), np.int64), below)
-                out.extend(_dealt(WHOLE, suffix, below, [n], buckets[WHOLE]))
+                _, n, below = _merged(grams(below)[-1][0], np.ones(len(key), np.int64), below)
+                out.extend(_dealt(WHOLE, _bucket_of(WHOLE, below, model), below, [n], buckets[WHOLE]))
         elif kind == CONTEXT:
             context = _grouped(*columns)
             store(f"{folder}/c{k + 1}w/{b:05d}", _table(context[0], context[1:]))
         else:
             word, n = _grouped(*columns)
-            every, count = mapped(f"{folder}/w/{b:05d}")
-            continued = np.zeros(len(every), np.uint64)
-            continued[np.searchsorted(every, word)] = n
-            store(f"{folder}/1/{b:05d}", [np.asarray(every), np.asarray(count), _narrow(continued)])
+            continued = np.zeros(int(model.base[b + 1] - model.base[b]), np.uint64)
+            continued[word.astype(np.int64) - 1 - model.base[b]] = n
+            store(f"{folder}/1/{b:05d}", _coded([continued]))
             one, two, more = (n == 1), (n == 2), (n > 2)
             stats[1] = [*((n == x).sum() for x in (1, 2, 3, 4)), n.sum(), one.sum(), two.sum(), more.sum()]
-            words[:] = count.sum(dtype=np.int64), len(every)
         out.append((NUMBERS, b, kind, np.concatenate((stats.ravel(), words)).tobytes()))
         return pa.Table.from_batches([_batch(out)])
 
     done = kept(_settled(rows, model).groupBy("kind", "bucket").applyInArrow(merge, _BLOCKS), folder, f"blocks-{k}")
-    words, there = np.zeros(2), {}
+    words, there, sizes = np.zeros(2), {}, np.zeros(buckets[WORD], np.int64)
     for r in done.filter(f"kind = {NUMBERS}").select("bucket", "part", "block").toLocalIterator():  # some numbers a bucket
         own = np.frombuffer(bytes(r.block))
         fits += own[:-2].reshape(fits.shape)
         words += own[-2:]
+        sizes[r.bucket if r.part == WORD else 0] += int(own[-1])
         there.setdefault(r.part, []).append(r.bucket)
-    names = {LOCAL: [f"{p}{j}" for j in range(order, 1, -1) for p in ("", "c")], WHOLE: [f"{k}w"], CONTEXT: [f"c{k + 1}w"], LAST: ["1"], WORD: []}
+    names = {LOCAL: [f"{p}{j}" for j in range(order, 1, -1) for p in ("", "c")], WHOLE: [f"{k}w"], CONTEXT: [f"c{k + 1}w"], LAST: ["1"], WORD: ["w"]}
     for kind, own in there.items():
         for name in names[kind]:
             model.add(name, own, buckets[kind])
-    return done, words
+    if k == 0:
+        model.base = np.concatenate(([0], np.cumsum(sizes)))
+        model.tokens, model.vocabulary = int(words[0]), int(words[1])
+    return done
 
 
 def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text") -> DataFrame:
