@@ -11,7 +11,7 @@ held there and the excess is shared again among the others, until none is above
 sources ordered by how soon they fill, that is one running sum over sources, not a loop.
 
 Nothing is grouped by source alone: a source is cut into hash ranges of about ``ROWS_PER_RANGE`` rows,
-sums of ranges give each range its offset, and only a range is sorted in one task. The global cut works
+sums of ranges, taken in two levels, give each range its offset, and only a range is sorted in one task. The global cut works
 alike, over ranges of the virtual time.
 
 The copy that crosses the cut in its source is taken in part (``split=True``: the words up to the cut,
@@ -19,7 +19,8 @@ so that the taken words meet the target to the word) or, whole, if its middle li
 
 Defined cases: null text has size 0 and is never taken, null source is a source of its own (last in
 order), rows with equal ids and texts are separate documents with ties in the shuffle broken by size
-(equal rows are interchangeable), empty tables give empty results, further columns are carried along.
+(equal rows are interchangeable), empty tables give empty results, further columns are ignored but for those in ``carry``; one of them that has the
+name of a column of the result gets an underscore before it. ``mixed`` keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import kept as written
-from .common import shared_folder, table
+from .common import apart, fresh, running_before, shared_folder, table
 
 SHARE = 1.5
 MAX_EPOCHS = 2
@@ -87,7 +88,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, *, source: str = "sou
     plan = plan.withColumnRenamed("source", "p_source")
     d = d.join(plan, F.col("source").eqNullSafe(F.col("p_source"))).drop("p_source", "n_docs").withColumn("part", F.floor(F.col("draw") * F.col("ranges")))
     totals = d.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
-    totals = totals.select(F.col("source").alias("t_source"), F.col("part").alias("t_part"), (F.sum("part_size").over(Window.partitionBy("source").orderBy("part")) - F.col("part_size")).alias("offset"))
+    totals = running_before(totals, ("source",), "part", "part_size", "offset").select(F.col("source").alias("t_source"), F.col("part").alias("t_part"), "offset")
     within = Window.partitionBy("source", "part").orderBy("draw", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("upto", F.sum("size").over(within)).join(totals, F.col("source").eqNullSafe(F.col("t_source")) & (F.col("part") == F.col("t_part"))).withColumn("upto", F.col("upto") + F.col("offset"))
 
@@ -106,7 +107,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, *, source: str = "sou
     copy = copy.crossJoin(F.broadcast(time_ranges)).withColumn("slot", F.floor(F.col("finish") * F.col("time_ranges")))
     used = copy.filter("words > 0")
     slots = used.groupBy("slot").agg(F.sum("words").alias("slot_words"))
-    slots = slots.select(F.col("slot").alias("s_slot"), (F.sum("slot_words").over(Window.orderBy("slot")) - F.col("slot_words")).alias("slot_offset"))
+    slots = running_before(slots, (), "slot", "slot_words", "slot_offset").select(F.col("slot").alias("s_slot"), "slot_offset")
     budget = plan.agg(F.round(F.sum("target")).cast("long").alias("budget"))
     by_time = Window.partitionBy("slot").orderBy("finish", "draw", F.col("doc_id").asc_nulls_last(), "epoch", "source").rowsBetween(Window.unboundedPreceding, 0)
     used = used.withColumn("position", F.sum("words").over(by_time)).join(slots, F.col("slot") == F.col("s_slot")).crossJoin(F.broadcast(budget))
@@ -127,18 +128,21 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, *, source: str = "sou
         got = both.filter("size > 0").groupBy(*same).agg(F.sum("words").alias("taken"), F.sum((F.col("words") > 0).cast("int")).cast("int").alias("copies")).drop("upto")
         empty = d.filter("size = 0").select(*out, F.lit(0).cast("long").alias("taken"), F.lit(0).alias("copies"))
         got = got.unionByName(empty)
-    return got.withColumnsRenamed({f"c{i}": c for i, c in enumerate(carry)})
+    own = tuple(c for c in got.columns if c not in {f"c{i}" for i in range(len(carry))})
+    return got.withColumnsRenamed(dict(zip((f"c{i}" for i in range(len(carry))), apart(carry, own), strict=True)))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that the mix takes, whole and as often as it takes them. Equal rows share their copies."""
-    hashed = docs.withColumn("m_hash", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    took = mix(hashed, split=False, carry=("m_hash",), **options).filter("copies > 0").groupBy(F.col("doc_id").alias("m_id"), F.col("m_hash").alias("m_text")).agg(F.sum("copies").cast("int").alias("copies"), F.count("*").alias("m_rows"))
+    h, w_id, w_hash, copies, copy = fresh(docs, "text_hash", "mix_id", "mix_hash", "mix_copies", "mix_copy")
+    hashed = docs.withColumn(h, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    mine = hashed.select("doc_id", "text", "source", F.col(h).alias("text_hash"))
+    took = mix(mine, split=False, carry=("text_hash",), **options).filter("copies > 0").groupBy(F.col("doc_id").alias(w_id), F.col("text_hash").alias(w_hash)).agg(F.sum("copies").cast("int").alias(copies), F.count("*").alias("rows"))
     took = written(took, shared_folder(docs.sparkSession, "mix"), "copies")
-    if not took.filter("m_rows > 1").isEmpty():
-        hashed = hashed.dropDuplicates(["doc_id", "m_hash"])
-    out = hashed.join(took, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("m_hash") == F.col("m_text")))
-    return out.withColumn("m_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    if not took.filter("rows > 1").isEmpty():
+        hashed = hashed.dropDuplicates(["doc_id", h])
+    out = hashed.join(took.drop("rows"), F.col("doc_id").eqNullSafe(F.col(w_id)) & (F.col(h) == F.col(w_hash)))
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
