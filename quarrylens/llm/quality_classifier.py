@@ -13,7 +13,8 @@ way back to the documents is a join on (host, path) that Spark broadcasts if it
 
 Defined cases: null hosts and paths are sites of their own. Null and empty texts have statistics of 0 and are
 judged as such. Without labels of both kinds the classifier gives the share of good labels (1 without any). Repeated rows are judged alike
-and count in their site. Columns listed in ``keep`` are carried along under their names; others are ignored.
+and count in their site; ties in the sample's draw go by label, then statistics. Columns listed in ``keep`` are carried along under their names (with an
+underscore before one that a column of the result has); others are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, kept, shared_folder, slices, table, tuned
+from .common import apart, bounded_sample, kept, shared_folder, slices, table, tuned
 from .quality_rules import text_counts
 
 SAMPLE_ROWS = 20_000
@@ -64,6 +65,16 @@ class Classifier:
             out += w[np.searchsorted(e, x[:, k], side="right")]
         return out
 
+    def column(self, x: str) -> Column:
+        """The log-odds of the array column ``x`` as one expression: a feature's bin is the number of edges at or below it."""
+        out = F.lit(self.bias)
+        for k, (e, w) in enumerate(zip(self.edges, self.weights, strict=True)):
+            place = F.lit(1)
+            for edge in e.tolist():
+                place = place + (F.col(x)[k] >= edge).cast("int")
+            out = out + F.element_at(F.array(*map(F.lit, w.tolist())), place)
+        return out
+
 
 def fit(x: np.ndarray, good: np.ndarray) -> Classifier:
     """Ridge logistic regression on one-hot bins, by Newton's steps."""
@@ -120,45 +131,31 @@ def classify(docs: DataFrame, labels: DataFrame, *, host: str | Column = "source
     folder = shared_folder(spark, "quality")
     at = lambda x: (F.col(x) if isinstance(x, str) else x).cast("string")
     keep = keep or (key,)
-    d = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), at(host).alias("host"), at(path).alias("path"), *(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)))
+    names = [f"k{i}" for i in range(len(keep))]
+    d = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), at(host).alias("host"), at(path).alias("path"), *(F.col(c).alias(n) for c, n in zip(keep, names, strict=True)))
+    kinds = {f.name: f.dataType.simpleString() for f in d.schema}
+    carried = ["key", "host", "path", *names]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch):
                 x = features(piece.column("text"))
-                yield pa.RecordBatch.from_pydict({n: piece.column(n) for n in ("key", "host", "path")} | {"x": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))})
+                yield pa.RecordBatch.from_pydict({n: piece.column(n) for n in carried} | {"x": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))})
 
-    kind = dict(d.dtypes)["key"]
-    measured = kept(d.select("key", "text", "host", "path").mapInArrow(measure, f"key {kind}, host string, path string, x array<double>"), folder, "features")
+    # The texts are measured once; what is kept goes along.
+    measured = kept(d.mapInArrow(measure, ", ".join(f"{n} {kinds[n]}" for n in carried) + ", x array<double>"), folder, "features")
     marks = labels.filter("quality is not null").select(F.col("doc_id").alias("key"), "quality")
     rows = bounded_sample(measured.join(marks, "key").select("x", "quality", F.xxhash64("key").alias("draw")), "draw", sample_rows, "quality", "x")
     model = fit(np.stack(rows.x.to_list()) if len(rows) else np.zeros((0, len(FEATURES))), rows.quality.to_numpy() > 0)
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.asarray(batch.column("x").flatten()).reshape(batch.num_rows, -1)
-            yield pa.RecordBatch.from_pydict({n: batch.column(n) for n in ("host", "path")} | {"p": pa.array(1 / (1 + np.exp(-np.clip(model.log_odds(x), -20, 20))))})
-
-    scored = measured.mapInArrow(judge, "host string, path string, p double")
-    sites, mean, up, down = site_posteriors(kept(scored, folder, "scored"))
+    scored = measured.withColumn("p_document", 1 / (1 + F.exp(-F.greatest(F.lit(-20.0), F.least(F.lit(20.0), model.column("x"))))))
+    sites, mean, up, down = site_posteriors(kept(scored.select("host", "path", F.col("p_document").alias("p")), folder, "scored"))
     sites = kept(sites, folder, "sites").select(F.col("host").alias("s_host"), F.col("path").alias("s_path"), "path_n", "path_s", "host_n", "host_s")
-
-    names = [f"k{i}" for i in range(len(keep))]
-
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in slices(batch):
-                p = 1 / (1 + np.exp(-np.clip(model.log_odds(features(piece.column("text"))), -20, 20)))
-                yield pa.RecordBatch.from_pydict({n: piece.column(n) for n in ("host", "path", *names)} | {"p_document": pa.array(p)})
-
-    kinds = dict(d.dtypes)
-    out = d.mapInArrow(decide, "host string, path string, " + ", ".join(f"{n} {kinds[n]}" for n in names) + ", p_document double")
-    out = out.join(sites, F.col("host").eqNullSafe(F.col("s_host")) & F.col("path").eqNullSafe(F.col("s_path")), "left")
+    out = scored.join(sites, F.col("host").eqNullSafe(F.col("s_host")) & F.col("path").eqNullSafe(F.col("s_path")), "left")
     own = F.col("p_document")
     out = out.withColumn("host_mean", (F.col("host_s") - own + up * mean) / (F.col("host_n") - 1 + up))
     out = out.withColumn("path_mean", (F.col("path_s") - own + down * F.col("host_mean")) / (F.col("path_n") - 1 + down))
     odds = _logit(F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), own))) + _logit(F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), "path_mean"))) - _logit(F.lit(mean))
-    return out.select(*(F.col(n).alias(c) for n, c in zip(names, keep, strict=True)), "p_document", "host_mean", "path_mean", (1 / (1 + F.exp(-odds))).alias("p_good"))
+    return out.select(*(F.col(n).alias(c) for n, c in zip(names, apart(keep, ("p_document", "host_mean", "path_mean", "p_good")), strict=True)), "p_document", "host_mean", "path_mean", (1 / (1 + F.exp(-odds))).alias("p_good"))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
