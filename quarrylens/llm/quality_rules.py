@@ -4,12 +4,13 @@ Statistics of every whole text are counted in array operations inside the tasks,
 bounded sample of labelled rows (``SAMPLE_ROWS``, in hash order of the id, so the same rows each time)
 goes to the driver, where sequential covering learns rules for bad texts: a rule grows by the threshold
 condition of greatest information gain on two thirds of the rows, is pruned from its end on the last
-third, is kept if it is precise there, and takes the rows it covers away. The list becomes one Spark
+third, is kept if it is precise there, and takes the rows it covers away; the bad texts of one that isn't are set aside. The list becomes one Spark
 conditional expression, which decides all rows.
 
 Defined cases: null and empty texts have no words and fail the base rule. Shares with an empty
 denominator are 0. Repeated rows are judged alike. Without usable labels the list is empty and the base
-rule decides alone. Labels that repeat an id count as several rows. Further columns are ignored.
+rule decides alone. Labels that repeat an id count as several rows. Of equal gains the first feature and the
+least threshold win, of equal worth the shorter rule. Further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -148,9 +149,11 @@ def _grow(x: dict[str, np.ndarray], bad: np.ndarray, cuts: dict[str, np.ndarray]
 def learn(x: dict[str, np.ndarray], bad: np.ndarray, fold: np.ndarray) -> list[Rule]:
     """Sequential covering: grow on folds 0 and 1, prune on fold 2."""
     rules: list[Rule] = []
-    left = np.ones(len(bad), bool)
-    while len(rules) < MAX_RULES:
-        grow, prune = left & (fold < 2), left & (fold == 2)
+    left, aside = np.ones(len(bad), bool), np.zeros(len(bad), bool)
+    for _ in range(2 * MAX_RULES):
+        grow, prune = left & ~aside & (fold < 2), left & (fold == 2)
+        if len(rules) == MAX_RULES:
+            break
         if (grow & bad).sum() < LEAST_COVER:
             break
         part = {k: v[grow] for k, v in x.items()}
@@ -170,7 +173,11 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, fold: np.ndarray) -> list[R
         own = rule.holds(x) & left
         good = own & (fold == 2)
         if own.sum() < LEAST_COVER or (own & bad).sum() < LEAST_PRECISION * own.sum() or (good & bad).sum() < LEAST_PRECISION * good.sum():
-            break
+            # Not precise enough: the bad texts that it was grown for are set aside, and others are tried.
+            if not (own & grow & bad).any():
+                break
+            aside |= own & bad
+            continue
         rules.append(rule)
         left &= ~own
     return rules
