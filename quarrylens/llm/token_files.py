@@ -11,9 +11,13 @@ The tokenizer splits at white space before any merge and drops it, so a text's i
 white-space-separated pieces in turn: pieces are encoded once for a slice and their ids gathered by
 array. Special tokens' strings within texts are ordinary text.
 
+Reading: ``token_table`` opens the files as a table for Spark's reader, which takes only the columns asked for, and by statistics and page
+indexes only the row groups and pages that a filter on doc_id (or metadata) leaves; ``fetch`` does so for given documents.
+
 Defined cases: a null or empty text has the end id only. Rows with equal ids lie side by side in the
-order of their texts. A null id sorts first. An empty table makes no file and gives no rows. Further columns can be
-written beside the ids (``metadata``); others are ignored.
+order of a hash of their texts, by which a repeated or null id is also split among files. A null id sorts first. An empty table makes one file
+without rows. Further columns can be written beside the ids (``metadata``), under their names, or with an underscore before one that the
+files or ``read_tokens`` use themselves (``RESERVED``); others are ignored.
 """
 
 from __future__ import annotations
@@ -32,13 +36,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .common import PLAIN, filesystem, shared_folder, slices, table, tokenise, tuned
+from .common import PLAIN, apart, filesystem, shared_folder, slices, table, tokenise, tuned
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 GROUP_TOKENS = 1 << 20
 FILE_TEXT_BYTES = 32 << 20
 CACHE_PIECES = 3_000_000
+#: Names of columns of the files and of what is read back from them.
+RESERVED = ("doc_id", "first", "n_tokens", "ids", "start", "ids_crc32")
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -123,8 +129,9 @@ def write_tokens(docs: DataFrame, folder: str, *, key: str = "doc_id", text: str
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
     parts = max(1, -(-int(size) // FILE_TEXT_BYTES), 2 * spark.sparkContext.defaultParallelism if size > FILE_TEXT_BYTES else 1)
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *(F.col(m).alias(f"m{i}") for i, m in enumerate(metadata)))
-    rows = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    names = {f"m{i}": m for i, m in enumerate(metadata)}
+    by = (F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    rows = rows.repartitionByRange(parts, *by).sortWithinPartitions(*by, "text")
+    names = {f"m{i}": m for i, m in enumerate(apart(metadata, RESERVED))}
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -140,12 +147,12 @@ def write_tokens(docs: DataFrame, folder: str, *, key: str = "doc_id", text: str
                 ends = np.concatenate(([0], np.cumsum(counts)))
                 lists = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(ids))
                 columns = {"doc_id": piece.column("doc_id"), "first": pa.array(n_tokens + ends[:-1], pa.int64()), "n_tokens": pa.array(counts, pa.int64()), "ids": lists}
-                columns |= {names[n]: piece.column(n) for n in piece.schema.names if n in names and names[n] not in columns}
+                columns |= {names[n]: piece.column(n) for n in piece.schema.names if n in names}
                 t = pa.table(columns)
                 if writer is None:
                     fs.create_dir(top, recursive=True)
                     out = fs.open_output_stream(own)
-                    writer = pq.ParquetWriter(out, t.schema, compression="zstd", compression_level=1, use_dictionary=["ids.list.element", *(n for n in names.values() if n not in ("doc_id", "ids"))], column_encoding={"first": "DELTA_BINARY_PACKED", "n_tokens": "DELTA_BINARY_PACKED"}, write_page_index=True, dictionary_pagesize_limit=1 << 18, data_page_size=1 << 17)
+                    writer = _writer(out, t.schema, list(names.values()))
                 at = 0
                 while at < t.num_rows:
                     stop = max(at + 1, int(np.searchsorted(ends, ends[at] + GROUP_TOKENS, side="right")) - 1)
@@ -161,7 +168,36 @@ def write_tokens(docs: DataFrame, folder: str, *, key: str = "doc_id", text: str
 
     done = rows.mapInArrow(write, "file string, part int, n_docs long, n_tokens long")
     done.write.mode("overwrite").parquet(f"{folder}.files")
-    return spark.read.parquet(f"{folder}.files")
+    files = spark.read.parquet(f"{folder}.files")
+    if not files.isEmpty():
+        return files
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    schema = pa.schema([("doc_id", to_arrow_type(rows.schema["doc_id"].dataType)), ("first", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.large_list(pa.from_numpy_dtype(_encoder(path).kind))), *((m, to_arrow_type(rows.schema[n].dataType)) for n, m in names.items())])
+    fs, top = filesystem(folder)
+    fs.create_dir(top, recursive=True)
+    with fs.open_output_stream(f"{top}/part-000000.parquet") as out:
+        _writer(out, schema, list(names.values())).close()
+    return spark.createDataFrame([(f"{folder}/part-000000.parquet", 0, 0, 0)], files.schema)
+
+
+def _writer(out, schema: pa.Schema, metadata: list[str]) -> pq.ParquetWriter:
+    """Dictionary codes for ids and metadata, deltas for positions and lengths, a page index over pages of 128 KB."""
+    return pq.ParquetWriter(out, schema, compression="zstd", compression_level=1, use_dictionary=["ids.list.element", *metadata], column_encoding={"first": "DELTA_BINARY_PACKED", "n_tokens": "DELTA_BINARY_PACKED"}, write_page_index=True, dictionary_pagesize_limit=1 << 18, data_page_size=1 << 17)
+
+
+def token_table(spark: SparkSession, folder: str) -> DataFrame:
+    """The files of a folder as a table: doc_id, first (place of the first id within its file), n_tokens, ids and the metadata columns. Spark reads only the
+    columns used, and skips row groups and pages by a filter on doc_id."""
+    return spark.read.parquet(f"{folder}/part-*.parquet")
+
+
+def fetch(spark: SparkSession, folder: str, ids: list, columns: tuple[str, ...] = ("ids",)) -> DataFrame:
+    """doc_id and ``columns`` of the given documents (a list that a user asks for), reading only the row groups and pages that can hold them."""
+    wanted = F.lit(False)
+    for i in sorted({x for x in ids if x is not None}):
+        wanted = wanted | (F.col("doc_id") == i)
+    return token_table(spark, folder).filter(wanted | F.col("doc_id").isNull() if None in ids else wanted).select("doc_id", *columns)
 
 
 def read_tokens(spark: SparkSession, files: DataFrame, columns: tuple[str, ...] = ()) -> DataFrame:
@@ -173,8 +209,7 @@ def read_tokens(spark: SparkSession, files: DataFrame, columns: tuple[str, ...]
     listed = files.select("file", before)
     parts = files.count()
     first = files.limit(1).select("file").collect()
-    if not first:
-        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
+    columns = tuple(apart(columns, RESERVED))
     fs, path = filesystem(first[0][0])
     with fs.open_input_file(path) as f:
         arrow = pq.ParquetFile(f).schema_arrow
