@@ -9,9 +9,10 @@ documents is no task's burden.
 With ``whole``, a line also ends after each sentence (``.``, ``!`` or ``?`` before spaces), and a text of fewer than three
 such lines has one window of all of them, so copies of short texts and passages within long lines go too.
 
-Defined cases: null and empty texts and, without ``whole``, texts of fewer than three lines have no window. Rows with equal
-id and text are one document to this operator: all are treated alike. A null id comes first. Empty
-lines are never removed. Further columns are ignored unless listed in ``keep``.
+Defined cases: null and empty texts and, without ``whole``, texts of fewer than three lines have no window. Of rows with equal
+id and text one is the first and the others are later occurrences. A null id comes first. Empty
+lines are never removed. Further columns are ignored unless listed in ``keep``; a kept column that has the name of one of the result gets an
+underscore before it.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _BASE, PLAIN, hash_spans, kept, mix, shared_folder, slices, table, tokenise, tuned, windows
+from .common import _BASE, PLAIN, apart, hash_spans, kept, mix, shared_folder, slices, table, tokenise, tuned, windows
 
 LINES = 3
 _LINE = np.ones(256, bool)
@@ -56,11 +57,27 @@ def short_windows(h: np.ndarray, row: np.ndarray, size: int) -> tuple[np.ndarray
     return acc, at
 
 
+def _numbered(d: DataFrame, folder: str, columns: list[str]) -> DataFrame:
+    """Adds ``again``: false for the first of rows with equal id and text, true for the others. Where none repeat, as is usual, only ids and hashes are
+    counted; else repeated rows are counted with combining before the shuffle, so equal rows in any number are one row a task."""
+    same = d.groupBy("doc_id", "text_hash").agg(F.count("*").alias("rows")).filter("rows > 1").select(F.col("doc_id").alias("r_id"), F.col("text_hash").alias("r_hash"))
+    same = kept(same, folder, "repeated")
+    if same.isEmpty():
+        return d.withColumn("again", F.lit(False))
+    match = F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("text_hash") == F.col("r_hash"))
+    some = d.join(same, match, "left_semi").withColumn("other", F.xxhash64(F.lit(0), *columns)).groupBy(*d.columns, "other").agg(F.count("*").alias("rows"))
+    least = some.groupBy(F.col("doc_id").alias("r_id"), F.col("text_hash").alias("r_hash")).agg(F.min("other").alias("least"))
+    some = some.join(least, match).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    some = some.withColumn("again", (F.col("copy") > 1) | (F.col("other") > F.col("least"))).select(*d.columns, "again")
+    return d.join(same, match, "left_anti").withColumn("again", F.lit(False)).unionByName(some)
+
+
 def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), size: int = LINES, whole: bool = False) -> DataFrame:
     """``key``, ``keep`` columns, n_lines, n_removed, spans (first and past-the-end line of each removal) and clean_text."""
     spark = tuned(docs.sparkSession)
     folder = shared_folder(spark, "lines")
     d = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(keep))).withColumn("text_hash", F.xxhash64("text"))
+    d = _numbered(d, folder, [f"c{i}" for i in range(len(keep))])
     kind = dict(d.dtypes)["doc_id"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,13 +90,14 @@ def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", kee
                     w, at = (np.concatenate(x) for x in zip((w, at), short_windows(h, row, size), strict=True))
                 base = np.searchsorted(row, row[at])
                 own = pa.array(row[at])
-                yield pa.RecordBatch.from_pydict({"doc_id": piece.column("doc_id").take(own), "text_hash": piece.column("text_hash").take(own), "line": pa.array(at - base, pa.int32()), "h": pa.array(w.view(np.int64))})
+                yield pa.RecordBatch.from_pydict({"doc_id": piece.column("doc_id").take(own), "text_hash": piece.column("text_hash").take(own), "again": piece.column("again").take(own), "line": pa.array(at - base, pa.int32()), "h": pa.array(w.view(np.int64))})
 
-    w = kept(d.select("doc_id", "text_hash", "text").mapInArrow(cut, f"doc_id {kind}, text_hash long, line int, h long"), folder, "windows")
-    repeated = w.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_hash", "line")).alias("first")).filter("n > 1").drop("n")
-    later = w.join(repeated, "h").filter(~F.struct("doc_id", "text_hash", "line").eqNullSafe(F.col("first")))
-    gone = later.groupBy(F.col("doc_id").alias("g_id"), F.col("text_hash").alias("g_hash")).agg(F.collect_set("line").alias("lines"))
-    d = d.join(gone, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("text_hash") == F.col("g_hash")), "left").drop("g_id", "g_hash", "text_hash")
+    w = kept(d.select("doc_id", "text_hash", "again", "text").mapInArrow(cut, f"doc_id {kind}, text_hash long, again boolean, line int, h long"), folder, "windows")
+    place = F.struct("doc_id", "text_hash", "again", "line")
+    repeated = w.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1").drop("n")
+    later = w.join(repeated, "h").filter(~place.eqNullSafe(F.col("first")))
+    gone = later.groupBy(F.col("doc_id").alias("g_id"), F.col("text_hash").alias("g_hash"), F.col("again").alias("g_again")).agg(F.collect_set("line").alias("lines"))
+    d = d.join(gone, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("text_hash") == F.col("g_hash")) & (F.col("again") == F.col("g_again")), "left").drop("g_id", "g_hash", "g_again", "text_hash", "again")
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,7 +122,8 @@ def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", kee
 
     kinds = dict(d.dtypes)
     out = d.mapInArrow(strip, ", ".join(f"{c} {kinds[c]}" for c in d.columns if c not in ("text", "lines")) + ", n_lines long, n_removed long, spans array<struct<first:int,past:int>>, clean_text string")
-    return out.select(F.col("doc_id").alias(key), *(F.col(f"c{i}").alias(c) for i, c in enumerate(keep)), "n_lines", "n_removed", "spans", "clean_text")
+    own = (key, "n_lines", "n_removed", "spans", "clean_text")
+    return out.select(F.col("doc_id").alias(key), *(F.col(f"c{i}").alias(c) for i, c in enumerate(apart(keep, own))), "n_lines", "n_removed", "spans", "clean_text")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
