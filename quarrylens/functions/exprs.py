@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Ladders of severity and grade (lower bounds), by falling score.
@@ -136,3 +136,32 @@ def secret_like(name: Column, value: Column, entropy: Column, least_entropy: flo
     named = F.lower(name).rlike("(secret|token|passw|api_?key|credential)")
     safe = bare.rlike(r"(getenv|environ|config)[.(\[]|^https?://[^@]*$|^\{\{|^\$\{")
     return ~safe & (known | (named & (F.length(bare) >= least_length) & (entropy >= least_entropy)))
+
+
+def module_of(path: Column) -> Column:
+    """The dotted module of a file: without ending, ``__init__`` and a leading ``src``."""
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(path, r"\.py$", ""), "/__init__$", ""), "^src/", "")
+    return F.replace(bare, F.lit("/"), F.lit("."))
+
+
+def relative_module(path: Column, level: Column, module: Column) -> Column:
+    """The dotted module that an import with ``level`` dots means in a file."""
+    parts = F.split(path, "/")
+    up = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - level, F.lit(0)))
+    return F.array_join(F.concat(up, F.array(module)), ".")
+
+
+def parallel_pair(a: str, b: str) -> Column:
+    """Whether two files are parallel implementations: of one folder or one name."""
+    folder = lambda c: F.regexp_extract(c, "^(.*)/", 1)
+    stem = lambda c: F.regexp_extract(c, r"([^/]+)\.[a-z]+$", 1)
+    return (folder(a) == folder(b)) | (stem(a) == stem(b))
+
+
+#: Columns by response profile.
+PROFILES = {"planner": ("signal", "severity", "module"), "coder": ("signal", "severity", "file_path", "start_line", "end_line", "title"), "verifier": ("signal", "severity", "score", "file_path"), "merge_readiness": ("signal", "severity", "score")}
+
+
+def profile(findings: DataFrame, name: str | None) -> DataFrame:
+    """Only the columns of a profile that are there (all without one)."""
+    return findings.select(*(c for c in PROFILES[name] if c in findings.columns)) if name else findings

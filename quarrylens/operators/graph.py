@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder; a local one is made only where spark.checkpoint.dir is unset."""
+    """Checkpoint to the shared folder. Where spark.checkpoint.dir is unset a local one serves in local mode; elsewhere that is an error."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        top = spark.conf.get("spark.checkpoint.dir", None)
+        if not top and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(top or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
 
 
@@ -121,6 +124,39 @@ def simple_cycles(edges: DataFrame, longest: int) -> DataFrame:
     return found
 
 
+def component_cycles(edges: DataFrame) -> DataFrame:
+    """component (its least node), length: of each strong component the shortest cycle through its least node. Each round takes all components one step
+    further; a node is visited once."""
+    e = cut(edges.filter("src <> dst").select("src", "dst").distinct())
+    c = cut(strong_components(e).select("node", "component"))
+    e = cut(e.join(c.toDF("src", "component"), "src").join(c.toDF("dst", "other"), "dst").filter("component = other").select("component", "src", "dst"))
+    seen = front = c.filter("node = component").select("component", "node")
+    found, length = None, 0
+    while not front.isEmpty():
+        length += 1
+        step = cut(front.withColumnRenamed("node", "src").join(e, ["component", "src"]).select("component", F.col("dst").alias("node")).distinct())
+        closed = step.filter("node = component").select("component", F.lit(length).alias("length"))
+        found = closed if found is None else found.unionByName(closed)
+        front = cut(step.join(seen, ["component", "node"], "left_anti").join(closed, "component", "left_anti"))
+        seen = cut(seen.unionByName(front))
+    return c.select("component").distinct().withColumn("length", F.lit(0)) if found is None else found
+
+
+def topological_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """node, place (from 1): by level, ties by node. A node on or behind a cycle has no level; those come last, by node. Only within ranges of equal level is
+    anything sorted: places are offset by counts of levels and of ranges of nodes."""
+    from pyspark.sql import Window
+
+    level = nodes.join(levels(edges), "node", "left").withColumn("level", F.coalesce("level", F.when(F.lit(True), F.lit(None).cast("int"))))
+    known = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().withColumn("linked", F.lit(True))
+    d = level.join(known, "node", "left").withColumn("level", F.when(F.col("linked").isNull(), 0).otherwise(F.coalesce("level", F.lit(2_000_000_000))))
+    d = d.withColumn("range", F.floor(F.col("node") / 10_000))
+    sizes = d.groupBy("level", "range").agg(F.count("*").alias("n"))
+    before = sizes.withColumn("before", F.sum("n").over(Window.orderBy("level", "range")) - F.col("n")).drop("n")  # a row for each 10,000 nodes of a level
+    place = F.row_number().over(Window.partitionBy("level", "range").orderBy("node"))
+    return d.withColumn("i", place).join(before, ["level", "range"]).select("node", (F.col("i") + F.col("before")).alias("place"))
+
+
 def levels(edges: DataFrame) -> DataFrame:
     """node, level: the length of the longest path that ends there. Rows on or behind a cycle get none (null).
 

@@ -1,6 +1,7 @@
 """Signals over parsed source: each takes tables and returns findings of one schema.
 
-signal, score, file_path, symbol, line, detail. ``run`` unions the signals whose tables are there.
+signal, score, file_path, symbol, line, detail. ``run`` unions the signals whose tables are there, in the order of their names.
+Numbers in the conditions and scores are the signals' contract: fixed values.
 """
 
 from __future__ import annotations
@@ -29,6 +30,10 @@ def _found(df: DataFrame, name: str, score, path="path", symbol=None, line=None,
     return df.select(F.lit(name).alias("signal"), F.round(c(score, "double"), 6).alias("score"), c(path, "string").alias("file_path"), c(symbol, "string").alias("symbol"), c(line, "int").alias("line"), c(detail, "string").alias("detail"))
 
 
+def _folder(path: str):
+    return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
+
+
 @signal("broad_exception_monoculture", "handlers")
 def broad_exceptions(t: dict[str, DataFrame]) -> DataFrame:
     """Folders with three handlers or more that are broad by 0.8 and swallow by 0.6."""
@@ -36,10 +41,16 @@ def broad_exceptions(t: dict[str, DataFrame]) -> DataFrame:
     return _found(g.filter("n >= 3 and b >= 0.8 and s >= 0.6"), "broad_exception_monoculture", F.col("b") * F.col("s"), detail="n")
 
 
+def duplicate_candidates(functions: DataFrame) -> DataFrame:
+    """Functions of five lines and complexity 2 or more; no dunder names, tests, tutorials or forwarding ``__getattr__``."""
+    f = functions.filter((F.col("end_line") - F.col("line") + 1 >= 5) & (F.col("complexity") >= 2))
+    return f.filter(~F.col("name").rlike("^__.*__$") & ~X.is_test_path(F.col("path")) & ~F.col("path").rlike("(^|/)(tutorials?|examples?|docs_src)/"))
+
+
 @signal("mutant_duplicate", "functions")
 def duplicates(t: dict[str, DataFrame]) -> DataFrame:
     """Equal bodies of five lines and more (.9), and similar ones by shared 3-grams."""
-    f = t["functions"].filter(F.col("end_line") - F.col("line") >= 4).withColumn("key", F.concat_ws(":", "path", "name", "line"))
+    f = duplicate_candidates(t["functions"]).withColumn("key", F.concat_ws(":", "path", "name", "line"))
     same = f.groupBy("body_hash").agg(F.count("*").alias("n"), F.min(F.struct("path", "name", "line")).alias("x")).filter("n > 1").select("n", "x.*")
     rep = f.groupBy("body_hash").agg(F.min_by(F.struct("key", "path", "name", "line", "ngrams", "end_line"), "key").alias("x")).select("x.*")
     near = J.blocked_pairs(rep.withColumn("loc", F.col("end_line") - F.col("line")), "key", "loc", F.col("ngrams")).join(rep.select(F.col("key").alias("a"), "path", "name", "line"), "a")
@@ -47,13 +58,18 @@ def duplicates(t: dict[str, DataFrame]) -> DataFrame:
 
 
 @signal("guard_clause_deficit", "functions")
-def deep_nesting(t: dict[str, DataFrame]) -> DataFrame:
-    return _found(t["functions"].filter("nesting > 4"), "guard_clause_deficit", F.least(F.lit(1.0), 0.3 + 0.15 * (F.col("nesting") - 4)), symbol="name", line="line")
+def guards(t: dict[str, DataFrame]) -> DataFrame:
+    """Folders with three public functions or more of two parameters and complexity 5 that are seldom guarded; unguarded functions nested deeper than four."""
+    f = t["functions"].filter(~F.col("name").startswith("_") & (F.size("parameters") >= 2) & (F.col("complexity") >= 5)).withColumn("module", _folder("path"))
+    g = f.groupBy("module").agg(F.count("*").alias("n"), F.avg(F.col("guarded").cast("double")).alias("r"), F.avg("complexity").alias("cx")).filter("n >= 3 and r < 0.15")
+    deep = f.filter("not guarded and nesting > 4")
+    few = _found(g, "guard_clause_deficit", F.least(F.lit(1.0), (1 - F.col("r")) * F.col("cx") / 20), path="module", detail="n")
+    return few.unionByName(_found(deep, "guard_clause_deficit", F.least(F.lit(1.0), 0.3 + 0.15 * (F.col("nesting") - 4)), symbol="name", line="line"))
 
 
 @signal("cognitive_complexity", "functions")
 def complexity(t: dict[str, DataFrame]) -> DataFrame:
-    return _found(t["functions"].filter("complexity > 15"), "cognitive_complexity", F.least(F.lit(1.0), 0.3 + 0.04 * (F.col("complexity") - 15)), symbol="name", line="line")
+    return _found(t["functions"].filter("cognitive > 15"), "cognitive_complexity", F.least(F.lit(1.0), 0.3 + 0.04 * (F.col("cognitive") - 15)), symbol="name", line="line")
 
 
 @signal("explainability_deficit", "functions")
@@ -124,13 +140,216 @@ def stale_docs(t: dict[str, DataFrame]) -> DataFrame:
     return _found(refs.join(dirs, "dir", "left_anti"), "stale_docs", F.lit(0.3), detail="dir")
 
 
+def _snake(name: str):
+    return F.lower(F.regexp_replace(name, r"([a-z0-9])([A-Z])", "$1_$2"))
+
+
+#: Prefixes of names, what such a function has to do, and the score where it doesn't.
+CONTRACTS = (("get_or_create_", "creates"), ("validate_", "rejects"), ("check_", "rejects"), ("ensure_", "raises"), ("is_", "boolean"), ("has_", "boolean"), ("try_", "tries"))
+
+
+@signal("naming_contract_violation", "functions")
+def naming(t: dict[str, DataFrame]) -> DataFrame:
+    """Names that promise what the body doesn't do, in snake or camel case."""
+    kept = F.coalesce(*(F.when(_snake("name").startswith(p), F.col(c)) for p, c in CONTRACTS))
+    return _found(t["functions"].filter(~kept), "naming_contract_violation", F.lit(0.6), symbol="name", line="line")
+
+
+@signal("test_polarity_deficit", "functions")
+def polarity(t: dict[str, DataFrame]) -> DataFrame:
+    """Folders of tests with five test functions and ten assertions or more, fewer than a tenth of which expect a failure; and, of test files, many functions that
+    assert nothing."""
+    f = t["functions"].filter(X.is_test_path(F.col("path")) & F.col("name").startswith("test")).withColumn("module", _folder("path"))
+    g = f.groupBy("module").agg(F.count("*").alias("n"), F.sum("positive").alias("p"), F.sum("negative").alias("q"), F.sum((F.col("positive") + F.col("negative") == 0).cast("long")).alias("none"))
+    r = F.col("q") / F.greatest(F.lit(1), F.col("p") + F.col("q"))
+    few = _found(g.filter((F.col("n") >= 5) & (F.col("p") + F.col("q") >= 10) & (r < 0.1)), "test_polarity_deficit", F.round(F.least(F.lit(1.0), (1 - r) * F.least(F.lit(1.0), F.col("n") / 10)), 3), path="module", detail="n")
+    z = F.col("none") / F.col("n")
+    idle = _found(g.filter((F.col("none") >= 2) & (z >= 0.15)), "test_polarity_deficit", F.least(F.lit(1.0), 0.8 * z + 0.02 * F.col("none")), path="module", detail=F.concat(F.lit("without assertions: "), F.col("none")))
+    return few.unionByName(idle)
+
+
+@signal("insecure_default", "settings")
+def insecure(t: dict[str, DataFrame]) -> DataFrame:
+    return _found(t["settings"].filter(~X.is_test_path(F.col("path"))), "insecure_default", "score", symbol="name", line="line", detail="rule")
+
+
+# Methods of route decorators, words of decorators and parameters that say who is asking, names of endpoints that are public by intent.
+_ROUTES = r"(?i)(^|\.)(route|get|post|put|patch|delete|options|head|websocket|api_view)(\(|$)"
+_AUTH = r"(?i)auth|permission|loginrequired|requires|jwtrequired|tokenrequired"
+_WHO = r"^((current|authenticated|request|auth)user(context|info|obj|object)?|(jwt|access|id|bearer|auth)?token(s|value|str|string)?|(auth|user|principal|jwt)claims?|credentials?|principal)$"
+_PUBLIC = r"health|login|logout|register|signup|public|webhook|ping|status|callback|openapi|docs|favicon|robots"
+_FRAMEWORKS = ("fastapi", "django", "rest_framework", "flask", "starlette", "sanic", "express", "fastify", "@nestjs", "koa", "hono")
+
+
+def frameworks(imports: DataFrame) -> DataFrame:
+    """path, framework: the first of the list that the file's imports name."""
+    first = F.coalesce(*(F.when(F.lower("module").contains(x), F.struct(F.lit(k).alias("k"), F.lit("django" if x == "rest_framework" else x.lstrip("@")).alias("name"))) for k, x in enumerate(_FRAMEWORKS)))
+    return imports.groupBy("path").agg(F.min(first).alias("f")).select("path", F.coalesce("f.name", F.lit("unknown")).alias("framework"))
+
+
+@signal("missing_authorization", "functions", "imports")
+def unauthorized(t: dict[str, DataFrame]) -> DataFrame:
+    """Route handlers without an auth decorator or parameter, unless public by name or route, or in tests and tools. Of several routes of one
+    endpoint, the most specific names it."""
+    plain = lambda x: F.regexp_replace(F.lower(F.regexp_replace(x, r"([a-z0-9])([A-Z])", "$1_$2")), "[^a-z0-9]", "")
+    f = t["functions"].filter(F.exists("decorators", lambda d: d.rlike(_ROUTES)) & ~F.exists("decorators", lambda d: F.replace(F.substring_index(d, "(", 1), F.lit("_"), F.lit("")).rlike(_AUTH)) & ~F.exists("parameters", lambda x: plain(x).rlike(_WHO)))
+    f = f.filter(~X.is_test_path(F.col("path")) & ~F.col("path").rlike(r"(^|/)(devtools?|internal|scripts|examples?)/"))
+    route = F.explode(F.filter("decorators", lambda d: d.rlike(_ROUTES)))
+    f = f.select("path", "name", "line", "has_docstring", route.alias("d")).withColumn("route", F.regexp_extract("d", r"""['"]([^'"]*)['"]""", 1))
+    f = f.filter(~F.replace(F.lower("name"), F.lit("_"), F.lit("")).rlike(_PUBLIC) & ~F.regexp_replace(F.lower("route"), "[_/-]", "").rlike(_PUBLIC))
+    f = f.groupBy("path", "name", "line").agg(F.max_by("route", F.struct(F.col("route").startswith("/"), F.length("route"), "route")).alias("route"))
+    f = f.join(frameworks(t["imports"]), "path", "left")
+    return _found(f, "missing_authorization", F.lit(0.85), symbol="name", line="line", detail=F.concat_ws(" ", F.coalesce("framework", F.lit("unknown")), "route"))
+
+
+@signal("phantom_reference", "parsed")
+def phantoms(t: dict[str, DataFrame]) -> DataFrame:
+    """Files that call names which they neither bind nor import (files that import everything of a module are left out)."""
+    p = t["parsed"].filter("not names.open").select("path", F.array_except("names.called", "names.bound").alias("gone")).filter(F.size("gone") > 0)
+    return _found(p, "phantom_reference", F.round(F.least(F.lit(1.0), 0.3 + 0.15 * F.size("gone")), 3), detail=F.array_join("gone", ","))
+
+
+@signal("pattern_fragmentation", "handlers")
+def fragments(t: dict[str, DataFrame]) -> DataFrame:
+    """Folders whose handlers follow more than one pattern; the most common one is the canon."""
+    variant = F.to_json(F.struct(F.array_sort("exceptions").alias("exceptions"), F.col("swallows").alias("swallows")))
+    v = t["handlers"].groupBy(_folder("path").alias("module"), variant.alias("variant")).agg(F.count("*").alias("n"))
+    g = v.groupBy("module").agg(F.count("*").alias("variants"), F.sum("n").alias("n"), F.max_by("variant", F.struct("n", "variant")).alias("canon")).filter("variants >= 2")
+    return _found(g, "pattern_fragmentation", F.least(F.lit(1.0), (1 - 1 / F.col("variants")) * F.least(F.lit(1.5), 1 + 0.04 * F.greatest(F.col("n") - 2, F.lit(0)))), path="module", detail="canon")
+
+
+def _tokens(name: str):
+    return F.array_distinct(F.filter(F.split(_snake(name), "_+"), lambda x: x != ""))
+
+
+@signal("cohesion_deficit", "functions", "files")
+def cohesion(t: dict[str, DataFrame]) -> DataFrame:
+    """Files of four functions or more whose names share no words. A function's best likeness is found by its words, not by all pairs."""
+    f = t["functions"].filter(~X.is_test_path(F.col("path"))).select("path", "name", "line", _tokens("name").alias("w"))
+    words = f.select("path", "name", "line", F.size("w").alias("n"), F.explode("w").alias("word"))
+    other = words.select("path", F.col("name").alias("o_name"), F.col("line").alias("o_line"), F.col("n").alias("o_n"), "word")
+    both = words.join(other, ["path", "word"]).filter("line <> o_line").groupBy("path", "name", "line", "n", "o_name", "o_line", "o_n").agg(F.count("*").alias("k"))
+    best = both.groupBy("path", "line").agg(F.max(F.col("k") / (F.col("n") + F.col("o_n") - F.col("k"))).alias("best"))
+    g = f.join(best, ["path", "line"], "left").withColumn("best", F.coalesce("best", F.lit(0.0)))
+    first = F.col("w")[0]
+    heads = f.groupBy("path", first.alias("head")).agg(F.count("*").alias("m")).groupBy("path").agg(F.max("m").alias("m"))
+    g = g.groupBy("path").agg(F.count("*").alias("n"), F.avg((F.col("best") < 0.15).cast("double")).alias("alone"), F.avg("best").alias("mean")).filter("n >= 4").join(heads, "path")
+    many = t["files"].agg((0.7 + 0.3 * F.least(F.lit(1.0), F.count("*") / 20)).alias("repo"))  # one number
+    raw = (0.65 * F.col("alone") + 0.35 * (1 - F.col("mean"))) * F.least(F.lit(1.0), (F.col("n") - 2) / 4) * F.col("repo") * F.when(F.col("m") >= 0.6 * F.col("n"), 0.55).otherwise(1.0)
+    g = g.crossJoin(F.broadcast(many)).withColumn("s", F.round(F.least(F.lit(0.79), raw), 3)).filter("s >= 0.35")
+    return _found(g, "cohesion_deficit", "s", detail="n")
+
+
+# Folders by layer; those that any layer may import have -1.
+LAYERS = {0: ("api", "routes", "views", "handlers", "controllers", "scripts", "commands", "cli"), 1: ("services", "core", "domain", "use_cases"), 2: ("db", "repositories", "storage", "infrastructure"), -1: ("config", "settings", "constants", "types", "utils", "helpers", "common", "shared", "base", "exceptions", "errors", "enums", "schemas", "models")}
+
+
+def layer(path: str):
+    """The layer of the first folder that has one (null: none)."""
+    known = F.create_map(*(F.lit(x) for k, names in LAYERS.items() for n in names for x in (n, k)))
+    return F.get(F.filter(F.transform(F.split(F.lower(path), "/"), lambda x: known[x]), lambda x: x.isNotNull()), F.lit(0))
+
+
+def file_edges(t: dict[str, DataFrame]) -> DataFrame:
+    """src, dst, line: imports of files by files, of a module or of a name in a package, relative ones included. The first line of each."""
+    module = F.regexp_replace(F.regexp_replace(F.regexp_replace("path", r"\.py$", ""), "/__init__$", ""), "/", ".")
+    names = t["files"].filter("language = 'python'").select(F.col("path").alias("dst"), module.alias("module"))
+    up = F.array_join(F.slice(F.split("path", "/"), 1, F.greatest(F.size(F.split("path", "/")) - F.col("level"), F.lit(0))), ".")
+    base = F.when(F.col("level") > 0, F.concat_ws(".", F.when(up != "", up), F.when(F.col("module") != "", F.col("module")))).otherwise(F.col("module"))
+    asked = t["imports"].filter("top").select("path", "line", base.alias("base"), "names")
+    told = asked.select("path", "line", F.explode(F.concat(F.array("base"), F.transform("names", lambda x: F.concat_ws(".", "base", x)))).alias("module"))
+    return told.join(names, "module").filter("path <> dst").groupBy(F.col("path").alias("src"), "dst").agg(F.min("line").alias("line"))
+
+
+@signal("architecture_violation", "imports", "files")
+def violations(t: dict[str, DataFrame]) -> DataFrame:
+    """Imports from a lower layer into a higher one (half as bad if many import the target), import cycles (of these the five largest), and files that depend on much
+    and have much depending on them."""
+    from ..operators import graph as G
+
+    e = G.cut(file_edges(t))
+    hub = G.hubs(e).select(F.col("node").alias("dst"), F.lit(0.5).alias("damp"))
+    up = e.withColumn("a", layer("src")).withColumn("b", layer("dst")).filter("a > b and b >= 0").join(hub, "dst", "left")
+    rise = _found(up, "architecture_violation", 0.5 * F.coalesce("damp", F.lit(1.0)), path="src", line="line", detail=F.concat(F.lit("imports upward "), F.col("dst")))
+    cycles = G.strong_components(e).groupBy("component").agg(F.max("size").alias("size")).orderBy(F.desc("size"), "component").limit(5)
+    d = G.degrees(e)
+    mean = d.agg(F.greatest(F.lit(6), F.floor(2 * F.avg(F.col("ca") + F.col("ce")))).alias("least"))  # one number
+    god = d.crossJoin(F.broadcast(mean)).filter("ca + ce >= least and ca >= 2 and ce >= 2")
+    return rise.unionByName(_found(cycles, "architecture_violation", F.lit(0.6), path="component", detail=F.concat(F.lit("cycle of "), F.col("size")))).unionByName(_found(god, "architecture_violation", F.lit(0.5), path="node", detail=F.lit("depends on much and much on it")))
+
+
+@signal("co_change_coupling", "commits", "changes", "imports", "files")
+def coupled(t: dict[str, DataFrame]) -> DataFrame:
+    """Pairs of files that change together without an import between them, nor parallel implementations or a package in common. The ten strongest.
+    ``commits``: hash, is_merge, is_automated; ``changes``: hash, path. Commits of more than twenty files say nothing."""
+    weight = F.when(F.col("is_merge"), 0.35).otherwise(1.0) * F.when(F.col("is_automated"), 0.5).otherwise(1.0)
+    known = t["changes"].join(t["files"].select("path"), "path", "left_semi").select("hash", "path").distinct()
+    sized = known.groupBy("hash").agg(F.count("*").alias("n")).filter("n between 2 and 20").join(t["commits"].select("hash", weight.alias("w")), "hash")
+    c = known.join(sized, "hash")
+    alone = known.join(t["commits"].select("hash", weight.alias("w")), "hash").groupBy("path").agg(F.sum("w").alias("own"))
+    pairs = c.select("hash", "w", F.col("path").alias("a")).join(c.select("hash", F.col("path").alias("b")), "hash").filter("a < b").groupBy("a", "b").agg(F.sum("w").alias("both")).filter("both >= 2.5")
+    e = file_edges(t).select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    stem = lambda x: F.regexp_extract(x, r"([^/]+)\.[a-z]+$", 1)
+    pairs = pairs.join(e, ["a", "b"], "left_anti").filter((stem("a") != stem("b")) & ((_folder("a") != _folder("b")) | (_folder("a") == "")))
+    pairs = pairs.join(alone.toDF("a", "x"), "a").join(alone.toDF("b", "y"), "b").withColumn("sure", F.col("both") / F.least("x", "y")).filter("sure >= 0.45")
+    s = F.round(F.least(F.lit(0.79), 0.55 * F.col("sure") + 0.45 * F.least(F.lit(1.0), F.col("both") / 8)), 3)
+    return _found(pairs.withColumn("s", s).filter("s >= 0.2").orderBy(F.desc("s"), "a", "b").limit(10), "co_change_coupling", "s", path="a", detail="b")
+
+
+@signal("temporal_volatility", "histories")
+def volatile(t: dict[str, DataFrame]) -> DataFrame:
+    """Files far above the mean in commits of 30 days, authors or fixes. ``histories``: path, commits_30d, authors, fixes, tool_share."""
+    h = t["histories"]
+    stats = h.agg(*(x for c in ("commits_30d", "authors", "fixes") for x in (F.avg(c).alias(f"m_{c}"), F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias(f"d_{c}"))))  # one row
+    z = {c: F.when(F.col(f"d_{c}") < 0.001, 0.0).otherwise(F.greatest(F.lit(-5.0), F.least(F.lit(5.0), (F.col(c) - F.col(f"m_{c}")) / F.col(f"d_{c}")))) for c in ("commits_30d", "authors", "fixes")}
+    h = h.crossJoin(F.broadcast(stats)).withColumn("top", F.greatest(*z.values())).withColumn("mean", sum(z.values(), F.lit(0.0)) / 3)
+    s = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("mean") / 3)) * F.when(F.col("tool_share") > 0.3, 1.3).otherwise(1.0)
+    return _found(h.withColumn("s", F.least(F.lit(1.0), s)).filter("top >= 1.5 and s >= 0.2"), "temporal_volatility", "s")
+
+
+@signal("system_misalignment", "imports", "first_commits")
+def misaligned(t: dict[str, DataFrame]) -> DataFrame:
+    """Packages that only recent files of a folder import. ``first_commits``: path, recent. Without a tenth of established files there is no finding."""
+    f = t["imports"].filter("level = 0").join(t["first_commits"], "path").select(_folder("path").alias("module"), F.split("module", r"\.")[0].alias("package"), "recent")
+    old = t["first_commits"].agg((F.avg((~F.col("recent")).cast("double")) >= 0.1).alias("enough"))  # one number
+    g = f.groupBy("module", "package").agg(F.bool_and("recent").alias("novel")).filter("novel").groupBy("module").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("package")), ",").alias("packages"))
+    return _found(g.crossJoin(F.broadcast(old)).filter("enough"), "system_misalignment", F.least(F.lit(1.0), 0.25 * F.col("n")), path="module", detail="packages")
+
+
+@signal("exception_contract_divergence", "functions", "functions_before")
+def diverged(t: dict[str, DataFrame]) -> DataFrame:
+    """Folders with functions that raise other exceptions than they did, at equal parameters."""
+    side = lambda x, n: t[x].filter(~F.col("name").startswith("_")).groupBy("path", "name").agg(F.min_by(F.struct(F.size("parameters").alias("p"), "exceptions"), "line").alias(n))
+    j = side("functions", "now").join(side("functions_before", "then"), ["path", "name"]).filter("now.p = then.p").withColumn("changed", F.col("now.exceptions") != F.col("then.exceptions"))
+    g = j.groupBy(_folder("path").alias("module")).agg(F.count("*").alias("n"), F.sum(F.col("changed").cast("long")).alias("k")).filter("k > 0")
+    return _found(g, "exception_contract_divergence", F.round(F.least(F.lit(1.0), 2 * F.col("k") / F.col("n")), 3), path="module", detail="k")
+
+
+@signal("ts_architecture", "files")
+def ts_architecture(t: dict[str, DataFrame]) -> DataFrame:
+    """Cycles among TypeScript files, and imports across packages (folders under ``packages``) or up the layers; user interface never imports infrastructure."""
+    from ..operators import graph as G
+    from ..sources.typescript import import_graph
+
+    e = G.cut(import_graph(t["files"]))
+    package = lambda c: F.regexp_extract(c, r"(?:^|/)packages/([^/]+)/", 1)
+    cycles = G.strong_components(e).groupBy("component").agg(F.max("size").alias("size"))
+    out = _found(cycles, "ts_architecture", F.least(F.lit(1.0), 0.3 + 0.1 * F.col("size")), path="component", detail=F.concat(F.lit("cycle of "), F.col("size")))
+    cross = e.filter((package("src") != "") & (package("dst") != "") & (package("src") != package("dst")))
+    out = out.unionByName(_found(cross, "ts_architecture", F.lit(0.6), path="src", detail=F.concat(F.lit("other package: "), F.col("dst"))))
+    up = e.withColumn("a", layer("src")).withColumn("b", layer("dst")).filter("a > b and b >= 0")
+    out = out.unionByName(_found(up, "ts_architecture", F.lit(0.7), path="src", detail=F.concat(F.lit("layer: "), F.col("dst"))))
+    ban = e.filter(F.col("src").rlike(r"(^|/)(ui|components|views)/") & F.col("dst").rlike(r"(^|/)(infra|infrastructure|db)/"))
+    return out.unionByName(_found(ban, "ts_architecture", F.lit(0.8), path="src", detail=F.concat(F.lit("infrastructure: "), F.col("dst"))))
+
+
 def tables(source: DataFrame) -> dict[str, DataFrame]:
     """The tables of a file tree; Python is parsed once."""
     from ..operators.graph import cut
     from ..sources.records import flat, parse_python
 
     parsed = cut(parse_python(source.filter("language = 'python'")))
-    return {"files": source, "parsed": parsed} | {k: flat(parsed, k) for k in ("functions", "classes", "imports", "handlers")}
+    return {"files": source, "parsed": parsed} | {k: flat(parsed, k) for k in ("functions", "classes", "imports", "handlers", "settings")}
 
 
 def runnable(there: set[str]) -> dict[str, str | None]:

@@ -3,11 +3,25 @@
 from __future__ import annotations
 
 import ast
+import builtins
 import hashlib
 
 _BRANCH = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.IfExp, ast.comprehension, ast.Assert)
 _NEST = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.With, ast.AsyncWith, ast.Try)
 _BROAD = {"Exception", "BaseException", "bare"}
+_BUILTIN = set(dir(builtins))
+# Assertions that expect a failure; settings (name and value) that are insecure, with their rule and score.
+_NEGATIVE = {"raises", "assertRaises", "assertRaisesRegex", "assertFalse", "assertNotEqual", "assertNotIn", "assertIsNone"}
+INSECURE = {
+    ("DEBUG", "True"): ("insecure_debug_mode", 0.8),
+    ("ALLOWED_HOSTS", "star"): ("insecure_allowed_hosts", 0.7),
+    ("ALLOWED_HOSTS", "empty"): ("insecure_allowed_hosts", 0.5),
+    ("CORS_ALLOW_ALL_ORIGINS", "True"): ("insecure_cors", 0.7),
+    ("CORS_ORIGIN_ALLOW_ALL", "True"): ("insecure_cors", 0.7),
+    ("SESSION_COOKIE_SECURE", "False"): ("insecure_cookie", 0.6),
+    ("CSRF_COOKIE_SECURE", "False"): ("insecure_cookie", 0.6),
+    ("SECURE_SSL_REDIRECT", "False"): ("insecure_ssl_redirect", 0.5),
+}
 
 
 def _complexity(node: ast.AST) -> int:
@@ -23,17 +37,100 @@ def _depth(body: list[ast.stmt], at: int = 0) -> int:
     return best
 
 
+def _cognitive(body: list[ast.stmt], at: int = 0) -> int:
+    """One for each break in the flow and one more for each level that it lies in; runs of boolean operators count one."""
+    total = 0
+    for s in body:
+        if isinstance(s, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+            total += _cognitive(s.body, at + 1)
+            continue
+        heads = [x for x in ast.iter_child_nodes(s) if isinstance(x, ast.expr)]
+        total += sum(isinstance(x, ast.BoolOp) + isinstance(x, ast.IfExp) * (1 + at) for h in heads for x in ast.walk(h))
+        if isinstance(s, (ast.If, ast.For, ast.AsyncFor, ast.While)):
+            total += 1 + at + _cognitive(s.body, at + 1)
+            again = len(s.orelse) == 1 and isinstance(s.orelse[0], ast.If) and isinstance(s, ast.If)
+            # An elif counts once, without its level.
+            total += _cognitive(s.orelse, at) - at if again else bool(s.orelse) + _cognitive(s.orelse, at + 1)
+        elif isinstance(s, (ast.Try, ast.With, ast.AsyncWith)):
+            total += _cognitive(s.body, at) + sum(1 + at + _cognitive(h.body, at + 1) for h in getattr(s, "handlers", ())) + _cognitive(getattr(s, "orelse", []), at) + _cognitive(getattr(s, "finalbody", []), at)
+    return total
+
+
+def _own(node: ast.AST, kind) -> list:
+    return [x for x in ast.walk(node) if isinstance(x, kind)]
+
+
+def _boolean(e: ast.expr | None) -> bool:
+    return (isinstance(e, ast.Constant) and isinstance(e.value, bool)) or isinstance(e, ast.Compare) or (isinstance(e, ast.UnaryOp) and isinstance(e.op, ast.Not)) or (isinstance(e, ast.BoolOp) and all(map(_boolean, e.values)))
+
+
+def _creates(body: list[ast.stmt]) -> bool:
+    """Whether an assignment or return follows a condition, or a condition has another branch."""
+    asked = False
+    for s in body:
+        if asked and isinstance(s, (ast.Assign, ast.Return)):
+            return True
+        asked |= isinstance(s, (ast.If, ast.Try))
+    return any(x.orelse for s in body for x in _own(s, ast.If))
+
+
+def _guarded(body: list[ast.stmt], parameters: set[str]) -> bool:
+    """Whether one of the first statements rejects by a parameter: a condition that leaves at once, an assertion or a type test."""
+    for s in body[: max(3, len(body) // 3)]:
+        names = {x.id for x in _own(s.test, ast.Name)} if isinstance(s, (ast.If, ast.Assert)) else set()
+        if names & parameters and (isinstance(s, ast.Assert) or isinstance(s.body[0], (ast.Return, ast.Raise))):
+            return True
+    return False
+
+
+def _asserts(node: ast.AST) -> tuple[int, int]:
+    """Assertions that expect success, and those that expect a failure."""
+    calls = [x.func.attr if isinstance(x.func, ast.Attribute) else getattr(x.func, "id", "") for x in _own(node, ast.Call)]
+    bad = sum(c in _NEGATIVE for c in calls) + sum(isinstance(x.test, ast.UnaryOp) and isinstance(x.test.op, ast.Not) for x in _own(node, ast.Assert))
+    return sum(c.startswith("assert") and c not in _NEGATIVE for c in calls) + len(_own(node, ast.Assert)) - (bad - sum(c in _NEGATIVE for c in calls)), bad
+
+
 def _function(node: ast.FunctionDef | ast.AsyncFunctionDef) -> dict:
     body = node.body[1:] if ast.get_docstring(node) is not None else node.body
     kinds = [type(x).__name__ for s in body for x in ast.walk(s)]
     a = node.args
+    returned = [x.value for x in _own(node, ast.Return) if x.value is not None]
+    raised = [x.exc.func if isinstance(x.exc, ast.Call) else x.exc for x in _own(node, ast.Raise)]
+    names = [x.arg for x in (*a.posonlyargs, *a.args, *a.kwonlyargs)]
+    positive, negative = _asserts(node)
     return {
-        "name": node.name, "line": node.lineno, "end_line": node.end_lineno, "complexity": _complexity(node), "parameters": [x.arg for x in (*a.posonlyargs, *a.args, *a.kwonlyargs)],
+        "name": node.name, "line": node.lineno, "end_line": node.end_lineno, "complexity": _complexity(node), "parameters": names,
         "decorators": [ast.unparse(d) for d in node.decorator_list], "has_docstring": len(body) < len(node.body), "returns": ast.unparse(node.returns) if node.returns else None, "nesting": _depth(node.body),
         "body_hash": hashlib.sha256("\n".join(ast.dump(s) for s in body).encode()).hexdigest(), "ngrams": [" ".join(kinds[i : i + 3]) for i in range(len(kinds) - 2)],
+        "cognitive": _cognitive(body), "raises": bool(raised), "rejects": bool(raised) or any(isinstance(v, ast.Constant) and (v.value is False or v.value is None) for v in returned),
+        "creates": _creates(body), "boolean": (node.returns is not None and ast.unparse(node.returns) in ("bool", "builtins.bool")) or (bool(returned) and all(map(_boolean, returned))), "tries": bool(_own(node, ast.Try)),
+        "guarded": _guarded(body, set(names)), "exceptions": sorted({ast.unparse(x) if x is not None else "reraise" for x in raised}), "positive": positive, "negative": negative,
     }
 
 
+def _settings(tree: ast.Module) -> list[dict]:
+    """Settings that are insecure: rule, name, score, line."""
+    out = []
+    for node in _own(tree, ast.Assign):
+        for target in node.targets:
+            name, v = getattr(target, "id", None), node.value
+            given = "star" if isinstance(v, ast.List) and [getattr(x, "value", None) for x in v.elts] == ["*"] else "empty" if isinstance(v, ast.List) and not v.elts else str(v.value) if isinstance(v, ast.Constant) and isinstance(v.value, bool) else None
+            if (found := INSECURE.get((name, given))) is not None:
+                out.append({"rule": found[0], "name": name, "score": found[1], "line": node.lineno})
+    for call in _own(tree, ast.Call):
+        if any(k.arg == "verify" and isinstance(k.value, ast.Constant) and k.value.value is False for k in call.keywords):
+            out.append({"rule": "insecure_ssl_verify", "name": "verify", "score": 0.7, "line": call.lineno})
+    return out
+
+
+def _names(tree: ast.Module) -> dict:
+    """Names that the file calls and those that it binds in any scope."""
+    bound = {x.id for x in _own(tree, ast.Name) if isinstance(x.ctx, (ast.Store, ast.Del))} | {x.name for x in _own(tree, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef))} | {x.arg for x in _own(tree, ast.arg)}
+    bound |= {x.name for x in _own(tree, ast.ExceptHandler) if x.name} | {(x.asname or x.name).split(".")[0] for i in _own(tree, (ast.Import, ast.ImportFrom)) for x in i.names}
+    called = {x.func.id for x in _own(tree, ast.Call) if isinstance(x.func, ast.Name)}
+    return {"called": sorted(called - _BUILTIN), "bound": sorted(bound), "open": "*" in bound or bool({"exec", "eval"} & called)}
+
+
 def _handler(node: ast.ExceptHandler) -> dict:
     types = ["bare"] if node.type is None else [ast.unparse(x) for x in (node.type.elts if isinstance(node.type, ast.Tuple) else [node.type])]
     quiet = all(isinstance(s, (ast.Pass, ast.Continue)) or (isinstance(s, ast.Expr) and isinstance(s.value, ast.Constant)) for s in node.body)
@@ -41,12 +138,13 @@ def _handler(node: ast.ExceptHandler) -> dict:
 
 
 def describe(content: str) -> dict:
-    """functions, classes, imports, handlers and error of a source text."""
-    out: dict = {"functions": [], "classes": [], "imports": [], "handlers": [], "error": None}
+    """functions, classes, imports, handlers, settings, names and error of a source text."""
+    out: dict = {"functions": [], "classes": [], "imports": [], "handlers": [], "settings": [], "names": {"called": [], "bound": [], "open": True}, "error": None}
     try:
         tree = ast.parse(content)
     except (SyntaxError, ValueError, RecursionError) as e:
         return out | {"error": type(e).__name__}
+    out["settings"], out["names"] = _settings(tree), _names(tree)
     top = set(map(id, tree.body))
     for node in ast.walk(tree):
         if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):

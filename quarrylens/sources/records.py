@@ -50,8 +50,8 @@ def context_tags(source: DataFrame, mark: str = "quarry:context") -> DataFrame:
 
 def json_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A JSON-lines log under a schema; lines that don't parse are left out."""
-    raw = spark.read.schema(f"{schema}, _bad string").option("columnNameOfCorruptRecord", "_bad").json(path).cache()
-    return raw.filter("_bad is null").drop("_bad")
+    row = F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    return spark.read.text(path).filter(F.trim("value") != "").select(row.alias("r")).select("r.*").filter("_bad is null").drop("_bad")
 
 
 def feedback_log(spark: SparkSession, path: str) -> DataFrame:
@@ -59,8 +59,8 @@ def feedback_log(spark: SparkSession, path: str) -> DataFrame:
     return json_log(spark, path, "signal string, file_path string, verdict string, source string, ts string").withColumn("ts", parse_time(F.col("ts")))
 
 
-_FUNCTION = "array<struct<name:string,line:int,end_line:int,complexity:int,parameters:array<string>,decorators:array<string>,has_docstring:boolean,returns:string,nesting:int,body_hash:string,ngrams:array<string>>>"
-_PARSED = f"path string, functions {_FUNCTION}, classes array<struct<name:string,line:int,bases:array<string>>>, imports array<struct<module:string,names:array<string>,line:int,level:int,top:boolean>>, handlers array<struct<line:int,exceptions:array<string>,broad:boolean,swallows:boolean>>, error string"
+_FUNCTION = "array<struct<name:string,line:int,end_line:int,complexity:int,parameters:array<string>,decorators:array<string>,has_docstring:boolean,returns:string,nesting:int,body_hash:string,ngrams:array<string>,cognitive:int,raises:boolean,rejects:boolean,creates:boolean,boolean:boolean,tries:boolean,guarded:boolean,exceptions:array<string>,positive:int,negative:int>>"
+_PARSED = f"path string, functions {_FUNCTION}, classes array<struct<name:string,line:int,bases:array<string>>>, imports array<struct<module:string,names:array<string>,line:int,level:int,top:boolean>>, handlers array<struct<line:int,exceptions:array<string>,broad:boolean,swallows:boolean>>, settings array<struct<rule:string,name:string,score:double,line:int>>, names struct<called:array<string>,bound:array<string>,open:boolean>, error string"
 
 
 def parse_python(source: DataFrame) -> DataFrame:
@@ -70,7 +70,7 @@ def parse_python(source: DataFrame) -> DataFrame:
         from .python_ast import describe
 
         for pdf in batches:
-            yield pd.DataFrame([{"path": p, **describe(c or "")} for p, c in zip(pdf.path, pdf.content, strict=True)], columns=["path", "functions", "classes", "imports", "handlers", "error"])
+            yield pd.DataFrame([{"path": p, **describe(c or "")} for p, c in zip(pdf.path, pdf.content, strict=True)], columns=["path", "functions", "classes", "imports", "handlers", "settings", "names", "error"])
 
     return source.select("path", "content").mapInPandas(parse, _PARSED)
 
