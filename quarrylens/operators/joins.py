@@ -102,21 +102,30 @@ def multiset_jaccard(left: DataFrame, right: DataFrame, keys: list[str], item: s
     return j.groupBy(*keys).agg((F.sum(F.least("__a", "__b")) / F.sum(F.greatest("__a", "__b"))).alias("jaccard"))
 
 
-def blocked_pairs(df: DataFrame, key: str, size: str, features: Column, *, width: int = 10, least_ratio: float = 0.5, least_similarity: float = 0.8) -> DataFrame:
-    """Pairs of similar sets among rows of like size (same or next bucket of ``width``).
+def set_classes(df: DataFrame, key: str, features: Column) -> DataFrame:
+    """``key``, class: the least key of the rows with the same set of features."""
+    h = df.select(F.col(key), F.sha2(F.array_join(F.array_sort(F.array_distinct(features)), "\x1f"), 256).alias("__h"))
+    return h.join(h.groupBy("__h").agg(F.min(key).alias("class")), "__h").drop("__h")
+
+
+def blocked_pairs(df: DataFrame, key: str, size: str, features: Column, *, width: int | None = 10, least_ratio: float = 0.5, least_similarity: float = 0.8) -> DataFrame:
+    """Pairs of similar sets. With ``width``, only among rows of like ``size`` (same or next bucket of that width): pairs two buckets apart are left out by that
+    rule. Without, all pairs of the least similarity.
 
     Candidates come from prefixes: with features in order of rarity, two sets of similarity t share one of
-    the first n - ceil(t n) + 1 of each. So only rare features are join keys, and no pair is lost.
+    the first n - ceil(t n) + 1 of each. So only rare features are join keys, and no pair is lost. Give one row a set (``set_classes``) where copies abound.
     """
     sets = df.select(F.col(key), F.col(size), F.array_distinct(F.transform(features, lambda x: F.xxhash64(x))).alias("__s"))  # 64-bit hashes compare faster than words
     f = sets.select(key, size, F.explode("__s").alias("__f"), F.size("__s").alias("__n"))
     f = f.join(f.groupBy("__f").agg(F.count("*").alias("__df")), "__f")
     rank = F.row_number().over(Window.partitionBy(key).orderBy("__df", "__f"))
     f = f.withColumn("__r", rank).filter(F.col("__r") <= F.col("__n") - F.ceil(F.lit(least_similarity) * F.col("__n") - 1e-9) + 1)
-    f = f.filter("__df > 1").withColumn("__b", F.floor(F.col(size) / width))
-    left = f.select(F.col(key).alias("a"), "__f", F.col(size).alias("__sa"), F.col("__n").alias("__na"), F.explode(F.array("__b", F.col("__b") + 1)).alias("__b"))
+    f = f.filter("__df > 1").withColumn("__b", F.lit(0) if width is None else F.floor(F.col(size) / width))
+    left = f.select(F.col(key).alias("a"), "__f", F.col(size).alias("__sa"), F.col("__n").alias("__na"), *((F.col("__b"),) if width is None else (F.explode(F.array("__b", F.col("__b") + 1)).alias("__b"),)))
     right = f.select(F.col(key).alias("b"), "__f", F.col(size).alias("__sb"), F.col("__n").alias("__nb"), F.col("__b"))
-    near = (F.least("__sa", "__sb") >= least_ratio * F.greatest("__sa", "__sb")) & (F.least("__na", "__nb") >= least_similarity * F.greatest("__na", "__nb") - 1e-9) & (F.col("a") != F.col("b"))
+    near = (F.least("__na", "__nb") >= least_similarity * F.greatest("__na", "__nb") - 1e-9) & (F.col("a") != F.col("b"))
+    if width is not None:
+        near = near & (F.least("__sa", "__sb") >= least_ratio * F.greatest("__sa", "__sb"))
     c = left.join(right, ["__f", "__b"]).filter(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     x = sets.select(F.col(key).alias("a"), F.col("__s").alias("__x"))
     y = sets.select(F.col(key).alias("b"), F.col("__s").alias("__y"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import log
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +14,8 @@ from ..functions.exprs import dot, norm
 from .topk import top_k_per_group
 
 K1, B = 1.5, 0.75
+#: Shares that a term's postings are dealt to; vectors of a block.
+SHARES, BLOCK = 16, 512
 
 
 def postings(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
@@ -22,33 +27,65 @@ def postings(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
 def bm25(docs: DataFrame, queries: DataFrame, key: str, tokens: Column, query_key: str, query_tokens: Column, k: int | None = 5, k1: float = K1, b: float = B) -> DataFrame:
     """query, doc, score of the k best documents of each query; ties by the smaller document. A term that a query repeats counts each time.
 
-    Queries meet postings on the term, so only documents that share a term are scored; postings of terms
-    that no query has never leave their task (the join's side of distinct query terms is small or split).
+    Texts are cut into words once: the postings of the queries' terms, and a row without a term with each document's length, are written to the shared
+    folder. Queries meet postings on the term and a share of the document, so a common term's postings are dealt to ``SHARES`` tasks.
     """
-    p = postings(docs, key, tokens)
-    size = docs.agg(F.count("*").alias("n"), F.avg(F.size(tokens)).alias("avg"))
+    from .graph import cut
+
     q = queries.select(F.col(query_key).alias("query"), F.explode(query_tokens).alias("term")).groupBy("query", "term").agg(F.count("*").alias("qtf"))
-    p = p.join(q.select("term").distinct(), "term", "left_semi")
+    t = docs.select(F.col(key).alias("doc"), tokens.alias("__t")).select("doc", F.size("__t").alias("length"), F.explode(F.concat(F.array(F.lit(None).cast("string")), "__t")).alias("term"))
+    # Document by document, a term's rows are summed before they are shuffled.
+    p = t.groupBy("doc", "length", "term").agg(F.count("*").alias("tf"))
+    asked = q.select("term").distinct().withColumn("asked", F.lit(True))
+    p = cut(p.join(asked, "term", "left").filter("asked or term is null"))
+    size = p.filter("term is null").agg(F.count("*").alias("n"), F.avg("length").alias("avg"))
+    share = F.pmod(F.xxhash64("doc"), F.lit(SHARES)).cast("int")
+    p = p.filter("asked").select("term", "doc", "length", "tf", share.alias("share"))
     df = p.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg")))
-    hit = q.join(df, "term").join(p, "term").crossJoin(F.broadcast(size))  # one row
+    q = q.join(df, "term").withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+    hit = q.join(p, ["term", "share"]).crossJoin(F.broadcast(size))  # one row
     scored = hit.groupBy("query", "doc").agg(F.sum(F.col("qtf") * weight).alias("score")).filter("score > 0")
     if k is None:
         return scored
     return top_k_per_group(scored.withColumn("__s", F.round("score", 9)), ["query"], [F.col("__s").desc(), F.col("doc")], k, salts=16, salt_by="doc").drop("__s")
 
 
+def _blocks(vectors: DataFrame, key: str, vector: str, name: str) -> DataFrame:
+    """Rows of about ``BLOCK`` vectors of other than zero length: ids and vectors. The number of blocks grows with the table."""
+    n = max(1, -(-vectors.count() // BLOCK))
+    v = vectors.filter(norm(F.col(vector)) > 0).select(F.pmod(F.xxhash64(key), F.lit(n)).alias("__b"), F.struct(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).alias("x"))
+    return v.groupBy("__b").agg(F.collect_list("x").alias("x")).select(F.col("x.id").alias(f"{name}_ids"), F.col("x.v").alias(f"{name}_vectors"))
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, least: float | None = None) -> DataFrame:
     """query, id, similarity of the k most similar vectors of each query (cosine; zero vectors match nothing), exactly.
 
-    ``queries`` is a stated query set, met against all rows: its distinct ids bound the pairs.
+    ``queries`` is a stated query set, met against all rows in blocks: a task multiplies a block of vectors with one of queries and passes
+    on k rows a query at most.
     """
-    n = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v"), norm(F.col(vector)).alias("nv")).filter("nv > 0")
-    q = queries.select(F.col(key).alias("query"), F.col(vector).alias("q"), norm(F.col(vector)).alias("nq")).filter("nq > 0")
-    pairs = n.crossJoin(q).filter(F.col("id") != F.col("query")).select("query", "id", (dot(F.col("v"), F.col("q")) / (F.col("nv") * F.col("nq"))).alias("similarity"))
-    if least is not None:
-        pairs = pairs.filter(F.col("similarity") >= least)
+    kind = dict(vectors.dtypes)[key]
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                side = []
+                for name in ("v", "q"):
+                    ids, own = batch.column(f"{name}_ids")[row].values, batch.column(f"{name}_vectors")[row].values
+                    x = np.asarray(own.flatten()).reshape(len(ids), -1)
+                    side.append((ids, x / np.linalg.norm(x, axis=1, keepdims=True)))
+                (ids, x), (asked, y) = side
+                s = y @ x.T
+                same = np.asarray(ids)[None, :] == np.asarray(asked)[:, None]
+                s[same] = -np.inf
+                # Ties are decided at the end, so all of the last place's score come along.
+                at = min(k, s.shape[1]) - 1
+                cut = -np.partition(-s, at, axis=1)[:, at][:, None] - 1e-9
+                i, j = np.nonzero((s >= cut) & (s >= (-2 if least is None else least)))
+                yield pa.RecordBatch.from_pydict({"query": asked.take(pa.array(i)), "id": ids.take(pa.array(j)), "similarity": pa.array(s[i, j])})
+
+    pairs = _blocks(vectors, key, vector, "v").crossJoin(_blocks(queries, key, vector, "q")).mapInArrow(multiply, f"query {kind}, id {kind}, similarity double")
     return top_k_per_group(pairs.withColumn("__s", F.round("similarity", 9)), ["query"], [F.col("__s").desc(), F.col("id")], k, salts=16, salt_by="id").drop("__s")
 
 
@@ -84,7 +121,7 @@ def entropy(counts: DataFrame, by: list[str], n: str) -> DataFrame:
 
 def simhash(docs: DataFrame, key: str, tokens: Column, bits: int = 64) -> DataFrame:
     """id, simhash (bigint): each bit is the majority over the token hashes' bits."""
-    h = docs.select(F.col(key).alias("id"), F.explode(tokens).alias("t")).select("id", F.xxhash64("t").alias("h"))
+    h = docs.select(F.col(key).alias("id"), F.explode(tokens).alias("t")).select("id", F.conv(F.substring(F.md5("t"), 1, 16), 16, -10).cast("long").alias("h"))
     sums = h.groupBy("id").agg(*(F.sum(F.when(F.shiftrightunsigned("h", b).bitwiseAND(1) == 1, 1).otherwise(-1)).alias(f"b{b}") for b in range(bits)))
     value = F.lit(0).cast("long")
     for b in range(bits):

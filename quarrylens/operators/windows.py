@@ -12,10 +12,16 @@ def micros(ts: str | Column) -> Column:
 
 
 def average_rank(df: DataFrame, value: str, name: str) -> DataFrame:
-    """1-based rank with ties averaged, from counts of distinct values: a running sum over values, not over rows."""
-    c = df.groupBy(value).agg(F.count("*").alias("__n"))
-    below = F.sum("__n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
-    c = c.select(F.col(value).alias("__v"), (F.coalesce(below, F.lit(0)) + (F.col("__n") + 1) / 2).alias(name))
+    """1-based rank with ties averaged, from counts of distinct values. These are range-partitioned and summed in two levels: ranges against each other, and
+    values within a range, so no task sees all of them."""
+    from .graph import cut
+
+    c = df.groupBy(value).agg(F.count("*").alias("__n")).repartitionByRange(F.col(value).asc_nulls_first())
+    c = cut(c.select(F.col(value).alias("__v"), "__n", F.spark_partition_id().alias("__p")))
+    ranges = c.groupBy("__p").agg(F.sum("__n").alias("__t"))
+    ranges = ranges.select(F.col("__p").alias("__q"), (F.sum("__t").over(Window.orderBy("__p")) - F.col("__t")).alias("__b"))  # a row a range
+    within = F.sum("__n").over(Window.partitionBy("__p").orderBy(F.col("__v").asc_nulls_first())) - F.col("__n")
+    c = c.withColumn("__w", within).join(ranges, F.col("__p") == F.col("__q")).select("__v", (F.col("__b") + F.col("__w") + (F.col("__n") + 1) / 2).alias(name))
     return df.join(c, F.col(value).eqNullSafe(F.col("__v"))).drop("__v")
 
 
@@ -54,11 +60,15 @@ def streaks(df: DataFrame, by: list[str], order: list, flag: Column, at: str, le
 def anchored_bursts(df: DataFrame, by: str, ts: str, window_days: float, least: int) -> DataFrame:
     """Greedy, non-overlapping groups: everything within ``window_days`` of the group's first event, if there are enough.
 
-    The anchor makes each group depend on the one before, so an entity's times are folded in order. What
-    is folded is the entity's array of times (8 bytes an event), inside a native aggregate().
+    The anchor makes each group depend on the one before, so the times of a stretch without a gap of ``window_days`` are folded in order. What
+    is folded is the stretch's array of times (8 bytes an event), inside a native aggregate().
     """
     span = int(window_days * 86_400_000_000)
-    times = df.groupBy(by).agg(F.array_sort(F.collect_list(micros(ts))).alias("times"))
+    # A burst must end where the next event is further away than the window, so each stretch between such gaps is folded by itself.
+    at = df.select(by, micros(ts).alias("__t"))
+    w = Window.partitionBy(by).orderBy("__t")
+    at = at.withColumn("__s", F.sum(F.when(F.col("__t") - F.lag("__t").over(w) <= span, 0).otherwise(1)).over(w))
+    times = at.groupBy(by, "__s").agg(F.array_sort(F.collect_list("__t")).alias("times"))
     zero = F.struct(F.array().cast("array<struct<first:bigint,last:bigint,n:bigint>>").alias("done"), F.lit(None).cast("bigint").alias("first"), F.lit(None).cast("bigint").alias("last"), F.lit(0).cast("bigint").alias("n"))
     close = lambda s: F.when(s["n"] >= least, F.concat(s["done"], F.array(F.struct(s["first"].alias("first"), s["last"].alias("last"), s["n"].alias("n"))))).otherwise(s["done"])
     step = lambda s, x: F.when(s["first"].isNotNull() & (x - s["first"] <= span), F.struct(s["done"].alias("done"), s["first"].alias("first"), x.alias("last"), (s["n"] + 1).alias("n"))).otherwise(F.struct(close(s).alias("done"), x.alias("first"), x.alias("last"), F.lit(1).cast("bigint").alias("n")))

@@ -108,10 +108,18 @@ def j15(t: Tables) -> DataFrame:
     return J.novelty(x, "module", "file", "ts", F.to_timestamp(F.lit("1995-02-01 00:00:00"))).groupBy("module").agg(F.count("*").alias("n_new"))
 
 
-@query("j16_near_duplicate_pairs", "WITH s AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS w FROM documents), e AS (SELECT doc_id, len(w) AS n, unnest(w) AS w FROM s), c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k, max(x.n) AS na, max(y.n) AS nb FROM e x JOIN e y ON x.w = y.w AND x.doc_id < y.doc_id AND abs(x.n // 10 - y.n // 10) <= 1 GROUP BY 1, 2) SELECT a, b, round(k / (na + nb - k), 6) AS similarity FROM c WHERE k >= 0.8 * (na + nb - k) AND abs(na // 10 - nb // 10) <= 1")
+@query("j16_near_duplicate_pairs", """WITH s AS (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+'))) AS w FROM documents), k AS (SELECT min(doc_id) AS id, count(*) AS n, w FROM s WHERE len(w) > 0 GROUP BY w),
+e AS (SELECT id, n, len(w) AS size, unnest(w) AS w FROM k), c AS (SELECT x.id AS a, y.id AS b, count(*) AS k, max(x.size) AS sa, max(y.size) AS sb, max(x.n) AS na, max(y.n) AS nb FROM e x JOIN e y ON x.w = y.w AND x.id < y.id AND least(x.size, y.size) >= 0.8 * greatest(x.size, y.size) GROUP BY 1, 2)
+SELECT a, b, round(k / (sa + sb - k), 6) AS similarity, na AS copies_a, nb AS copies_b FROM c WHERE k >= 0.8 * (sa + sb - k) UNION ALL SELECT id, id, 1.0, n, n FROM k WHERE n > 1""")
 def j16(t: Tables) -> DataFrame:
-    d = t.documents.select("doc_id", F.array_distinct(X.words(F.col("text"))).alias("w")).withColumn("n", F.size("w"))
-    return J.blocked_pairs(d, "doc_id", "n", F.col("w")).select("a", "b", r6("similarity").alias("similarity"))
+    """Pairs of classes of documents whose word sets have a similarity of 0.8 or more, with the numbers of their copies; a class of several documents also with
+    itself. Classes are named by their least document, so copies are never expanded into pairs."""
+    d = t.documents.select("doc_id", F.array_distinct(X.words(F.col("text"))).alias("w")).filter(F.size("w") > 0)
+    n = J.set_classes(d, "doc_id", F.col("w")).groupBy(F.col("class").alias("doc_id")).agg(F.count("*").alias("copies"))
+    one = d.join(n, "doc_id").withColumn("n", F.size("w"))
+    pairs = J.blocked_pairs(one, "doc_id", "n", F.col("w"), width=None).select("a", "b", r6("similarity").alias("similarity"))
+    pairs = pairs.join(n.toDF("a", "copies_a"), "a").join(n.toDF("b", "copies_b"), "b").select("a", "b", "similarity", "copies_a", "copies_b")
+    return pairs.unionByName(n.filter("copies > 1").select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("similarity"), F.col("copies").alias("copies_a"), F.col("copies").alias("copies_b")))
 
 
 @query("j17_exact_duplicates", "SELECT sha256(regexp_replace(trim(lower(text)), '\\s+', ' ', 'g')) AS body, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")

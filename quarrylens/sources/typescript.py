@@ -18,7 +18,7 @@ def imports(files: DataFrame) -> DataFrame:
     """path, module, names, level (0), line, top (true), reexport: one row an import or re-export."""
     found = scripts(files).select("path", "content", F.explode(F.regexp_extract_all("content", F.lit(_FROM), F.lit(1))).alias("raw"))
     names = F.regexp_replace(F.regexp_extract("raw", r"^(?:import|export)\s+(?:type\s+)?(.*?)\s*\bfrom\b", 1), r"[{}\s]+", " ")
-    line = F.size(F.split(F.substring_index("content", F.col("raw"), 1), "\n"))
+    line = F.size(F.split(F.expr("substring_index(content, raw, 1)"), "\n"))
     return found.select("path", F.regexp_extract("raw", r"['\"]([^'\"]+)['\"]$", 1).alias("module"), F.filter(F.transform(F.split(names, ","), lambda x: F.trim(F.substring_index(x, " as ", 1))), lambda x: x != "").alias("names"), F.lit(0).alias("level"), line.alias("line"), F.lit(True).alias("top"), F.col("raw").startswith("export").alias("reexport"))
 
 
