@@ -102,3 +102,35 @@ def bounded_simplex(weights: dict[str, float], low: float, high: float) -> dict[
         else:
             a = mid
     return {n: min(high, max(low, weights[n] + a)) for n in names}
+
+
+def correlations(events: DataFrame, entity: str, kind: str) -> DataFrame:
+    """a, b, r: Pearson's correlation (4 digits) of the counts of each two kinds over all entities, absent ones 0. From sums of products of the counts that are
+    there, so the matrix is never filled."""
+    m = events.groupBy(entity, kind).agg(F.count("*").cast("double").alias("n"))
+    total = events.agg(F.countDistinct(entity).cast("double").alias("N"))  # one number
+    one = m.groupBy(kind).agg(F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q"))
+    both = m.select(entity, F.col(kind).alias("a"), F.col("n").alias("x")).join(m.select(entity, F.col(kind).alias("b"), F.col("n").alias("y")), entity).groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("xy"))
+    grid = one.toDF("a", "sa", "qa").crossJoin(one.toDF("b", "sb", "qb")).join(both, ["a", "b"], "left").crossJoin(F.broadcast(total))  # kinds squared
+    cov = F.coalesce("xy", F.lit(0.0)) - F.col("sa") * F.col("sb") / F.col("N")
+    spread = F.sqrt((F.col("qa") - F.col("sa") ** 2 / F.col("N")) * (F.col("qb") - F.col("sb") ** 2 / F.col("N")))
+    return grid.select("a", "b", F.round(cov / F.nullif(spread, F.lit(0.0)), 4).alias("r"))
+
+
+def principal_values(matrix: list[list[float]], most: int = 6, rounds: int = 200) -> list[float]:
+    """The largest eigenvalues of a small symmetric matrix, by power iteration with deflation."""
+    import numpy as np
+
+    m, out = np.array(matrix, float), []
+    for _ in range(min(most, len(m))):
+        v = np.ones(len(m)) + np.arange(len(m)) * 1e-3
+        for _ in range(rounds):
+            w = m @ v
+            norm = np.linalg.norm(w)
+            if norm < 1e-12:
+                break
+            v = w / norm
+        value = float(v @ m @ v) / float(v @ v)
+        out.append(value)
+        m = m - value * np.outer(v, v) / float(v @ v)
+    return out

@@ -23,3 +23,19 @@ def diverse_top_k(df: DataFrame, group: str, score: str, key: str, k: int) -> Da
     best = top_k_per_group(df, [group], order, k, salts=16, salt_by=key)
     nth = F.row_number().over(Window.partitionBy(group).orderBy(*order))
     return best.withColumn("__late", (nth > 1).cast("int")).orderBy("__late", *order).limit(k).drop("__late")
+
+
+def quota_top_k(df: DataFrame, group: str, by: str, score: str, key: str, k: int, quota: int, least: float = 0.5) -> DataFrame:
+    """k rows with their ``step``: 0, of each group the best score of at least ``least`` without impact (``by`` 0); 1, the ``quota`` of greatest ``by``; 2, of each group
+    that isn't among those the greatest, if its score is at least ``least``; 3, the rest. Within a step by ``by``, then ``key``.
+
+    A row beyond the k best of its group by ``by`` can only be chosen for its score, so few rows a group are ordered together.
+    """
+    order = [F.col(by).desc(), F.col(key)]
+    best = top_k_per_group(df, [group], order, k, salts=16, salt_by=key).withColumn("__s", F.lit(False))
+    first = top_k_per_group(df, [group], [F.col(score).desc(), F.col(key)], 1, salts=16, salt_by=key).withColumn("__s", F.lit(True))
+    rows = best.unionByName(first).groupBy(*df.columns).agg(F.bool_or("__s").alias("__s"))
+    rows = rows.withColumn("__p", F.row_number().over(Window.orderBy(*order))).withColumn("__n", F.row_number().over(Window.partitionBy(group).orderBy(*order)))  # k rows a group
+    seen = F.min("__p").over(Window.partitionBy(group)) <= quota
+    step = F.when((F.col(by) == 0) & (F.col(score) >= least) & F.col("__s"), 0).when(F.col("__p") <= quota, 1).when((F.col("__n") == 1) & (F.col(score) >= least) & ~seen, 2).otherwise(3)
+    return rows.withColumn("step", step).orderBy("step", *order).limit(k).drop("__s", "__p", "__n")

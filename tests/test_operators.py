@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from quarrylens.functions import exprs as X
@@ -79,12 +80,18 @@ def test_average_rank(spark):
 
 
 def test_hyperplane_recall(spark):
-    e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").limit(200).cache()
-    b = retrieval.hyperplane_buckets(e, "vec_id", "embedding", 64, bits=3, tables=16)
-    q = b.filter("id % 20 = 0").select(F.col("id").alias("query"), "table", "bucket")
-    c = {tuple(r) for r in b.join(q, ["table", "bucket"]).select("query", "id").distinct().collect()}
-    exact = [(r.query, r.id) for r in retrieval.nearest(e, e.filter("vec_id % 20 = 0"), "vec_id", "embedding", 5).collect()]
-    assert sum(x in c for x in exact) >= 0.9 * len(exact)
+    """Close vectors (cosine about 0.95) are proposed together by one of the tables, as the loss for that many says, and few others are."""
+    r = np.random.default_rng(3)
+    x = r.normal(size=(400, 64))
+    y = x + r.normal(size=x.shape) * 0.3
+    e = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.concatenate((x, y)))], "vec_id long, embedding array<double>")
+    tables = next(n for n in range(1, 99) if retrieval.recall_loss(0.95, 12, n) < 0.02)
+    b = retrieval.hyperplane_buckets(e, "vec_id", "embedding", 64, bits=12, tables=tables)
+    c = {tuple(q) for q in b.join(b.toDF("other", "table", "bucket"), ["table", "bucket"]).filter("id < other").select("id", "other").distinct().collect()}
+    close = [(i, 400 + i) for i in range(400)]
+    assert sum(p in c for p in close) >= 0.95 * len(close) and len(c) < 0.05 * 800 * 799 / 2
+    near = {(q.query, q.id) for q in retrieval.nearest(e, e.filter("vec_id < 400"), "vec_id", "embedding", 1).collect()}
+    assert near == set(close)
 
 
 def _tree(tmp_path):
@@ -129,3 +136,11 @@ def test_logs(spark, tmp_path):
     log = "\x1eh1\x1fAnn\x1fa@x\x1f2024-01-01T00:00:00Z\x1fmsg\n3\t1\tsrc/a.py\n-\t-\tbin.png\n\x1eh1\x1fAnn\x1fa@x\x1f2024-01-01T00:00:00Z\x1fmsg\n"
     commits, files = records.commits(spark.createDataFrame([(log,)], "value string"))
     assert commits.count() == 1 and commits.first().author == "Ann"
+
+
+def test_principal_values():
+    from quarrylens.operators.scoring import principal_values
+
+    r = np.random.default_rng(1)
+    m = np.corrcoef(r.normal(size=(5, 40)) + 2 * r.normal(size=(1, 40)))
+    assert np.allclose(principal_values(m.tolist()), sorted(np.linalg.eigvalsh(m), reverse=True), atol=1e-3)
