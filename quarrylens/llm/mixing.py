@@ -80,15 +80,18 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, *, source: str = "sou
         (F.conv(F.substring(F.sha2(F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))), 256), 1, 13), 16, 10).cast("long") / float(1 << 52)).alias("draw"),
     )
     # Texts are read and measured once; from here on rows are a few numbers.
-    d = written(d, shared_folder(docs.sparkSession, "mix"), "sizes")
+    folder = shared_folder(docs.sparkSession, "mix")
+    d = written(d, folder, "sizes")
     sizes = d.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     # One row a source; no hint, so Spark broadcasts it only if its size allows.
     plan = targets(sizes, cycling_weights(sizes) if weights is None else weights, budget_share, max_epochs)
-    plan = plan.withColumn("ranges", F.greatest(F.lit(1), F.ceil(F.col("n_docs") / ROWS_PER_RANGE)))
+    # The small tables are written too, so that no plan holds all that came before it several times.
+    plan = written(plan.withColumn("ranges", F.greatest(F.lit(1), F.ceil(F.col("n_docs") / ROWS_PER_RANGE))), folder, "plan")
     plan = plan.withColumnRenamed("source", "p_source")
     d = d.join(plan, F.col("source").eqNullSafe(F.col("p_source"))).drop("p_source", "n_docs").withColumn("part", F.floor(F.col("draw") * F.col("ranges")))
-    totals = d.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
+    totals = written(d.groupBy("source", "part").agg(F.sum("size").alias("part_size")), folder, "totals")
     totals = running_before(totals, ("source",), "part", "part_size", "offset").select(F.col("source").alias("t_source"), F.col("part").alias("t_part"), "offset")
+    totals = written(totals, folder, "offsets")
     within = Window.partitionBy("source", "part").orderBy("draw", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("upto", F.sum("size").over(within)).join(totals, F.col("source").eqNullSafe(F.col("t_source")) & (F.col("part") == F.col("t_part"))).withColumn("upto", F.col("upto") + F.col("offset"))
 
@@ -105,9 +108,11 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, *, source: str = "sou
     time_ranges = total.select(F.greatest(F.lit(float(TIME_RANGES)), F.ceil(F.col("rows") / ROWS_PER_RANGE)).alias("time_ranges"))
     # One row, so this is a lookup of a number.
     copy = copy.crossJoin(F.broadcast(time_ranges)).withColumn("slot", F.floor(F.col("finish") * F.col("time_ranges")))
+    copy = written(copy, folder, "queue")
     used = copy.filter("words > 0")
-    slots = used.groupBy("slot").agg(F.sum("words").alias("slot_words"))
+    slots = written(used.groupBy("slot").agg(F.sum("words").alias("slot_words")), folder, "slots")
     slots = running_before(slots, (), "slot", "slot_words", "slot_offset").select(F.col("slot").alias("s_slot"), "slot_offset")
+    slots = written(slots, folder, "slot-offsets")
     budget = plan.agg(F.round(F.sum("target")).cast("long").alias("budget"))
     by_time = Window.partitionBy("slot").orderBy("finish", "draw", F.col("doc_id").asc_nulls_last(), "epoch", "source").rowsBetween(Window.unboundedPreceding, 0)
     used = used.withColumn("position", F.sum("words").over(by_time)).join(slots, F.col("slot") == F.col("s_slot")).crossJoin(F.broadcast(budget))
