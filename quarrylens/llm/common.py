@@ -197,14 +197,6 @@ def running_before(df: DataFrame, keys: tuple[str, ...], order: str, value: str,
     return df.withColumn(name, within).join(sums, same).withColumn(name, F.col(name) + F.col(prior)).drop(top, prior, *mine)
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", shares: int = 64) -> DataFrame:
-    """``left`` joined with the one row that ``right`` has for its key. A key may hold any number of rows of ``left``: those are dealt by key and a share of
-    the row's hash, and the right row goes to the shares that there are."""
-    (share,) = fresh(left, "share")
-    left = left.withColumn(share, F.pmod(F.xxhash64(*left.columns), F.lit(shares)))
-    return left.join(left.select(key, share).distinct().join(right, key, how), [key, share], how).drop(share)
-
-
 def tuned(spark: SparkSession) -> SparkSession:
     """Small Arrow batches, so that rows with long texts don't pile up in one batch."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, spread_join
+from .common import kept
 
 
 def components(edges: DataFrame, folder: str, name: str = "cc") -> DataFrame:
@@ -15,7 +15,7 @@ def components(edges: DataFrame, folder: str, name: str = "cc") -> DataFrame:
     that were sent to the same place. A node that stays is a local minimum, so every round at least
     halves the nodes that still have edges: the rounds are logarithmic and their tables shrink. Each
     round's tables are written to the shared folder. The step to the least neighbour is a min() with
-    map-side combining and the joins deal a node's edges in shares, so a hub costs no more than its share.
+    map-side combining; where a hub's edges make a partition of a join too large, Spark splits it (AQE's skew join).
     """
     edges = kept(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), folder, f"{name}-edges-0")
     moves: list[DataFrame] = []
@@ -26,12 +26,12 @@ def components(edges: DataFrame, folder: str, name: str = "cc") -> DataFrame:
         moves.append(move)
         a = move.select(F.col("node").alias("a"), F.col("to").alias("ta"))
         b = move.select(F.col("node").alias("b"), F.col("to").alias("tb"))
-        merged = spread_join(spread_join(edges, a, "a"), b, "b").filter("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct()
+        merged = edges.join(a, "a").join(b, "b").filter("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct()
         edges = kept(merged, folder, f"{name}-edges-{k}")
     if not moves:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     out = moves[-1].select("node", F.col("to").alias("component"))
     for k in range(len(moves) - 2, -1, -1):
         end = out.select(F.col("node").alias("to"), "component")
-        out = kept(spread_join(moves[k], end, "to", "left").select("node", F.coalesce("component", "to").alias("component")), folder, f"{name}-labels-{k}")
+        out = kept(moves[k].join(end, "to", "left").select("node", F.coalesce("component", "to").alias("component")), folder, f"{name}-labels-{k}")
     return out
