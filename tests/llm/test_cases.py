@@ -166,7 +166,7 @@ def test_an_imprecise_rule_does_not_end_the_list():
     assert any(all(c[0] == "sure" for c in q.conditions) for q in rules)
 
 
-@pytest.mark.parametrize("rows", [[], [(1, None, None, None, None)], [(1, "same text of six words here", "en", "a", 27)] * 3 + [(2, "same text of six words here", "en", "a", 27), (None, "w " * 50_000, None, None, 100_000), (3, "", "en", None, 0)]])
+@pytest.mark.parametrize("rows", [[], [(9, None, None, None, None)] + [(1, "same text of six words here", "en", "a", 27)] * 3 + [(2, "same text of six words here", "en", "a", 27), (None, "w " * 50_000, None, None, 100_000), (3, "", "en", None, 0)]])
 def test_stages_on_odd_tables(spark, tmp_path, rows):
     """Empty tables, nulls in all columns, repeated rows, copies, a very long text, further columns."""
     schema = "doc_id long, text string, lang string, source string, n_chars long"
@@ -179,7 +179,7 @@ def test_stages_on_odd_tables(spark, tmp_path, rows):
         counts.append(docs.count())
         if name != "tokens":
             assert docs.columns == [c.split()[0] for c in schema.split(", ")]
-    assert counts[0] == len(rows) and counts[1] == len(set(r[1] for r in rows)) and counts[2] == counts[1] and counts[4] == counts[3]
+    assert counts[0] == len(rows) and counts[1] == len({(r[0], r[1]) if not r[1] else r[1] for r in rows}) and counts[2] == counts[1] and counts[4] == counts[3]
 
 
 def test_crc_of_ids(spark, docs):
