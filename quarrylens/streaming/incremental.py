@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -56,19 +57,39 @@ def lifecycle(events: DataFrame) -> DataFrame:
     return events.groupBy("key").applyInPandasWithState(step, "key string, state string, opened timestamp, resolved timestamp", "opened timestamp", "append", "NoTimeout")
 
 
-def carried_over(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
+def current(spark: SparkSession, path: str, schema: str, before: int | None = None, only: list[int] | None = None) -> DataFrame:
+    """The rows of a table of ``carried_over``: of each bucket its newest version (older than epoch ``before``). ``only`` reads some buckets."""
+    d = spark.read.schema(f"{schema}, bucket int, epoch long").parquet(path)
+    d = d if only is None else d.filter(F.col("bucket").isin(only))
+    d = d if before is None else d.filter(F.col("epoch") < before)
+    newest = d.groupBy("bucket").agg(F.max("epoch").alias("epoch"))
+    return d.join(F.broadcast(newest), ["bucket", "epoch"]).drop("bucket", "epoch")  # a row a bucket
+
+
+def carried_over(path: str, keys: list[str], buckets: int = 64) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: a table of current rows in which each batch replaces the rows of the keys it names.
 
-    Versions are written side by side and the newest is the table, so a batch that runs again gives the same version.
+    Rows lie in buckets of their keys' hash. A batch writes new versions of the buckets it touches only, so its cost follows the batch; one that runs
+    again replaces its own versions. ``current`` reads the table.
     """
 
     def merge(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        batch = batch.persist()
+        batch = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).persist()
         try:
-            old = spark.read.schema(batch.schema).parquet(f"{path}/v{epoch - 1}") if epoch else batch.limit(0)
-            touched = batch.select(*keys).distinct()
-            old.join(touched, keys, "left_anti").unionByName(batch).write.mode("overwrite").parquet(f"{path}/v{epoch}")
+            touched = [r.bucket for r in batch.select("bucket").distinct().collect()]  # ``buckets`` numbers at most
+            if not touched:
+                return
+            rows = batch
+            if epoch:
+                schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in batch.schema if f.name != "bucket")
+                try:
+                    old = current(spark, path, schema, epoch, touched).join(batch.select(*keys).distinct(), keys, "left_anti")
+                    rows = old.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).unionByName(batch)
+                except AnalysisException as e:  # no batch before had rows
+                    if e.getCondition() != "PATH_NOT_FOUND":
+                        raise
+            rows.withColumn("epoch", F.lit(epoch).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "epoch").parquet(path)
         finally:
             batch.unpersist()
 
