@@ -139,3 +139,29 @@ SELECT module, count(*) AS n FROM x WHERE loc >= 5 AND cx >= 2 GROUP BY module""
 def p16(t: Tables) -> DataFrame:
     """Functions long and complex enough to be compared, without dunder, test, tutorial and lazily forwarding ones."""
     return signals.duplicate_candidates(signals.tables(tree(t))["functions"]).groupBy(F.regexp_extract("path", "^(.*)/", 1).alias("module")).agg(F.count("*").alias("n"))
+
+
+_CX = "1 + b + CASE WHEN key % 4 < 2 THEN 1 ELSE 0 END + CASE WHEN key % 5 = 0 THEN 1 ELSE 0 END"
+
+
+@query("f16_complexities", f"WITH {SOURCE_SQL} SELECT module, CAST(sum({_CX}) AS BIGINT) AS cyclomatic, CAST(sum({_CX} - 1) AS BIGINT) AS cognitive, CAST(max(CASE WHEN b > 0 OR key % 4 < 2 OR key % 5 = 0 THEN 1 ELSE 0 END) AS INT) AS nesting FROM fn GROUP BY module")
+def f16(t: Tables) -> DataFrame:
+    """Both complexities and the deepest nesting of each folder's functions."""
+    f = signals.tables(tree(t))["functions"].filter("path like 'src/%'")
+    return f.groupBy(F.regexp_extract("path", "^(.*)/", 1).alias("module")).agg(F.sum("complexity").alias("cyclomatic"), F.sum("cognitive").alias("cognitive"), F.max("nesting").alias("nesting"))
+
+
+@query("s03_parsed_files", f"""WITH {SOURCE_SQL} SELECT path, count(*) AS n_functions, CAST(any_value(CASE WHEN fid > 0 THEN 3 ELSE 2 END) AS BIGINT) AS n_imports, count(CASE WHEN h < 2 THEN 1 END) AS n_handlers FROM fn GROUP BY path
+UNION ALL SELECT 'tests/p' || any_value(fid) % 50 || '/test_f' || fid || '.py', 3, 1, 0 FROM fn WHERE fid % 10 = 0 GROUP BY fid""")
+def s03(t: Tables) -> DataFrame:
+    p = signals.tables(tree(t))["parsed"]
+    return p.filter("error is null").select("path", *(F.size(c).cast("long").alias(f"n_{c}") for c in ("functions", "imports", "handlers")))
+
+
+@query("p05_contexts_of_files", f"WITH {SOURCE_SQL} SELECT 'py' AS ending, 'source' AS context, count(DISTINCT fid) AS n FROM fn UNION ALL SELECT 'py', 'test', count(DISTINCT fid) FROM fn WHERE fid % 10 = 0")
+def p05(t: Tables) -> DataFrame:
+    """Files by ending (which tells the language) and by whether their path is a test's."""
+    from ..functions.exprs import is_test_path
+
+    ending = F.regexp_extract("path", r"\.([A-Za-z]+)$", 1)
+    return tree(t).groupBy(ending.alias("ending"), F.when(is_test_path(F.col("path")), "test").otherwise("source").alias("context")).agg(F.count("*").alias("n"))
