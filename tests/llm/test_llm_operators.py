@@ -118,7 +118,7 @@ def _kneser_ney(train, texts, order):
     return out
 
 
-@pytest.mark.parametrize(("order", "hot", "fan"), [(2, 1 << 60, 256), (2, 20, 256), (3, 1 << 60, 256), (3, 20, 2), (4, 20, 256)])
+@pytest.mark.parametrize(("order", "hot", "fan"), [(2, 20, 256), (3, 1 << 60, 256), (3, 20, 2), (4, 20, 256)])
 def test_language_model_against_brute_force(docs, corpus, order, hot, fan, monkeypatch):
     """Without and with frequent words, and with more buckets than a task deals to."""
     for name, value in (("BUCKET_TEXT_BYTES", 3000), ("BUCKET_WORD_BYTES", 10_000), ("HOT_TOKENS", hot), ("FAN", fan), ("FLUSH_TOKENS", 2000)):
