@@ -95,8 +95,8 @@ def test_hyperplane_recall(spark):
 
 
 def _tree(tmp_path):
-    body = "\n".join(f"    x{i} = {i}" for i in range(8))
-    deep = "def deep(a):\n" + "".join("    " * (i + 1) + f"if a > {i}:\n" for i in range(6)) + "    " * 7 + "return a\n"
+    body = "\n".join(f"    x{i} = {i}" for i in range(8)) + "\n    if p:\n        p = 2"
+    deep = "def deep(a, b):\n" + "".join("    " * (i + 1) + f"if a > {i}:\n" for i in range(6)) + "    " * 7 + "return a\n"
     files = {
         "pkg/a.py": f"import pkg.b\n\ndef one(p):\n{body}\n    return p\n\ndef unused():\n    pass\n\n{deep}",
         "pkg/b.py": f"import pkg.a\nfrom pkg.a import one\n\ndef two(p):\n{body}\n    return p\n\ntry:\n    one(1)\nexcept Exception:\n    pass\ntry:\n    one(2)\nexcept:\n    pass\ntry:\n    one(3)\nexcept Exception:\n    pass\n",
