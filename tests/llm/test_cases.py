@@ -53,11 +53,6 @@ def test_sums_in_two_levels(spark):
         assert all(got[k, i] == sum(own[:i]) for i in range(200))
 
 
-def _bytes_read(spark):
-    it = spark.sparkContext._jvm.org.apache.hadoop.fs.FileSystem.getAllStatistics()
-    return sum(x.getBytesRead() for x in it if x.getScheme() == "file")
-
-
 def test_selective_reads(spark, monkeypatch):
     monkeypatch.setattr(token_files, "GROUP_TOKENS", 4000)
     r = np.random.default_rng(3)
@@ -66,16 +61,23 @@ def test_selective_reads(spark, monkeypatch):
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     token_files.write_tokens(d, folder, metadata=("lang",))
 
-    def cost(df):
-        before = _bytes_read(spark)
-        n = df.agg(F.count("*"), F.sum(F.size("ids")) if "ids" in df.columns else F.max("lang")).collect()[0][0]
-        return n, _bytes_read(spark) - before
+    import glob
+
+    import pyarrow.parquet as pq
 
-    table = token_files.token_table(spark, folder)
-    n, every = cost(table)
-    few, some = cost(token_files.fetch(spark, folder, [700, 701, 9999]))
-    light, meta = cost(table.select("doc_id", "lang"))
-    assert (n, few, light) == (1500, 2, 1500) and some < 0.25 * every and meta < 0.25 * every
+    # What the plans ask of the reader, and the bytes of the row groups whose statistics can hold the ids.
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    few, light = token_files.fetch(spark, folder, [700, 701, 9999]), token_files.token_table(spark, folder).select("doc_id", "lang")
+    assert "EqualTo(doc_id,700)" in plan(few) and "ids" not in plan(light).split("ReadSchema")[1] and "lang" not in plan(few).split("ReadSchema")[1]
+    every = held = ids = 0
+    for f in glob.glob(f"{folder.removeprefix('file://')}/part-*.parquet"):
+        meta = pq.ParquetFile(f).metadata
+        for g in (meta.row_group(k) for k in range(meta.num_row_groups)):
+            size = sum(g.column(c).total_compressed_size for c in range(g.num_columns))
+            low, high = g.column(0).statistics.min, g.column(0).statistics.max
+            every, held = every + size, held + size * any(low <= i <= high for i in (700, 701))
+            ids += sum(g.column(c).total_compressed_size for c in range(g.num_columns) if g.column(c).path_in_schema.startswith("ids"))
+    assert held < 0.25 * every and every - ids < 0.25 * every and (few.count(), light.count()) == (2, 1500)
     t = token_files._tokenizer(token_files.tokenizer_path())
     got = {x.doc_id: x.ids for x in token_files.fetch(spark, folder, [3, 700]).collect()}
     assert got == {i: [*t.encode(rows[i][1], add_special_tokens=False).ids, 1] for i in (3, 700)}
