@@ -1,6 +1,6 @@
 """Queries and SQL of this subpackage."""
 
-from . import chat_format, decontaminate, divergence, jaccard_join, license_scan, line_dedup, mixing, ngram_lm, quality_classifier, quality_rules, token_files, toxicity
+from . import chat_format, collocations, decontaminate, divergence, jaccard_join, license_scan, line_dedup, mixing, ngram_lm, quality_classifier, quality_rules, token_files, toxicity
 
 QUERIES = {
     "op1_ngram_lm": ngram_lm.op1_ngram_lm,
@@ -14,6 +14,7 @@ QUERIES = {
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op11_collocations": collocations.op11_collocations,
     "op12_license_scan": license_scan.op12_license_scan,
     "op13_divergence": divergence.op13_divergence,
 }
@@ -23,6 +24,7 @@ SQL = {
     "op5_chat_format": chat_format.SQL,
     "op8_jaccard_join": jaccard_join.SQL,
     "op10_decontaminate": decontaminate.SQL,
+    "op11_collocations": collocations.SQL,
     "op12_license_scan": license_scan.SQL,
     "op13_divergence": divergence.SQL,
 }
