@@ -249,7 +249,7 @@ def frequencies(d: DataFrame, keys: DataFrame, folder: str) -> DataFrame:
         part = own.mapInArrow(scan(some), "block long, place long, n long")
         counted = part if counted is None else counted.unionByName(part)
     if counted is None:
-        return placed.select("lang", "phrase", "size", F.lit(0).cast("long").alias("f"))
+        return placed.select("lang", "phrase", "size", F.col("place").alias("f"))  # no keys, no rows
     counted = counted.groupBy("block", "place").agg(F.sum("n").alias("f"))
     return kept(placed.join(counted, ["block", "place"]).select("lang", "phrase", "size", "f"), folder, "frequencies")
 
