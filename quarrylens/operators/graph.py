@@ -124,6 +124,62 @@ def simple_cycles(edges: DataFrame, longest: int) -> DataFrame:
     return found
 
 
+def _inside_components(edges: DataFrame) -> DataFrame:
+    """src, dst: the edges that lie on some cycle."""
+    e = cut(edges.filter("src <> dst").select("src", "dst").distinct())
+    c = cut(strong_components(e).select("node", "component"))
+    return cut(e.join(c.toDF("src", "component"), "src").join(c.toDF("dst", "other"), "dst").filter("component = other").select("src", "dst"))
+
+
+def cycles(edges: DataFrame, longest: int | None = None) -> DataFrame:
+    """All simple cycles of two nodes or more, of any length (or up to ``longest``), as arrays that begin with their least node.
+
+    Only edges inside strong components count. A path starts at the cycle's least node and goes on only to nodes above it from which the start can be reached through
+    nodes above it, within what is left of ``longest``: distances back to each start are found first, breadth first. So no path wanders off into parts that never return.
+    """
+    e = _inside_components(edges)
+    back = e.select(F.col("src").alias("node")).distinct().select(F.col("node").alias("start"), "node", F.lit(0).alias("d"))
+    back = front = cut(back)
+    d = 0
+    while longest is None or d < longest - 1:
+        d += 1
+        step = front.select("start", F.col("node").alias("dst")).join(e, "dst").filter(F.col("src") > F.col("start")).select("start", F.col("src").alias("node"), F.lit(d).alias("d")).distinct()
+        front = cut(step.join(back, ["start", "node"], "left_anti"))
+        if front.isEmpty():
+            break
+        back = cut(back.unionByName(front))
+    home = back.withColumnsRenamed({"node": "dst", "d": "left"})
+    paths = cut(e.filter("dst > src").select(F.col("src").alias("start"), "dst").join(home, ["start", "dst"]).select("start", F.array("start", "dst").alias("path")))
+    found, length = None, 2
+    while not paths.isEmpty():
+        ends = paths.withColumn("src", F.element_at("path", -1)).join(e, "src")
+        closed = cut(ends.filter("dst = start").select("path"))
+        found = closed if found is None else found.unionByName(closed)
+        grown = ends.filter((F.col("dst") > F.col("start")) & ~F.array_contains("path", F.col("dst"))).join(home, ["start", "dst"])
+        if longest is not None:
+            grown = grown.filter(F.lit(length + 1) + F.col("left") <= longest)
+        length += 1
+        paths = cut(grown.select("start", F.concat("path", F.array("dst")).alias("path")))
+    return e.select(F.array("src").alias("path")).limit(0) if found is None else found
+
+
+def edge_cycles(edges: DataFrame) -> DataFrame:
+    """For each edge on a cycle a shortest cycle through it, each set of nodes once, as arrays that begin with their least node: at most as many as edges, while all simple cycles
+    may be exponentially many. Of paths equally long the least counts."""
+    e = _inside_components(edges)
+    seen = front = cut(e.select(F.col("src").alias("start")).distinct().select("start", F.col("start").alias("node"), F.array("start").alias("path")))
+    while True:
+        step = front.withColumnRenamed("node", "src").join(e, "src").groupBy("start", F.col("dst").alias("node")).agg(F.min(F.concat("path", F.array("dst"))).alias("path"))
+        front = cut(step.join(seen, ["start", "node"], "left_anti"))
+        if front.isEmpty():
+            break
+        seen = cut(seen.unionByName(front))
+    found = e.select(F.col("dst").alias("start"), F.col("src").alias("node")).join(seen, ["start", "node"]).select("path")
+    at = F.array_position("path", F.array_min("path")).cast("int")
+    turned = F.concat(F.slice("path", at, F.size("path") - at + 1), F.slice("path", F.lit(1), at - 1))
+    return found.select(turned.alias("path")).groupBy(F.array_sort("path").alias("nodes")).agg(F.min("path").alias("path")).select("path")
+
+
 def component_cycles(edges: DataFrame) -> DataFrame:
     """component (its least node), length: of each strong component the shortest cycle through its least node. Each round takes all components one step
     further; a node is visited once."""

@@ -98,26 +98,74 @@ def dead_code(t: dict[str, DataFrame]) -> DataFrame:
 
 @signal("circular_import", "imports", "files")
 def circular(t: dict[str, DataFrame]) -> DataFrame:
-    from ..operators.graph import strong_components
+    """A row a cycle of Python files (tests left out): for each import on a cycle a shortest one, each set of files once."""
+    from ..operators.graph import edge_cycles
 
     module = F.regexp_replace(F.regexp_replace(F.regexp_replace("path", r"\.py$", ""), "/__init__$", ""), "/", ".")
-    names = t["files"].filter("language = 'python'").select("path", module.alias("module"))
-    e = t["imports"].filter("top").join(names.withColumnRenamed("path", "dst"), "module").select(F.col("path").alias("src"), "dst")
-    c = strong_components(e)
-    return _found(c, "circular_import", F.least(F.lit(1.0), 0.3 + 0.1 * F.col("size")), path="node", detail=F.concat(F.lit("component of "), F.col("component")))
-
-
-@signal("bypass_accumulation", "files")
+    names = t["files"].filter("language = 'python'").filter(~X.is_test_path(F.col("path"))).select("path", module.alias("module"))
+    mine = t["imports"].join(names.select("path"), "path", "left_semi")
+    c = edge_cycles(mine.join(names.withColumnRenamed("path", "dst"), "module").select(F.col("path").alias("src"), "dst"))
+    return _found(c, "circular_import", F.round(F.least(F.lit(1.0), 0.3 + 0.1 * F.size("path")), 3), path=F.col("path")[0], detail=F.array_join(F.concat("path", F.slice("path", 1, 1)), " -> "))
+
+
+# Kinds of markers and what a line with one holds.
+MARKERS = (
+    ("type_safety", r"#\s*type:\s*ignore"),
+    ("lint", r"#\s*noqa\b"),
+    ("coverage", r"#\s*pragma:\s*no\s*cover"),
+    ("type_safety", r"\bcast\s*\("),
+    ("test", r"pytest\.mark\.skip"),
+    ("deferred", r"#\s*(?:TODO|FIXME|HACK|XXX)\b"),
+    ("type_safety", r"//\s*@ts-ignore\b"),
+    ("type_safety", r"//\s*@ts-expect-error\b"),
+    ("type_safety", r"//\s*@ts-nocheck\b"),
+    ("type_safety", r"\bas\s+any\b"),
+    ("lint", r"//\s*eslint-disable"),
+)
+DENSE, LEAST_LINES = 0.05, 50
+
+
+@signal("bypass_accumulation", "files", "functions")
 def bypasses(t: dict[str, DataFrame]) -> DataFrame:
-    marks = F.size(F.regexp_extract_all("content", F.lit(r"(#\s*(?:noqa|type:\s*ignore|pragma:\s*no cover|TODO|FIXME))"), F.lit(1)))
-    g = t["files"].withColumn("n", marks).withColumn("density", F.col("n") / F.col("line_count")).filter("line_count >= 50 and density >= 0.05")
-    return _found(g, "bypass_accumulation", F.least(F.lit(1.0), F.col("density") / 0.2), detail="n")
-
-
-@signal("type_safety_bypass", "files")
+    """Files of fifty lines or more, tests left out, with a marker on every twentieth line; a function whose return type is open counts as one. The detail has the
+    count, how it divides among kinds, and the median density of all files with a marker."""
+    f = t["files"].filter("language in ('python', 'typescript', 'javascript')").filter(~X.is_test_path(F.col("path")))
+    f = f.withColumn("lines", F.split("content", "\n")).filter(F.size("lines") >= LEAST_LINES)
+    kinds = list(dict.fromkeys(k for k, _ in MARKERS))
+    of = lambda kind: sum((F.size(F.filter("lines", lambda x: x.rlike(p))) for k, p in MARKERS if k == kind), F.lit(0))  # noqa: B023, E731
+    f = f.select("path", F.size("lines").alias("loc"), *(of(k).alias(k) for k in kinds))
+    open_ = t["functions"].filter(F.col("returns").rlike(r"\b[Aa]ny\b")).groupBy("path").agg(F.count("*").alias("open"))
+    f = f.join(open_, "path", "left").withColumn("type_safety", F.col("type_safety") + F.coalesce("open", F.lit(0)))
+    f = f.withColumn("n", sum((F.col(k) for k in kinds), F.lit(0))).filter("n > 0").withColumn("density", F.col("n") / F.col("loc"))
+    median = F.broadcast(f.agg(F.median("density").alias("median")))  # one number
+    each = F.concat_ws(", ", *(F.when(F.col(k) > 0, F.concat(F.lit(f"{k} "), F.col(k))) for k in sorted(kinds)))
+    g = f.filter(F.col("density") >= DENSE).crossJoin(median)
+    return _found(g, "bypass_accumulation", F.least(F.lit(1.0), F.col("density") / DENSE), line=F.lit(1), detail=F.concat(F.col("n"), F.lit(" ("), each, F.lit("), median "), F.round("median", 4)))
+
+
+# Libraries whose types ask for assertions, members whose assertion is usual there, kinds that weigh nothing, and the count that scores 1.
+SDK_IMPORT = r"""from\s+["'](?:@?playwright(?:/test)?|playwright-core|discord\.js|@discordjs/[^"']+)["']"""
+SDK_MEMBERS = ("on", "off", "once", "addlistener", "removelistener")
+WEIGHTLESS = ("double_cast_sdk_guarded", "non_null_assertion_sdk")
+BYPASSES = 5
+
+
+@signal("type_safety_bypass", "files", "bypasses")
 def type_bypasses(t: dict[str, DataFrame]) -> DataFrame:
-    n = F.size(F.regexp_extract_all("content", F.lit(r"(\bas any\b|as unknown as|@ts-ignore|@ts-nocheck|@ts-expect-error)"), F.lit(1)))
-    return _found(t["files"].filter("language in ('typescript', 'javascript')").withColumn("n", n).filter("n > 0"), "type_safety_bypass", F.least(F.lit(1.0), F.col("n") / 5), detail="n")
+    """TypeScript files, tests left out, by their ways around the type system: casts to any, double casts, non-null assertions, directives. With certain libraries, assertions on their event
+    and locator calls and double casts that a check follows within ten lines weigh nothing."""
+    f = t["files"].filter("language in ('typescript', 'javascript')").filter(~X.is_test_path(F.col("path"))).select("path", "content", F.col("content").rlike(SDK_IMPORT).alias("sdk"))
+    b = t["bypasses"].join(f, "path").withColumn("lines", F.split("content", "\n")).withColumn("text", F.get("lines", F.col("line") - 1))
+    usual = F.lower("before").isin(*(f".{m}" for m in SDK_MEMBERS)) | F.col("text").rlike(r"(?i)\.locator\s*\(.*!\s*\)")
+    variable = F.regexp_extract("text", r"(?i)\b(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*.+\bas\s+unknown\s+as\b", 1)
+    following = F.array_join(F.slice("lines", F.col("line") + 1, F.lit(10)), "\n")
+    guard = F.concat(F.lit(r"(?i)if\s*\(\s*!\s*"), F.replace(variable, F.lit("$"), F.lit(r"\$")), F.lit(r"\._[A-Za-z_$][\w$]*\s*\)\s*\{[\s\S]*?\bthrow\b"))
+    guarded = (variable != "") & F.regexp_like(following, guard)
+    kind = F.when(F.col("sdk") & (F.col("kind") == "non_null_assertion") & usual, WEIGHTLESS[1]).when(F.col("sdk") & (F.col("kind") == "double_cast") & guarded, WEIGHTLESS[0]).otherwise(F.col("kind"))
+    b = b.select("path", "line", kind.alias("kind"))
+    k = b.groupBy("path", "kind").agg(F.count("*").alias("n"), F.min("line").alias("line"))
+    g = k.groupBy("path").agg(F.sum(F.when(F.col("kind").isin(*WEIGHTLESS), 0).otherwise(F.col("n"))).alias("weight"), F.min("line").alias("line"), F.array_sort(F.collect_list(F.concat("kind", F.lit(" "), F.col("n")))).alias("kinds"))
+    return _found(g.filter("weight > 0"), "type_safety_bypass", F.round(F.least(F.lit(1.0), F.col("weight") / BYPASSES), 3), line="line", detail=F.array_join("kinds", ", "))
 
 
 @signal("hardcoded_secret", "files")
@@ -151,7 +199,7 @@ CONTRACTS = (("get_or_create_", "creates"), ("validate_", "rejects"), ("check_",
 @signal("naming_contract_violation", "functions")
 def naming(t: dict[str, DataFrame]) -> DataFrame:
     """Names that promise what the body doesn't do, in snake or camel case."""
-    kept = F.coalesce(*(F.when(_snake("name").startswith(p), F.col(c)) for p, c in CONTRACTS))
+    kept = F.coalesce(*(F.when(_snake(F.substring_index("name", ".", -1)).startswith(p), F.col(c)) for p, c in CONTRACTS))
     return _found(t["functions"].filter(~kept), "naming_contract_violation", F.lit(0.6), symbol="name", line="line")
 
 
@@ -173,11 +221,26 @@ def insecure(t: dict[str, DataFrame]) -> DataFrame:
     return _found(t["settings"].filter(~X.is_test_path(F.col("path"))), "insecure_default", "score", symbol="name", line="line", detail="rule")
 
 
-# Methods of route decorators, words of decorators and parameters that say who is asking, names of endpoints that are public by intent.
-_ROUTES = r"(?i)(^|\.)(route|get|post|put|patch|delete|options|head|websocket|api_view)(\(|$)"
-_AUTH = r"(?i)auth|permission|loginrequired|requires|jwtrequired|tokenrequired"
-_WHO = r"^((current|authenticated|request|auth)user(context|info|obj|object)?|(jwt|access|id|bearer|auth)?token(s|value|str|string)?|(auth|user|principal|jwt)claims?|credentials?|principal)$"
-_PUBLIC = r"health|login|logout|register|signup|public|webhook|ping|status|callback|openapi|docs|favicon|robots"
+# Names of route decorators.
+ROUTES = ("route", "api_view", "get", "post", "put", "patch", "delete", "options", "head", "websocket")
+# What the name of an auth decorator contains.
+AUTH_DECORATORS = ("auth", "authorize", "authenticated", "permission", "login_required", "requires", "jwt_required", "token_required")
+# Parameters that say who is asking, without underscores and case, as whole names.
+AUTH_PARAMETERS = ("currentuser", "authenticateduser", "authuser", "requestuser", "principal", "credentials", "token", "jwttoken", "jwtclaims", "userclaims")
+# And as patterns.
+AUTH_PARAMETER_PATTERNS = (
+    "^(?:current|authenticated|request|auth)user(?:context|info|obj|object)?$",
+    "^(?:jwt|access|id|bearer|auth)token(?:s|value|str|string)?$",
+    "^(?:auth|user|principal)claims?$",
+    "^credentials?$",
+    "^principal$",
+)
+# What names of endpoints that hand out public keys contain.
+PUBLIC_KEYS = ("publishable", "publishablekey", "publickey", "clientkey")
+# Folders that serve a command line's own user, below one named cli.
+LOCAL_SERVERS = ("serving", "serve")
+#: Names and routes that are public by intent.
+PUBLIC = ("health", "login", "logout", "register", "signup", "public", "webhook", "ping", "status", "callback", "openapi", "docs", "favicon", "robots")
 _FRAMEWORKS = ("fastapi", "django", "rest_framework", "flask", "starlette", "sanic", "express", "fastify", "@nestjs", "koa", "hono")
 
 
@@ -192,14 +255,22 @@ def unauthorized(t: dict[str, DataFrame]) -> DataFrame:
     """Route handlers without an auth decorator or parameter, unless public by name or route, or in tests and tools. Of several routes of one
     endpoint, the most specific names it."""
     plain = lambda x: F.regexp_replace(F.lower(F.regexp_replace(x, r"([a-z0-9])([A-Z])", "$1_$2")), "[^a-z0-9]", "")
-    f = t["functions"].filter(F.exists("decorators", lambda d: d.rlike(_ROUTES)) & ~F.exists("decorators", lambda d: F.replace(F.substring_index(d, "(", 1), F.lit("_"), F.lit("")).rlike(_AUTH)) & ~F.exists("parameters", lambda x: plain(x).rlike(_WHO)))
-    f = f.filter(~X.is_test_path(F.col("path")) & ~F.col("path").rlike(r"(^|/)(devtools?|internal|scripts|examples?)/"))
-    route = F.explode(F.filter("decorators", lambda d: d.rlike(_ROUTES)))
+    bare = lambda d: F.lower(F.substring_index(F.substring_index(F.trim(d), "(", 1), ".", -1))
+    routed = lambda d: bare(d).isin(*ROUTES)
+    contains = lambda c, words: F.lit(False) if not words else contains(c, words[1:]) | c.contains(words[0].replace("_", ""))
+    known = lambda x: plain(x).isin(*AUTH_PARAMETERS) | plain(x).rlike("|".join(AUTH_PARAMETER_PATTERNS))
+    f = t["functions"].filter(F.exists("decorators", routed) & ~F.exists("decorators", lambda d: contains(F.replace(bare(d), F.lit("_"), F.lit("")), AUTH_DECORATORS)) & ~F.exists("parameters", known))
+    folders = F.split(F.lower("path"), "/")
+    local = F.array_contains(folders, "cli") & F.arrays_overlap(folders, F.array(*map(F.lit, LOCAL_SERVERS)))
+    f = f.filter(~X.is_test_path(F.col("path")) & ~local & ~F.col("path").rlike(r"(^|/)(devtools?|internal|scripts|examples?)/"))
+    route = F.explode(F.filter("decorators", routed))
     f = f.select("path", "name", "line", "has_docstring", route.alias("d")).withColumn("route", F.regexp_extract("d", r"""['"]([^'"]*)['"]""", 1))
-    f = f.filter(~F.replace(F.lower("name"), F.lit("_"), F.lit("")).rlike(_PUBLIC) & ~F.regexp_replace(F.lower("route"), "[_/-]", "").rlike(_PUBLIC))
-    f = f.groupBy("path", "name", "line").agg(F.max_by("route", F.struct(F.col("route").startswith("/"), F.length("route"), "route")).alias("route"))
+    name = F.replace(F.lower(F.substring_index("name", ".", -1)), F.lit("_"), F.lit(""))
+    f = f.filter(~contains(name, PUBLIC) & ~contains(F.regexp_replace(F.lower("route"), "[_/-]", ""), PUBLIC))
+    f = f.groupBy("path", "name", "line", "has_docstring").agg(F.max_by("route", F.struct(F.col("route").startswith("/"), F.length("route"), "route")).alias("route"))
     f = f.join(frameworks(t["imports"]), "path", "left")
-    return _found(f, "missing_authorization", F.lit(0.85), symbol="name", line="line", detail=F.concat_ws(" ", F.coalesce("framework", F.lit("unknown")), "route"))
+    score = F.when(F.col("has_docstring") & contains(name, PUBLIC_KEYS), 0.35).otherwise(0.85)
+    return _found(f, "missing_authorization", score, symbol="name", line="line", detail=F.concat_ws(" ", F.coalesce("framework", F.lit("unknown")), "route"))
 
 
 @signal("phantom_reference", "parsed")
@@ -344,12 +415,18 @@ def ts_architecture(t: dict[str, DataFrame]) -> DataFrame:
 
 
 def tables(source: DataFrame) -> dict[str, DataFrame]:
-    """The tables of a file tree; Python is parsed once."""
+    """The tables of a file tree; each file is parsed once. Functions and classes are those of Python and TypeScript; classes there are types of kind ``class``."""
     from ..operators.graph import cut
     from ..sources.records import flat, parse_python
+    from ..sources.typescript import declarations
 
     parsed = cut(parse_python(source.filter("language = 'python'")))
-    return {"files": source, "parsed": parsed} | {k: flat(parsed, k) for k in ("functions", "classes", "imports", "handlers", "settings")}
+    typed = cut(declarations(source))
+    out = {"files": source, "parsed": parsed, "types": flat(typed, "types"), "bypasses": flat(typed, "bypasses")} | {k: flat(parsed, k) for k in ("functions", "classes", "imports", "handlers", "settings")}
+    functions = out["functions"]
+    out["functions"] = functions.unionByName(flat(typed, "functions").select(*functions.columns))
+    out["classes"] = out["classes"].unionByName(out["types"].filter("kind = 'class'").select(*out["classes"].columns))
+    return out
 
 
 def runnable(there: set[str]) -> dict[str, str | None]:

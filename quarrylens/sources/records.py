@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import glob_regex, parse_time
+from .batches import by_bytes
 
 # Languages by file extension.
 LANGUAGES = {"py": "python", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "java": "java", "go": "go", "rs": "rust", "md": "markdown"}
@@ -66,13 +67,21 @@ _PARSED = f"path string, functions {_FUNCTION}, classes array<struct<name:string
 def parse_python(source: DataFrame) -> DataFrame:
     """One row a file with its functions, classes, imports and handlers; a file that doesn't parse has ``error``."""
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    schema = to_arrow_schema(StructType.fromDDL(_PARSED))
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .python_ast import describe
 
-        for pdf in batches:
-            yield pd.DataFrame([{"path": p, **describe(c or "")} for p, c in zip(pdf.path, pdf.content, strict=True)], columns=["path", "functions", "classes", "imports", "handlers", "settings", "names", "error"])
+        for batch in by_bytes(batches, "content"):
+            rows = [{"path": p, **describe(c or "")} for p, c in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return source.select("path", "content").mapInPandas(parse, _PARSED)
+    # Parsing costs far more than a shuffle of the texts, so files are dealt out evenly; a number of partitions that is given isn't merged by AQE.
+    parts = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return source.select("path", "content").repartition(parts, "path").mapInArrow(parse, _PARSED)
 
 
 def flat(parsed: DataFrame, what: str) -> DataFrame:

@@ -1,10 +1,15 @@
-"""Imports of TypeScript and JavaScript by patterns: no grammar is installed, so functions and classes aren't read."""
+"""TypeScript and JavaScript: imports by patterns, declarations from tokens and brackets (no grammar is installed)."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import by_bytes
+
 # What an import may leave out, in the order in which it is tried.
 ENDINGS = (".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js", "")
 _FROM = r"(?m)^[ \t]*((?:import|export)\b[^'\";]*?\bfrom\s*['\"][^'\"]+['\"]|import\s*['\"][^'\"]+['\"])"
@@ -48,3 +53,29 @@ def import_graph(files: DataFrame, aliases: dict[str, str] | None = None) -> Dat
     through = first.filter("reexport").select(F.col("path").alias("barrel"), F.explode("names").alias("name"), F.col("dst").alias("far"))
     wide = first.select(F.col("path").alias("src"), "dst", F.explode_outer("names").alias("asked")).join(through, F.expr("dst = barrel and asked = name"), "left")
     return wide.select("src", F.coalesce("far", "dst").alias("dst")).filter("src <> dst").distinct()
+
+
+_FUNCTION = (
+    "name string, line int, end_line int, complexity int, parameters array<string>, decorators array<string>, has_docstring boolean, returns string, nesting int, body_hash string, ngrams array<string>, cognitive int, raises boolean, rejects boolean, creates boolean, boolean boolean, "
+    "tries boolean, guarded boolean, exceptions array<string>, positive int, negative int, exported boolean, is_async boolean, any_types int"
+)
+_TYPE = "name string, kind string, line int, end_line int, bases array<string>, members array<string>, exported boolean, has_docstring boolean, decorators array<string>"
+DECLARED = f"path string, functions array<struct<{_FUNCTION.replace(' ', ':').replace(',:', ',')}>>, types array<struct<{_TYPE.replace(' ', ':').replace(',:', ',')}>>, bypasses array<struct<kind:string,line:int,before:string>>, error string"
+
+
+def declarations(files: DataFrame) -> DataFrame:
+    """One row a file: its functions (declarations, methods as ``Class.name``, arrows given to a name), types (classes, interfaces, aliases), ways around the type system, and
+    ``error`` if its brackets don't match. A null content declares nothing."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    schema = to_arrow_schema(StructType.fromDDL(DECLARED))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from .typescript_tokens import describe
+
+        for batch in by_bytes(batches, "content"):
+            rows = [{"path": p, **describe(c or "", (p or "").endswith(("x", "js")))} for p, c in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    return scripts(files).select("path", "content").mapInArrow(read, DECLARED)
