@@ -45,3 +45,29 @@ def i02(t: Tables) -> DataFrame:
     kind = F.when(F.col("event_type") == "signup", "store").otherwise("probe")
     e = t.events.select("user_id", "ts", F.col("event_id").alias("seq"), kind.alias("event"), F.floor(F.col("event_id") / 40 % 2).cast("string").alias("head"), (F.col("event_id") % 9 == 0).cast("string").alias("stash"), (F.col("event_id") % 13).alias("changed"))
     return replayed(e, Baselines(6 * 3600, 10), "user_id", _END).groupBy("key", "change").agg(F.count("*").alias("n"))
+
+
+_LOG = """c AS (SELECT o_orderkey AS k, lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS hash, o_custkey, CAST(o_orderdate AS TIMESTAMP) AS ts, o_orderkey % 11 = 0 AS merge,
+  CASE o_orderkey % 7 WHEN 0 THEN 'Implement new login page' WHEN 1 THEN 'fix crash' WHEN 2 THEN 'Add two tests' WHEN 3 THEN 'feat: faster' WHEN 4 THEN 'Work' || chr(10) || chr(10) || 'Co-authored-by: Claude <x@y.z>' ELSE 'Work' END AS message FROM orders),
+l AS (SELECT DISTINCT l_orderkey AS k, l_suppkey AS s FROM lineitem), w AS (SELECT max(ts) - INTERVAL 400 DAY AS since FROM c)"""
+
+
+@query("s07_commit_log", f"""WITH {_LOG}, f AS (SELECT k, count(*) FILTER (WHERE s % 3 <> 0) AS n, CAST(sum(CASE WHEN s % 3 <> 0 THEN s % 50 ELSE 0 END) AS BIGINT) AS ins FROM l GROUP BY k)
+SELECT hash, CAST(coalesce(n, 0) AS BIGINT) AS n_files, coalesce(ins, 0) AS insertions, merge AS is_merge, message ILIKE '%fix%' AS is_defect, CAST(CASE k % 7 WHEN 0 THEN 0.5 WHEN 2 THEN 0.25 WHEN 3 THEN 0.5 WHEN 4 THEN 0.95 ELSE 0.0 END AS DOUBLE) AS confidence
+FROM c JOIN w ON ts >= since LEFT JOIN f USING (k)""")
+def s07(t: Tables) -> DataFrame:
+    """Orders written as the records of a commit log, read back: the last 400 days, files below ``app`` only, with the classes of each commit."""
+    from ..sources import commit_log as L
+
+    o = t.orders
+    k = F.col("o_orderkey")
+    name = lambda c: F.lpad(c.cast("string"), 12, "0")
+    message = F.when(k % 7 == 0, "Implement new login page").when(k % 7 == 1, "fix crash").when(k % 7 == 2, "Add two tests").when(k % 7 == 3, "feat: faster").when(k % 7 == 4, "Work\n\nCo-authored-by: Claude <x@y.z>").otherwise("Work")
+    s = F.col("l_suppkey")
+    line = F.concat(F.when(s % 50 == 0, "-").otherwise((s % 50).cast("string")), F.lit("\t0\t"), F.when(s % 3 == 0, "lib/f").otherwise("app/f"), s.cast("string"))
+    stat = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_join(F.collect_set(line), "\n").alias("stat"))  # an order has few lines
+    parents = F.when(k % 11 == 0, "p1 p2").otherwise("p1")
+    raw = o.join(stat, "o_orderkey", "left").select(F.concat_ws("\x1f", name(k), parents, F.col("o_custkey").cast("string"), F.lit("a@b.c"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), message, F.concat(F.lit("\n"), F.coalesce("stat", F.lit("")))).alias("value"))
+    last = F.lit(o.agg(F.max(F.col("o_orderdate").cast("timestamp"))).first()[0])
+    c = L.classified(L.parse_log(raw, since=F.timestamp_add("DAY", F.lit(-400), last), prefix="app"), 0.1)
+    return c.select("hash", F.size("files").cast("long").alias("n_files"), F.aggregate("files", F.lit(0).cast("long"), lambda a, f: a + f["insertions"]).alias("insertions"), "is_merge", "is_defect", "confidence")
