@@ -22,7 +22,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import kept, shared_folder, table
 
 #: Words of a hashed run.
 RUN = 3
@@ -136,7 +136,9 @@ def license_spans(hits: DataFrame) -> DataFrame:
 def license_scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, *, key: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
     """``key``, n_words, n_base (places of base phrases), first_word and last_word (their least and greatest start), base_labels, labels (of base places
     and verified spans), score (the best span's)."""
-    spans = license_spans(license_hits(docs, templates, key=key, text=text))
+    # Hits are read twice; written, they cost one pass over the texts.
+    hits = kept(license_hits(docs, templates, key=key, text=text), shared_folder(docs.sparkSession, "licenses"), "hits")
+    spans = license_spans(hits)
     joined = lambda when: F.array_join(F.array_sort(F.collect_set(F.when(when, F.col("label")))), ",")
     base = F.col("base") & (F.col("places") > 0)
     found = spans.groupBy(F.col("doc_id").alias("f_doc_id"), F.col("text_hash").alias("f_text_hash")).agg(
