@@ -24,7 +24,6 @@ TURN, END = "<|turn|>", "<|end|>\n"
 #: Strings that a template may act on: any <|...|> mark, <s>, </s>, [INST] and [/INST].
 _CONTROL = r"(\||/?s>|/?INST\])"
 _SALTS = 16
-_NULL_TREE = -(1 << 63)
 
 
 def escape(text: Column) -> Column:
@@ -75,7 +74,7 @@ def best_paths(messages: DataFrame, folder: str, top_k: int = 1) -> DataFrame:
 
 
 def format_trees(messages: DataFrame, *, top_k: int = 1) -> DataFrame:
-    """``messages``: tree, node (longs), parent, role, text, score. Rows: tree, leaf, formatted, loss (array of start and
+    """``messages``: tree (not null), node (long), parent, role, text, score. Rows: tree, leaf, formatted, loss (array of start and
     length, in code points of ``formatted``)."""
     folder = shared_folder(messages.sparkSession, "chat")
     paths = best_paths(messages.select("tree", "node", "parent", "score"), folder, top_k)
@@ -99,16 +98,19 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").select(F.coalesce("conv_id", F.lit(_NULL_TREE)).alias("tree"), "turn", "role", "text")
-    said = "</s>[INST] ok [/INST]"
-    rows = rows.unionByName(spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema))
+    # A null id is a conversation of its own, so trees are named by texts.
+    tree = F.coalesce(F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.lit(""))
+    rows = table(spark, sf_dir, "conversations").select(tree.alias("tree"), "turn", "role", "text")
+    said = F.lit("</s>[INST] ok [/INST]")
+    more = spark.range(2).select(F.lit("c-1").alias("tree"), F.col("id").cast(rows.schema["turn"].dataType).alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
+    rows = rows.unionByName(more)
     place = F.row_number().over(Window.partitionBy("tree").orderBy(F.col("turn").asc_nulls_first(), "role", "text"))
     rows = rows.select("tree", place.cast("long").alias("node"), "role", "text")
     messages = rows.withColumn("parent", F.when(F.col("node") > 1, F.col("node") - 1)).withColumn("score", F.lit(0.0))
     back = read_back(format_trees(messages))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
-        F.when(F.col("tree") != _NULL_TREE, F.col("tree")).alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"),
+        F.when(F.col("tree") != "", F.substring("tree", 2, 20).cast("long")).alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"),
         F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
     )
 

@@ -8,6 +8,7 @@ single text), whatever the table holds.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections import OrderedDict
@@ -181,6 +182,12 @@ def apart(names: tuple[str, ...] | list[str], own: tuple[str, ...]) -> list[str]
     return out
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A 64-bit hash of all columns; a null counts as itself wherever it stands."""
+    plain = [F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in kind or "variant" in kind else F.col(f"`{c}`") for c, kind in df.dtypes]
+    return F.xxhash64(*plain, *(x.isNull() for x in plain))
+
+
 def running_before(df: DataFrame, keys: tuple[str, ...], order: str, value: str, name: str, step: int = 1024) -> DataFrame:
     """Adds ``name``: the sum of ``value`` over the rows of the same keys with a lesser ``order`` (a long, distinct within the keys). In two levels, so
     that one task sorts ``step`` rows, or one row for each ``step`` of them."""
@@ -228,15 +235,17 @@ def bounded_sample(df: DataFrame, draw: str, limit: int, *ties: str):
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder under spark.checkpoint.dir, which all executors see. Where that is unset, a local one in local mode; an error elsewhere."""
+    """A new folder under spark.checkpoint.dir, which all executors see. A path without a scheme is one of Hadoop's default file system, as it is for checkpoints.
+    Where the setting is unset, a local folder in local mode; an error elsewhere."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", top)
-    if "://" not in top and top.startswith("/"):
-        top = f"file://{top}"
+    if "://" not in top:
+        path = spark._jvm.org.apache.hadoop.fs.Path(top)
+        top = re.sub("^file:/(?!/)", "file:///", path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString())
     return f"{top.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 

@@ -12,8 +12,9 @@ def components(edges: DataFrame, folder: str, name: str = "cc") -> DataFrame:
     """``edges``: a, b (long). Returns node, component (its least node) for every node of an edge.
 
     Each round sends every node to the least of itself and its neighbours and merges the edges of nodes
-    that were sent to the same place. A node that stays is a local minimum, so every round at least
-    halves the nodes that still have edges: the rounds are logarithmic and their tables shrink. Each
+    that were sent to the same place. A node that stays is a local minimum. A star whose
+    hub has the greatest id keeps its leaves for one round, since the hub alone moves; any two rounds at least halve the nodes that still have edges, so the
+    rounds are logarithmic and their tables shrink. Each
     round's tables are written to the shared folder. The step to the least neighbour is a min() with
     map-side combining; where a hub's edges make a partition of a join too large, Spark splits it (AQE's skew join).
     """

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import PLAIN, fresh, kept, mapped, mix, shared_folder, slices, store, table, tokenise, tuned, windows
+from .common import PLAIN, fresh, kept, mapped, mix, row_hash, shared_folder, slices, store, table, tokenise, tuned, windows
 from .components import components
 
 SHINGLE = 5
@@ -314,20 +314,22 @@ def similarity_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
 
 
 def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` without near copies: of each group the document of least id (then least text hash), once.
-    Texts without words are no copies of each other and stay, but for equal rows."""
+    """The rows of ``docs`` without near copies: of each group the document of least id (then least text hash), once; of rows with that id and text the one whose columns
+    together have the least hash. Texts without words are no copies of each other and stay, but of rows with equal id and text one is left."""
     rows = kept(similarity_classes(docs, key=key, text=text), shared_folder(docs.sparkSession, "one"), "rows")
     first = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "text_hash")
     one = rows.filter("group is not null").groupBy("group").agg(F.min(first).alias("r")).select("r.doc_id", "r.text_hash")
     one = one.unionByName(rows.filter("group is null").select("doc_id", "text_hash").distinct())
     # The names of added columns must be none of the table's.
-    own_hash, w_id, w_hash = fresh(docs, "text_hash", "one_id", "one_hash")
-    hashed = docs.withColumn(own_hash, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    own_hash, own_row, w_id, w_hash, w_row = fresh(docs, "text_hash", "row_hash", "one_id", "one_hash", "one_row")
+    hashed = docs.withColumn(own_hash, F.xxhash64(F.coalesce(F.col(text), F.lit("")))).withColumn(own_row, row_hash(docs))
     one = one.toDF(w_id, w_hash)
-    out = hashed.join(one, F.col(key).eqNullSafe(F.col(w_id)) & (F.col(own_hash) == F.col(w_hash)), "left_semi")
-    if not rows.groupBy("doc_id", "text_hash").count().filter("count > 1").isEmpty():
-        out = out.dropDuplicates([key, own_hash])
-    return out.drop(own_hash)
+    same = F.col(key).eqNullSafe(F.col(w_id)) & (F.col(own_hash) == F.col(w_hash))
+    if rows.groupBy("doc_id", "text_hash").count().filter("count > 1").isEmpty():
+        return hashed.join(one, same, "left_semi").drop(own_hash, own_row)
+    least = hashed.groupBy(F.col(key).alias(w_id), F.col(own_hash).alias(w_hash)).agg(F.min(own_row).alias(w_row)).join(one.toDF("a", "b"), F.col(w_id).eqNullSafe(F.col("a")) & (F.col(w_hash) == F.col("b")), "left_semi")
+    # What is left of equal id, text and row hash are equal rows.
+    return hashed.join(least, same & (F.col(own_row) == F.col(w_row)), "left_semi").dropDuplicates([key, own_hash, own_row]).drop(own_hash, own_row)
 
 
 def _with_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import kept as written
-from .common import apart, fresh, running_before, shared_folder, table
+from .common import apart, fresh, row_hash, running_before, shared_folder, table
 
 SHARE = 1.5
 MAX_EPOCHS = 2
@@ -138,11 +138,11 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, *, source: str = "sou
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that the mix takes, whole and as often as it takes them. Equal rows share their copies."""
-    h, w_id, w_hash, copies, copy = fresh(docs, "text_hash", "mix_id", "mix_hash", "mix_copies", "mix_copy")
-    hashed = docs.withColumn(h, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    mine = hashed.select("doc_id", "text", "source", F.col(h).alias("text_hash"))
-    took = mix(mine, split=False, carry=("text_hash",), **options).filter("copies > 0").groupBy(F.col("doc_id").alias(w_id), F.col("text_hash").alias(w_hash)).agg(F.sum("copies").cast("int").alias(copies), F.count("*").alias("rows"))
+    """The rows of ``docs`` that the mix takes, whole and as often as it takes them. Every row has copies of its own; only rows equal in all columns, which can't be told apart, share theirs."""
+    h, w_id, w_hash, copies, copy = fresh(docs, "row_hash", "mix_id", "mix_hash", "mix_copies", "mix_copy")
+    hashed = docs.withColumn(h, row_hash(docs))
+    mine = hashed.select("doc_id", "text", "source", F.col(h).alias("row_hash"))
+    took = mix(mine, split=False, carry=("row_hash",), **options).filter("copies > 0").groupBy(F.col("doc_id").alias(w_id), F.col("row_hash").alias(w_hash)).agg(F.sum("copies").cast("int").alias(copies), F.count("*").alias("rows"))
     took = written(took, shared_folder(docs.sparkSession, "mix"), "copies")
     if not took.filter("rows > 1").isEmpty():
         hashed = hashed.dropDuplicates(["doc_id", h])

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import PLAIN, bounded_sample, kept, mix, shared_folder, slices, table, tokenise, tuned, windows
 
 SAMPLE_ROWS = 20_000
-MAX_RULES, MAX_CONDITIONS, CUTS = 24, 4, 48
+MAX_CONDITIONS, CUTS = 4, 48
 LEAST_PRECISION, LEAST_COVER = 0.97, 8
 
 _SYMBOL = np.zeros(256, bool)
@@ -147,13 +147,12 @@ def _grow(x: dict[str, np.ndarray], bad: np.ndarray, cuts: dict[str, np.ndarray]
 
 
 def learn(x: dict[str, np.ndarray], bad: np.ndarray, fold: np.ndarray) -> list[Rule]:
-    """Sequential covering: grow on folds 0 and 1, prune on fold 2."""
+    """Sequential covering: grow on folds 0 and 1, prune on fold 2, until too few bad rows are left or no rule can be grown for them. Each round takes rows away or sets some aside, so
+    their number bounds the rounds."""
     rules: list[Rule] = []
     left, aside = np.ones(len(bad), bool), np.zeros(len(bad), bool)
-    for _ in range(2 * MAX_RULES):
+    while True:
         grow, prune = left & ~aside & (fold < 2), left & (fold == 2)
-        if len(rules) == MAX_RULES:
-            break
         if (grow & bad).sum() < LEAST_COVER:
             break
         part = {k: v[grow] for k, v in x.items()}

@@ -54,8 +54,10 @@ BIN, LEVELS = 0.25, 1200
 
 def maximal_segments(at: list[int], score: list[float], ordinary: float) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first, past the end, score) of a sequence that scores ``ordinary`` (below 0) but at the given places."""
-    # Each candidate: first, past, sum before it, sum up to its end. Linear but for the walk left, which removes what it passes.
-    found: list[list[float]] = []
+    # Each candidate: first, past, sum before it, sum up to its end, and the place of the last one before it that has a lesser sum before it. The way left goes along
+    # those places, so none is passed twice; where it ends, all candidates so far are final and leave the list.
+    done: list[tuple[int, int, float]] = []
+    found: list[tuple[int, int, float, float, int]] = []
     total, last = 0.0, 0
     for p, s in zip(at, score, strict=True):
         total += ordinary * (p - last)
@@ -63,18 +65,25 @@ def maximal_segments(at: list[int], score: list[float], ordinary: float) -> list
         if s <= 0:
             total += s
             continue
-        new = [p, p + 1, total, total + s]
+        first, before = p, total
         total += s
+        k = len(found) - 1
         while True:
-            k = len(found) - 1
-            while k >= 0 and found[k][2] >= new[2]:
-                k -= 1
-            if k < 0 or found[k][3] >= new[3]:
-                found.append(new)
+            while k >= 0 and found[k][2] >= before:
+                k = found[k][4]
+            if k < 0:
+                done += [(x[0], x[1], x[3] - x[2]) for x in found]
+                found = [(first, p + 1, before, total, -1)]
                 break
-            new = [found[k][0], new[1], found[k][2], new[3]]
+            if found[k][3] >= total:
+                found.append((first, p + 1, before, total, k))
+                break
+            # One segment from that candidate on; the search goes on from the candidate that it was linked to.
+            first, before = found[k][0], found[k][2]
+            link = found[k][4]
             del found[k:]
-    return [(int(a), int(b), r - l) for a, b, l, r in found]
+            k = link
+    return done + [(x[0], x[1], x[3] - x[2]) for x in found]
 
 
 @dataclass
