@@ -21,7 +21,6 @@ def shared(spark: SparkSession, purpose: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
