@@ -42,10 +42,10 @@ INSIDE = 80
 TOP = 2000
 SHARES = 64
 CELL_BITS = 48
-BLOCK_KEYS, PASS_KEYS = 100_000, 400_000
+BLOCK_KEYS, PASS_KEYS = 400_000, 400_000
 #: Hot cells in a file.
 FILE_CELLS = 1 << 22
-COUNT_BYTES = 4 << 20
+COUNT_BYTES = 2 << 20
 
 _PIECE = np.zeros(256, bool)
 _PIECE[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -173,12 +173,11 @@ def candidates(d: DataFrame, pairs: Hot, more: Hot) -> DataFrame:
 
     def find(p: Phrases) -> Iterator[pa.RecordBatch]:
         at = _chained(p, pairs)
-        good = {2: at[0]}
-        for size in range(3, MOST_WORDS + 1):
-            good[size] = at[size - 2][more.has(p.cells(at[size - 2], size))]
+        good = {2: at[0]} | {size: at[size - 2][more.has(p.cells(at[size - 2], size))] for size in range(3, MOST_WORDS + 1)}
         for size, begin in good.items():
             if len(begin):
-                _, one = np.unique(p.cells(begin, size) ^ p.t.hash[begin].astype(np.int64), return_index=True)  # a cell may hold several phrases
+                # A cell may hold several phrases, so the first word's hash is part of the key.
+                _, one = np.unique(p.cells(begin, size) ^ p.t.hash[begin].astype(np.int64), return_index=True)
                 begin = begin[one]
                 yield pa.RecordBatch.from_pydict({"lang": pa.array(p.langs, pa.string()).take(pa.array(p.lang[begin])), "phrase": p.text(begin, size), "size": pa.array(np.full(len(begin), size), pa.int32())})
 
@@ -220,10 +219,12 @@ def frequencies(d: DataFrame, keys: DataFrame, folder: str) -> DataFrame:
     placed = kept(placed.groupBy("block").applyInArrow(write, "lang string, phrase string, size int, block long, place long"), folder, "placed")
     there = [tuple(r) for r in placed.groupBy("block", "lang").agg(F.count("*")).orderBy("block").collect()]  # a row a block
     passes: list[list[tuple]] = []
-    for row in there:
-        if not passes or sum(n for _, _, n in passes[-1]) + row[2] > PASS_KEYS:
-            passes.append([])
-        passes[-1].append(row)
+    for row in sorted(there, key=lambda r: (-r[2], r[0])):  # large blocks first, each into the first pass that has room
+        room = next((p for p in passes if sum(n for _, _, n in p) + row[2] <= PASS_KEYS), None)
+        if room is None:
+            passes.append([row])
+        else:
+            room.append(row)
 
     def scan(some: list[tuple]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         wanted = {f"{folder}/keys/{b:06d}" for b, _, _ in some}
