@@ -30,7 +30,7 @@ class VectorIndex(NamedTuple):
 
     def table(self, spark: SparkSession) -> DataFrame:
         """list, ids and unit vectors of each block."""
-        return spark.read.parquet(f"{self.folder}/lists")
+        return spark.read.schema(f"ids array<{self.kind}>, vectors array<array<double>>, list int").parquet(f"{self.folder}/lists")
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -78,13 +78,13 @@ def build_index(vectors: DataFrame, key: str, vector: str, folder: str, lists: i
     index = VectorIndex(folder, centroids, dict(v.dtypes)["id"])
     rows = pa.table({"list": pa.array(range(len(centroids)), pa.int32()), "centroid": pa.array(centroids.tolist(), pa.list_(pa.float64()))})
     spark.createDataFrame(rows).write.mode("overwrite").parquet(f"{folder}/centroids")
+    spark.range(1).select(F.lit(index.kind).alias("kind")).write.mode("overwrite").parquet(f"{folder}/kind")
     return extend(index, v, "id", "v", mode="overwrite")
 
 
 def load_index(spark: SparkSession, folder: str) -> VectorIndex:
     rows = spark.read.parquet(f"{folder}/centroids").orderBy("list").collect()  # at most MOST_LISTS rows
-    kind = spark.read.parquet(f"{folder}/lists").schema["ids"].dataType.elementType.simpleString()
-    return VectorIndex(folder, np.array([r.centroid for r in rows]), kind)
+    return VectorIndex(folder, np.array([r.centroid for r in rows]), spark.read.parquet(f"{folder}/kind").first().kind)
 
 
 def extend(index: VectorIndex, vectors: DataFrame, key: str, vector: str, mode: str = "append") -> VectorIndex:
@@ -93,7 +93,7 @@ def extend(index: VectorIndex, vectors: DataFrame, key: str, vector: str, mode:
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
+            if batch.num_rows and len(c):
                 x = _unit(_matrix(batch.column("v")))
                 yield pa.RecordBatch.from_pydict({"list": pa.array(np.argmax(x @ c.T, axis=1), pa.int32()), "id": batch.column("id"), "v": pa.array(list(x), pa.list_(pa.float64()))})
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("scoring_queries", "join_queries", "graph_queries", "window_queries", "text_queries", "more_queries", "code_queries", "record_queries", "contract_queries", "index_queries", "script_queries", "state_queries", "version_queries")
+MODULES = ("scoring_queries", "join_queries", "graph_queries", "window_queries", "text_queries", "more_queries", "code_queries", "record_queries", "contract_queries", "index_queries", "script_queries", "state_queries", "version_queries", "chunk_queries")
 
 
 def load_all() -> None:
