@@ -157,7 +157,7 @@ def cycles(edges: DataFrame, longest: int | None = None) -> DataFrame:
         found = closed if found is None else found.unionByName(closed)
         grown = ends.filter((F.col("dst") > F.col("start")) & ~F.array_contains("path", F.col("dst"))).join(home, ["start", "dst"])
         if longest is not None:
-            grown = grown.filter(F.lit(length + 1) + F.col("left") <= longest)
+            grown = grown.filter(F.lit(length) + F.col("left") <= longest)
         length += 1
         paths = cut(grown.select("start", F.concat("path", F.array("dst")).alias("path")))
     return e.select(F.array("src").alias("path")).limit(0) if found is None else found
