@@ -96,3 +96,17 @@ def cir(t: Tables) -> DataFrame:
     imports = e.select(file("src").alias("path"), module.alias("module"), F.lit(True).alias("top"))
     files = e.select(file("src").alias("path"), F.lit("python").alias("language")).distinct()
     return signals.run({"imports": imports, "files": files}, {"circular_import"}).select("file_path", "score", "detail")
+
+
+@query("dia_stale_docs", """WITH n AS (SELECT n_nationkey AS k FROM nation), s AS (SELECT s_suppkey AS k FROM supplier)
+SELECT 'README.md' AS file_path, 'gone' || k AS detail, CAST(0.3 AS DOUBLE) AS score FROM n WHERE k % 4 = 0 UNION ALL SELECT 'part' || k, 'not in the README', 0.15 FROM n WHERE k % 3 = 0
+UNION ALL SELECT 'docs/adr/' || k || '.md', 'lost' || k, 0.4 FROM s WHERE k % 5 <> 0""")
+def dia(t: Tables) -> DataFrame:
+    """A README that names two in three folders and some that are gone, and a decision a supplier, of which every fifth is superseded."""
+    n, k = F.col("n_nationkey"), F.col("s_suppkey")
+    lines = F.array_join(F.array_sort(F.collect_list(F.concat(F.when(n % 3 != 0, F.concat(F.lit("See `part"), n, F.lit("/`."))).otherwise(""), F.when(n % 4 == 0, F.concat(F.lit(" [x](./gone"), n, F.lit("/) https://a.b/c/"))).otherwise("")))), "\n")  # 25 nations
+    readme = t.nation.agg(lines.alias("content")).select(F.lit("README.md").alias("path"), F.lit("markdown").alias("language"), "content")
+    code = t.nation.select(F.concat(F.lit("part"), n, F.lit("/x.py")).alias("path"), F.lit("python").alias("language"), F.lit("").alias("content")).filter(n % 3 != 0).unionByName(t.nation.filter(n % 3 == 0).select(F.concat(F.lit("part"), n, F.lit("/y.py")).alias("path"), F.lit("python").alias("language"), F.lit("").alias("content")))
+    told = F.concat(F.lit("# Decision\n\n## Status\n\n"), F.when(k % 5 == 0, "Superseded").otherwise("Accepted"), F.lit("\n\n`part1/` and `lost"), k, F.lit("/`\n"))
+    decisions = t.supplier.select(F.concat(F.lit("docs/adr/"), k, F.lit(".md")).alias("path"), F.lit("markdown").alias("language"), told.alias("content"))
+    return signals.run({"files": readme.unionByName(code).unionByName(decisions)}, {"stale_docs"}).select("file_path", "detail", "score")

@@ -179,13 +179,39 @@ def secrets(t: dict[str, DataFrame]) -> DataFrame:
     return _found(j.filter(X.secret_like(F.col("name"), F.col("value"), F.col("entropy"))), "hardcoded_secret", F.least(F.lit(1.0), 0.5 + F.col("entropy") / 10), symbol="name", line="line")
 
 
+# Folders that hold others, folders that need no mention, folders of decisions, states in which a decision no longer counts.
+CONTAINERS = ("src", "lib", "app", "pkg", "packages", "libs", "internal")
+AUXILIARY = ("tests", "test", "scripts", "script", "benchmarks", "benchmark", "tools", "tool", "examples", "example", "samples", "sample", "demos", "demo", "fixtures", "docs", "doc", "artifacts", "work_artifacts")
+DECISION_FOLDERS = ("adr", "adrs", "decisions", "architecture")
+PAST = ("superseded", "deprecated", "rejected")
+
+
 @signal("stale_docs", "files")
 def stale_docs(t: dict[str, DataFrame]) -> DataFrame:
-    """Folders that a Markdown file names in code spans and that hold no file."""
-    refs = t["files"].filter("language = 'markdown'").select("path", F.explode(F.regexp_extract_all("content", F.lit(r"`([A-Za-z0-9_./-]+)/`"), F.lit(1))).alias("dir")).distinct()
-    up = t["files"].select(F.split("path", "/").alias("p")).filter(F.size("p") > 1)
-    dirs = up.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("p") - 1), lambda i: F.array_join(F.slice("p", 1, i), "/"))).alias("dir")).distinct()
-    return _found(refs.join(dirs, "dir", "left_anti"), "stale_docs", F.lit(0.3), detail="dir")
+    """No README at the root (.4, where there is more than a file or two of packages); folders that the README (.3) or a decision that still counts (.4) names and that aren't there; folders of source at the root that the
+    README doesn't name (.15). Folders are named in code spans or links, with a slash behind."""
+    f = t["files"]
+    root = f.filter(F.lower("path").isin("readme.md", "readme.rst", "readme.txt", "readme")).withColumn("order", F.lower("path") != "readme.md").orderBy("order", "path").limit(1)
+    folder = F.try_element_at(F.split("path", "/"), F.lit(-2))
+    state = F.lower(F.coalesce(F.nullif(F.regexp_extract("content", r"(?s)^---\s*\n.*?\nstatus:\s*(\S+)", 1), F.lit("")), F.regexp_extract("content", r"(?m)^##\s+Status\s*\n+\s*(\w+)", 1)))
+    told = F.size(F.split("path", "/")) > 1
+    decided = f.filter((F.lower("path").endswith(".md")) & told).filter(F.lower(folder).isin(*DECISION_FOLDERS) | (F.lower(folder).contains("adr") & (F.length(folder) <= 20))).filter(~state.isin(*PAST))
+    both = root.select("path", "content", F.lit(0.3).alias("score")).unionByName(decided.select("path", "content", F.lit(0.4).alias("score")))
+    plain = F.regexp_replace("content", r"\w+://\S+", " ")
+    named = F.concat(F.regexp_extract_all(plain, F.lit(r"`\.?/?([A-Za-z0-9_.-]+(?:/[A-Za-z0-9_.-]+)*)/`"), F.lit(1)), F.regexp_extract_all(plain, F.lit(r"\]\(\.?/?([A-Za-z0-9_.-]+(?:/[A-Za-z0-9_.-]+)*)/\)"), F.lit(1)))
+    refs = both.select("path", "score", F.explode(F.array_distinct(named)).alias("dir")).filter((F.length("dir") > 2) & ~F.col("dir").rlike(r"^v?[0-9.]+$"))
+    up = f.select(F.split(F.lower("path"), "/").alias("p")).filter(F.size("p") > 1)
+    dirs = up.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("p") - 1), lambda i: F.array_join(F.slice("p", 1, i), "/"))).alias("there")).distinct()
+    asked = refs.select("path", "score", "dir", F.explode(F.concat(F.array(F.lower("dir"), F.concat(F.lit("."), F.lower("dir"))), F.array(*(F.concat(F.lit(f"{c}/"), F.lower("dir")) for c in CONTAINERS)))).alias("there"))
+    there = asked.join(dirs, "there", "left_semi").select("path", "dir").distinct()
+    gone = _found(refs.join(there, ["path", "dir"], "left_anti"), "stale_docs", "score", detail="dir")
+    code = f.filter("language in ('python', 'typescript', 'javascript')")
+    tops = code.filter(F.col("path").contains("/")).select(F.substring_index("path", "/", 1).alias("top")).distinct().filter(~F.lower("top").isin(*AUXILIARY) & ~F.col("top").startswith("."))
+    quiet = tops.crossJoin(F.broadcast(root.select(F.lower("content").alias("readme")))).filter(~F.col("readme").contains(F.lower("top")))  # one README
+    unnamed = _found(quiet, "stale_docs", F.lit(0.15), path="top", detail=F.lit("not in the README"))
+    sources = code.agg(F.count("*").alias("n"), F.bool_and(F.element_at(F.split("path", "/"), -1) == "__init__.py").alias("bare"))
+    missing = sources.filter("n > 1 and not bare").join(root.agg(F.count("*").alias("readmes")).filter("readmes = 0"), F.lit(True))
+    return gone.unionByName(unnamed).unionByName(_found(missing, "stale_docs", F.lit(0.4), path=F.lit(""), detail=F.lit("no README")))
 
 
 def _snake(name: str):
@@ -332,10 +358,85 @@ def file_edges(t: dict[str, DataFrame]) -> DataFrame:
     return told.join(names, "module").filter("path <> dst").groupBy(F.col("path").alias("src"), "dst").agg(F.min("line").alias("line"))
 
 
-@signal("architecture_violation", "imports", "files")
+def policy(spark, boundaries: tuple[tuple[str, str, tuple[str, ...]], ...] = (), lazy: tuple[tuple[str, str, tuple[str, ...], bool], ...] = ()) -> DataFrame:
+    """The table ``policy`` of a configuration: boundaries (name, glob of files, denied globs of modules) and lazy imports (name, glob of files, modules, whether only imports at the top count)."""
+    either = lambda globs: "|".join(X.glob_regex(g) for g in globs) or "^$"
+    rows = [("boundary", n, X.glob_regex(f), either(deny), False) for n, f, deny in boundaries] + [("lazy", n, X.glob_regex(f), either([*modules, *(f"{m}.**" for m in modules)]), top) for n, f, modules, top in lazy]
+    return spark.createDataFrame(rows, "kind string, name string, files string, modules string, top_only boolean")
+
+
+def _policy_violations(t: dict[str, DataFrame]) -> DataFrame:
+    """Imports that a boundary denies (.8), and heavy modules that are imported at the top where they shouldn't be (.75)."""
+    rules = F.broadcast(t["policy"])  # a configuration
+    slashed = F.replace("module", F.lit("."), F.lit("/"))
+    told = t["imports"].join(rules, F.expr("path rlike files")).filter((F.col("kind") == "lazy") | F.rlike(slashed, F.col("modules")) | F.rlike("module", F.col("modules")))
+    told = told.filter((F.col("kind") == "boundary") | (F.rlike("module", F.col("modules")) & (~F.col("top_only") | F.col("top"))))
+    return _found(told, "architecture_violation", F.when(F.col("kind") == "boundary", 0.8).otherwise(0.75), line="line", detail=F.concat(F.when(F.col("kind") == "boundary", "denied by ").otherwise("lazy by "), "name", F.lit(": "), "module"))
+
+
+def _churn(t: dict[str, DataFrame]) -> DataFrame | None:
+    """path, churn: changes a week, where histories are there."""
+    return t["histories"].select("path", (F.col("commits_30d") / 30 * 7).alias("churn")) if "histories" in t else None
+
+
+def _with_churn(d: DataFrame, t: dict[str, DataFrame], path: str) -> DataFrame:
+    churn = _churn(t)
+    return d.withColumn("churn", F.lit(0.0)) if churn is None else d.join(churn.withColumnRenamed("path", path), path, "left").withColumn("churn", F.coalesce("churn", F.lit(0.0)))
+
+
+def _blast_radius(t: dict[str, DataFrame], e: DataFrame) -> DataFrame:
+    """Files that twice the mean of all files (five at least) depend on, through others too; if they change little, more than fifty."""
+    from ..operators import graph as G
+
+    n = t["files"].filter("language = 'python'").agg(F.count("*").alias("n"))
+    d = G.cut(G.dependents(e))
+    least = d.agg(F.sum("n_dependents").alias("all")).crossJoin(F.broadcast(n)).select("n", F.greatest(F.lit(5.0), 2 * F.col("all") / F.col("n")).alias("least"))  # one row
+    far = _with_churn(d.crossJoin(F.broadcast(least)), t, "node").filter("n_dependents >= least and (churn > 1 or n_dependents > 50)")
+    return _found(far, "architecture_violation", F.least(F.lit(1.0), F.round(F.col("n_dependents") / F.col("n") * 0.8, 2)), path="node", detail=F.concat(F.lit("blast radius "), "n_dependents"))
+
+
+# Bases of abstract classes.
+ABSTRACT = ("ABC", "ABCMeta", "Protocol", "Interface")
+
+
+def _painful(t: dict[str, DataFrame], degrees: DataFrame) -> DataFrame:
+    """Concrete and stable files that three others or more import: far from the line on which what is depended upon is abstract. Small ones with little coupling stay below .5; files without functions don't count."""
+    of = t["classes"].groupBy("path").agg(F.count("*").alias("classes"), F.sum(F.exists("bases", lambda b: F.substring_index(b, ".", -1).isin(*ABSTRACT)).cast("int")).alias("abstract"))
+    fn = t["functions"].groupBy("path").agg(F.count("*").alias("functions"))
+    size = t["files"].select("path", "line_count").join(fn, "path").join(of, "path", "left").fillna(0, ["classes", "abstract"])
+    d = degrees.withColumnRenamed("node", "path").join(size, "path").withColumn("i", F.col("ce") / (F.col("ca") + F.col("ce")))
+    d = d.withColumn("distance", F.abs(F.when(F.col("classes") > 0, F.col("abstract") / F.col("classes")).otherwise(0.0) + F.col("i") - 1)).filter("distance >= 0.7 and i <= 0.5 and ca >= 3")
+    tiny = (F.col("line_count") <= 20) & (F.col("classes") + F.col("functions") <= 2) & (F.col("ce") <= 1) & (F.col("ca") < 6)
+    score = F.least(F.lit(1.0), F.round(F.col("distance") * 0.7, 2))
+    return _found(d, "architecture_violation", F.when(tiny, F.least(score, F.lit(0.49))).otherwise(score), detail=F.lit("zone of pain"))
+
+
+def _unstable(t: dict[str, DataFrame], e: DataFrame, degrees: DataFrame) -> DataFrame:
+    """Stable files (two importers, instability .4 at most) that import an unstable one (.7, or a change a week); not within one extension."""
+    i = degrees.select("node", "ca", (F.col("ce") / (F.col("ca") + F.col("ce"))).alias("i"))
+    own = lambda c: F.regexp_extract(c, r"(?:^|/)extensions/([^/]+)/", 1)
+    j = e.join(i.toDF("src", "src_ca", "src_i"), "src").join(i.toDF("dst", "dst_ca", "dst_i"), "dst").filter("src_ca >= 2 and src_i <= 0.4").filter((own("src") == "") | (own("src") != own("dst")))
+    j = _with_churn(j, t, "dst").filter("dst_i >= 0.7 or churn >= 1")
+    return _found(j, "architecture_violation", F.least(F.lit(1.0), F.round(F.col("dst_i") * 0.6 + F.least("churn", F.lit(2.0)) * 0.2, 2)), path="src", line="line", detail=F.concat(F.lit("unstable dependency "), "dst"))
+
+
+def _hidden(t: dict[str, DataFrame], e: DataFrame) -> DataFrame:
+    """Of the ten pairs that change together most those without an import either way and of different folders."""
+    known = t["changes"].join(t["files"].select("path"), "path", "left_semi").select("hash", "path").distinct()
+    c = known.join(known.groupBy("hash").agg(F.count("*").alias("n")).filter("n between 2 and 20"), "hash")
+    own = c.groupBy("path").agg(F.count("*").alias("own"))
+    pairs = c.select("hash", F.col("path").alias("a")).join(c.select("hash", F.col("path").alias("b")), "hash").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("k")).filter("k >= 2").orderBy(F.desc("k"), "a", "b").limit(10)
+    linked = e.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    pairs = pairs.join(linked, ["a", "b"], "left_anti").filter((_folder("a") != _folder("b")) | (_folder("a") == "")).join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b")
+    s = F.least(F.lit(1.0), F.round(F.round(F.col("k") / F.least("x", "y"), 3) * 0.7, 2))
+    return _found(pairs.withColumn("s", s).filter("s >= 0.2"), "architecture_violation", "s", path="a", detail=F.concat(F.lit("changes with "), "b"))
+
+
+@signal("architecture_violation", "imports", "files", "classes", "functions")
 def violations(t: dict[str, DataFrame]) -> DataFrame:
-    """Imports from a lower layer into a higher one (half as bad if many import the target), import cycles (of these the five largest), and files that depend on much
-    and have much depending on them."""
+    """Imports from a lower layer into a higher one (half as bad if many import the target), import cycles (of these the five largest), files that depend on much
+    and have much depending on them, files that much depends on through others, concrete and stable files that many import, stable files that import unstable ones; with ``policy`` also denied and eager imports,
+    with ``changes`` (hash, path) pairs that change together without an import, with ``histories`` how much files change."""
     from ..operators import graph as G
 
     e = G.cut(file_edges(t))
@@ -343,10 +444,19 @@ def violations(t: dict[str, DataFrame]) -> DataFrame:
     up = e.withColumn("a", layer("src")).withColumn("b", layer("dst")).filter("a > b and b >= 0").join(hub, "dst", "left")
     rise = _found(up, "architecture_violation", 0.5 * F.coalesce("damp", F.lit(1.0)), path="src", line="line", detail=F.concat(F.lit("imports upward "), F.col("dst")))
     cycles = G.strong_components(e).groupBy("component").agg(F.max("size").alias("size")).orderBy(F.desc("size"), "component").limit(5)
-    d = G.degrees(e)
+    d = G.cut(G.degrees(e))
     mean = d.agg(F.greatest(F.lit(6), F.floor(2 * F.avg(F.col("ca") + F.col("ce")))).alias("least"))  # one number
     god = d.crossJoin(F.broadcast(mean)).filter("ca + ce >= least and ca >= 2 and ce >= 2")
-    return rise.unionByName(_found(cycles, "architecture_violation", F.lit(0.6), path="component", detail=F.concat(F.lit("cycle of "), F.col("size")))).unionByName(_found(god, "architecture_violation", F.lit(0.5), path="node", detail=F.lit("depends on much and much on it")))
+    parts = [rise, _found(cycles, "architecture_violation", F.lit(0.6), path="component", detail=F.concat(F.lit("cycle of "), F.col("size"))), _found(god, "architecture_violation", F.lit(0.5), path="node", detail=F.lit("depends on much and much on it")), _blast_radius(t, e)]
+    # With fewer than four files, how files depend on each other says little.
+    many = F.broadcast(t["files"].agg((F.count("*") >= 4).alias("many")))
+    parts += [x.crossJoin(many).filter("many").drop("many") for x in (_painful(t, d), _unstable(t, e, d))]
+    parts += [_policy_violations(t)] if "policy" in t else []
+    parts += [_hidden(t, e)] if "changes" in t else []
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
 
 
 @signal("co_change_coupling", "commits", "changes", "imports", "files")
