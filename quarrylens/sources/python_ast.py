@@ -24,8 +24,28 @@ INSECURE = {
 }
 
 
+def _linked(tree: ast.AST) -> ast.AST:
+    """Notes each node's children on it, once for a file, so walks don't look through its fields again."""
+    nodes = [tree]
+    for x in nodes:
+        x.kids_ = list(ast.iter_child_nodes(x))
+        nodes += x.kids_
+    return tree
+
+
+def _walk(node: ast.AST) -> list[ast.AST]:
+    """A node and all below it, breadth first, as ``ast.walk`` does; kept on the node."""
+    found = node.__dict__.get("all_")
+    if found is None:
+        found = [node]
+        for x in found:
+            found += x.kids_
+        node.all_ = found
+    return found
+
+
 def _complexity(node: ast.AST) -> int:
-    return 1 + sum(isinstance(x, _BRANCH) for x in ast.walk(node)) + sum(len(x.values) - 1 for x in ast.walk(node) if isinstance(x, ast.BoolOp))
+    return 1 + sum(isinstance(x, _BRANCH) for x in _walk(node)) + sum(len(x.values) - 1 for x in _walk(node) if isinstance(x, ast.BoolOp))
 
 
 def _depth(body: list[ast.stmt], at: int = 0) -> int:
@@ -44,8 +64,8 @@ def _cognitive(body: list[ast.stmt], at: int = 0) -> int:
         if isinstance(s, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
             total += _cognitive(s.body, at + 1)
             continue
-        heads = [x for x in ast.iter_child_nodes(s) if isinstance(x, ast.expr)]
-        total += sum(isinstance(x, ast.BoolOp) + isinstance(x, ast.IfExp) * (1 + at) for h in heads for x in ast.walk(h))
+        heads = [x for x in s.kids_ if isinstance(x, ast.expr)]
+        total += sum(isinstance(x, ast.BoolOp) + isinstance(x, ast.IfExp) * (1 + at) for h in heads for x in _walk(h))
         if isinstance(s, (ast.If, ast.For, ast.AsyncFor, ast.While)):
             total += 1 + at + _cognitive(s.body, at + 1)
             again = len(s.orelse) == 1 and isinstance(s.orelse[0], ast.If) and isinstance(s, ast.If)
@@ -57,7 +77,7 @@ def _cognitive(body: list[ast.stmt], at: int = 0) -> int:
 
 
 def _own(node: ast.AST, kind) -> list:
-    return [x for x in ast.walk(node) if isinstance(x, kind)]
+    return [x for x in _walk(node) if isinstance(x, kind)]
 
 
 def _boolean(e: ast.expr | None) -> bool:
@@ -92,7 +112,7 @@ def _asserts(node: ast.AST) -> tuple[int, int]:
 
 def _function(node: ast.FunctionDef | ast.AsyncFunctionDef) -> dict:
     body = node.body[1:] if ast.get_docstring(node) is not None else node.body
-    kinds = [type(x).__name__ for s in body for x in ast.walk(s)]
+    kinds = [type(x).__name__ for s in body for x in _walk(s)]
     a = node.args
     returned = [x.value for x in _own(node, ast.Return) if x.value is not None]
     raised = [x.exc.func if isinstance(x.exc, ast.Call) else x.exc for x in _own(node, ast.Raise)]
@@ -141,12 +161,12 @@ def describe(content: str) -> dict:
     """functions, classes, imports, handlers, settings, names and error of a source text."""
     out: dict = {"functions": [], "classes": [], "imports": [], "handlers": [], "settings": [], "names": {"called": [], "bound": [], "open": True}, "error": None}
     try:
-        tree = ast.parse(content)
+        tree = _linked(ast.parse(content))
     except (SyntaxError, ValueError, RecursionError) as e:
         return out | {"error": type(e).__name__}
     out["settings"], out["names"] = _settings(tree), _names(tree)
     top = set(map(id, tree.body))
-    for node in ast.walk(tree):
+    for node in _walk(tree):
         if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
             out["functions"].append(_function(node))
         elif isinstance(node, ast.ClassDef):
