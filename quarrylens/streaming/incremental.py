@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -96,11 +97,45 @@ def carried_over(path: str, keys: list[str], buckets: int = 64) -> Callable[[Dat
     return merge
 
 
-def blocking_reasons(new: DataFrame, delta: float, most_delta: float, *, expired: bool, parse_errors: int) -> list[str]:
-    """Why a change isn't safe to commit (empty: it is)."""
+class Rerun(NamedTuple):
+    findings: DataFrame
+    new: DataFrame
+    resolved: DataFrame
+    delta: DataFrame
+
+
+def rerun(previous: DataFrame, fresh: DataFrame, changed: DataFrame, local_signals: tuple[str, ...], weights: DataFrame, noise: float = 0.001) -> Rerun:
+    """What an analysis of changed files alone makes of the findings before it.
+
+    ``changed``: path of each file that was changed or removed; ``fresh``: findings of ``local_signals`` (those that follow from one file) in changed files. Earlier findings of such signals in those files are replaced; all others are
+    carried over, and those of other signals in changed files are marked ``estimated``, since nothing has looked at them again. ``new`` and ``resolved`` are told by symbol and stable title; ``delta`` is one row: before, after,
+    delta and direction of the composite score.
+    """
+    from ..operators import scoring
+    from ..operators.versions import new_findings
+
+    touched = changed.select(F.col("path").alias("file_path")).distinct().withColumn("touched", F.lit(True))
+    old = previous.join(touched, "file_path", "left").withColumn("touched", F.coalesce("touched", F.lit(False)))
+    local = F.col("signal").isin(*local_signals)
+    carried = old.filter(~(F.col("touched") & local)).withColumn("estimated", F.col("touched")).drop("touched")
+    after = carried.unionByName(fresh.filter(local).withColumn("estimated", F.lit(False)))
+    title = "title" if "title" in previous.columns else "detail"
+    score = lambda d, name: scoring.composite(scoring.signal_scores(d), weights).agg(F.coalesce(F.first("composite"), F.lit(0.0)).alias(name))
+    delta = score(previous, "before").crossJoin(F.broadcast(score(after, "after")))  # one row each
+    d = F.round(F.col("after") - F.col("before"), 4)
+    way = F.when(d > noise, "degrading").when(d < -noise, "improving").otherwise("stable")
+    return Rerun(after, new_findings(after, previous, title), new_findings(previous, after, title), delta.select("before", "after", d.alias("delta"), way.alias("direction")))
+
+
+def blocking_reasons(new: DataFrame, delta: float, most_delta: float, *, expired: bool, parse_errors: int, detection_failed: bool = False, nothing_changed: bool = False) -> list[str]:
+    """Why a change isn't safe to commit (empty: it is). That nothing changed counts only if the changes couldn't be found out."""
     out = []
-    if not new.filter("severity in ('critical', 'high')").isEmpty():
-        out.append("new critical or high finding")
+    if detection_failed and nothing_changed:
+        out.append("changes could not be detected")
+    for severity in ("critical", "high"):
+        if not new.filter(F.col("severity") == severity).isEmpty():
+            out.append("new critical or high finding")
+            break
     if delta > most_delta:
         out.append("score rose")
     if expired:

@@ -59,3 +59,27 @@ def test_blocking(spark):
     new = spark.createDataFrame([("high",)], "severity string")
     assert I.blocking_reasons(new, 0.0, 0.1, expired=False, parse_errors=0) == ["new critical or high finding"]
     assert I.blocking_reasons(new.limit(0), 0.2, 0.1, expired=True, parse_errors=1) == ["score rose", "baseline expired", "files did not parse"]
+    assert I.blocking_reasons(new.limit(0), 0.0, 0.1, expired=False, parse_errors=0, detection_failed=True, nothing_changed=True) == ["changes could not be detected"] and not I.blocking_reasons(new.limit(0), 0.0, 0.1, expired=False, parse_errors=0, detection_failed=True)
+
+
+def test_rerun(spark):
+    schema = "signal string, score double, file_path string, symbol string, line int, detail string"
+    before = spark.createDataFrame([("a", 0.5, "x.py", "f", 1, "t 1"), ("a", 0.5, "y.py", "g", 1, "t 2"), ("wide", 0.4, "x.py", None, 1, "w"), ("wide", 0.4, "y.py", None, 1, "w")], schema)
+    fresh = spark.createDataFrame([("a", 0.5, "x.py", "f", 9, "t 7"), ("a", 0.9, "x.py", "h", 2, "n"), ("wide", 0.9, "x.py", None, 3, "not local")], schema)
+    weights = spark.createDataFrame([("a", 0.5), ("wide", 0.5)], "signal string, weight double")
+    r = I.rerun(before, fresh, spark.createDataFrame([("x.py",), ("gone.py",)], "path string"), ("a",), weights)
+    assert sorted((x.signal, x.file_path, x.symbol or "", x.estimated) for x in r.findings.collect()) == [("a", "x.py", "f", False), ("a", "x.py", "h", False), ("a", "y.py", "g", False), ("wide", "x.py", "", True), ("wide", "y.py", "", False)]
+    assert [x.symbol for x in r.new.collect()] == ["h"] and r.resolved.count() == 0
+    d = r.delta.first()
+    assert d.direction == "degrading" and d.delta == round(d.after - d.before, 4) > 0
+    r = I.rerun(before, fresh.limit(0), spark.createDataFrame([("x.py",)], "path string"), ("a",), weights)
+    assert [x.symbol for x in r.resolved.collect()] == ["f"] and r.delta.first().direction == "improving"
+
+
+def test_left_out_tests(spark, tmp_path):
+    from quarrylens.sources import records
+
+    for p in ("tests/test_a.py", "tests/data.txt", "src/b.py", "venv/tests/test_c.py", "old/test_d.py"):
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_text("x = 1\n")
+    assert sorted(r.path for r in records.left_out_tests(spark, str(tmp_path), ("**/tests/**", "old/**")).collect()) == ["tests/test_a.py"]
