@@ -55,6 +55,43 @@ def import_graph(files: DataFrame, aliases: dict[str, str] | None = None) -> Dat
     return wide.select("src", F.coalesce("far", "dst").alias("dst")).filter("src <> dst").distinct()
 
 
+#: JSON with comments and trailing commas, as configurations are written.
+_COMMENT, _TRAILING = r"""("(?:[^"\\]|\\.)*")|//[^\n]*|/\*[\s\S]*?\*/""", r""",(\s*[}\]])"""
+
+
+def _plain_json(content):
+    return F.regexp_replace(F.regexp_replace(content, _COMMENT, "$1"), _TRAILING, "$1")
+
+
+def aliases(files: DataFrame) -> dict[str, str]:
+    """Prefixes that the root's tsconfig.json gives to folders (``paths`` under ``baseUrl``, the first target of each), for ``import_graph``. Without such a file there are none."""
+    row = F.from_json(_plain_json("content"), "compilerOptions struct<baseUrl:string,paths:map<string,array<string>>>")
+    c = files.filter("path = 'tsconfig.json'").select(row.alias("r")).select("r.compilerOptions.*").first()  # one file
+    if c is None or not c.paths:
+        return {}
+    base = (c.baseUrl or ".").strip("./")
+    place = lambda to: "/".join(x for x in (base, to.removesuffix("*").removeprefix("./").strip("/")) if x) + ("/" if to.endswith("*") else "")
+    return {k.removesuffix("*"): place(v[0]) for k, v in c.paths.items() if v}
+
+
+def workspaces(files: DataFrame) -> DataFrame:
+    """folder, package: the folders with a package.json that the globs of the root's ``workspaces`` (a list, or a list under ``packages``) name, by the name that it gives or else by the folder."""
+    manifest = files.filter("path = 'package.json' or path like '%/package.json'").select(F.regexp_replace("path", "/?package\\.json$", "").alias("folder"), _plain_json("content").alias("json"))
+    root = manifest.filter("folder = ''").select(F.coalesce(F.from_json(F.get_json_object("json", "$.workspaces.packages"), "array<string>"), F.from_json(F.get_json_object("json", "$.workspaces"), "array<string>")).alias("globs"))
+    glob = F.regexp_replace(F.regexp_replace("g", r"^\./|/$", ""), r"([.+()\[\]{}^$])", r"\\$1")
+    globs = root.select(F.explode("globs").alias("g")).select(glob.alias("g")).select(F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(F.regexp_replace("g", r"\*\*/?", "\u0001"), r"\*", "[^/]*"), "\u0001", ".*"), F.lit("$")).alias("g"))  # a configuration
+    held = manifest.filter("folder <> ''").join(F.broadcast(globs), F.expr("folder rlike g"), "left_semi")
+    return held.select("folder", F.coalesce(F.nullif(F.get_json_object("json", "$.name"), F.lit("")), F.element_at(F.split("folder", "/"), -1)).alias("package"))
+
+
+def packages_of_files(files: DataFrame) -> DataFrame:
+    """path, package: of each script the package of the nearest workspace folder above it (null: in none)."""
+    s = scripts(files).select("path", F.split("path", "/").alias("p"))
+    up = s.filter(F.size("p") > 1).select("path", F.explode(F.sequence(F.lit(1), F.size("p") - 1)).alias("n"), "p").select("path", "n", F.array_join(F.slice("p", F.lit(1), F.col("n")), "/").alias("folder"))
+    near = up.join(workspaces(files), "folder").groupBy("path").agg(F.max_by("package", "n").alias("package"))
+    return s.select("path").join(near, "path", "left")
+
+
 _FUNCTION = (
     "name string, line int, end_line int, complexity int, parameters array<string>, decorators array<string>, has_docstring boolean, returns string, nesting int, body_hash string, ngrams array<string>, cognitive int, raises boolean, rejects boolean, creates boolean, boolean boolean, "
     "tries boolean, guarded boolean, exceptions array<string>, positive int, negative int, exported boolean, is_async boolean, any_types int"

@@ -167,3 +167,16 @@ def test_kept_findings(spark):
     counts = {x.finding_id: x.duplicates for x in dedup.duplicate_counts(dedup.keep_first(df, F.col("finding_id"))).collect()}
     assert sum(counts.values()) == len(rows) and [k for k in range(1000, 1009) if k in counts] == [1000, 1002, 1004, 1006, 1008]
     assert dedup.keep_first(df.limit(0), F.col("finding_id")).count() == 0
+
+
+def test_workspaces_and_aliases(spark):
+    config = '{ // comment\n "compilerOptions": {"baseUrl": "./web", "paths": {"@app/*": ["src/app/*",], "cfg": ["./conf/index"], "none": []}, "url": "http://x//y"}, /* end */ }'
+    files = {"package.json": '{"name": "root", "workspaces": {"packages": ["packages/*", "./tools/**", "a.b"]}}', "packages/one/package.json": '{"name": "@x/one"}', "packages/two/package.json": "{}", "packages/deep/in/package.json": '{"name": "no"}', "tools/a/b/package.json": '{"name": "t"}', "axb/package.json": '{"name": "no"}', "tsconfig.json": config}
+    files |= {"packages/one/src/x.ts": "", "packages/one/y.tsx": "", "packages/two/z.ts": "", "tools/a/b/c/d.ts": "", "root.ts": "", "packages/deep/in/q.ts": ""}
+    rows = [(p, "json" if p.endswith("json") else "typescript", len(c), 1, c) for p, c in files.items()]
+    df = spark.createDataFrame(rows, "path string, language string, size_bytes long, line_count int, content string")
+    assert typescript.aliases(df) == {"@app/": "web/src/app/", "cfg": "web/conf/index"} and typescript.aliases(df.limit(0)) == {}
+    assert {r.folder: r.package for r in typescript.workspaces(df).collect()} == {"packages/one": "@x/one", "packages/two": "two", "tools/a/b": "t"}
+    assert {r.path: r.package for r in typescript.packages_of_files(df).collect()} == {"packages/one/src/x.ts": "@x/one", "packages/one/y.tsx": "@x/one", "packages/two/z.ts": "two", "tools/a/b/c/d.ts": "t", "root.ts": None, "packages/deep/in/q.ts": None}
+    listed = spark.createDataFrame([("package.json", "json", 1, 1, '{"workspaces": ["packages/*"]}'), ("packages/one/package.json", "json", 1, 1, "{}")], df.schema)
+    assert typescript.workspaces(listed).count() == 1
