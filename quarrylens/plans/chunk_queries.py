@@ -44,6 +44,6 @@ def s17_json(t: Tables) -> DataFrame:
 @query("j18_semantic_functions")
 def j18_functions(t: Tables) -> DataFrame:
     """The fifty most similar pairs of functions of the generated tree that aren't near duplicates in structure."""
-    f = signals.duplicate_candidates(signals.tables(tree(t))["functions"]).withColumn("key", F.concat_ws(":", "path", "name", "line"))
+    f = signals.duplicate_candidates(signals.tables(tree(t), ("functions",), ("complexity", "ngrams"))["functions"]).withColumn("key", F.concat_ws(":", "path", "name", "line"))
     out = S.semantic_duplicates(f, "key", shared(t.spark, "functions"))
     return out.select("a", "b", F.round("similarity", 6).alias("similarity"), F.round("structure", 6).alias("structure"))

@@ -50,9 +50,16 @@ def tree(t: Tables) -> DataFrame:
     return every.select("path", F.lit("python").alias("language"), F.octet_length("content").cast("long").alias("size_bytes"), F.size(F.split("content", "\n")).alias("line_count"), "content")
 
 
+#: What signals read of a file and of a function; of others all is worked out.
+_READ = {
+    "pattern_fragmentation": (("handlers",), ()), "cognitive_complexity": (("functions",), ("cognitive",)), "cohesion_deficit": (("functions",), ()), "architecture_violation": (("imports", "classes", "functions"), ()),
+    "explainability_deficit": (("functions",), ("complexity", "has_docstring", "returns", "decorators")),
+}
+
+
 def _signal(t: Tables, name: str, *columns: str) -> DataFrame:
-    tables = signals.tables(tree(t))
-    return signals.run(tables, {name}).select(*columns)
+    parts, fields = _READ.get(name, (None, None))
+    return signals.run(signals.tables(tree(t), parts, fields), {name}).select(*columns)
 
 
 def _signal_query(query_name: str, name: str, columns: tuple[str, ...], sql: str) -> None:
@@ -101,7 +108,7 @@ def avs(t: Tables) -> DataFrame:
 @query("j03_layer_edges", f"""WITH {SOURCE_SQL}, x AS (SELECT DISTINCT fid, path FROM fn) SELECT CAST(a.fid % 4 AS INT) AS src_layer, CAST(b.fid % 4 AS INT) AS dst_layer, count(*) AS n FROM x a JOIN x b ON b.fid = a.fid // 2 AND a.fid > 0 AND a.fid <> b.fid WHERE a.fid % 4 <> 3 AND b.fid % 4 <> 3 AND a.fid % 4 > b.fid % 4 GROUP BY 1, 2""")
 def j03(t: Tables) -> DataFrame:
     """Edges of the import graph joined with both layers; upward ones, without the layers that all may import."""
-    e = signals.file_edges(signals.tables(tree(t)))
+    e = signals.file_edges(signals.tables(tree(t), ("imports",)))
     return e.select(signals.layer("src").alias("src_layer"), signals.layer("dst").alias("dst_layer")).filter("src_layer > dst_layer and dst_layer >= 0").groupBy("src_layer", "dst_layer").agg(F.count("*").alias("n"))
 
 
@@ -124,12 +131,12 @@ def s22(t: Tables) -> DataFrame:
 
 @query("f23_frameworks", f"WITH {SOURCE_SQL} SELECT 'fastapi' AS framework, count(DISTINCT fid) AS n FROM fn UNION ALL SELECT 'unknown', count(DISTINCT fid) FROM fn WHERE fid % 10 = 0")
 def f23(t: Tables) -> DataFrame:
-    return signals.frameworks(signals.tables(tree(t))["imports"]).groupBy("framework").agg(F.count("*").alias("n"))
+    return signals.frameworks(signals.tables(tree(t), ("imports",))["imports"]).groupBy("framework").agg(F.count("*").alias("n"))
 
 
 @query("f18_handler_fingerprints", f"""WITH {SOURCE_SQL} SELECT '{{"exceptions":["Exception"],"swallows":true}}' AS variant, count(*) AS n FROM fn WHERE h = 0 UNION ALL SELECT '{{"exceptions":["ValueError"],"swallows":false}}', count(*) FROM fn WHERE h = 1""")
 def f18(t: Tables) -> DataFrame:
-    h = signals.tables(tree(t))["handlers"]
+    h = signals.tables(tree(t), ("handlers",))["handlers"]
     return h.groupBy(F.to_json(F.struct(F.array_sort("exceptions").alias("exceptions"), "swallows")).alias("variant")).agg(F.count("*").alias("n"))
 
 
@@ -138,7 +145,7 @@ def f18(t: Tables) -> DataFrame:
 SELECT module, count(*) AS n FROM x WHERE loc >= 5 AND cx >= 2 GROUP BY module""")
 def p16(t: Tables) -> DataFrame:
     """Functions long and complex enough to be compared, without dunder, test, tutorial and lazily forwarding ones."""
-    return signals.duplicate_candidates(signals.tables(tree(t))["functions"]).groupBy(F.regexp_extract("path", "^(.*)/", 1).alias("module")).agg(F.count("*").alias("n"))
+    return signals.duplicate_candidates(signals.tables(tree(t), ("functions",), ("complexity",))["functions"]).groupBy(F.regexp_extract("path", "^(.*)/", 1).alias("module")).agg(F.count("*").alias("n"))
 
 
 _CX = "1 + b + CASE WHEN key % 4 < 2 THEN 1 ELSE 0 END + CASE WHEN key % 5 = 0 THEN 1 ELSE 0 END"

@@ -524,13 +524,13 @@ def ts_architecture(t: dict[str, DataFrame]) -> DataFrame:
     return out.unionByName(_found(ban, "ts_architecture", F.lit(0.8), path="src", detail=F.concat(F.lit("infrastructure: "), F.col("dst"))))
 
 
-def tables(source: DataFrame) -> dict[str, DataFrame]:
-    """The tables of a file tree; each file is parsed once. Functions and classes are those of Python and TypeScript; classes there are types of kind ``class``."""
+def tables(source: DataFrame, parts: tuple[str, ...] | None = None, fields: tuple[str, ...] | None = None) -> dict[str, DataFrame]:
+    """The tables of a file tree; each file is parsed once. ``parts`` and ``fields``: what is worked out of each Python file and function, where not all is read. Functions and classes are those of Python and TypeScript; classes there are types of kind ``class``."""
     from ..operators.graph import cut
     from ..sources.records import flat, parse_python
     from ..sources.typescript import declarations
 
-    parsed = cut(parse_python(source.filter("language = 'python'")))
+    parsed = cut(parse_python(source.filter("language = 'python'"), *(None if x is None else frozenset(x) for x in (parts, fields))))
     typed = cut(declarations(source))
     out = {"files": source, "parsed": parsed, "types": flat(typed, "types"), "bypasses": flat(typed, "bypasses")} | {k: flat(parsed, k) for k in ("functions", "classes", "imports", "handlers", "settings")}
     functions = out["functions"]

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import versions as V
+from ..operators.graph import cut
 from . import signals
 from .catalog import Tables, query
 from .code_queries import SOURCE_SQL, tree
@@ -21,11 +22,11 @@ def second(first: DataFrame) -> DataFrame:
 
 
 def _analyse(files: DataFrame) -> DataFrame:
-    return signals.run(signals.tables(files), {"naming_contract_violation"}).withColumn("title", F.concat_ws(" ", "signal", "symbol"))
+    return signals.run(signals.tables(files, ("functions",), tuple(sorted({c for _, c in signals.CONTRACTS}))), {"naming_contract_violation"}).withColumn("title", F.concat_ws(" ", "signal", "symbol"))
 
 
 def _versions(t: Tables) -> V.Versions:
-    first = tree(t)
+    first = cut(tree(t))  # both versions and their states read it
     return V.analyse_versions(first, second(first), _analyse)
 
 

@@ -75,8 +75,8 @@ _FUNCTION = "array<struct<name:string,line:int,end_line:int,complexity:int,param
 _PARSED = f"path string, functions {_FUNCTION}, classes array<struct<name:string,line:int,bases:array<string>>>, imports array<struct<module:string,names:array<string>,line:int,level:int,top:boolean>>, handlers array<struct<line:int,exceptions:array<string>,broad:boolean,swallows:boolean>>, settings array<struct<rule:string,name:string,score:double,line:int>>, names struct<called:array<string>,bound:array<string>,open:boolean>, error string"
 
 
-def parse_python(source: DataFrame) -> DataFrame:
-    """One row a file with its functions, classes, imports and handlers; a file that doesn't parse has ``error``."""
+def parse_python(source: DataFrame, parts: frozenset[str] | None = None, fields: frozenset[str] | None = None) -> DataFrame:
+    """One row a file with its functions, classes, imports and handlers; a file that doesn't parse has ``error``. ``parts`` of a file and ``fields`` of functions: all, or those that are worked out."""
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -84,15 +84,16 @@ def parse_python(source: DataFrame) -> DataFrame:
     schema = to_arrow_schema(StructType.fromDDL(_PARSED))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .python_ast import describe
+        from .python_ast import FIELDS, PARTS, describe
 
+        asked = PARTS if parts is None else parts, FIELDS if fields is None else fields
         for batch in by_bytes(batches, "content"):
-            rows = [{"path": p, **describe(c or "")} for p, c in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True)]
+            rows = [{"path": p, **describe(c or "", *asked)} for p, c in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_pylist(rows, schema)
 
     # Parsing costs far more than a shuffle of the texts, so files are dealt out evenly; a number of partitions that is given isn't merged by AQE.
-    parts = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return source.select("path", "content").repartition(parts, "path").mapInArrow(parse, _PARSED)
+    dealt = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return source.select("path", "content").repartition(dealt, "path").mapInArrow(parse, _PARSED)
 
 
 def flat(parsed: DataFrame, what: str) -> DataFrame:

@@ -37,3 +37,16 @@ def test_files_that_are_not_parallel(spark, folder):
             want[m] = want.get(m, 0) + n
         later[m] = later.get(m, 0) + 1
     assert {r.module: r.n for r in catalog.QUERIES["p18_parallel_pairs"](spark, folder).collect()} == want
+
+
+def test_only_asked_parts_are_worked_out():
+    from quarrylens.sources.python_ast import FIELDS, PARTS, describe
+
+    text = "import os\nclass A:\n    pass\ndef f(a):\n    try:\n        return a > 1\n    except ValueError:\n        raise\n"
+    whole = describe(text)
+    assert describe(text, PARTS, FIELDS) == whole
+    for part in ("imports", "handlers", "classes", "settings", "names"):
+        got = describe(text, frozenset([part]))
+        assert got[part] == whole[part] and not got["functions"]
+    (f,) = describe(text, frozenset(["functions"]), frozenset(["cognitive", "boolean"]))["functions"]
+    assert set(f) == {"name", "line", "end_line", "cognitive", "boolean"} and f.items() <= {k: v for k, v in whole["functions"][0].items()}.items()
