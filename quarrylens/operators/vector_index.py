@@ -105,31 +105,83 @@ def extend(index: VectorIndex, vectors: DataFrame, key: str, vector: str, mode:
     return index
 
 
-def probes(index: VectorIndex, queries: DataFrame, key: str, vector: str, least: int = 24, most: int = 48, margin: float = 0.1) -> DataFrame:
-    """query, list, v: of each query the ``least`` nearest lists, and further ones, up to ``most``, whose centroid is nearly as near as the best."""
+def _chosen(s: np.ndarray, least: int = 24, most: int = 48, margin: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+    """Query rows and lists that ``probes`` takes, by the cosines of queries and centroids."""
+    order = np.argsort(-s, axis=1, kind="stable")[:, :most]
+    near = np.take_along_axis(s, order, 1)
+    i, j = np.nonzero((near >= near[:, :1] - margin) | (np.arange(order.shape[1]) < least))
+    return i, order[i, j]
+
+
+def _queries(queries: DataFrame, key: str, vector: str) -> DataFrame:
+    return queries.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).filter(F.exists("v", lambda x: x != 0))
+
+
+def probes(index: VectorIndex, queries: DataFrame, key: str, vector: str, **choice) -> DataFrame:
+    """query, list, v: of each query the ``least`` (24) nearest lists, and further ones, up to ``most`` (48), whose centroid is nearly as near as the best (by ``margin``, 0.1)."""
     c = index.centroids
 
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows and len(c):
+                x = _unit(_matrix(batch.column("v")))
+                i, lists = _chosen(x @ c.T, **choice)
+                yield pa.RecordBatch.from_pydict({"query": batch.column("id").take(pa.array(i)), "list": pa.array(lists, pa.int32()), "v": pa.array(list(x[i]), pa.list_(pa.float64()))})
+
+    q = _queries(queries, key, vector)
+    return q.mapInArrow(choose, f"query {dict(q.dtypes)['id']}, list int, v array<double>")
+
+
+def _ranges(index: VectorIndex, spark: SparkSession) -> np.ndarray:
+    """Least and greatest angle of each list's vectors to its centroid; an empty list has none (inf, -inf)."""
+    c = index.centroids
+
+    def angles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                place = batch.column("list")[row].as_py()
+                a = np.arccos(np.clip(_matrix(batch.column("vectors")[row].values) @ c[place], -1, 1))
+                yield pa.RecordBatch.from_pydict({"list": pa.array([place], pa.int32()), "low": pa.array([a.min()]), "high": pa.array([a.max()])})
+
+    out = np.tile([[np.inf, -np.inf]], (len(c), 1))
+    for r in index.table(spark).mapInArrow(angles, "list int, low double, high double").groupBy("list").agg(F.min("low").alias("low"), F.max("high").alias("high")).collect():  # at most MOST_LISTS rows
+        out[r["list"]] = r.low, r.high
+    return out
+
+
+#: Radians by which angles may be off (an angle near zero loses half of its cosine's digits).
+SLACK = 1e-6
+
+
+def _others(index: VectorIndex, queries: DataFrame, key: str, vector: str, found: DataFrame, k: int, choice: dict) -> DataFrame:
+    """query, list, v: the lists that ``probes`` left out and that may hold a vector as near as a query's k-th one. By the triangle inequality such a vector's angle to its centroid differs
+    from the query's by the angle of the k-th at most."""
+    c, ranges = index.centroids, _ranges(index, queries.sparkSession)
+    last = found.groupBy("query").agg(F.when(F.count("*") >= k, F.min("similarity")).alias("last"))
+
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows and len(c):
                 x = _unit(_matrix(batch.column("v")))
                 s = x @ c.T
-                order = np.argsort(-s, axis=1, kind="stable")[:, :most]
-                near = np.take_along_axis(s, order, 1)
-                wanted = (near >= near[:, :1] - margin) | (np.arange(order.shape[1]) < least)
+                far = np.arccos(np.clip(np.asarray(batch.column("last")) - 2e-9, -1, 1))[:, None] + SLACK
+                a = np.arccos(np.clip(s, -1, 1))
+                wanted = (ranges[None, :, 0] <= a + far) & (ranges[None, :, 1] >= a - far)
+                wanted[_chosen(s, **choice)] = False
                 i, j = np.nonzero(wanted)
-                yield pa.RecordBatch.from_pydict({"query": batch.column("id").take(pa.array(i)), "list": pa.array(order[i, j], pa.int32()), "v": pa.array(list(x[i]), pa.list_(pa.float64()))})
+                yield pa.RecordBatch.from_pydict({"query": batch.column("id").take(pa.array(i)), "list": pa.array(j, pa.int32()), "v": pa.array(list(x[i]), pa.list_(pa.float64()))})
 
-    q = queries.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).filter(F.exists("v", lambda x: x != 0))
+    q = _queries(queries, key, vector).join(last.withColumnRenamed("query", "id"), "id", "left").select("id", "v", F.coalesce("last", F.lit(-1.0)).alias("last"))
     return q.mapInArrow(choose, f"query {dict(q.dtypes)['id']}, list int, v array<double>")
 
 
-def search_index(index: VectorIndex, queries: DataFrame, key: str, vector: str, k: int, **choice) -> DataFrame:
-    """query, id, similarity of the k most similar vectors in the probed lists (ties by the smaller id; a vector doesn't find its own key)."""
-    from .graph import cut
+def _best(pairs: DataFrame, k: int) -> DataFrame:
+    return top_k_per_group(pairs.withColumn("__s", F.round("similarity", 9)), ["query"], [F.col("__s").desc(), F.col("id")], k, salts=16, salt_by="id").drop("__s")
 
-    spark = queries.sparkSession
-    asked = cut(probes(index, queries, key, vector, **choice))
+
+def _meet(index: VectorIndex, asked: DataFrame, k: int) -> DataFrame:
+    """query, id, similarity: for each query and block of a list that it asks for, the k best and ties of the last."""
+    spark = asked.sparkSession
     size = asked.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     lists = sorted(r["list"] for r in size.collect())  # at most one a centroid
     groups = asked.join(size, "list").groupBy("list", F.pmod(F.xxhash64("query"), F.col("blocks")).alias("block")).agg(F.collect_list(F.struct("query", "v")).alias("x"))
@@ -149,8 +201,21 @@ def search_index(index: VectorIndex, queries: DataFrame, key: str, vector: str,
                 yield pa.RecordBatch.from_pydict({"query": asking.take(pa.array(i)), "id": ids.take(pa.array(j)), "similarity": pa.array(s[i, j])})
 
     read = index.table(spark).filter(F.col("list").isin(lists))  # folders of other lists aren't opened
-    pairs = groups.join(read, "list").mapInArrow(multiply, f"query {kinds[0]}, id {kinds[1]}, similarity double")
-    return top_k_per_group(pairs.withColumn("__s", F.round("similarity", 9)), ["query"], [F.col("__s").desc(), F.col("id")], k, salts=16, salt_by="id").drop("__s")
+    return groups.join(read, "list").mapInArrow(multiply, f"query {kinds[0]}, id {kinds[1]}, similarity double")
+
+
+def search_index(index: VectorIndex, queries: DataFrame, key: str, vector: str, k: int, exact: bool = False, **choice) -> DataFrame:
+    """query, id, similarity of the k most similar vectors in the probed lists (ties by the smaller id; a vector doesn't find its own key).
+
+    With ``exact``, of all vectors: what the probed lists gave bounds how near a better one must lie, and each further list that may hold one is read too.
+    """
+    from .graph import cut
+
+    found = _best(_meet(index, cut(probes(index, queries, key, vector, **choice)), k), k)
+    if not exact:
+        return found
+    found = cut(found)
+    return _best(found.unionByName(_meet(index, cut(_others(index, queries, key, vector, found, k, choice)), k)), k)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

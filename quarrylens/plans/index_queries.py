@@ -46,10 +46,10 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(s, 9) DESC,
 
 @query("v04_inverted_lists", f"WITH {_CLOSE}, {_NEAREST} SELECT query, id, round(s, 6) AS similarity FROM r WHERE k <= 7")
 def v04_lists(t: Tables) -> DataFrame:
-    """The seven nearest of each query vector through an index of all close vectors."""
+    """The seven nearest of each query vector, of all close vectors, through their index."""
     v = close_vectors(t)
     index = V.build_index(v, "vec_id", "x", shared(t.spark, "vectors"))
-    out = V.search_index(index, v.filter(f"vec_id % {20 * COPIES} = 0"), "vec_id", "x", 7)
+    out = V.search_index(index, v.filter(f"vec_id % {20 * COPIES} = 0"), "vec_id", "x", 7, exact=True)
     return out.select("query", "id", r6("similarity").alias("similarity"))
 
 
