@@ -87,9 +87,15 @@ def f08(t: Tables) -> DataFrame:
 
 @query("f10_levenshtein", "SELECT a.p_partkey AS a, b.p_partkey AS b, CAST(levenshtein(a.p_name, b.p_name) AS INTEGER) AS distance FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey WHERE a.p_size = b.p_size AND levenshtein(a.p_name, b.p_name) <= 3")
 def f10(t: Tables) -> DataFrame:
-    a = t.part.select("p_brand", "p_size", F.col("p_partkey").alias("a"), F.col("p_name").alias("x"))
-    b = t.part.select("p_brand", "p_size", F.col("p_partkey").alias("b"), F.col("p_name").alias("y"))
-    return a.join(b, ["p_brand", "p_size"]).filter("a < b").withColumn("distance", F.levenshtein("x", "y")).filter("distance <= 3").select("a", "b", "distance")
+    # Distances of a group's different names, then their parts: equal names are compared once.
+    group = ["p_brand", "p_size"]
+    names = t.part.filter("p_name is not null").select(*group, F.col("p_name").alias("x")).distinct()
+    two = names.join(names.withColumnRenamed("x", "y"), group).filter((F.col("x") <= F.col("y")) & (F.abs(F.length("x") - F.length("y")) <= 3))
+    near = two.withColumn("distance", F.levenshtein("x", "y", 3)).filter("distance >= 0")
+    a = t.part.select(*group, F.col("p_partkey").alias("a"), F.col("p_name").alias("x"))
+    b = t.part.select(*group, F.col("p_partkey").alias("b"), F.col("p_name").alias("y"))
+    pairs = near.join(a, [*group, "x"]).join(b, [*group, "y"]).filter("x <> y and a <> b or a < b")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance")
 
 
 @query("f11_token_counts", f"SELECT doc_id, CAST(len({_TOK}) AS INTEGER) AS n_tokens, CAST(len(list_distinct({_TOK})) AS INTEGER) AS n_distinct FROM documents")

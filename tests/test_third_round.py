@@ -36,3 +36,16 @@ def test_exact_search_finds_what_probes_miss(spark, tmp_path):
     assert found() != want and found(exact=True) == want
     # More than there are.
     assert vector_index.search_index(index, asked.limit(1), "vec_id", "v", 900, exact=True).count() == 799
+
+
+def test_names_of_many_parts_are_compared_once(spark, tmp_path):
+    """300 parts each of two long names, a lone near one and a null: by pairs of parts, distances of long names would take a quarter of an hour."""
+    import time
+
+    load_all()
+    x, y = "red tin box " * 160, "old oak lid " * 160
+    names = [x] * 300 + [y] * 300 + [x + "ab", None]
+    spark.createDataFrame([(i, n, "B", 1) for i, n in enumerate(names)], "p_partkey long, p_name string, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    start = time.monotonic()
+    got = {tuple(r): r for r in catalog.QUERIES["f10_levenshtein"](spark, f"file://{tmp_path}").groupBy("distance").agg(F.count("*").alias("n"), F.min(F.col("b") - F.col("a")).alias("least")).collect()}
+    assert set(got) == {(0, 300 * 299, 1), (2, 300, 301)} and time.monotonic() - start < 120
