@@ -92,6 +92,7 @@ def f10(t: Tables) -> DataFrame:
     names = t.part.filter("p_name is not null").select(*group, F.col("p_name").alias("x")).distinct()
     two = names.join(names.withColumnRenamed("x", "y"), group).filter((F.col("x") <= F.col("y")) & (F.abs(F.length("x") - F.length("y")) <= 3))
     near = two.withColumn("distance", F.levenshtein("x", "y", 3)).filter("distance >= 0")
+    near = near.repartition(*group, "x")  # else a distance is worked out again for each pair of parts, inside the joins
     a = t.part.select(*group, F.col("p_partkey").alias("a"), F.col("p_name").alias("x"))
     b = t.part.select(*group, F.col("p_partkey").alias("b"), F.col("p_name").alias("y"))
     pairs = near.join(a, [*group, "x"]).join(b, [*group, "y"]).filter("x <> y and a <> b or a < b")
