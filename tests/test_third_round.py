@@ -68,3 +68,21 @@ def test_basket_pairs_take_as_many_tasks_as_rows_ask_for(spark, monkeypatch):
     rows = items.distinct().count()
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert {tuple(r) for r in out.collect()} == want and f", {rows // 50 + 1})" in plan
+
+
+def test_near_findings_are_not_broadcast(spark, monkeypatch):
+    from quarrylens.operators import dedup
+
+    plans, cut = [], dedup.cut
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(dedup, "cut", seen)
+    rows = [(i, "s", f"f{i % 3}", i % 7, i % 7 + 1, f"one two {i % 2}", float(i)) for i in range(60)]
+    df = spark.createDataFrame(rows, "finding_id long, signal string, file_path string, start_line long, end_line long, title string, value double")
+    out = dedup.keep_first(df, F.struct(-F.col("value"), F.col("finding_id")))
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert out.count() == 60
+    assert sum("SortMergeJoin" in p for p in plans) >= 5 and not any("Broadcast" in p for p in plans)
