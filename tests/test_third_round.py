@@ -96,6 +96,18 @@ def _dense_graph(spark):
     return spark.createDataFrame(sorted(edges), "src long, dst long"), {(a, b) for a, b in edges if a != b}
 
 
+def _rows_cut(monkeypatch):
+    rows, cut = [], graph.cut
+
+    def counted(df):
+        out = cut(df)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "cut", counted)
+    return rows
+
+
 def test_components_of_a_dense_graph_colour_few_edges(spark, monkeypatch):
     df, edges = _dense_graph(spark)
     seen, coloured = [], graph._coloured
@@ -108,3 +120,12 @@ def test_components_of_a_dense_graph_colour_few_edges(spark, monkeypatch):
     got = {r.node: (r.component, r.size) for r in graph.strong_components(df).collect()}
     assert got == {n: (0, 50) for n in range(50)} | {n: (100, 50) for n in range(100, 150)} | {n: (200, 3) for n in (200, 201, 202)}
     assert sum(seen) * 2 < len(edges)
+
+
+def test_dependents_of_a_dense_graph_write_its_edges_once(spark, monkeypatch):
+    df, edges = _dense_graph(spark)
+    rows = _rows_cut(monkeypatch)
+    got = {r.node: r.n_dependents for r in graph.dependents(df).collect()}
+    want = {n: 50 for n in range(50)} | {n: 100 for n in range(100, 150)} | {n: 103 for n in (200, 201, 202)} | {210: 104, 211: 105}
+    assert got == want
+    assert sum(rows) < 2.5 * len(edges), (sum(rows), len(edges))
