@@ -1,22 +1,24 @@
 """An inverted-file index of vectors: lists around centroids, of which a query reads the few that lie nearest.
 
 Centroids come from k-means (by cosine) over at most ``SAMPLE`` vectors, drawn by a hash of their keys; every vector of the table is then put into the list of its
-nearest centroid, in tasks. Lists are folders of blocks, so a search reads the lists that some query probes and no others; a list that holds many vectors is many
-blocks, met by many tasks. The index is a folder: it can be loaded again and extended with further vectors.
+nearest centroid, in tasks. Lists are folders of blocks, so a search reads the lists that some query probes and no others, block by block; queries are dealt to tasks. The index is a folder: it can be loaded again and extended with further vectors.
 """
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from .retrieval import BLOCK
-from .topk import top_k_per_group
 
 #: Vectors that the centroids are fitted on, at most; and centroids at most.
 SAMPLE, MOST_LISTS = 20_000, 4096
@@ -95,7 +97,7 @@ def extend(index: VectorIndex, vectors: DataFrame, key: str, vector: str, mode:
         for batch in batches:
             if batch.num_rows and len(c):
                 x = _unit(_matrix(batch.column("v")))
-                yield pa.RecordBatch.from_pydict({"list": pa.array(np.argmax(x @ c.T, axis=1), pa.int32()), "id": batch.column("id"), "v": pa.array(list(x), pa.list_(pa.float64()))})
+                yield pa.RecordBatch.from_pydict({"list": pa.array(np.argmax(x @ c.T, axis=1), pa.int32()), "id": batch.column("id"), "v": _lists(x)})
 
     v = vectors.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).filter(F.exists("v", lambda x: x != 0))
     placed = v.mapInArrow(assign, f"list int, id {index.kind}, v array<double>")
@@ -151,71 +153,148 @@ def _ranges(index: VectorIndex, spark: SparkSession) -> np.ndarray:
 
 #: Radians by which angles may be off (an angle near zero loses half of its cosine's digits).
 SLACK = 1e-6
+#: Queries in a block, and tasks of a search, at most; bytes of lists that a worker keeps.
+QUERIES, TASKS, KEPT_BYTES = 512, 2000, 64 << 20
 
 
-def _others(index: VectorIndex, queries: DataFrame, key: str, vector: str, found: DataFrame, k: int, choice: dict) -> DataFrame:
-    """query, list, v: the lists that ``probes`` left out and that may hold a vector as near as a query's k-th one. By the triangle inequality such a vector's angle to its centroid differs
-    from the query's by the angle of the k-th at most."""
-    c, ranges = index.centroids, _ranges(index, queries.sparkSession)
-    last = found.groupBy("query").agg(F.when(F.count("*") >= k, F.min("similarity")).alias("last"))
+def _lists(x: np.ndarray) -> pa.Array:
+    """Rows as lists of numbers."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(np.ascontiguousarray(x).ravel()))
 
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows and len(c):
-                x = _unit(_matrix(batch.column("v")))
-                s = x @ c.T
-                far = np.arccos(np.clip(np.asarray(batch.column("last")) - 2e-9, -1, 1))[:, None] + SLACK
-                a = np.arccos(np.clip(s, -1, 1))
-                wanted = (ranges[None, :, 0] <= a + far) & (ranges[None, :, 1] >= a - far)
-                wanted[_chosen(s, **choice)] = False
-                i, j = np.nonzero(wanted)
-                yield pa.RecordBatch.from_pydict({"query": batch.column("id").take(pa.array(i)), "list": pa.array(j, pa.int32()), "v": pa.array(list(x[i]), pa.list_(pa.float64()))})
-
-    q = _queries(queries, key, vector).join(last.withColumnRenamed("query", "id"), "id", "left").select("id", "v", F.coalesce("last", F.lit(-1.0)).alias("last"))
-    return q.mapInArrow(choose, f"query {dict(q.dtypes)['id']}, list int, v array<double>")
 
+def _blocks(index: VectorIndex, queries: DataFrame, key: str, vector: str) -> DataFrame:
+    """ids and unit vectors of blocks of about ``QUERIES`` queries, as far as possible of such that lie near each other, each block a task (up to ``TASKS``)."""
+    c = index.centroids
+    q = _queries(queries, key, vector)
+    groups = max(1, -(-q.count() // QUERIES))
+    areas = c if groups >= len(c) else fit_centroids(c, groups)
 
-def _best(pairs: DataFrame, k: int) -> DataFrame:
-    return top_k_per_group(pairs.withColumn("__s", F.round("similarity", 9)), ["query"], [F.col("__s").desc(), F.col("id")], k, salts=16, salt_by="id").drop("__s")
-
-
-def _meet(index: VectorIndex, asked: DataFrame, k: int) -> DataFrame:
-    """query, id, similarity: for each query and block of a list that it asks for, the k best and ties of the last."""
-    spark = asked.sparkSession
-    size = asked.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    lists = sorted(r["list"] for r in size.collect())  # at most one a centroid
-    groups = asked.join(size, "list").groupBy("list", F.pmod(F.xxhash64("query"), F.col("blocks")).alias("block")).agg(F.collect_list(F.struct("query", "v")).alias("x"))
-    groups = groups.select("list", F.col("x.query").alias("queries"), F.col("x.v").alias("query_vectors"))
-    kinds = dict(asked.dtypes)["query"], index.kind
-
-    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in range(batch.num_rows):
-                ids, own = batch.column("ids")[row].values, batch.column("vectors")[row].values
-                asking, theirs = batch.column("queries")[row].values, batch.column("query_vectors")[row].values
-                s = _matrix(theirs) @ _matrix(own).T
-                s[np.asarray(asking)[:, None] == np.asarray(ids)[None, :]] = -np.inf
-                at = min(k, s.shape[1]) - 1
-                least = -np.partition(-s, at, axis=1)[:, at][:, None] - 1e-9  # ties of the last place are settled at the end
-                i, j = np.nonzero((s >= least) & (s > -2))
-                yield pa.RecordBatch.from_pydict({"query": asking.take(pa.array(i)), "id": ids.take(pa.array(j)), "similarity": pa.array(s[i, j])})
-
-    read = index.table(spark).filter(F.col("list").isin(lists))  # folders of other lists aren't opened
-    return groups.join(read, "list").mapInArrow(multiply, f"query {kinds[0]}, id {kinds[1]}, similarity double")
-
-
-def search_index(index: VectorIndex, queries: DataFrame, key: str, vector: str, k: int, exact: bool = False, **choice) -> DataFrame:
-    """query, id, similarity of the k most similar vectors in the probed lists (ties by the smaller id; a vector doesn't find its own key).
-
-    With ``exact``, of all vectors: what the probed lists gave bounds how near a better one must lie, and each further list that may hold one is read too.
+            if batch.num_rows and len(areas):
+                x = _unit(_matrix(batch.column("v")))
+                yield pa.RecordBatch.from_pydict({"area": pa.array(np.argmax(x @ areas.T, axis=1), pa.int32()), "id": batch.column("id"), "v": _lists(x)})
+
+    placed = q.mapInArrow(assign, f"area int, id {dict(q.dtypes)['id']}, v array<double>")
+    size = placed.groupBy("area").agg(F.ceil(F.count("*") / QUERIES).alias("parts"))  # a row an area
+    blocks = placed.join(size, "area").groupBy("area", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part")).agg(F.collect_list(F.struct("id", "v")).alias("x"))
+    return blocks.select(F.col("x.id").alias("ids"), F.col("x.v").alias("vectors")).repartition(min(TASKS, groups))
+
+
+class _Reader:
+    """Lists of an index, read from its folder; the last ones are kept, up to ``KEPT_BYTES``."""
+
+    def __init__(self, folder: str):
+        from pyarrow import fs
+
+        self.fs, self.top = fs.FileSystem.from_uri(f"{folder}/lists")
+        self.kept: OrderedDict[int, list[tuple[pa.Array, np.ndarray]]] = OrderedDict()
+
+    def blocks(self, place: int) -> Iterator[tuple[pa.Array, np.ndarray]]:
+        """ids and vectors of each block of a list, one after the other; an empty list has none."""
+        if place in self.kept:
+            self.kept.move_to_end(place)
+            yield from self.kept[place]
+            return
+        from pyarrow import fs, parquet
+
+        files = self.fs.get_file_info(fs.FileSelector(f"{self.top}/list={place}", allow_not_found=True))
+        held, size = [], 0
+        for f in sorted(x.path for x in files if x.base_name.startswith("part-") and x.path.endswith(".parquet")):
+            with self.fs.open_input_file(f) as source:
+                for batch in parquet.ParquetFile(source).iter_batches(batch_size=1, columns=["ids", "vectors"]):
+                    block = batch.column("ids")[0].values, _matrix(batch.column("vectors")[0].values)
+                    size += block[1].nbytes
+                    held = [*held, block] if size <= KEPT_BYTES // 4 else []
+                    yield block
+        if size <= KEPT_BYTES // 4:  # longer lists are read again
+            self.kept[place] = held
+        while sum(x.nbytes for b in self.kept.values() for _, x in b) > KEPT_BYTES:
+            self.kept.popitem(last=False)
+
+
+class _Best:
+    """The k best of each query of a block so far, by similarity (nine digits), then id; those of ``least`` or more."""
+
+    def __init__(self, ids: pa.Array, k: int, least: float):
+        self.ids, self.k, self.least = ids, k, least
+        self.own = ids.to_numpy(zero_copy_only=False)
+        self.s, self.id = np.full((len(ids), k), -np.inf), np.full((len(ids), k), self.own[0], np.int64 if self.own.dtype.kind in "iu" else object)
+
+    @property
+    def last(self) -> np.ndarray:
+        return self.s[:, -1]
+
+    def add(self, rows: np.ndarray, s: np.ndarray, ids: pa.Array) -> None:
+        """Similarities of some queries and the vectors of a block."""
+        theirs = ids.to_numpy(zero_copy_only=False)
+        if len(at := np.flatnonzero(pc.is_in(ids, self.ids))):  # a vector doesn't find its own key
+            s[:, at] = np.where(self.own[rows][:, None] == theirs[at][None, :], -np.inf, s[:, at])
+        least = self.last[rows] - 1e-9
+        good = s >= np.maximum(least, self.least)[:, None]
+        if np.count_nonzero(good) > 4 * self.k * len(rows) and s.shape[1] > self.k:
+            good &= s >= np.partition(s, -self.k, axis=1)[:, -self.k][:, None] - 1e-9
+        i, j = np.nonzero(good)
+        if not len(i):
+            return
+        touched = np.unique(i)
+        row = np.concatenate((np.repeat(touched, self.k), i))
+        value = np.concatenate((self.s[rows[touched]].ravel(), s[i, j]))
+        name = np.concatenate((self.id[rows[touched]].ravel(), theirs[j]))
+        rank = name if name.dtype.kind in "iu" else np.unique(name, return_inverse=True)[1]
+        order = np.lexsort((rank, -np.round(value, 9), row))
+        row = row[order]
+        nth = np.arange(len(row)) - np.searchsorted(row, row)
+        order, row, nth = order[nth < self.k], rows[row[nth < self.k]], nth[nth < self.k]
+        self.s[row, nth], self.id[row, nth] = value[order], name[order]
+
+    def rows(self, kinds: tuple[pa.DataType, pa.DataType]) -> pa.RecordBatch:
+        i, j = np.nonzero(self.s >= self.least)
+        return pa.RecordBatch.from_pydict({"query": self.ids.take(pa.array(i)).cast(kinds[0]), "id": pa.array(self.id[i, j], kinds[1]), "similarity": pa.array(self.s[i, j])})
+
+
+def search_index(index: VectorIndex, queries: DataFrame, key: str, vector: str, k: int, exact: bool = False, least: float = -2.0, **choice) -> DataFrame:
+    """query, id, similarity of the k most similar vectors in the probed lists (ties by the smaller id; a vector doesn't find its own key), of those with a similarity of ``least`` or more.
+
+    A task holds a block of queries and the k best of each, and reads the lists that they ask for from the index's folder, one after the other. So neither vectors nor candidates are
+    shuffled, and memory is bounded by a block of queries and one of a list, however long the lists are. Queries have a key each.
+
+    With ``exact``, of all vectors: further lists are read, nearest first, as long as one may hold a vector as near as a query's k-th best so far. By the triangle inequality such a
+    vector's angle to its centroid differs from the query's by the angle of the k-th at most.
     """
-    from .graph import cut
+    c = index.centroids
+    ranges = _ranges(index, queries.sparkSession) if exact else None
+    kinds = tuple(pa.string() if x == "string" else to_arrow_type(StructType.fromDDL(f"x {x}")["x"].dataType) for x in (dict(queries.dtypes)[key], index.kind))
 
-    found = _best(_meet(index, cut(probes(index, queries, key, vector, **choice)), k), k)
-    if not exact:
-        return found
-    found = cut(found)
-    return _best(found.unionByName(_meet(index, cut(_others(index, queries, key, vector, found, k, choice)), k)), k)
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = _Reader(index.folder)
+        for batch in batches:
+            for r in range(batch.num_rows):
+                x, best = _matrix(batch.column("vectors")[r].values), _Best(batch.column("ids")[r].values, k, least)
+                s = x @ c.T
+                probed = np.zeros(s.shape, bool)
+                probed[_chosen(s, **choice)] = True
+                order = np.argsort(-s.max(axis=0), kind="stable")
+
+                def read(place: int, rows: np.ndarray, x: np.ndarray = x, best: _Best = best) -> None:
+                    if len(rows):
+                        for ids, vectors in reader.blocks(place):
+                            best.add(rows, x[rows] @ vectors.T, ids)
+
+                for place in order[probed.any(axis=0)[order]].tolist():
+                    read(place, np.flatnonzero(probed[:, place]))
+                if ranges is not None:
+                    angles = np.arccos(np.clip(s, -1, 1))
+                    # How far a query must look at least to meet a list; the lists with the least come first.
+                    away = np.maximum(ranges[None, :, 0] - angles, angles - ranges[None, :, 1])
+                    away[probed] = np.inf
+                    for place in np.argsort(away.min(axis=0), kind="stable").tolist():
+                        read(place, np.flatnonzero(away[:, place] <= np.arccos(np.clip(np.maximum(best.last, least) - 2e-9, -1, 1)) + SLACK))
+                yield best.rows(kinds)
+
+    if not len(c):
+        return queries.sparkSession.createDataFrame([], f"query {dict(queries.dtypes)[key]}, id {index.kind}, similarity double")
+    return _blocks(index, queries, key, vector).mapInArrow(search, f"query {dict(queries.dtypes)[key]}, id {index.kind}, similarity double")
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
