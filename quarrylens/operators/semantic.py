@@ -23,28 +23,37 @@ def function_features(functions: DataFrame) -> Column:
 
 
 def hashed_vectors(rows: DataFrame, key: str, features: Column, dimensions: int = DIMENSIONS) -> DataFrame:
-    """key, vector: term frequency times inverse document frequency, each feature at a hashed place with a hashed sign."""
-    f = rows.select(key, F.explode(features).alias("feature")).groupBy(key, "feature").agg(F.count("*").alias("tf"))
-    df = f.groupBy("feature").agg(F.count("*").alias("df"))
+    """key, vector: term frequency times inverse document frequency, each feature at a hashed place with a hashed sign. Features are told apart by 64-bit hashes."""
+    f = rows.select(key, F.explode(F.transform(features, lambda x: F.xxhash64(x))).alias("h")).groupBy(key, "h").agg(F.count("*").alias("tf"))
+    df = f.groupBy("h").agg(F.count("*").alias("df"))
     n = F.broadcast(rows.agg(F.count("*").alias("n")))  # one number
-    h = F.xxhash64("feature")
+    h = F.col("h")
     weight = (1 + F.log("tf")) * F.log1p(F.col("n") / F.col("df")) * F.when(F.shiftrightunsigned(h, 40).bitwiseAND(1) == 1, 1.0).otherwise(-1.0)
-    placed = f.join(df, "feature").crossJoin(n).select(key, F.pmod(h, F.lit(dimensions)).cast("int").alias("at"), weight.alias("w")).groupBy(key, "at").agg(F.sum("w").alias("w"))
+    placed = f.join(df, "h").crossJoin(n).select(key, F.pmod(h, F.lit(dimensions)).cast("int").alias("at"), weight.alias("w")).groupBy(key, "at").agg(F.sum("w").alias("w"))
     held = placed.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("at", "w"))).alias("m"))  # at most ``dimensions`` entries
     return held.select(key, F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0))).alias("vector"))
 
 
 def semantic_duplicates(functions: DataFrame, key: str, folder: str, *, least: float = LEAST, structural: float = STRUCTURAL, cap: int = CAP) -> DataFrame:
-    """a, b, similarity, structure: of each function the ``NEIGHBOURS`` nearest with a cosine of ``least``, whose multisets of 3-grams overlap by less than ``structural``. The ``cap`` most similar pairs, ties by a, b."""
+    """a, b, similarity, structure: of each function the ``NEIGHBOURS`` nearest with a cosine of ``least``, whose multisets of 3-grams overlap by less than ``structural``. The ``cap`` most similar pairs, ties by a, b.
+
+    Functions are numbered in the order of their keys, so vectors and pairs carry numbers. Structures are compared once for each two multisets that some pair has: functions of one
+    multiset are one structure, told by a SHA-256 hash.
+    """
     from .graph import cut
 
-    f = cut(functions.filter(F.size("ngrams") > 0).select(key, "name", "ngrams"))
-    v = cut(hashed_vectors(f, key, function_features(f)))
-    near = search_index(build_index(v, key, "vector", folder), v, key, "vector", NEIGHBOURS).filter(F.col("similarity") >= least)
-    pairs = near.select(F.least("query", "id").alias("a"), F.greatest("query", "id").alias("b"), "similarity").groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
-    grams = f.select(key, F.explode("ngrams").alias("g")).groupBy(key, "g").agg(F.count("*").alias("n"))
-    sides = [pairs.select("a", "b", F.col(x).alias(key)).join(grams, key).select("a", "b", "g", *(F.col("n").alias(c) if c == f"n_{x}" else F.lit(0).cast("long").alias(c) for c in ("n_a", "n_b"))) for x in ("a", "b")]
-    both = sides[0].unionByName(sides[1]).groupBy("a", "b", "g").agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"))
-    overlap = both.groupBy("a", "b").agg((F.sum(F.least("n_a", "n_b")) / F.sum(F.greatest("n_a", "n_b"))).alias("structure"))
-    found = pairs.join(overlap, ["a", "b"]).filter(F.col("structure") < structural).withColumn("__s", F.round("similarity", 6))
-    return top_k_per_group(found.withColumn("__g", F.lit(0)), ["__g"], [F.col("__s").desc(), F.col("a"), F.col("b")], cap, salts=64, salt_by="a").drop("__g", "__s")
+    f = cut(functions.filter(F.size("ngrams") > 0).select(key, "name", F.array_sort("ngrams").alias("ngrams")).orderBy(key).withColumn("__id", F.monotonically_increasing_id()).withColumn("__m", F.sha2(F.array_join("ngrams", "\x1f"), 256)))
+    v = cut(hashed_vectors(f, "__id", function_features(f)))
+    near = search_index(build_index(v, "__id", "vector", folder), v, "__id", "vector", NEIGHBOURS, least=least)
+    pairs = cut(near.select(F.least("query", "id").alias("a"), F.greatest("query", "id").alias("b"), "similarity").groupBy("a", "b").agg(F.max("similarity").alias("similarity")))
+    own = f.select("__id", F.col(key).alias("__key"), F.col("__m"))
+    for x in ("a", "b"):
+        pairs = pairs.join(own.select(F.col("__id").alias(x), F.col("__key").alias(f"__{x}"), F.col("__m").alias(f"__m{x}")), x)
+    pairs = cut(pairs.select(F.col("__a").alias("a"), F.col("__b").alias("b"), "similarity", F.least("__ma", "__mb").alias("__m0"), F.greatest("__ma", "__mb").alias("__m1")))
+    grams = f.groupBy("__m").agg(F.first("ngrams").alias("ngrams")).select("__m", F.explode("ngrams").alias("g")).groupBy("__m", "g").agg(F.count("*").alias("n"))
+    kinds = pairs.filter("__m0 <> __m1").select("__m0", "__m1").distinct()
+    sides = [kinds.select("__m0", "__m1", F.col(f"__m{x}").alias("__m")).join(grams, "__m").select("__m0", "__m1", "g", *(F.col("n").alias(f"n{y}") if x == y else F.lit(0).cast("long").alias(f"n{y}") for y in (0, 1))) for x in (0, 1)]
+    both = sides[0].unionByName(sides[1]).groupBy("__m0", "__m1", "g").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    overlap = both.groupBy("__m0", "__m1").agg((F.sum(F.least("n0", "n1")) / F.sum(F.greatest("n0", "n1"))).alias("structure"))
+    found = pairs.join(overlap, ["__m0", "__m1"], "left").withColumn("structure", F.coalesce("structure", F.lit(1.0))).filter(F.col("structure") < structural).withColumn("__s", F.round("similarity", 6))
+    return top_k_per_group(found.withColumn("__g", F.lit(0)), ["__g"], [F.col("__s").desc(), F.col("a"), F.col("b")], cap, salts=64, salt_by="a").drop("__g", "__s", "__m0", "__m1").select("a", "b", "similarity", "structure")

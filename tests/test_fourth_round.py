@@ -2,7 +2,8 @@
 
 import numpy as np
 
-from quarrylens.operators import vector_index
+from quarrylens.operators import semantic, vector_index
+from quarrylens.plans.index_queries import shared
 
 
 def _metrics(df, kind, name):
@@ -20,6 +21,17 @@ def _metrics(df, kind, name):
     return found
 
 
+def test_structures_are_compared_once_for_each_two_kinds(spark):
+    """Copies: each pair of them met each 3-gram of both, though their multisets are one."""
+    a, b = ([f"{x}{i} B{i} C{i}" for i in range(60)] for x in "AD")
+    rows = [(f"f{i:03d}", f"load_{'x' if i < 100 else 'y'}", a if i < 100 else b) for i in range(200)] + [("g", "load_x", a[:45])]
+    out = semantic.semantic_duplicates(spark.createDataFrame(rows, "key string, name string, ngrams array<string>"), "key", shared(spark, "t"), least=0.5)
+    got = [tuple(r)[:2] + (round(r.structure, 6),) for r in out.collect()]
+    # The lone one is near those of whole bodies; its neighbours are the first of them. The others find copies alone.
+    assert got and all(b == "g" and s == 0.75 for _, b, s in got)
+    assert max(_metrics(out, "Join", "numOutputRows")) < 2000
+
+
 def test_searches_shuffle_each_query_once(spark, tmp_path):
     """Before, a query's vector was shuffled once for each list that it reads."""
     r = np.random.default_rng(3)
