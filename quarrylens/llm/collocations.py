@@ -4,22 +4,22 @@ Candidates come from a sketch: every phrase falls into one of 2^48 cells, and a
 hit exist, as rows that Spark sums, so the sketch is as large as the data ask for. Pairs are counted first; phrases of three and four words only
 where the bound of each of their pairs reaches the threshold. Phrases all of whose bounds reach it, and their single words, are the keys.
 
-Keys are compiled into Aho-Corasick automata in blocks of a language. A key stands between spaces, and so does every word of the scanned text, with a line feed between
-pieces; so matches are whole words, never cross a piece, and overlap freely. Tasks scan their shard of the documents and sum the matches of each key; Spark
-sums the tasks. What follows (thresholds, cuts, phrases inside longer ones, ranks) is joins on exact counts.
+Keys are compiled into Aho-Corasick automata, shard by shard of the texts: a task gathers texts of some megabytes, with the keys that stand in them, and scans them with
+an automaton of those keys alone. So the documents are scanned once, however many keys there are, and a worker's memory is that of a shard. A key stands between spaces, and
+so does every word of the scanned text, with a line feed between pieces; so matches are whole words, never cross a piece, and overlap freely. Spark sums the shards. What
+follows (thresholds, cuts, phrases inside longer ones, ranks) is joins on exact counts.
 
-A pass over the documents takes blocks of at most ``PASS_KEYS`` keys, so a worker's memory doesn't grow with their number; more keys take more passes. Hot cells lie in sorted
-arrays in the shared folder and are mapped by the workers. Ranks are taken in shares of a language first, so no task orders more than a share's phrases.
+Tasks add up cells before they hand them on. Hot cells lie in sorted arrays in the shared folder and are mapped by the workers. Ranks are taken in shares of a language first, so
+no task orders more than a share's phrases.
 
 Defined cases: null and empty texts have no words, a null language is ``und``. Repeated rows count each. Texts without separators are one piece. Ties of
-score rank by count, then phrase. Empty tables, or no phrase that reaches the threshold, give no rows. Further columns are ignored. Words are hashed for the sketch alone: two
-words of one hash can only add a candidate, whose count is then exact.
+score rank by count, then phrase. Empty tables, or no phrase that reaches the threshold, give no rows. Further columns are ignored. Words are hashed for the sketch and to
+gather a shard's keys (64 bits, so two keys of a shard are taken for one with a chance of 2^-64); counts are of the texts themselves.
 """
 
 from __future__ import annotations
 
 import re
-from collections import OrderedDict
 from collections.abc import Callable, Iterator
 from hashlib import blake2b
 from operator import itemgetter
@@ -42,7 +42,10 @@ INSIDE = 80
 TOP = 2000
 SHARES = 64
 CELL_BITS = 48
-BLOCK_KEYS, PASS_KEYS = 400_000, 400_000
+#: Keys of an automaton at most; keys, and bytes of text, from which on a shard is scanned.
+BLOCK_KEYS, PASS_KEYS, SHARD_BYTES = 400_000, 300_000, 32 << 20
+#: Cells that a task gathers before it adds them up; leading bits of a cell by which cells are dealt out.
+HELD_CELLS, PART_BITS = 3 << 20, 12
 #: Hot cells in a file.
 FILE_CELLS = 1 << 22
 COUNT_BYTES = 2 << 20
@@ -83,11 +86,15 @@ class Phrases:
         n = max(0, len(self.piece) - size + 1)
         return np.flatnonzero(self.piece[:n] == self.piece[size - 1 : size - 1 + n])
 
-    def cells(self, at: np.ndarray, size: int) -> np.ndarray:
+    def runs(self, at: np.ndarray, size: int) -> np.ndarray:
+        """64-bit hashes of runs of so many words."""
         acc = self.seed[at] + np.uint64(size)
         for k in range(size):
             acc = mix(acc * np.uint64(_BASE) + self.t.hash[at + k])
-        return (acc >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+        return acc
+
+    def cells(self, at: np.ndarray, size: int) -> np.ndarray:
+        return (self.runs(at, size) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
     def text(self, at: np.ndarray, size: int) -> pa.Array:
         words = [words_at(self.t, at + k) for k in range(size)]
@@ -126,25 +133,42 @@ def _store_hot(hot: DataFrame, folder: str) -> Hot:
     return Hot(folder, bits)
 
 
-def _by_slice(fn: Callable[[Phrases], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in slices(batch, limit=COUNT_BYTES):
-                yield from fn(Phrases(piece))
+def _merged(cell: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each cell once, with its sum."""
+    order = np.argsort(cell)
+    cell, n = cell[order], n[order]
+    first = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1]))) if len(cell) else np.zeros(0, np.int64)
+    return cell[first], np.add.reduceat(n, first) if len(first) else n
 
-    return run
 
+def _tally(cells: Callable[[Phrases], np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Cells and their counts, as lists by the cells' leading bits. A task adds up what it gathers, and hands it on when many different cells are held."""
 
-def _summed(cells: np.ndarray) -> pa.RecordBatch:
-    cell, n = np.unique(cells, return_counts=True)
-    return pa.RecordBatch.from_pydict({"lang": pa.nulls(len(cell), pa.string()), "cell": pa.array(cell, pa.int64()), "n": pa.array(n, pa.int64())})
+    def rows(cell: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        bound = np.searchsorted(cell, np.arange((1 << PART_BITS) + 1) << (CELL_BITS - PART_BITS))
+        part = np.flatnonzero(bound[1:] > bound[:-1])
+        for i in range(0, len(part), 256):
+            own = part[i : i + 256]
+            first, ends = bound[own[0]], bound[own + 1]
+            at = pa.array(np.concatenate(([0], ends - first)), pa.int32())
+            yield pa.RecordBatch.from_pydict({"part": pa.array(own, pa.int32()), "cells": pa.ListArray.from_arrays(at, pa.array(cell[first : ends[-1]])), "counts": pa.ListArray.from_arrays(at, pa.array(n[first : ends[-1]]))})
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, new, size = (np.zeros(0, np.int64), np.zeros(0, np.int64)), [], 0
+        for batch in batches:
+            for piece in slices(batch, limit=COUNT_BYTES):
+                new.append(cells(Phrases(piece)))
+                size += len(new[-1])
+                if size >= HELD_CELLS:
+                    cell, n = np.unique(np.concatenate(new), return_counts=True)
+                    held, new, size = _merged(np.concatenate((held[0], cell)), np.concatenate((held[1], n))), [], 0
+                    if len(held[0]) >= HELD_CELLS:
+                        yield from rows(*held)
+                        held = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        cell, n = np.unique(np.concatenate([*new, held[0][:0]]), return_counts=True)
+        yield from rows(*_merged(np.concatenate((held[0], cell)), np.concatenate((held[1], n))))
 
-def _pairs(p: Phrases) -> Iterator[pa.RecordBatch]:
-    """Counts of cells, and rows without a cell that count a language's words."""
-    words = np.bincount(p.lang, minlength=len(p.langs))
-    yield pa.RecordBatch.from_pydict({"lang": pa.array(p.langs, pa.string()), "cell": pa.nulls(len(p.langs), pa.int64()), "n": pa.array(words, pa.int64())})
-    yield _summed(p.cells(p.places(2), 2))
+    return run
 
 
 def _chained(p: Phrases, hot: Hot) -> list[np.ndarray]:
@@ -158,101 +182,102 @@ def _chained(p: Phrases, hot: Hot) -> list[np.ndarray]:
     return out
 
 
-def sketch(d: DataFrame, folder: str, least: int) -> tuple[Hot, Hot, DataFrame]:
-    """Hot cells of pairs, of longer phrases, and each language's number of words."""
-    schema = "lang string, cell long, n long"
-    summed = lambda fn, name: kept(d.mapInArrow(_by_slice(fn), schema).groupBy("lang", "cell").agg(F.sum("n").alias("n")).filter(f"cell IS NULL OR n >= {least}"), folder, name)
-    first = summed(_pairs, "pairs")
-    pairs = _store_hot(first.filter("cell IS NOT NULL"), f"{folder}/hot-pairs")
-    longer = lambda p: iter([_summed(np.concatenate([p.cells(at, k) for k, at in enumerate(_chained(p, pairs)[1:], 3)]))])
-    return pairs, _store_hot(summed(longer, "longer"), f"{folder}/hot-longer"), first.filter("cell IS NULL").select("lang", F.col("n").alias("words"))
+def sketch(d: DataFrame, folder: str, least: int) -> tuple[Hot, Hot]:
+    """Hot cells of pairs; and those of longer phrases, and of the words that stand in hot pairs often enough."""
 
+    def total(rows: pa.Table) -> pa.Table:
+        cell, n = _merged(*(np.asarray(rows.column(c).combine_chunks().flatten(), np.int64) for c in ("cells", "counts")))
+        return pa.table({"cell": pa.array(cell[n >= least], pa.int64())})
 
-def candidates(d: DataFrame, pairs: Hot, more: Hot) -> DataFrame:
-    """lang, phrase, size: phrases whose upper bounds reach the threshold, and their words."""
+    def hot(cells: Callable[[Phrases], np.ndarray], name: str) -> Hot:
+        summed = d.mapInArrow(_tally(cells), "part int, cells array<long>, counts array<long>").groupBy("part").applyInArrow(total, "cell long")
+        return _store_hot(kept(summed, folder, name), f"{folder}/hot-{name}")
 
-    def find(p: Phrases) -> Iterator[pa.RecordBatch]:
+    def longer(p: Phrases) -> np.ndarray:
         at = _chained(p, pairs)
-        good = {2: at[0]} | {size: at[size - 2][more.has(p.cells(at[size - 2], size))] for size in range(3, MOST_WORDS + 1)}
-        for size, begin in good.items():
-            if len(begin):
-                # A cell may hold several phrases, so the first word's hash is part of the key.
-                _, one = np.unique(p.cells(begin, size) ^ p.t.hash[begin].astype(np.int64), return_index=True)
-                begin = begin[one]
-                yield pa.RecordBatch.from_pydict({"lang": pa.array(p.langs, pa.string()).take(pa.array(p.lang[begin])), "phrase": p.text(begin, size), "size": pa.array(np.full(len(begin), size), pa.int32())})
-
-    found = d.mapInArrow(_by_slice(find), "lang string, phrase string, size int").distinct()
-    words = found.select("lang", F.explode(F.split("phrase", " ")).alias("phrase"), F.lit(1).alias("size")).distinct()
-    return found.unionByName(words)
-
-
-_automata: OrderedDict[str, ahocorasick.Automaton] = OrderedDict()
-
-
-def _automaton(uri: str, wanted: set[str]) -> ahocorasick.Automaton:
-    """The automaton of a block; those of earlier passes are let go."""
-    for other in [u for u in _automata if u not in wanted]:
-        del _automata[other]
-    if uri not in _automata:
-        ends, data = mapped(uri)
-        text = data.tobytes()
-        a = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for i, (b, e) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)):
-            a.add_word(f" {text[b:e].decode('utf-8', 'surrogateescape')} ", i)
-        a.make_automaton()
-        _automata[uri] = a
-    return _automata[uri]
-
-
-def frequencies(d: DataFrame, keys: DataFrame, folder: str) -> DataFrame:
-    """lang, phrase, size, f: how often each key stands in its language's texts, overlaps included."""
-    blocks = keys.groupBy("lang").agg(F.count("*").alias("keys")).withColumn("blocks", F.ceil(F.col("keys") / BLOCK_KEYS))
-    blocks = blocks.withColumn("before", F.sum("blocks").over(Window.orderBy("lang").rowsBetween(Window.unboundedPreceding, 0)) - F.col("blocks"))  # a row a language
-    placed = keys.join(blocks.drop("keys"), "lang").withColumn("block", F.col("before") + F.pmod(F.xxhash64("phrase"), F.col("blocks"))).select("lang", "phrase", "size", "block")
-
-    def write(rows: pa.Table) -> pa.Table:
-        rows = rows.combine_chunks()
-        raw = rows.column("phrase").cast(pa.binary()).to_pylist()
-        store(f"{folder}/keys/{rows.column('block')[0].as_py():06d}", [np.cumsum([len(x) for x in raw]).astype(np.int64), np.frombuffer(b"".join(raw), np.uint8)])
-        return rows.append_column("place", pa.array(np.arange(len(raw)), pa.int64()))
-
-    placed = kept(placed.groupBy("block").applyInArrow(write, "lang string, phrase string, size int, block long, place long"), folder, "placed")
-    there = [tuple(r) for r in placed.groupBy("block", "lang").agg(F.count("*")).orderBy("block").collect()]  # a row a block
-    passes: list[list[tuple]] = []
-    for row in sorted(there, key=lambda r: (-r[2], r[0])):  # large blocks first, each into the first pass that has room
-        room = next((p for p in passes if sum(n for _, _, n in p) + row[2] <= PASS_KEYS), None)
-        if room is None:
-            passes.append([row])
-        else:
-            room.append(row)
-
-    def scan(some: list[tuple]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-        wanted = {f"{folder}/keys/{b:06d}" for b, _, _ in some}
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = {b: np.zeros(n, np.int64) for b, _, n in some}
-            for batch in batches:
-                for piece in slices(batch, limit=COUNT_BYTES):
-                    for lang in piece.column("lang").unique().to_pylist():
-                        text = guarded(piece.filter(pc.equal(piece.column("lang"), lang)).column("text").cast(pa.binary()).to_pylist())
-                        for b, _, n in (x for x in some if x[1] == lang):
-                            found = np.fromiter(map(itemgetter(1), _automaton(f"{folder}/keys/{b:06d}", wanted).iter(text)), np.int32)
-                            total[b] += np.bincount(found, minlength=n)
-            for b, n in total.items():
-                at = np.flatnonzero(n)
-                yield pa.RecordBatch.from_pydict({"block": pa.array(np.full(len(at), b), pa.int64()), "place": pa.array(at, pa.int64()), "n": pa.array(n[at], pa.int64())})
-
-        return run
-
-    counted = None
-    for some in passes:
-        own = d.filter(F.col("lang").isin(sorted({lang for _, lang, _ in some})))
-        part = own.mapInArrow(scan(some), "block long, place long, n long")
-        counted = part if counted is None else counted.unionByName(part)
-    if counted is None:
-        return placed.select("lang", "phrase", "size", F.col("place").alias("f"))  # no keys, no rows
-    counted = counted.groupBy("block", "place").agg(F.sum("n").alias("f"))
-    return kept(placed.join(counted, ["block", "place"]).select("lang", "phrase", "size", "f"), folder, "frequencies")
+        inside = np.zeros(len(p.lang), bool)
+        inside[at[0]] = inside[at[0] + 1] = True
+        return np.concatenate([p.cells(np.flatnonzero(inside), 1), *(p.cells(begin, k) for k, begin in enumerate(at[1:], 3))])
+
+    pairs = hot(lambda p: p.cells(p.places(2), 2), "pairs")
+    return pairs, hot(longer, "longer")
+
+
+class _Shard:
+    """Texts of a language, and the keys that stand in them: phrases whose upper bounds reach the threshold. Words of such phrases are counted as they come."""
+
+    def __init__(self):
+        self.texts: list[bytes] = []
+        self.bytes = self.total = 0
+        self.seen = np.zeros(0, np.uint64)
+        self.keys: list[tuple[int, pa.Array]] = []
+        self.words: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
+
+    def add(self, p: Phrases, rows: pa.RecordBatch, runs: dict[int, tuple[np.ndarray, np.ndarray]], total: int) -> None:
+        """``runs``: by the number of words, where they begin and their hashes."""
+        self.texts += rows.column("text").cast(pa.binary()).to_pylist()
+        self.bytes += sum(map(len, self.texts[len(self.texts) - rows.num_rows :]))
+        self.total += total
+        for size, (begin, hashes) in runs.items():
+            hashes, one, n = np.unique(hashes, return_index=True, return_counts=True)
+            if size == 1:
+                self.words.append((hashes, n, p.text(begin[one], 1)))
+                continue
+            known = np.minimum(np.searchsorted(self.seen, hashes), max(len(self.seen) - 1, 0))
+            new = self.seen[known] != hashes if len(self.seen) else np.ones(len(hashes), bool)
+            if new.any():
+                self.seen = np.sort(np.concatenate((self.seen, hashes[new])))
+                self.keys.append((size, p.text(begin[one[new]], size)))
+
+    def counted(self, lang: str) -> Iterator[pa.RecordBatch]:
+        """How often each word and key stands in the texts, overlaps included; and a row without a phrase, the number of all words."""
+        yield _rows(lang, pa.array([None], pa.string()), np.zeros(1), np.array([self.total]))
+        hashes, one, back = np.unique(np.concatenate([h for h, _, _ in self.words]), return_index=True, return_inverse=True)
+        n = np.bincount(back, np.concatenate([n for _, n, _ in self.words]), len(hashes)).astype(np.int64)
+        yield _rows(lang, pa.concat_arrays([x.cast(pa.string()) for _, _, x in self.words]).take(pa.array(one)), np.ones(len(one)), n)
+        if not self.keys:
+            return
+        text = guarded(self.texts)
+        phrases, sizes = pa.concat_arrays([x.cast(pa.string()) for _, x in self.keys]), np.repeat([k for k, _ in self.keys], [len(x) for _, x in self.keys])
+        for i in range(0, len(phrases), BLOCK_KEYS):
+            own = phrases[i : i + BLOCK_KEYS]
+            automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+            for k, raw in enumerate(own.cast(pa.binary()).to_pylist()):
+                automaton.add_word(f" {raw.decode('utf-8', 'surrogateescape')} ", k)
+            automaton.make_automaton()
+            n = np.bincount(np.fromiter(map(itemgetter(1), automaton.iter(text)), np.int32), minlength=len(own))
+            yield _rows(lang, own, sizes[i : i + BLOCK_KEYS], n)
+
+
+def _rows(lang: str, phrases: pa.Array, sizes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(phrases), pa.string()), "phrase": phrases, "size": pa.array(sizes, pa.int32()), "f": pa.array(n, pa.int64())})
+
+
+def frequencies(d: DataFrame, pairs: Hot, more: Hot, least: int, folder: str) -> DataFrame:
+    """lang, phrase, size, f: how often each word and phrase stands in its language's texts, overlaps included, from the threshold on; and a language's number of words, without a phrase."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shards: dict[str, _Shard] = {}
+        for batch in batches:
+            for piece in slices(batch, limit=COUNT_BYTES):
+                p = Phrases(piece)
+                at = _chained(p, pairs)
+                every = np.arange(len(p.lang))
+                runs = {1: every[more.has(p.cells(every, 1))], 2: at[0]} | {size: at[size - 2][more.has(p.cells(at[size - 2], size))] for size in range(3, MOST_WORDS + 1)}
+                hashes = {size: p.runs(begin, size) for size, begin in runs.items()}
+                for k, lang in enumerate(p.langs):
+                    own = {size: p.lang[begin] == k for size, begin in runs.items()}
+                    shards.setdefault(lang, _Shard()).add(p, piece.filter(pc.equal(piece.column("lang"), lang)), {size: (begin[own[size]], hashes[size][own[size]]) for size, begin in runs.items()}, np.count_nonzero(p.lang == k))
+                for lang in [x for x, shard in shards.items() if len(shard.seen) >= PASS_KEYS]:
+                    yield from shards.pop(lang).counted(lang)
+                while sum(shard.bytes for shard in shards.values()) >= SHARD_BYTES:
+                    lang = max(shards, key=lambda x: shards[x].bytes)
+                    yield from shards.pop(lang).counted(lang)
+        for lang, shard in shards.items():
+            yield from shard.counted(lang)
+
+    summed = d.mapInArrow(scan, "lang string, phrase string, size int, f long").groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f"))
+    return kept(summed.filter(f"phrase IS NULL OR f >= {least}"), folder, "frequencies")
 
 
 def score_phrases(freq: DataFrame, least: int = LEAST) -> DataFrame:
@@ -275,8 +300,9 @@ def collocations(docs: DataFrame, *, text: str = "text", lang: str = "lang", lea
     spark = tuned(docs.sparkSession)
     folder = shared_folder(spark, "collocations")
     d = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"))
-    pairs, more, words = sketch(d, folder, least)
-    freq = frequencies(d, kept(candidates(d, pairs, more), folder, "candidates"), folder)
+    pairs, more = sketch(d, folder, least)
+    every = frequencies(d, pairs, more, least, folder)
+    freq, words = every.filter("phrase IS NOT NULL"), every.filter("phrase IS NULL").select("lang", F.col("f").alias("words"))
     order = [F.col("score").desc(), F.col("a").desc(), "phrase"]
     rank = lambda df, *by: df.withColumn("rank", F.row_number().over(Window.partitionBy("lang", *by).orderBy(*order)).cast("long")).filter(F.col("rank") <= top)
     best = rank(rank(score_phrases(freq, least), F.pmod(F.xxhash64("phrase"), F.lit(SHARES))).drop("rank"))

@@ -45,3 +45,20 @@ def test_searches_shuffle_each_query_once(spark, tmp_path):
     np.fill_diagonal(s, -9)
     assert got == {(f"k{i:03d}", f"k{j:03d}") for i in range(600) for j in np.argsort(-s[i])[:3]}
     assert max(_metrics(out, "Exchange", "shuffleRecordsWritten")) <= 600
+
+
+def test_documents_are_scanned_once_whatever_the_number_of_keys(spark, monkeypatch):
+    """Before, each block of keys was a pass over the documents."""
+    from quarrylens.llm import collocations
+
+    monkeypatch.setattr(collocations, "BLOCK_KEYS", 5)
+    monkeypatch.setattr(collocations, "PASS_KEYS", 5)
+    monkeypatch.setattr(collocations, "HELD_CELLS", 7)
+    kind, passes = type(spark.range(1)), []
+    inner = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, *a, **b: (passes.append(1), inner(self, *a, **b))[1])
+    rows = [(f"w{i % 9} of w{i % 7} and, w{i % 9} of\n{'only' * (i == 3)}", "en" if i % 3 else None) for i in range(90)] + [("..", "xx"), (None, "en")]
+    got = [tuple(r)[:7] for r in collocations.collocations(spark.createDataFrame(rows, "text string, lang string"), least=10).collect()]
+    assert len(passes) == 3
+    count = lambda lang, phrase: sum(f" {phrase} " in f" {piece} " for t, x in rows[:90] if (x or "und") == lang for piece in t.replace("\n", ",").split(","))
+    assert {r[2] for r in got} >= {"w1 of"} and all((a, n) == (count(lang, phrase), sum(len(t.replace(",", " ").split()) for t, x in rows[:90] if (x or "und") == lang)) for lang, _, phrase, a, _, _, n in got)
