@@ -81,3 +81,31 @@ def test_large_sets_are_told_apart_before_they_are_moved(spark):
     got = {(x.a, x.b): x.similarity for x in out.collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-12 for k, v in want.items()) and (1, 200) in want
     assert max(_metrics(out, "Join", "numOutputRows")) < len(want) + 300
+
+
+def test_cycles_of_each_length(spark):
+    """Against brute force; first nodes, and longest paths that don't close are not listed: before, the join on the last node gave every way of two edges."""
+    import random
+
+    from quarrylens.operators import graph
+
+    r = random.Random(2)
+    edges = {(r.randrange(14), r.randrange(14)) for _ in range(60)}
+
+    def longer(path):
+        for a, b in edges:
+            if a == path[-1] and b == path[0] and len(path) > 1:
+                yield path
+            if a == path[-1] and b > path[0] and b not in path and len(path) < 5:
+                yield from longer((*path, b))
+
+    every = [p for n in range(14) for p in longer((n,))]
+    df = spark.createDataFrame(sorted(edges), "src long, dst long")
+    for longest in (2, 3, 4, 5):
+        got = [tuple(x.path) for x in graph.simple_cycles(df, longest).collect()]
+        assert sorted(got) == sorted(p for p in every if len(p) <= longest) and got
+    # A node with 100 edges in and 100 out, of whose ways one closes.
+    hub = spark.createDataFrame([(i, 1000) for i in range(100)] + [(1000, 2000 + i) for i in range(100)] + [(2000, 5)], "src long, dst long")
+    out = graph.simple_cycles(hub, 3)
+    assert [tuple(x.path) for x in out.collect()] == [(5, 1000, 2000)]
+    assert max(_metrics(out, "Join", "numOutputRows")) < 500
