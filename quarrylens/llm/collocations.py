@@ -23,6 +23,7 @@ import re
 from collections.abc import Callable, Iterator
 from hashlib import blake2b
 from operator import itemgetter
+from zlib import crc32
 
 import ahocorasick
 import numpy as np
@@ -46,6 +47,8 @@ CELL_BITS = 48
 BLOCK_KEYS, PASS_KEYS, SHARD_BYTES = 400_000, 300_000, 32 << 20
 #: Cells that a task gathers before it adds them up; leading bits of a cell by which cells are dealt out.
 HELD_CELLS, PART_BITS = 3 << 20, 12
+#: Groups in which the counts of phrases are summed.
+PHRASE_PARTS = 1024
 #: Hot cells in a file.
 FILE_CELLS = 1 << 22
 COUNT_BYTES = 2 << 20
@@ -250,7 +253,13 @@ class _Shard:
 
 
 def _rows(lang: str, phrases: pa.Array, sizes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(phrases), pa.string()), "phrase": phrases, "size": pa.array(sizes, pa.int32()), "f": pa.array(n, pa.int64())})
+    """Counts of a shard as lists, dealt out by a hash of the phrase."""
+    part = np.fromiter(map(crc32, phrases.cast(pa.binary()).fill_null(b"").to_pylist()), np.int64) % PHRASE_PARTS
+    order = np.argsort(part, kind="stable")
+    own, begin = np.unique(part[order], return_index=True)
+    at = pa.array(np.append(begin, len(order)), pa.int32())
+    columns = {"phrases": phrases.take(pa.array(order)), "sizes": pa.array(np.asarray(sizes)[order], pa.int32()), "counts": pa.array(n[order], pa.int64())}
+    return pa.RecordBatch.from_pydict({"part": pa.array(own, pa.int32()), "lang": pa.array([lang] * len(own), pa.string())} | {c: pa.ListArray.from_arrays(at, x) for c, x in columns.items()})
 
 
 def frequencies(d: DataFrame, pairs: Hot, more: Hot, least: int, folder: str) -> DataFrame:
@@ -276,8 +285,16 @@ def frequencies(d: DataFrame, pairs: Hot, more: Hot, least: int, folder: str) ->
         for lang, shard in shards.items():
             yield from shard.counted(lang)
 
-    summed = d.mapInArrow(scan, "lang string, phrase string, size int, f long").groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f"))
-    return kept(summed.filter(f"phrase IS NULL OR f >= {least}"), folder, "frequencies")
+    def total(rows: pa.Table) -> pa.Table:
+        lists = {c: rows.column(c).combine_chunks() for c in ("phrases", "sizes", "counts")}
+        n = np.asarray(pc.list_value_length(lists["sizes"]), np.int64)
+        lang = rows.column("lang").combine_chunks().take(pa.array(np.repeat(np.arange(len(n)), n)))
+        every = pa.table({"lang": lang, "phrase": lists["phrases"].flatten(), "size": lists["sizes"].flatten(), "f": lists["counts"].flatten()})
+        summed = every.group_by(["lang", "phrase", "size"]).aggregate([("f", "sum")]).rename_columns({"f_sum": "f"}).select(["lang", "phrase", "size", "f"])
+        return summed.filter(pc.or_(pc.is_null(summed["phrase"]), pc.greater_equal(summed["f"], least)))
+
+    counted = d.mapInArrow(scan, "part int, lang string, phrases array<string>, sizes array<int>, counts array<long>")
+    return kept(counted.groupBy("part").applyInArrow(total, "lang string, phrase string, size int, f long"), folder, "frequencies")
 
 
 def score_phrases(freq: DataFrame, least: int = LEAST) -> DataFrame:
